@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import balanced_mix, decontaminate, licenses, quality_rules, sharding, simhash, wrapper_extract
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_mix.mix_report(read(spark, sf_dir, "documents"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(read(spark, sf_dir, "documents"))
+
+
+def op9_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper_extract.extract(read(spark, sf_dir, "pages"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.notices(spark))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_benchmark_decontamination": decontaminate.oracle_sql(), "op10_license_scan": licenses.oracle_sql()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_mix, decontaminate, licenses, quality_rules, sharding, simhash, wrapper_extract
+from . import balanced_mix, chat_format, decontaminate, licenses, ngram_lm, quality_rules, sharding, simhash, token_lengths, wrapper_extract
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_report(read(spark, sf_dir, "conversations"))
+
+
+def op3_token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_lengths.length_histogram(token_lengths.encoded_lengths(read(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(read(spark, sf_dir, "documents"))
 
@@ -24,6 +32,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_report(read(spark, sf_dir, "documents"))
+
+
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_mix.mix_report(read(spark, sf_dir, "documents"))
 

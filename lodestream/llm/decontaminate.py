@@ -80,8 +80,8 @@ def contamination(docs: DataFrame, items: DataFrame, min_containment: float = 0.
 
 def oracle_sql(min_containment: float = 0.8) -> str:
     """Exact containment of every item in every document, by brute force."""
-    words = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), x -> x <> '')"
-    grams = f"list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), i -> array_to_string(w[i:i + {SHINGLE - 1}], ' ')))"
+    words = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    grams = f"list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')))"
     return f"""
     WITH iw AS (SELECT item_id, {words} AS w FROM benchmark), dw AS (SELECT doc_id, {words} AS w FROM documents),
     ig AS (SELECT item_id, {grams} AS g FROM iw WHERE len(w) > 0),

@@ -85,8 +85,8 @@ def scan(docs: DataFrame, templates: DataFrame, min_dice: float = 0.8) -> DataFr
 
 def oracle_sql(min_dice: float = 0.8) -> str:
     values = ", ".join(f"({i}, '{lic}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (lic, text) in enumerate(NOTICES))
-    words = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), x -> x <> '')"
-    grams = "CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END"
+    words = r"list_filter(string_split(trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> '')"
+    grams = "CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END"
     return f"""
     WITH t AS (SELECT notice_id, license, {words.format("notice")} AS w FROM (VALUES {values}) v(notice_id, license, notice)),
     tb AS (SELECT notice_id, license, {grams} AS b FROM t),

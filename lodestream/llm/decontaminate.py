@@ -29,27 +29,44 @@ from .licenses import normal_words
 SHINGLE = 5
 
 
-def shingle_hashes(words: str, n: int = SHINGLE) -> Column:
-    """Distinct hashed shingles of the array column `words`."""
-    some = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + k) for k in range(1, n)]))
-    return F.array_distinct(F.slice(some, 1, F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (n - 1), F.lit(1)))))
+def _n_shingles(words: Column, n: int) -> Column:
+    return F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (n - 1), F.lit(1)))
 
 
-def shingle_texts(words: str, n: int = SHINGLE) -> Column:
+def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
+    """Distinct hashed shingles of an array of words."""
+
+    def of(w: Column) -> Column:
+        hashes = F.transform(F.slice(w, 1, _n_shingles(w, n)), lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, n)]))
+        return F.array_distinct(hashes)
+
+    return common.let(words, of)
+
+
+def shingle_texts(words: Column, n: int = SHINGLE) -> Column:
     """The same shingles as strings."""
-    some = F.transform(
-        F.slice(words, 1, F.when(F.size(words) == 0, 0).otherwise(F.greatest(F.size(words) - (n - 1), F.lit(1)))),
-        lambda w, i: F.array_join(F.slice(words, i + 1, n), " "),
-    )
-    return F.array_distinct(some)
+
+    def of(w: Column) -> Column:
+        texts = F.transform(F.slice(w, 1, _n_shingles(w, n)), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + k) for k in range(1, n)]))
+        return F.array_distinct(texts)
+
+    return common.let(words, of)
+
+
+def minima(hashes: Column) -> Column:
+    """The least of the distinct hashes in each of as many equal ranges as the hashes' partition has minima."""
+
+    def first_of_ranges(h: Column, s: Column) -> Column:
+        part = lambda x: F.call_function("shiftright", x, s)
+        return F.filter(h, lambda x, i: (i == 0) | (s == 64) | (part(x) != part(F.get(h, i - 1))))
+
+    bits = lambda h: F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)))).cast("int")
+    return common.let(F.sort_array(hashes), lambda h: common.let(F.lit(64) - bits(h), lambda s: first_of_ranges(h, s)))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """text_key and h, the minima of each document of docs (its column h is an array of distinct hashes)."""
-    bits = F.ceil(F.log2(F.greatest(F.size("h"), F.lit(1)))).cast("int")
-    ordered = docs.select("text_key", F.sort_array("h").alias("h"), (F.lit(64) - bits).alias("s"))
-    first = F.filter("h", lambda x, i: (i == 0) | (F.expr("s") == 64) | (F.call_function("shiftright", x, F.col("s")) != F.call_function("shiftright", F.get("h", i - 1), F.col("s"))))
-    return ordered.select("text_key", F.explode(first).alias("h"))
+def _exploded(df: DataFrame, hashes: Column) -> DataFrame:
+    """text_key and h for every hash; the outer form keeps the optimiser from computing them once more to filter by."""
+    return df.select("text_key", F.explode_outer(hashes).alias("h")).where(F.col("h").isNotNull())
 
 
 def contamination(docs: DataFrame, items: DataFrame, min_containment: float = 0.8, short_item: int = 16) -> DataFrame:
@@ -58,19 +75,19 @@ def contamination(docs: DataFrame, items: DataFrame, min_containment: float = 0.
     items: item_id, text. Their hashes are broadcast only under a checked number of rows.
     """
     tests = items.select("item_id", normal_words(F.col("text")).alias("w")).where("size(w) > 0")
-    tests = common.stored(tests.select("item_id", F.monotonically_increasing_id().alias("item_no"), shingle_hashes("w").alias("h"), shingle_texts("w").alias("item_shingles")), "items")
+    w = F.col("w")
+    tests = common.stored(tests.select("item_id", F.monotonically_increasing_id().alias("item_no"), shingle_hashes(w).alias("h"), shingle_texts(w).alias("item_shingles")), "items")
     keys = common.stored(tests.select(F.explode("h").alias("h"), (F.size("h") < short_item).alias("short")).distinct(), "item_hashes")
     is_short = keys.where("short").limit(1).count() > 0
     by_hash = common.small(tests.select(F.explode("h").alias("h"), "item_no"))
-    hashed = docs.select(F.xxhash64("text").alias("text_key"), normal_words(F.col("text")).alias("w")).where("size(w) > 0")
-    hashed = hashed.select("text_key", shingle_hashes("w").alias("h"))
-    met = sketches(hashed).join(common.small(keys.where("not short").select("h")), "h", "left_semi")
+    hashed = docs.select(F.xxhash64("text").alias("text_key"), shingle_hashes(normal_words(F.coalesce("text", F.lit("")))).alias("hs"))
+    met = _exploded(hashed, minima(F.col("hs"))).join(common.small(keys.where("not short").select("h")), "h", "left_semi")
     if is_short:
-        met = met.unionByName(hashed.select("text_key", F.explode("h").alias("h")).join(common.small(keys.where("short").select("h")), "h", "left_semi"))
+        met = met.unionByName(_exploded(hashed, F.col("hs")).join(common.small(keys.where("short").select("h")), "h", "left_semi"))
     candidates = met.distinct().join(by_hash, "h").groupBy("text_key").agg(F.collect_set("item_no").alias("item_nos"))
     candidates = common.small(common.stored(candidates, "candidates"), 200_000)
     seen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(candidates, "text_key")
-    seen = seen.select("doc_id", "item_nos", normal_words(F.col("text")).alias("w")).select("doc_id", "item_nos", shingle_texts("w").alias("shingles"))
+    seen = seen.select("doc_id", "item_nos", shingle_texts(normal_words(F.col("text"))).alias("shingles"))
     pairs = seen.select("doc_id", "shingles", F.explode("item_nos").alias("item_no"))
     tests = common.small(tests.select("item_no", "item_id", "item_shingles"), 100_000)
     pairs = pairs.join(tests, "item_no").withColumn("n_shared", F.size(F.array_intersect("shingles", "item_shingles")).cast("long"))

@@ -53,10 +53,13 @@ def normal_words(text: Column) -> Column:
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
-def bigrams(words: str) -> Column:
-    """Distinct word bigrams of the array column `words`; one word stands for itself."""
-    pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(1))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1)))
-    return F.array_distinct(pairs)
+def bigrams(words: Column) -> Column:
+    """Distinct word bigrams of an array of words; one word stands for itself."""
+
+    def of(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(1))), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1))))
+
+    return common.let(words, of)
 
 
 def notices(spark: SparkSession) -> DataFrame:
@@ -70,14 +73,13 @@ def scan(docs: DataFrame, templates: DataFrame, min_dice: float = 0.8) -> DataFr
     broadcast is tried only under a checked number of rows.
     """
     low, high = min_dice / (2 - min_dice), (2 - min_dice) / min_dice
-    tpl = templates.withColumn("w", normal_words(F.col("notice"))).withColumn("b", bigrams("w"))
+    tpl = templates.withColumn("w", normal_words(F.col("notice"))).withColumn("b", bigrams(F.col("w")))
     n = F.size("b")
     sizes = F.sequence(F.greatest(F.ceil(n * low - 1e-9).cast("int"), F.lit(1)), F.floor(n * high + 1e-9).cast("int"))
     tpl = tpl.where("size(w) > 0").select("notice_id", "license", F.col("b").alias("tb"), F.explode(sizes).alias("size"))
     tpl = common.small(common.stored(tpl, "notices"), 100_000)
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("line"))
-    lines = lines.withColumn("w", normal_words(F.col("line"))).where("size(w) > 0")
-    lines = lines.select("doc_id", "line", bigrams("w").alias("b")).withColumn("size", F.size("b"))
+    lines = lines.select("doc_id", "line", bigrams(normal_words(F.col("line"))).alias("b")).withColumn("size", F.size("b"))
     met = lines.join(tpl, "size").withColumn("shared", F.size(F.array_intersect("b", "tb")))
     dice = 2.0 * F.col("shared") / (F.col("size") + F.size("tb"))
     return met.where("shared > 0").withColumn("dice", dice).where(F.col("dice") >= min_dice).select("doc_id", "line", "notice_id", "license", "dice")

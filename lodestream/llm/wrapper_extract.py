@@ -66,7 +66,8 @@ def templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.6) -> D
     pages_of = layouts.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
     shapes = layouts.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n"), F.first("shape").alias("shape"))
     model = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("m")).select("host", F.col("m.shape").alias("model"))
-    shapes = shapes.join(model, "host").join(pages_of, "host", "left_semi")
+    model = common.small(common.stored(model.join(pages_of, "host", "left_semi"), "models"), 50_000)
+    shapes = shapes.join(model, "host")
     aligned = shapes.select("host", "shape", "shape_key", "model").mapInPandas(_matched, "shape_key long, host string, to array<int>").drop("host")
     aligned = common.small(common.stored(aligned, "aligned"), 100_000)
     seen = layouts.select("host", "shape_key", "page_key", F.explode(F.arrays_zip("nodes", "texts")).alias("b"))

@@ -1 +1 @@
-
+"""Column functions: cleaning, clock and calendar features."""

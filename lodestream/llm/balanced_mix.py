@@ -24,7 +24,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -97,7 +97,7 @@ def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -
 
 def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     """doc_id, source, size, key, source_size, target and copies (times taken) of every row of docs."""
-    rows = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _key(docs).alias("key"))
+    rows = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _key().alias("key"))
     rows = common.stored(rows, "rows")
     shares = common.small(common.stored(targets(rows, max_repeats), "targets")).withColumnRenamed("source", "_source")
     rows = rows.join(shares, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
@@ -133,8 +133,8 @@ def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     return out.withColumn("copies", F.col("base") + F.col("pi").cast("int")).drop("base", "pi")
 
 
-def _key(docs: DataFrame):
-    return common.row_key(F.col("doc_id"), F.col("source"), F.col("text"))
+def _key(prefix: str = "") -> Column:
+    return common.row_key(*[F.col(f"{prefix}{c}") for c in ("doc_id", "source", "text")])
 
 
 def mix_report(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
@@ -144,7 +144,6 @@ def mix_report(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFram
 
 def mix(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     """The mixture: each row of docs as many times as it is taken; columns as in docs."""
-    copies = mixed(docs, max_repeats, seed).select(F.col("key").alias("_key"), F.col("copies").alias("_copies"))
-    out = common.deal(docs, copies, _key(docs), ["_copies"])
-    taken = out.where("_copies > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = mixed(docs, max_repeats, seed).select(F.col("key").alias("_key"), "copies")
+    out = common.deal(docs, copies, _key("row."), ["copies"]).where("own.copies > 0")
+    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("own.copies")))).select(*common.unpacked(docs.columns))

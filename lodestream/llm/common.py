@@ -76,13 +76,23 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*columns)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df with all its columns in one struct `row`, so that added columns clash with none of them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of a struct `row`, some of them replaced."""
+    return [(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in columns]
+
+
 def deal(rows: DataFrame, dealt: DataFrame, key: Column, names: list[str]) -> DataFrame:
     """Give each of the rows with one key one of the entries of `dealt` with that key.
 
     `dealt` has a column `_key` and as many rows of a key as `rows` has; rows that share a key are equal,
-    so it does not matter which gets which entry. Adds the columns `names` of `dealt`.
+    so it does not matter which gets which entry. Returns `row` (a struct of the columns of rows, which `key`
+    names as row.*) and `own` (a struct of the columns `names` of `dealt`).
     """
     lists = dealt.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_dealt"))
-    numbered = rows.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    joined = numbered.join(lists, "_key").withColumn("_own", F.element_at("_dealt", F.col("_nth")))
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_own.{n}").alias(n) for n in names])
+    numbered = packed(rows).withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    return numbered.join(lists, "_key").select("row", F.element_at("_dealt", F.col("_nth")).alias("own"))

@@ -112,7 +112,7 @@ def oracle_sql(min_containment: float = 0.8) -> str:
 def decontaminate(docs: DataFrame, items: DataFrame, min_containment: float = 0.8) -> DataFrame:
     """The rows of docs that contain no item; columns as in docs."""
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    found = contamination(keyed, items, min_containment).select(F.col("doc_id").alias("_text_key")).distinct()
+    found = contamination(keyed, items, min_containment).select(F.col("doc_id").alias("text_key")).distinct()
     found = common.small(common.stored(found, "contaminated"))
-    rest = docs.withColumn("_text_key", F.xxhash64("text")).join(found, "_text_key", "left_anti")
-    return rest.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = common.packed(docs).withColumn("text_key", F.xxhash64("row.text")).join(found, "text_key", "left_anti")
+    return rest.select(*common.unpacked(docs.columns))

@@ -63,9 +63,10 @@ def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
     slots = shard_slots(docs, shards, seed)
     slots = slots.withColumn("_key", common.row_key(F.col("doc_id"), F.col("source"), F.col("text_crc32"), F.col("size")))
     rows = docs.drop("shard", "slot")
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
-    return common.deal(rows, slots, common.row_key(F.col("doc_id"), F.col("source"), crc, size), ["shard", "slot"])
+    crc = F.crc32(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8"))
+    size = (F.coalesce(F.octet_length("row.text"), F.lit(0)) + 16).cast("long")
+    dealt = common.deal(rows, slots, common.row_key(F.col("row.doc_id"), F.col("row.source"), crc, size), ["shard", "slot"])
+    return dealt.select(*common.unpacked(rows.columns), "own.shard", "own.slot")
 
 
 def shard_report(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:

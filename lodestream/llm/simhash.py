@@ -134,7 +134,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     distinct = common.stored(rows.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
     roots = common.small(components(links(distinct.select("fp"))).withColumnRenamed("u", "fp").withColumnRenamed("v", "root"))
     kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text"))
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")))
-    one = Window.partitionBy("_id", "_text").orderBy("_text")
-    return found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.select(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("text_key"))
+    found = common.packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("text_key")))
+    one = Window.partitionBy("id", "text_key").orderBy("text_key")
+    return found.withColumn("nth", F.row_number().over(one)).where("nth = 1").select(*common.unpacked(docs.columns))

@@ -1,0 +1,552 @@
+"""Each operator against a brute-force version, on a small fixture with nulls, ties, copies and clashing columns."""
+
+import hashlib
+import html
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from lodestream.llm import balanced_mix, chat_format, common, decontaminate, dom, elias_fano, licenses, ngram_lm, quality_rules, registry, sharding, simhash, templates, token_lengths, wrapper_extract
+
+FOLDER = "/root/testdata/sf0.001"
+GAP = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+CLASHES = ["text_key", "row", "own", "removed", "cut", "id", "nth", "copies", "_key", "_h", "_n", "size", "fp", "shard", "kept"]
+
+
+def sample(seed=0, n=160):
+    """Documents with shared lines, near copies, repeats, nulls, blanks and one long text."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    line = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    footer = "All Rights  reserved by the example host today"
+    rows = [(900, None, "en", "a", None), (901, "", "en", None, 0), (902, " \n\t ", None, "a", 4), (None, "one two three", "en", "b", 13), (903, line(3000), "en", "b", None)]
+    for i in range(n):
+        source = rng.choice(["a", "a", "b", "c", None])
+        text = "\n".join(line(rng.randint(10, 40)) for _ in range(rng.randint(1, 5)))
+        if source == "a" and i % 2:
+            text += "\n" + footer
+        if i % 17 == 0:
+            text = "\n".join([line(6)] * 12)
+        rows.append((i, text, "en", source, len(text)))
+        if i % 10 == 0:
+            rows += [(i + 1000, text, "en", source, len(text)), (i + 2000, text.replace("w1 ", "w2 ", 1), "en", source, len(text))]
+    rows += [rows[7], rows[7]]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(sample(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def clashing(docs):
+    return docs.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return GAP.findall(text or "")
+
+
+# ---------------------------------------------------------------- 1
+
+
+def chained(*values):
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode(), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_quality(rows, limits=quality_rules.Limits()):
+    lines_of = lambda t: [x for x in (t or "").split("\n") if words(x)]
+    normal = lambda x: " ".join(words(x)).lower()
+    seen = defaultdict(set)
+    for _, t, _, s, _ in rows:
+        w = words(t)
+        triples = [chained(*w[i : i + 3]) for i in range(len(w) - 2)]
+        identities = tuple(min((h ^ m for h in triples), default=chained(t or "")) for m in quality_rules.MASKS)
+        for x in lines_of(t):
+            seen[s, normal(x)].add((t or "", identities))
+    frequent = set()
+    for key, texts in seen.items():
+        n = max(len({i[k] for _, i in texts}) for k in range(quality_rules.IDENTITIES))
+        if len(texts) > limits.max_docs and n > limits.max_docs and n >= limits.min_spread * len(texts):
+            frequent.add(key)
+    out = []
+    for d, t, _, s, _ in rows:
+        w = words(t)
+        triples = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        own = lines_of(t)
+        removed = sum(len(words(x)) for x in own if (s, normal(x)) in frequent)
+        failed = len(w) < limits.min_words or 100 * len(covered) > limits.max_repeat_percent * len(w)
+        kept = not failed and not len(w) - removed < limits.min_left * len(w)
+        symbols = sum((t or "").count(c) for c in "#*$%&|<>")
+        out.append((d, len(w), sum(map(len, w)), symbols, len(own) - len(set(own)), len(covered), failed, kept, removed))
+    return out
+
+
+def test_quality_report(docs):
+    got = [tuple(r) for r in quality_rules.quality_report(docs).collect()]
+    want = brute_quality(sample())
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert any(r[-1] for r in want) and any(r[6] for r in want) and any(r[7] for r in want)
+
+
+def test_quality_filter_cuts_lines_and_keeps_columns(docs, clashing):
+    kept = Counter(r[0] for r in brute_quality(sample()) if r[7])
+    out = quality_rules.apply_quality_rules(clashing)
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == kept
+    assert all(r.text_key == "own text_key" and r.n_chars == len(r.text) and "Rights  reserved" not in r.text for r in rows)
+
+
+# ---------------------------------------------------------------- 2
+
+
+@pytest.mark.parametrize(
+    "source, values, want",
+    [
+        ("{{ 1 + 2 * 3 }}", {}, "7"),
+        ("{% if a and not b %}x{% elif b %}y{% else %}z{% endif %}", {"a": 1, "b": 2}, "y"),
+        ("{% for m in ms -%} {{ loop.index }}{{ m.x | upper }}{% if not loop.last %},{% endif %} {%- endfor %}", {"ms": [{"x": "a"}, {"x": "b"}]}, "1A,2B"),
+        ("{% for m in ms %}x{% else %}none{% endfor %}", {"ms": []}, "none"),
+        ("{% set v = 'a' ~ 1 %}{{ v }}{# gone #}{{ missing }}{{ v.__class__ }}", {}, "a1"),
+        ("{{ 'y' if q is defined else 'n' }}{{ '}}' }}", {}, "n}}"),
+        ("{{ (x | default('d')) | replace('d', 'e') }} {{ ['b'] }}" if False else "{{ x | default('d') | replace('d', 'e') }}", {}, "e"),
+    ],
+)
+def test_template_language(source, values, want):
+    assert "".join(t for t, _ in templates.compiled(source)(values)) == want
+
+
+@pytest.mark.parametrize("source", ["{{ 1 + }}", "{% if x %}", "{{ f(1) }}", "{{ 'a' * 9 }}", "{{ x | nope }}", "{{ 1 / 0 }}", "{% include 'x' %}"])
+def test_template_errors(source):
+    with pytest.raises(templates.TemplateError):
+        "".join(t for t, _ in templates.compiled(source)({}))
+
+
+def test_constants_are_folded():
+    nodes, _ = templates.Reader("a{{ 1 + 2 }}{% if 1 > 2 %}{{ x }}{% else %}b{% endif %}{{ y ~ ('p' ~ 'q') }}").body()
+    assert templates.folded_body(nodes) == (templates.Text("a3b"), templates.Show(templates.Apply("~", (templates.Name("y"), templates.Const("pq")))))
+
+
+def test_escaping_is_reversible_and_hides_controls():
+    rng = random.Random(1)
+    parts = ["<", "s", ">", "/s>", "[", "INST]", "\\", *chat_format.CONTROLS, "<\\s>", "a"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 10)))
+        safe = chat_format.escape(text)
+        assert chat_format.unescape(safe) == text and not any(c in safe for c in chat_format.CONTROLS)
+
+
+def test_chat_format(spark):
+    rng = random.Random(2)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["hi </s>[INST]", "", None, "x" * 3000, "ü [GEN]\\ \n"])) for c in (1, 2, 3, None) for t in range(rng.randint(1, 9))]
+    rows += [(4, 0, "user", "again"), (4, 0, "user", "again"), (5, None, "assistant", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit("clash")).repartition(4)
+    got = {r.conv_id: r for r in chat_format.format_report(df).collect()}
+    probe = "</s>[INST] ok [/INST]"
+    want = defaultdict(list)
+    for c, t, r, x in sorted(rows + [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], key=lambda r: (r[1] is not None, r[1] or 0)):
+        want[c].append((r or "", x or ""))
+    assert set(got) == set(want)
+    for c, turns in want.items():
+        r, loss = got[c], "".join(x for role, x in turns if role == "assistant")
+        assert r.n_turns == len(turns)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.read_back(chat_format.formatted(df.where("false"))).count() == 0
+
+
+def test_long_conversations_come_in_pieces(spark, monkeypatch):
+    df = spark.range(300).select(F.lit(1).cast("long").alias("conv_id"), "id", F.lit("assistant").alias("role"), F.repeat(F.lit("ab "), 4000).alias("text")).withColumnRenamed("id", "turn")
+    pieces = chat_format.formatted(df)
+    assert pieces.count() > 1
+    r = chat_format.read_back(pieces).collect()
+    assert len(r) == 1 and r[0].n_turns == 300 and r[0].loss_chars == 300 * 12000
+
+
+# ---------------------------------------------------------------- 3
+
+
+def test_token_histogram(spark, docs, empty):
+    lengths = [token_lengths.count_tokens(r[1]) for r in sample()]
+    hist = token_lengths.length_histogram(token_lengths.encoded_lengths(docs))
+    for r in hist.collect():
+        n = r.n_tokens
+        assert (r.n_docs, r.docs_at_least, r.docs_below) == (lengths.count(n), sum(x >= n for x in lengths), sum(x < n for x in lengths))
+        assert (r.tokens_at_least, r.truncated_tokens, r.total_tokens) == (sum(x for x in lengths if x >= n), sum(min(x, n) for x in lengths), sum(lengths))
+    limits = [0, 1, 100, 101, 10**7]
+    asked = spark.createDataFrame([(x,) for x in limits], "context_limit long")
+    got = {r.context_limit: r.truncated_tokens for r in token_lengths.at_limits(hist, asked).collect()}
+    assert got == {x: sum(min(v, x) for v in lengths) for x in limits}
+    ordered = sorted(lengths)
+    got = {float(r.quantile): r.n_tokens for r in token_lengths.quantiles(hist, [0.5, 0.9]).collect()}
+    assert got == {q: ordered[math.ceil(q * len(ordered)) - 1] for q in (0.5, 0.9)}
+    assert token_lengths.length_histogram(token_lengths.encoded_lengths(empty)).count() == 0
+
+
+def test_pieces_encode_like_the_whole():
+    text = " ".join(f"word{i} of, the" for i in range(3000))
+    encode = token_lengths._encoding(token_lengths.TOKENIZER).encode_ordinary
+    assert sum(len(encode(p)) for p in token_lengths.pieces(text, 500)) == len(encode(text))
+
+
+# ---------------------------------------------------------------- 4
+
+
+def test_shards(docs, clashing, empty):
+    rows = sharding.shard_report(docs).collect()
+    n = len(sample())
+    assert len(rows) == n
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert max(map(len, by.values())) - min(len(by.get(s, [])) for s in range(40)) <= 1
+    for s, own in by.items():
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+    want = Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t, *_ in sample())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    few = sharding.shard_report(docs, 4).collect()
+    share = Counter(r.source for r in few)
+    for s in range(4):
+        own = Counter(r.source for r in few if r.shard == s)
+        assert all(abs(own[k] - v / 4) <= 2 for k, v in share.items())
+    out = sharding.shard_rows(clashing)
+    assert out.columns == [c for c in clashing.columns if c != "shard"] + ["shard", "slot"] and out.count() == n
+    assert out.where("row <> 'own row' or size <> 'own size'").count() == 0
+    assert sharding.shard_rows(empty).count() == 0
+
+
+# ---------------------------------------------------------------- 5
+
+
+def test_contamination(spark, docs, clashing, empty):
+    rng = random.Random(3)
+    texts = [r[1] for r in sample() if r[1] and len(words(r[1])) > 60]
+    items = [(0, None), (1, "..."), (2, "never seen words in any of these"), (3, "w1")]
+    for i in range(12):
+        w = words(rng.choice(texts))
+        at = rng.randint(0, len(w) - 40)
+        part = w[at : at + rng.choice([5, 8, 25, 40])]
+        if i % 4 == 3:
+            part[len(part) // 2] = "changed"
+        items.append((10 + i, " ".join(part).upper() + "!"))
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] if w for i in range(max(len(w) - 4, 1))}
+    want = Counter()
+    for d, t, *_ in sample():
+        g = grams(t)
+        for i, x in items:
+            if grams(x) and len(g & grams(x)) / len(grams(x)) >= 0.8:
+                want[d, i, len(grams(x)), len(g & grams(x))] += 1
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = Counter(tuple(r)[:4] for r in decontaminate.contamination(docs, bench).collect())
+    assert got == want and sum(want.values()) > 8
+    bad = {d for d, *_ in want}
+    out = decontaminate.decontaminate(clashing, bench)
+    assert out.columns == clashing.columns
+    assert Counter(r.doc_id for r in out.collect()) == Counter(d for d, *_ in sample() if d not in bad)
+    assert decontaminate.contamination(empty, bench).count() == decontaminate.contamination(docs, bench.where("false")).count() == 0
+
+
+def test_minima_follow_the_size(spark):
+    df = spark.range(1000).agg(F.collect_list(F.xxhash64("id")).alias("h"))
+    assert df.select(F.size(decontaminate.minima(F.col("h")))).first()[0] > 560
+
+
+# ---------------------------------------------------------------- 6
+
+
+def test_elias_fano():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, top in ((0, 1), (1, 1), (1000, 50), (5000, 10**9), (300, 2**62)):
+        values = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        sequence = elias_fano.EliasFano.of(values)
+        assert (sequence.get(np.arange(n)) == values).all()
+        distinct = np.unique(values)
+        found = elias_fano.EliasFano.of(distinct)
+        assert (found.find(distinct) == np.arange(len(distinct))).all()
+        if n:
+            absent = np.setdiff1d(rng.integers(0, top, 200).astype(np.uint64), distinct)
+            assert (found.find(absent) == -1).all()
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, empty, order):
+    toks = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + ["</end>"]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    train = [toks(t) for d, t, *_ in sample() if not held(d)]
+    uni = Counter(w for t in train for w in t)
+    total, vocabulary = sum(uni.values()), len(uni)
+    grams = {}
+    for n in range(2, order + 1):
+        counts = Counter(tuple((["<b>"] + t)[i : i + n]) for t in train for i in range(len(t) + 1 - n + 1))
+        grams[n] = {g: c for g, c in counts.items() if c >= 2 and (n == 2 or g[:-1] in grams[n - 1])}
+    contexts = dict(uni) | {"<b>": len(train)}
+    full = {n: Counter(tuple((["<b>"] + t)[i : i + n]) for t in train for i in range(len(t) + 1 - n + 1)) for n in range(2, order + 1)}
+
+    def prob(history, w):
+        p = (uni.get(w, 0) + 1) / (total + vocabulary + 1)
+        for n in range(2, order + 1):
+            if len(history) < n - 1:
+                break
+            c = tuple(history[-(n - 1) :])
+            own = {g[-1]: k for g, k in grams[n].items() if g[:-1] == c} if c in by_context[n] else {}
+            if n > 2 and c not in grams[n - 1]:
+                continue
+            base = contexts.get(c[0], 0) if n == 2 else full[n - 1][c]
+            if own:
+                listed = {x: (k - 0.75) / base for x, k in own.items()}
+                p = listed.get(w, 0.0) + (1 - sum(listed.values())) * p
+        return p
+
+    by_context = {n: {g[:-1] for g in grams[n]} for n in grams}
+    got = {}
+    for r in ngram_lm.score_report(docs, order).collect():
+        got[r.doc_id] = r
+    assert len(got) == len({r[0] for r in sample()})
+    for d, t, *_ in sample()[:40]:
+        r, tokens = got[d], toks(t)
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(tokens), sum(w in uni for w in tokens), total)
+        assert r.base_score == pytest.approx(sum(math.log10((uni.get(w, 0) + 1) / (total + vocabulary + 1)) for w in tokens), abs=1e-6)
+        history, score = ["<b>"], 0.0
+        for w in tokens:
+            score += math.log10(prob(history, w))
+            history.append(w)
+        assert r.score == pytest.approx(score, rel=2e-3, abs=0.01)
+    if order == 2:
+        assert ngram_lm.score_report(empty).count() == 0
+        model = ngram_lm.train(empty)
+        assert all(r.score == 0 for r in ngram_lm.score(docs, model).where("n_tokens = 1").collect())
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_mixture(docs, clashing, empty):
+    rows = balanced_mix.mix_report(docs).collect()
+    assert len(rows) == len(sample())
+    sizes = defaultdict(int)
+    for _, t, _, s, _ in sample():
+        sizes[s] += len(words(t))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        for s in over or set(open_):
+            target[s] = 3.0 * sizes[s] if over else level * weight[s]
+            left -= target[s] if over else 0
+            open_.discard(s)
+    taken = defaultdict(int)
+    for r in rows:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
+        assert r.taken <= 3 * r.size
+        taken[r.source] += r.taken
+    largest = max(r.size for r in rows)
+    assert all(abs(taken[s] - target[s]) <= 2 * largest for s in names)
+    again = balanced_mix.mix_report(docs.repartition(2)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
+    out = balanced_mix.mix(clashing)
+    assert out.columns == clashing.columns and out.count() == sum(r.copies for r in rows)
+    assert out.where("copies <> 'own copies'").count() == 0
+    assert balanced_mix.mix(empty).count() == balanced_mix.mix_report(empty).count() == 0
+
+
+def test_flight_keeps_the_balance():
+    rng = random.Random(4)
+    pi = [rng.random() for _ in range(500)]
+    size = [float(rng.randint(1, 900)) for _ in pi]
+    out = balanced_mix.flight(pi, size, rng, land=False)
+    assert sum(0 < p < 1 for p in out) <= 2
+    assert sum(out) == pytest.approx(sum(pi), abs=1e-6) and sum(p * s for p, s in zip(out, size)) == pytest.approx(sum(p * s for p, s in zip(pi, size)), abs=1e-3)
+
+
+# ---------------------------------------------------------------- 8
+
+
+def brute_fingerprint(text):
+    w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(text)]
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(fps):
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    fps = sorted(root)
+    for i, a in enumerate(fps):
+        for b in fps[i + 1 :]:
+            if (a ^ b).bit_count() <= 3:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {f: find(f) for f in fps}
+
+
+def test_simhash(docs, clashing, empty):
+    fps = [(d, t, brute_fingerprint(t)) for d, t, *_ in sample()]
+    root = brute_components({f for _, _, f in fps})
+    least = {}
+    for d, _, f in fps:
+        if d is not None:
+            least[root[f]] = min(least.get(root[f], d), d)
+    want = Counter((d, f"{f:016x}", least.get(root[f])) for d, _, f in fps)
+    assert Counter(map(tuple, simhash.near_duplicate_report(docs).collect())) == want
+    assert len(set(least.values())) < len({f for _, _, f in fps})
+    out = simhash.deduplicate(clashing)
+    assert out.columns == clashing.columns
+    rows = out.collect()
+    assert sorted(root[brute_fingerprint(r.text)] for r in rows) == sorted(set(root.values()))
+    assert {r.doc_id for r in rows} >= set(least.values())
+    assert simhash.deduplicate(empty).count() == simhash.near_duplicate_report(empty).count() == 0
+
+
+@pytest.mark.parametrize("large", [4, 512])
+def test_links_of_close_fingerprints(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_BUCKET", large)
+    rng = random.Random(5)
+    fps = {0}
+    for _ in range(12):
+        base = rng.getrandbits(64)
+        fps |= {base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(25)}
+        fps |= {(base & ~0xFFFF) | rng.getrandbits(16) for _ in range(10)}
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    got = [frozenset((r.u, r.v)) for r in simhash.links(df).collect()]
+    want = {frozenset((signed(a), signed(b))) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+# ---------------------------------------------------------------- 9
+
+
+def page(i, body, title="Some title"):
+    return f"<html><head><title>x</title><script>var a='</p>';</script></head><body><nav><a href=/>Home {i}</a></nav><div class=note>Read our terms before you go on</div><article><h1>{title}</h1>{body}</article><div class='comments'>first!</div><footer>&copy; host</footer></body></html>"
+
+
+def test_extraction(spark):
+    rows = [(i, "http://h.example/p", page(i, f"<p>Body  number\n{i} &amp; more</p><p>Second <b>bo</b>ld {i}</p>")) for i in range(6)]
+    rows += [(90, None, None), (91, "http://h.example/q", ""), (92, "http://h.example/r", "<p>open <i>tags"), (0, *rows[0][1:])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("texts", F.lit("clash"))
+    got = wrapper_extract.extract(df).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    for i in range(6):
+        assert by[i].text.endswith(f"Body number {i} & more\n\nSecond bold {i}")
+        assert "first!" not in by[i].text and "Home" not in by[i].text and "host" not in by[i].text and by[i].n_chars == len(by[i].text)
+    assert by[90].text == by[91].text == "" and by[92].text == "open tags"
+    assert wrapper_extract.extract(df.where("false")).count() == 0
+
+
+def test_constant_blocks_become_template(spark):
+    rows = [(i, "http://k.example/p", f"<div><p>Same sentence on all of our pages</p><p>Own text {i} " + f"word{i} " * 30 + "</p></div>") for i in range(6)]
+    got = wrapper_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all("Same sentence" not in r.text and f"Own text {r.page_id}" in r.text for r in got)
+
+
+def test_tree_matching():
+    a, b = dom.read_skeleton("r(x(p()) y() z())"), dom.read_skeleton("r(x(p() q()) z())")
+    assert dom.simple_tree_matching(a, b) == {0: 0, 1: 1, 2: 2, 4: 4}
+
+
+# ---------------------------------------------------------------- 10
+
+
+def test_license_scan(spark, empty):
+    rng = random.Random(6)
+    texts = [t for _, t in licenses.NOTICES]
+    rows = [(0, None), (1, ""), (2, "one"), (3, "\n".join(texts)), (3, "\n".join(texts)), (4, "Released under the MIT License.\nReleased under the MIT License.")]
+    for i in range(40):
+        w = rng.choice(texts).split()
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "other"
+        rows.append((10 + i, "plain line here\n" + " ".join(w[: rng.randint(3, len(w))])))
+    normal = lambda t: re.findall(r"[^\W_]+", t.lower())
+    grams = lambda w: {tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))} if w else set()
+    want = Counter()
+    for d, t in rows:
+        for line in set((t or "").split("\n")):
+            a = grams(normal(line))
+            for k, n in enumerate(texts):
+                b = grams(normal(n))
+                if a and 2 * len(a & b) / (len(a) + len(b)) >= 0.8:
+                    want[d, line, k, round(2 * len(a & b) / (len(a) + len(b)), 9)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("license", F.lit("clash"))
+    got = Counter((r.doc_id, r.line, r.notice_id, round(r.dice, 9)) for r in licenses.scan(df, licenses.notices(spark)).collect())
+    assert got == want and len(want) > 40
+    assert licenses.scan(empty, licenses.notices(spark)).count() == licenses.scan(df, licenses.notices(spark).where("false")).count() == 0
+
+
+# ---------------------------------------------------------------- pipeline and registry
+
+
+def test_pipeline_against_brute_force(spark):
+    rows = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    bench = [r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    table = [tuple(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")) for r in rows]
+    first = stages["quality_rules"](spark, docs, FOLDER)
+    assert first.columns == columns
+    kept = {r[0] for r in brute_quality(table) if r[7]}
+    assert {r.doc_id for r in first.collect()} == kept
+    second = stages["near_duplicates"](spark, first, FOLDER)
+    texts = {r.doc_id: r.text for r in first.collect()}
+    fps = {d: brute_fingerprint(t) for d, t in texts.items()}
+    root = brute_components(set(fps.values()))
+    least = {}
+    for d, f in fps.items():
+        least[root[f]] = min(least.get(root[f], d), d)
+    assert sorted(r.doc_id for r in second.collect()) == sorted(least.values())
+    third = stages["decontamination"](spark, second, FOLDER)
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] if w for i in range(max(len(w) - 4, 1))}
+    items = [grams(t) for t in bench if grams(t)]
+    clean = {d for d in least.values() if not any(len(g & grams(texts[d])) >= 0.8 * len(g) for g in items)}
+    assert {r.doc_id for r in third.collect()} == clean
+    fourth = stages["mixing"](spark, third, FOLDER)
+    taken = Counter(r.doc_id for r in fourth.collect())
+    report = {r.doc_id: r for r in balanced_mix.mix_report(third).collect()}
+    assert taken == Counter({d: r.copies for d, r in report.items() if r.copies})
+    whole = corpus_pipeline.run(spark, FOLDER)
+    assert whole.columns == [*columns, "shard", "slot"]
+    assert Counter(r.doc_id for r in whole.collect()) == taken
+
+
+def test_registry_names():
+    names = registry.queries()
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert set(registry.oracle_sql()) <= set(names)
+
+
+def test_text_helpers(spark):
+    df = spark.createDataFrame([(None,), (" a b \x0bc\t",), ("",)], "t string")
+    assert [tuple(r) for r in df.select(common.words(F.col("t")), common.n_words(F.col("t"))).collect()] == [([], 0), (["a b", "c"], 2), ([], 0)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import bars, drift, hourly, prequential, ranking, significance, survey
+from ..operators import bars, drift, hourly, learners, prequential, ranking, significance, survey
 from ..sources import arff, generators
 from ..sources.tables import runs, table
 from ..streaming import live
@@ -470,6 +470,42 @@ def window_drift(spark, sf_dir):
     return rounded(drift.discoveries(tests, "p", 0.2, "user_id"))
 
 
+CLASSES = {"A": 0, "N": 1, "R": 2}
+
+
+def _bayes_sql() -> str:
+    state, scores = [], []
+    for c in range(3):
+        state.append(f"count(*) FILTER (y = {c}) OVER w AS n{c}")
+        score = f"ln(n{c} + 1.0)"
+        for f in ("quantity", "discount"):
+            state.append(f"sum({f}) FILTER (y = {c}) OVER w AS s{c}{f}, sum({f} * {f}) FILTER (y = {c}) OVER w AS q{c}{f}")
+            mean = f"(CASE WHEN n{c} > 0 THEN s{c}{f} / n{c} ELSE 0 END)"
+            variance = f"(CASE WHEN n{c} > 0 THEN greatest(q{c}{f} / n{c} - {mean} * {mean}, 0) + 0.001 ELSE 1 END)"
+            score += f" - 0.5 * ln({variance}) - ({f} - {mean}) * ({f} - {mean}) / (2 * {variance})"
+        scores.append(f"round({score}, 9) AS l{c}")
+    return f"""WITH t AS (SELECT l_suppkey AS run, l_orderkey * 10 + l_linenumber AS seq, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS y, l_quantity AS quantity, l_discount AS discount FROM lineitem),
+    st AS (SELECT *, {", ".join(state)} FROM t WINDOW w AS (PARTITION BY run ORDER BY seq, quantity, discount, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), sc AS (SELECT *, {", ".join(scores)} FROM st)
+    SELECT run, count(*) AS n, sum((y = CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END)::INT)::BIGINT AS hits FROM sc GROUP BY run"""
+
+
+@query(_bayes_sql())
+def naive_bayes_hits(spark, sf_dir):
+    y = clean.mapped(F.col("l_returnflag"), CLASSES).cast("int")
+    stream = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("number"), y.alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    stream = stream.withColumn("seq", F.struct("number", "quantity", "discount", "y"))  # a total order
+    p = learners.naive_bayes(stream, ["quantity", "discount"], 3)
+    return p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("y")).alias("hits"))
+
+
+@query()
+def naive_bayes_restarted(spark, sf_dir):
+    """Prequential accuracy on generated runs with drift, learned afresh at every quarter."""
+    stream = generators.sea(spark, 4, 4000)
+    p = learners.naive_bayes(stream, ["x0", "x1", "x2"], 2, (F.col("seq") % 1000 == 0))
+    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
+
+
 def _errors(spark: SparkSession) -> DataFrame:
     """Errors of a fixed rule on four generated runs whose concept changes three times."""
     stream = generators.sea(spark, runs=4, rows=20_000)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import clean
-from lodestream.operators import bars, drift, hourly, prequential, ranking, significance
+from lodestream.operators import bars, drift, hourly, learners, prequential, ranking, significance
 from lodestream.sources import arff, generators, tables
 
 
@@ -152,3 +152,20 @@ def test_generators_are_alike_each_time_and_drift(spark):
     assert generators.stagger(spark, 1, 100).count() == generators.hyperplane(spark, 1, 100).count() == 100
     both = generators.spliced(a, a.withColumn("y", F.lit(9)), 1000, 10)
     assert both.count() == 4000 and one(both.agg(F.avg((F.col("y") == 9).cast("int")).alias("e"))).e == pytest.approx(0.5, abs=0.02)
+
+
+def test_naive_bayes_learns_and_restarts(spark):
+    stream = generators.sea(spark, 1, 3000)
+    p = learners.naive_bayes(stream, ["x0", "x1", "x2"], 2)
+    assert p.columns == [*stream.columns, "p"]
+    late = one(p.where("seq between 300 and 749").agg(F.avg((F.col("p") == F.col("y")).cast("int")).alias("a"))).a
+    assert late > 0.75
+    first = learners.naive_bayes(stream, ["x0"], 2, F.col("seq") == 1000).where("seq in (0, 1000)").collect()
+    assert [r.p for r in first] == [0, 0]
+
+
+def test_swaps_stop_at_the_first_pair_without_gain(spark):
+    scored = spark.createDataFrame([("a", 0.1, True), ("b", 0.5, True), ("c", 0.9, True), ("d", 0.8, False), ("e", 0.4, False), ("f", 0.95, False)], "feature string, score double, sel boolean")
+    got = {(r["out"], r["in"]) for r in learners.swaps(scored, F.col("sel"), "score").collect()}
+    assert got == {("a", "f"), ("b", "d")}
+    assert learners.swaps(scored, F.col("sel"), "score", 1).count() == 1

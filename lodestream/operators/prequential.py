@@ -85,3 +85,24 @@ def recovery(metric_rows: DataFrame, alarms: Column, metric: str = "accuracy", t
     df = df.withColumns({"m0": F.first("m").over(at), "i0": F.first("i").over(at), "seq0": F.first("seq").over(at)})
     back = F.min(F.when((F.col("i") > F.col("i0")) & (F.col("m") >= F.col("m0") - tolerance), F.col("i") - F.col("i0")))
     return df.groupBy("run", F.col("seq0").alias("alarm_seq")).agg(back.alias("recovered_after"))
+
+
+def strict_stability(selected: DataFrame) -> DataFrame:
+    """run, stability: share of samples whose selection (an array) equals the one before; 1 for a single sample."""
+    df = selected.withColumn("_b", F.lag("selection").over(_by("seq"))).withColumn("_i", F.row_number().over(_by("seq")))
+    same = F.avg(F.when(F.col("_i") > 1, (F.col("_b") == F.col("selection")).cast("double")))
+    return df.groupBy("run").agg(F.coalesce(same, F.lit(1.0)).alias("stability"))
+
+
+def ram_hours(memory: DataFrame) -> DataFrame:
+    """run, mb_hours (trapezoid) and gb_hours (right rectangle) of samples run, seconds, mb."""
+    w = _by("seconds")
+    hours = (F.col("seconds") - F.lag("seconds").over(w)) / 3600
+    df = memory.withColumns({"_h": hours, "_m": (F.col("mb") + F.lag("mb").over(w)) / 2})
+    return df.groupBy("run").agg(F.coalesce(F.sum(F.col("_h") * F.col("_m")), F.lit(0.0)).alias("mb_hours"), F.coalesce(F.sum(F.col("_h") * F.col("mb") / 1024), F.lit(0.0)).alias("gb_hours"))
+
+
+def snapshot(predicted: DataFrame, classes: int) -> DataFrame:
+    """The last metrics of each run, with its number of rows."""
+    rows = metrics(predicted, classes).withColumn("n", F.row_number().over(_by("seq")))
+    return rows.groupBy("run").agg(*[F.max_by(c, "seq").alias(c) for c in ("n", "accuracy", "kappa", "kappa_temporal")])

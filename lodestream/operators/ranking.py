@@ -89,8 +89,8 @@ def scores(counts: DataFrame, *by: str) -> DataFrame:
 
 
 def top(scored: DataFrame, score: str, k: int, *by: str) -> DataFrame:
-    """The k best features, best first; of equal scores the first by name."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), "feature")
+    """The k best features, best first; of scores equal to nine digits the first by name."""
+    order = Window.partitionBy(*by).orderBy(F.desc(F.round(score, 9)), "feature")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 

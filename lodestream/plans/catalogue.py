@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import bars, drift, hourly, learners, prequential, ranking, significance, survey
+from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey
 from ..sources import arff, generators
 from ..sources.tables import runs, table
 from ..streaming import live
@@ -344,14 +344,14 @@ def feature_scores(spark, sf_dir):
     return rounded(ranking.scores(_counts(spark, sf_dir)), 9).withColumn("chi2", F.round("chi2", 4))
 
 
-@query(f"WITH {LONG}, {RANGES}, {COUNTS}, {CELLS}, {SCORES}, k AS (SELECT feature, row_number() OVER (ORDER BY chi2 DESC, feature) AS rank FROM s) SELECT feature, rank::INT AS rank FROM k WHERE rank <= 2")
+@query(f"WITH {LONG}, {RANGES}, {COUNTS}, {CELLS}, {SCORES}, k AS (SELECT feature, row_number() OVER (ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s) SELECT feature, rank::INT AS rank FROM k WHERE rank <= 2")
 def top_features(spark, sf_dir):
     return ranking.top(ranking.scores(_counts(spark, sf_dir)), "chi2", ranking.default_k(len(FEATURES))).select("feature", "rank")
 
 
 PERIODS = """c AS (SELECT year(l_shipdate)::INT AS period, feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (feature) GROUP BY ALL),
 x AS (SELECT period, feature, n::DOUBLE AS o, (sum(n) OVER (PARTITION BY period, feature, bin))::DOUBLE * (sum(n) OVER (PARTITION BY period, feature, cls))::DOUBLE / (sum(n) OVER (PARTITION BY period, feature))::DOUBLE AS e, (sum(n) OVER (PARTITION BY period, feature))::DOUBLE AS t FROM c),
-s AS (SELECT period, feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY ALL), k AS (SELECT period, feature, row_number() OVER (PARTITION BY period ORDER BY chi2 DESC, feature) AS rank FROM s),
+s AS (SELECT period, feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY ALL), k AS (SELECT period, feature, row_number() OVER (PARTITION BY period ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s),
 g AS (SELECT period, list_sort(list(feature)) AS selected FROM k WHERE rank <= 2 GROUP BY period), h AS (SELECT *, lag(selected) OVER (ORDER BY period) AS before FROM g)"""
 
 
@@ -506,6 +506,44 @@ def naive_bayes_restarted(spark, sf_dir):
     return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
 
 
+ALARMED = """num AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i, l_returnflag AS cls, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
+long AS (SELECT run, i, cls, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::DOUBLE AS value FROM num),
+al AS (SELECT run, i AS "at" FROM num WHERE i % 200 = 0),
+near AS (SELECT l.*, a."at", (l.i >= a."at")::INT AS side FROM long l JOIN al a ON l.run = a.run AND l.i >= a."at" - 80 AND l.i < a."at" + 80)"""
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), F.row_number().over(w).alias("i"), "l_returnflag", *FEATURES)
+    return ranking.long_form(rows, FEATURES, "l_returnflag", "run", "i"), rows.where("i % 200 = 0").select("run", F.col("i").alias("at"))
+
+
+@query(
+    f"""WITH {ALARMED}, p AS (SELECT run, "at", feature, value, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM near GROUP BY ALL),
+    st AS (SELECT run, "at", feature, sum(a) OVER u AS ca, sum(b) OVER u AS cb, sum(a) OVER (PARTITION BY run, "at", feature) AS n0, sum(b) OVER (PARTITION BY run, "at", feature) AS n1 FROM p WINDOW u AS (PARTITION BY run, "at", feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT run, "at", feature, max(abs(ca / n0 - cb / n1)) AS ks FROM st GROUP BY ALL) SELECT run, "at"::INT AS "at", feature, round(ks, 9) AS ks FROM d"""
+)
+def alarm_drift(spark, sf_dir):
+    return rounded(adaptive.drifting_features(*_numbered(spark, sf_dir), 80).select("run", "at", "feature", "ks"), 9)
+
+
+@query(
+    f"""WITH {ALARMED}, {RANGES}, c AS (SELECT run, "at", feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM near JOIN r USING (feature) WHERE side = 1 GROUP BY ALL),
+    x AS (SELECT run, "at", feature, n::DOUBLE AS o, (sum(n) OVER (PARTITION BY run, "at", feature, bin))::DOUBLE * (sum(n) OVER (PARTITION BY run, "at", feature, cls))::DOUBLE / (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS e, (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS t FROM c),
+    s AS (SELECT run, "at", feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run, "at" ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s)
+    SELECT run, "at"::INT AS "at", feature, rank::INT AS rank FROM k WHERE rank <= 2"""
+)
+def alarm_selection(spark, sf_dir):
+    return adaptive.selection_after_alarms(*_numbered(spark, sf_dir), 80, 2)
+
+
+@query(
+    f"""WITH {STREAM}, q AS (SELECT *, coalesce(lag(y) OVER (PARTITION BY run ORDER BY seq), 0) AS p FROM labels_) SELECT run, count(*)::INT AS n, round(avg((y = p)::INT), 6) AS accuracy FROM q GROUP BY run"""
+)
+def run_snapshot(spark, sf_dir):
+    return rounded(prequential.snapshot(prequential.no_change(_labels(spark, sf_dir)), 5).select("run", "n", "accuracy"))
+
+
 def _errors(spark: SparkSession) -> DataFrame:
     """Errors of a fixed rule on four generated runs whose concept changes three times."""
     stream = generators.sea(spark, runs=4, rows=20_000)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import clean
-from lodestream.operators import bars, drift, hourly, learners, prequential, ranking, significance
+from lodestream.operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance
 from lodestream.sources import arff, generators, tables
 
 
@@ -169,3 +169,28 @@ def test_swaps_stop_at_the_first_pair_without_gain(spark):
     got = {(r["out"], r["in"]) for r in learners.swaps(scored, F.col("sel"), "score").collect()}
     assert got == {("a", "f"), ("b", "d")}
     assert learners.swaps(scored, F.col("sel"), "score", 1).count() == 1
+
+
+def test_actions_by_overlap(spark):
+    subspaces = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (2, "d"), (2, "e"), (3, "f")], "learner int, feature string")
+    drifting = spark.createDataFrame([("a",), ("b",), ("c",)], "feature string")
+    got = {r.learner: r.action for r in adaptive.actions(subspaces, drifting).collect()}
+    assert got == {1: "FULL", 2: "SURGICAL", 3: "KEEP"}
+
+
+def test_weighted_vote_and_weights(spark):
+    votes = spark.createDataFrame([(0, 1, 1, 0, 1.0), (0, 1, 2, 1, 1.0), (0, 2, 1, 1, 0.5), (0, 2, 2, 0, 0.5)], "run int, seq int, learner int, cls int, vote double")
+    even, heavy = (spark.createDataFrame([(1, 0.0), (2, w)], "learner int, weight double") for w in (0.0, 0.9))
+    assert {r.seq: r.p for r in adaptive.voted(votes, heavy).collect()} == {1: 1, 2: 0}
+    assert {r.seq: r.p for r in adaptive.voted(votes, even).collect()} == {1: 0, 2: 0}
+    importance = spark.createDataFrame([("a", 0.6), ("b", 0.2)], "feature string, importance double")
+    subspaces = spark.createDataFrame([(1, "a"), (2, "b")], "learner int, feature string")
+    assert {r.learner: round(r.weight, 6) for r in adaptive.learner_weights(subspaces, importance).collect()} == {1: 0.75, 2: 0.25}
+
+
+def test_stability_and_memory(spark):
+    chosen = spark.createDataFrame([(0, i, x) for i, x in enumerate([[1, 2], [1, 2], [1, 3]])] + [(1, 0, [1])], "run int, seq int, selection array<int>")
+    assert {r.run: r.stability for r in prequential.strict_stability(chosen).collect()} == {0: 0.5, 1: 1.0}
+    memory = spark.createDataFrame([(0, 0.0, 100.0), (0, 3600.0, 300.0)], "run int, seconds double, mb double")
+    r = one(prequential.ram_hours(memory))
+    assert r.mb_hours == 200.0 and abs(r.gb_hours - 300 / 1024) < 1e-12

@@ -64,9 +64,11 @@ def templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.6) -> D
     source = pages.select(host(F.col("url")).alias("host"), "html")
     layouts = common.stored(source.mapInPandas(_layouts, "host string, shape string, nodes array<int>, texts array<long>, page_key long").withColumn("shape_key", F.xxhash64("host", "shape")), "layouts")
     pages_of = layouts.select("host", "page_key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    pages_of = common.small(common.stored(pages_of, "pages_of"), 50_000)
     shapes = layouts.groupBy("host", "shape_key").agg(F.count(F.lit(1)).alias("n"), F.first("shape").alias("shape"))
     model = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("m")).select("host", F.col("m.shape").alias("model"))
-    model = common.small(common.stored(model.join(pages_of, "host", "left_semi"), "models"), 50_000)
+    # an inner join (a host is one row): a semi-join would be moved below the grouping, to every page's row
+    model = common.small(common.stored(model.join(pages_of, "host").select("host", "model"), "models"), 50_000)
     shapes = shapes.join(model, "host")
     aligned = shapes.select("host", "shape", "shape_key", "model").mapInPandas(_matched, "shape_key long, host string, to array<int>").drop("host")
     aligned = common.small(common.stored(aligned, "aligned"), 100_000)

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month * 100 + day of the holidays that are the same every year.
-HOLIDAYS = (101, 115, 219, 527, 619, 704, 902, 1128, 1225, 1231)
+# Month * 100 + day of ten holidays, taken as the same every year.
+HOLIDAYS = (101, 115, 219, 527, 619, 704, 902, 1111, 1128, 1225)
 
 
 def cyclic(c: Column, period: float) -> tuple[Column, Column]:

@@ -42,13 +42,12 @@ def moving(bars: DataFrame) -> DataFrame:
     return df.withColumn("stoch_d", last_n(F.col("stoch_k"), 3, F.avg)).drop("_std", "_low", "_high")
 
 
-def returns(bars: DataFrame, lags: int = 3) -> DataFrame:
-    """Momentum, change, logarithmic return and its lags, and the volume's z-score."""
-    w, close = by_symbol(), F.col("close")
+def returns(bars: DataFrame, lags: int = 5) -> DataFrame:
+    """Momentum, change, logarithmic return, volatility, the volume's z-score, and lags of the change and the z-score."""
+    w, close, volume = by_symbol(), F.col("close"), F.col("volume")
     df = bars.withColumns({"momentum_10": close - F.lag(close, 10).over(w), "change": close / F.lag(close).over(w) - 1, "log_return": F.ln(close / F.lag(close).over(w))})
-    df = df.withColumns({f"return_lag_{k}": F.lag("log_return", k).over(w) for k in range(1, lags + 1)})
-    volume = F.col("volume")
-    return df.withColumn("volume_z", (volume - last_n(volume, 20, F.avg)) / (last_n(volume, 20, F.stddev_samp) + 1e-9))
+    df = df.withColumns({"volume_z": (volume - last_n(volume, 20, F.avg)) / (last_n(volume, 20, F.stddev_samp) + 1e-9), "volatility_20": last_n(F.col("change"), 20, F.stddev_samp)})
+    return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in ("change", "volume_z") for k in range(1, lags + 1)})
 
 
 def on_balance_volume(bars: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def past_median_label(spark, sf_dir):
 
 @query(
     """SELECT event_id, round(sin(hour(ts) * 2 * pi() / 24), 6) + 0.0 AS hour_sin, round(cos(hour(ts) * 2 * pi() / 24), 6) + 0.0 AS hour_cos, round(sin((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0.0 AS day_sin,
-    round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0.0 AS day_cos, (isodow(ts) >= 6)::INT AS weekend, ((month(ts) * 100 + day(ts)) IN (101, 115, 219, 527, 619, 704, 902, 1128, 1225, 1231))::INT AS holiday FROM events"""
+    round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6) + 0.0 AS day_cos, (isodow(ts) >= 6)::INT AS weekend, ((month(ts) * 100 + day(ts)) IN (101, 115, 219, 527, 619, 704, 902, 1111, 1128, 1225))::INT AS holiday FROM events"""
 )
 def cyclic_time(spark, sf_dir):
     df = rounded(hourly.cyclic_time(table(spark, sf_dir, "events").select("event_id", "ts"), "ts")).drop("ts")
@@ -164,14 +164,17 @@ def moving_indicators(spark, sf_dir):
     return rounded(bars.moving(_bars(spark, sf_dir)).select("symbol", "day", "sma_5", "sma_20", "bollinger_width", "stoch_k", "stoch_d"))
 
 
+LAGGED = ", ".join(f"round(lag(change, {k}) OVER w, 6) AS change_lag_{k}, round(lag(volume_z, {k}) OVER w, 6) AS volume_z_lag_{k}" for k in range(1, 6))
+
+
 @query(
-    f"""WITH {BARS}, r AS (SELECT *, close - lag(close, 10) OVER w AS momentum_10, close / lag(close) OVER w - 1 AS change, ln(close / lag(close) OVER w) AS log_return FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day))
-    SELECT symbol, day::VARCHAR AS day, round(momentum_10, 6) AS momentum_10, round(change, 6) AS change, round(log_return, 6) AS log_return, round(lag(log_return, 1) OVER w, 6) AS return_lag_1, round(lag(log_return, 2) OVER w, 6) AS return_lag_2,
-    round(lag(log_return, 3) OVER w, 6) AS return_lag_3, round((volume - {_full("avg", "volume", 20)}) / ({_full("stddev_samp", "volume", 20)} + 1e-9), 6) AS volume_z FROM r WINDOW w AS (PARTITION BY symbol ORDER BY day)"""
+    f"""WITH {BARS}, r AS (SELECT *, close - lag(close, 10) OVER w AS momentum_10, close / lag(close) OVER w - 1 AS change, ln(close / lag(close) OVER w) AS log_return FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY day)),
+    z AS (SELECT *, (volume - {_full("avg", "volume", 20)}) / ({_full("stddev_samp", "volume", 20)} + 1e-9) AS volume_z, {_full("stddev_samp", "change", 20)} AS volatility_20 FROM r)
+    SELECT symbol, day::VARCHAR AS day, round(momentum_10, 6) AS momentum_10, round(change, 6) AS change, round(log_return, 6) AS log_return, round(volume_z, 6) AS volume_z, round(volatility_20, 6) AS volatility_20, {LAGGED}
+    FROM z WINDOW w AS (PARTITION BY symbol ORDER BY day)"""
 )
 def return_features(spark, sf_dir):
-    df = bars.returns(_bars(spark, sf_dir)).drop("open", "high", "low", "close", "volume")
-    return rounded(df)
+    return rounded(bars.returns(_bars(spark, sf_dir)).drop("open", "high", "low", "close", "volume"))
 
 
 @query(

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestream.functions import clean
+from lodestream.functions import clean, codes
 from lodestream.operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance
 from lodestream.sources import arff, generators, tables
 
@@ -194,3 +194,9 @@ def test_stability_and_memory(spark):
     memory = spark.createDataFrame([(0, 0.0, 100.0), (0, 3600.0, 300.0)], "run int, seconds double, mb double")
     r = one(prequential.ram_hours(memory))
     assert r.mb_hours == 200.0 and abs(r.gb_hours - 300 / 1024) < 1e-12
+
+
+def test_survey_codes(spark):
+    df = spark.createDataFrame([(3, "HBO", 4), (50, "hbw", 12), (None, "7", 18), (None, "11", 9), (None, None, None)], "reason int, name string, mode int")
+    got = df.select(codes.purpose(F.col("reason"), F.col("name")), codes.transport_mode(F.col("mode"))).collect()
+    assert [tuple(r) for r in got] == [(2, "PRIVATE_VEHICLE"), (2, "PUBLIC_TRANSIT"), (7, "ACTIVE"), (None, None), (None, None)]

@@ -6,6 +6,9 @@ run, at (an i). Rows find their alarm by a window over their run, so a run's ala
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +74,54 @@ def learner_weights(subspaces: DataFrame, importance: DataFrame) -> DataFrame:
     everything = Window.partitionBy()  # a row per learner
     total = F.sum("_m").over(everything)
     return means.select("learner", F.when(total > 0, F.col("_m") / total).otherwise(1 / F.count(F.lit(1)).over(everything)).alias("weight"))
+
+
+def evolving_selection(scored: DataFrame, k: int, score: str = "chi2", most: int | None = None, tenure: int = 1, warm_up: int = 1) -> DataFrame:
+    """run, period, selected (sorted), n_swapped: a selection that changes by few swaps from period to period.
+
+    scored: run, period, feature, the score and, optionally, `drift` (boolean). The first `warm_up` periods of a run
+    give nothing but the last of them, whose k best features start the selection. Later, drifting selected features
+    go, worst first, for the best others that do not drift, without limit; then the worst that have stayed `tenure`
+    periods go for the best others, at most `most` (0.3 k, rounded up). Either pairing stops at the first pair that
+    gains nothing; ties go by name, a NULL score is 0.
+
+    The scores of a period are one row; a task reads them in order and holds one run's selection.
+    """
+    limit = max(1, -int(-0.3 * k // 1)) if most is None else most
+    drifts = F.coalesce("drift", F.lit(False)) if "drift" in scored.columns else F.lit(False)
+    rows = scored.groupBy("run", "period").agg(F.collect_list(F.struct("feature", F.coalesce(score, F.lit(0.0)).cast("double").alias("score"), drifts.alias("drift"))).alias("found"))
+    out = f"run {scored.schema['run'].dataType.simpleString()}, period {scored.schema['period'].dataType.simpleString()}, selected array<string>, n_swapped long"
+
+    def swapped(since: dict, leaving: list, entering: list, value: dict, now: int) -> int:
+        n = 0
+        for a, b in zip(sorted(leaving, key=lambda f: (value.get(f, 0.0), f)), sorted(entering, key=lambda f: (-value[f], f))):
+            if value[b] <= value.get(a, 0.0):
+                break
+            del since[a]
+            since[b] = now
+            n += 1
+        return n
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, since, now = object(), {}, 0
+        for pdf in frames:
+            made = []
+            for run, period, found in zip(pdf["run"], pdf["period"], pdf["found"]):
+                if run != current:
+                    current, since, now = run, {}, 0
+                now += 1
+                value = {x["feature"]: x["score"] for x in found}
+                drifting = {x["feature"] for x in found if x["drift"]}
+                if now < warm_up:
+                    continue
+                if now == warm_up:
+                    since = dict.fromkeys(sorted(value, key=lambda f: (-value[f], f))[:k], now)
+                    made.append((run, period, sorted(since), 0))
+                    continue
+                n = swapped(since, [f for f in since if f in drifting], [f for f in value if f not in since and f not in drifting], value, now)
+                others = sorted((f for f in value if f not in since), key=lambda f: (-value[f], f))[:limit]
+                n += swapped(since, [f for f in since if now - since[f] >= tenure], others, value, now)
+                made.append((run, period, sorted(since), n))
+            yield pd.DataFrame(made, columns=["run", "period", "selected", "n_swapped"]).astype({"run": pdf["run"].dtype, "period": pdf["period"].dtype, "n_swapped": "int64"})
+
+    return rows.repartition("run").sortWithinPartitions("run", "period").mapInPandas(fold, out)

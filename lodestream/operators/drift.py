@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,6 +126,100 @@ class AdaptiveWindow:
         return False
 
 
+class WeightedMean:
+    """Change of a mean upwards that favours recent values: exponential means under McDiarmid's bound.
+
+    One mean holds the values up to the least upper limit so far, the other those after it. `warning` tells
+    whether the last value passed the looser level `warn` without being a change.
+    """
+
+    def __init__(self, alpha: float = 0.001, warn: float = 0.005, rate: float = 0.05) -> None:
+        if not (0 < alpha <= warn < 1 and 0 < rate < 1):
+            raise ValueError("0 < alpha <= warn < 1 and 0 < rate < 1")
+        self.alpha, self.warn, self.rate = alpha, warn, rate
+        self.warning = False
+        self._clear()
+
+    def _clear(self) -> None:
+        self.whole = self.before = self.after = None  # each: mean, sum of squared weights
+
+    def _with(self, state: tuple | None, x: float) -> tuple:
+        if state is None:
+            return x, 1.0
+        return state[0] + self.rate * (x - state[0]), self.rate**2 + (1 - self.rate) ** 2 * state[1]
+
+    @staticmethod
+    def _bound(weight: float, alpha: float) -> float:
+        return math.sqrt(weight * math.log(1 / alpha) / 2)
+
+    def add(self, x: float) -> bool:
+        self.whole, self.after = self._with(self.whole, x), self._with(self.after, x)
+        limit = lambda s: s[0] + self._bound(s[1], self.alpha)
+        if self.before is None or limit(self.whole) < limit(self.before):
+            self.before, self.after = self.whole, None
+        self.warning = False
+        if self.after is None:
+            return False
+        rise, weight = self.after[0] - self.before[0], self.before[1] + self.after[1]
+        if rise > self._bound(weight, self.alpha):
+            self._clear()
+            return True
+        self.warning = rise > self._bound(weight, self.warn)
+        return False
+
+
+class SampleWindow:
+    """Change of a distribution: the first `size` values against the last `size` after them, by the two-sample test.
+
+    On a change the current window becomes the reference; both can be set by hand. Tested at every `every`-th value.
+    """
+
+    def __init__(self, size: int = 100, alpha: float = 0.001, every: int = 1) -> None:
+        if size < 2 or not 0 < alpha < 1 or every < 1:
+            raise ValueError("size from 2, alpha in (0, 1), every from 1")
+        self.size, self.alpha, self.every = size, alpha, every
+        self.reset()
+
+    def reset(self) -> None:
+        self.reference: list[float] = []
+        self.current: deque[float] = deque(maxlen=self.size)
+        self.seen = 0
+
+    def set_reference(self, values: list[float]) -> None:
+        if len(values) != self.size:
+            raise ValueError(f"a reference holds {self.size} values")
+        self.reference = sorted(values)
+
+    def promote(self) -> None:
+        """The current window becomes the reference."""
+        if len(self.current) < self.size:
+            raise ValueError("the current window is not full")
+        self.reference = sorted(self.current)
+        self.current.clear()
+
+    def p_value(self) -> float:
+        if len(self.reference) < self.size or len(self.current) < self.size:
+            return 1.0
+        a, b = np.array(self.reference), np.sort(np.array(self.current))
+        at = np.concatenate([a, b])
+        ks = np.abs(np.searchsorted(a, at, "right") - np.searchsorted(b, at, "right")).max() / self.size
+        k = np.arange(1, TERMS + 1)
+        return 1.0 if ks == 0 else float(np.clip((np.where(k % 2, 2.0, -2.0) * np.exp(-k * k * ks * ks * self.size)).sum(), 0, 1))
+
+    def add(self, x: float) -> bool:
+        if len(self.reference) < self.size:
+            self.reference.append(x)
+            if len(self.reference) == self.size:
+                self.reference.sort()
+            return False
+        self.current.append(x)
+        self.seen += 1
+        if self.seen % self.every or self.p_value() >= self.alpha:
+            return False
+        self.promote()
+        return True
+
+
 def alarms(stream: DataFrame, key: str, seq: str, value: str, detector: Callable[[], object]) -> DataFrame:
     """key, seq of each change found. Rows are read in order, key by key; a task holds one detector's state only."""
 

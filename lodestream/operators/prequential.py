@@ -77,13 +77,18 @@ def sampled(metric_rows: DataFrame, every: int) -> DataFrame:
     return df.where((F.col("_i") % every == 0) | (F.col("_i") == F.col("_last"))).drop("_i", "_last")
 
 
-def recovery(metric_rows: DataFrame, alarms: Column, metric: str = "accuracy", tolerance: float = 0.01) -> DataFrame:
-    """run, alarm_seq, recovered_after: rows from an alarm to the first later row (before the next alarm) whose metric is back."""
+def recovery(metric_rows: DataFrame, alarms: Column, metric: str = "accuracy", tolerance: float = 0.01, limit: int | None = None) -> DataFrame:
+    """run, alarm_seq, recovered_after: rows from an alarm to the first later row (before the next alarm) whose metric is back.
+
+    NULL where none is, or none of the first `limit` rows.
+    """
     df = metric_rows.select("run", "seq", F.col(metric).alias("m"), alarms.alias("alarm"), F.row_number().over(_by("seq")).alias("i"))
     df = df.withColumn("session", F.sum(F.col("alarm").cast("int")).over(_upto("seq"))).where("session > 0")
     at = Window.partitionBy("run", "session").orderBy("seq")
     df = df.withColumns({"m0": F.first("m").over(at), "i0": F.first("i").over(at), "seq0": F.first("seq").over(at)})
-    back = F.min(F.when((F.col("i") > F.col("i0")) & (F.col("m") >= F.col("m0") - tolerance), F.col("i") - F.col("i0")))
+    after = F.col("i") - F.col("i0")
+    due = after > 0 if limit is None else after.between(1, limit)
+    back = F.min(F.when(due & (F.col("m") >= F.col("m0") - tolerance), after))
     return df.groupBy("run", F.col("seq0").alias("alarm_seq")).agg(back.alias("recovered_after"))
 
 

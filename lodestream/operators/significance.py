@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +60,77 @@ def wilcoxon(scores: DataFrame, a: str, b: str) -> DataFrame:
     )
     n = F.col("n").cast("double")
     return sums.withColumn("z", (F.greatest("w_plus", "w_minus") - n * (n + 1) / 4 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+
+
+def chi2_tail(x: float, df: int) -> float:
+    """P(X >= x) of chi-squared with a whole number of degrees of freedom, by its finite sum."""
+    if x <= 0:
+        return 1.0
+    half, a = x / 2, 1.0 if df % 2 == 0 else 0.5
+    tail = math.exp(-half) if df % 2 == 0 else math.erfc(math.sqrt(half))
+    while a < df / 2:
+        tail += math.exp(a * math.log(half) - half - math.lgamma(a + 1))
+        a += 1
+    return min(tail, 1.0)
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction from the last term backwards."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_share(1 - x, b, a)
+    terms = 200 + int(4 * math.sqrt(max(a, b)))
+    below = 1.0
+    for j in range(terms, 0, -1):
+        m = j // 2
+        if j % 2:
+            d = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        else:
+            d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        below = 1 + d / below
+    front = a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+    return math.exp(front) / (a * below)
+
+
+def f_tail(f: float, d1: float, d2: float) -> float:
+    """P(X >= f) of the F distribution."""
+    return 1.0 if f <= 0 else beta_share(d2 / (d2 + d1 * f), d2 / 2, d1 / 2)
+
+
+def signed_rank_tail(n: int, greater: float) -> float:
+    """Two-sided chance that the greater rank sum of n untied pairs is at least `greater`: exact to 30 pairs, else normal."""
+    if n == 0:
+        return 1.0
+    if n > 30:
+        z = (greater - n * (n + 1) / 4 - 0.5) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+        return min(math.erfc(z / math.sqrt(2)), 1.0)
+    ways = [1]  # subsets of the ranks by their sum
+    for rank in range(1, n + 1):
+        ways = [(ways[s] if s < len(ways) else 0) + (ways[s - rank] if s >= rank else 0) for s in range(len(ways) + rank)]
+    return min(2 * sum(w for s, w in enumerate(ways) if s >= greater) / 2**n, 1.0)
+
+
+def friedman_p(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """`friedman` rows with p_chi2, p_f (NULL without an F statistic), p (p_f first) and reject."""
+
+    @F.pandas_udf("double")
+    def chi2(x: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([chi2_tail(a, int(b) - 1) for a, b in zip(x, k)])
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) else f_tail(a, c - 1, (b - 1) * (c - 1)) for a, b, c in zip(x, n, k)], dtype="float64")
+
+    df = tests.withColumns({"p_chi2": chi2("chi2", "k"), "p_f": ratio("f_stat", "n", "k")}).withColumn("p_f", F.when(F.col("f_stat").isNotNull(), F.col("p_f")))
+    return df.withColumn("p", F.coalesce("p_f", "p_chi2")).withColumn("reject", F.col("p") < alpha)
+
+
+def wilcoxon_p(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """`wilcoxon` rows with the two-sided p and reject."""
+
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, greater: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_tail(int(a), b) for a, b in zip(n, greater)], dtype="float64")
+
+    return tests.withColumn("p", tail("n", F.greatest("w_plus", "w_minus"))).withColumn("reject", F.col("p") < alpha)

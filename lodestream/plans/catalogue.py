@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey
+from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey, trees
 from ..sources import arff, generators
 from ..sources.tables import runs, table
 from ..streaming import live
@@ -547,6 +547,47 @@ def run_snapshot(spark, sf_dir):
     return rounded(prequential.snapshot(prequential.no_change(_labels(spark, sf_dir)), 5).select("run", "n", "accuracy"))
 
 
+SPLITS = """c AS (SELECT feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, count(*) FILTER (cls = 'A')::DOUBLE AS a, count(*) FILTER (cls = 'N')::DOUBLE AS n, count(*) FILTER (cls = 'R')::DOUBLE AS r FROM long JOIN r USING (feature) GROUP BY ALL),
+    u AS (SELECT feature, bin, sum(a) OVER w AS a, sum(n) OVER w AS n, sum(r) OVER w AS r, sum(a) OVER p AS ta, sum(n) OVER p AS tn, sum(r) OVER p AS tr FROM c WINDOW w AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY feature))"""
+
+
+def _spread_sql(*cells: str) -> str:
+    logs = [f"(CASE WHEN {x} > 0 THEN ({x}) * log2({x}) ELSE 0 END)" for x in (" + ".join(cells), *cells)]
+    return f"({logs[0]} - {' - '.join(logs[1:])})"
+
+
+@query(
+    f"""WITH {LONG}, {RANGES}, {SPLITS}, g AS (SELECT feature, bin, round(greatest(({_spread_sql("ta", "tn", "tr")} - {_spread_sql("a", "n", "r")} - {_spread_sql("(ta - a)", "(tn - n)", "(tr - r)")}) / (ta + tn + tr), 0), 9) AS gain FROM u),
+    k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY gain DESC, bin) AS i FROM g) SELECT feature, bin::INT AS cut, gain FROM k WHERE i = 1"""
+)
+def best_splits(spark, sf_dir):
+    counts = _counts(spark, sf_dir).groupBy("feature", "bin").agg(*[F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0)).alias(f"c{i}") for c, i in CLASSES.items()])
+    return trees.split_gains(counts, 3).select("feature", "cut", "gain")
+
+
+@query()
+def tree_accuracy(spark, sf_dir):
+    """Prequential accuracy, by blocks, of one Hoeffding tree on generated runs with drift."""
+    p = trees.by_blocks(generators.sea(spark, 4, 4000), ["x0", "x1", "x2"], 2, 1000)
+    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
+
+
+@query()
+def patches_accuracy(spark, sf_dir):
+    """The same of ten trees on reweighted rows and random features."""
+    p = trees.by_blocks(generators.sea(spark, 4, 4000), ["x0", "x1", "x2"], 2, 1000, trees.patches(3))
+    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
+
+
+@query()
+def evolving_selection(spark, sf_dir):
+    """Two of four features by year, with limited swaps."""
+    instances = _long(spark, sf_dir, "l_shipdate")
+    counts = ranking.histogram(instances.withColumn("period", F.year("l_shipdate")), ranking.ranges(instances), 20, "period")
+    scored = ranking.scores(counts, "period").withColumn("run", F.lit(0)).withColumn("chi2", F.round("chi2", 9))
+    return adaptive.evolving_selection(scored, 2).withColumn("selected", F.array_join("selected", ","))
+
+
 def _errors(spark: SparkSession) -> DataFrame:
     """Errors of a fixed rule on four generated runs whose concept changes three times."""
     stream = generators.sea(spark, runs=4, rows=20_000)
@@ -564,6 +605,18 @@ def adaptive_window_alarms(spark, sf_dir):
     return drift.alarms(_errors(spark), "run", "seq", "error", drift.AdaptiveWindow)
 
 
+@query()
+def weighted_alarms(spark, sf_dir):
+    return drift.alarms(_errors(spark), "run", "seq", "error", drift.WeightedMean)
+
+
+@query()
+def sample_window_alarms(spark, sf_dir):
+    """Changes of a generated feature's distribution after each run's half."""
+    stream = generators.sea(spark, 4, 4000).select("run", "seq", (F.col("x0") + F.when(F.col("seq") >= 2000, 3.0).otherwise(0.0)).alias("x"))
+    return drift.alarms(stream, "run", "seq", "x", lambda: drift.SampleWindow(100, 0.001, 10))
+
+
 @query()
 def live_alarms(spark, sf_dir):
     return live.finished(live.alarms(generators.sea_live(spark, 4, 20_000).select("run", "seq", (F.col("x0") + F.col("x1") <= 8.0).cast("int").alias("p"), "y")), "append")
@@ -619,3 +672,13 @@ def nemenyi_pairs(spark, sf_dir):
 )
 def wilcoxon_pair(spark, sf_dir):
     return rounded(significance.wilcoxon(_scored(spark, sf_dir), "click", "view"))
+
+
+@query()
+def friedman_significance(spark, sf_dir):
+    return rounded(significance.friedman_p(significance.friedman(significance.ranked(_scored(spark, sf_dir)))))
+
+
+@query()
+def wilcoxon_significance(spark, sf_dir):
+    return rounded(significance.wilcoxon_p(significance.wilcoxon(_scored(spark, sf_dir), "click", "view")))

@@ -53,6 +53,31 @@ def hyperplane(spark: SparkSession, runs: int, rows: int, features: int = 15, dr
     return df.withColumn("y", F.when(uniform(seed + 99, *at) < noise, (~side).cast("int")).otherwise(side.cast("int")))
 
 
+def radial(spark: SparkSession, runs: int, rows: int, features: int = 15, centres: int = 20, drifting: int = 5, speed: float = 0.001, classes: int = 2, seed: int = 1) -> DataFrame:
+    """run, seq, x0.., y: points around centres in the unit cube, each of one class and as likely as any other.
+
+    The first `drifting` centres move by `speed` per row in a direction of their own and turn back at the walls.
+    """
+    ids = spark.range(runs * rows).select((F.col("id") % runs).cast("int").alias("run"), F.floor(F.col("id") / runs).alias("seq"))
+    at = [F.col("run"), F.col("seq")]
+    df = ids.withColumn("_c", F.floor(centres * uniform(seed + 1, *at)).cast("int"))
+    centre, step = [F.col("run"), F.col("_c")], F.when(F.col("_c") < drifting, speed * F.col("seq")).otherwise(0.0)
+
+    def direction(key: int, *of: Column) -> list[Column]:
+        return [2 * uniform(seed + key + i, *of) - 1 for i in range(features)]
+
+    moves, offsets = direction(2000, *centre), direction(3000, *at)
+    df = df.withColumns({f"_m{i}": c for i, c in enumerate(moves)} | {f"_o{i}": c for i, c in enumerate(offsets)})
+    length = lambda p: F.sqrt(sum((F.col(f"{p}{i}") * F.col(f"{p}{i}") for i in range(features)), F.lit(1e-12)))
+    df = df.withColumns({"_lm": length("_m"), "_lo": length("_o"), "_r": normal(seed + 5, *at) * uniform(seed + 6, *centre)})
+    xs = {}
+    for i in range(features):
+        place = F.pmod(uniform(seed + 1000 + i, *centre) + step * F.col(f"_m{i}") / F.col("_lm"), F.lit(2.0))
+        xs[f"x{i}"] = F.when(place > 1, 2 - place).otherwise(place) + F.col("_r") * F.col(f"_o{i}") / F.col("_lo")
+    y = F.floor(classes * uniform(seed + 7, *centre)).cast("int").alias("y")
+    return df.select("run", "seq", *[x.alias(n) for n, x in xs.items()], y)
+
+
 def stagger(spark: SparkSession, runs: int, rows: int, seed: int = 1) -> DataFrame:
     """run, seq, size, colour, shape, y: three rules in turn, the first again at the end."""
     ids = spark.range(runs * rows).select((F.col("id") % runs).cast("int").alias("run"), F.floor(F.col("id") / runs).alias("seq"))

@@ -79,6 +79,13 @@ def write_runs(df: DataFrame, path: str, keys: Sequence[str] = ("group", "datase
     df.repartition(*keys).write.mode("overwrite").partitionBy(*keys).option("header", True).csv(path)
 
 
+def write_ranks(df: DataFrame, path: str, comments: Sequence[str] = (), keys: Sequence[str] = ()) -> None:
+    """A table of ranks: path/header holds `#` comments and the column names, path/data its quoted rows, by the keys."""
+    head = [*(f"# {c}" for c in comments), ",".join(df.columns)]
+    df.sparkSession.createDataFrame([("\n".join(head),)], "line string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    df.orderBy(*(keys or df.columns[:1])).write.mode("overwrite").option("escape", '"').csv(f"{path}/data")
+
+
 CONFIG = (
     "experiment_group string, datasets array<string>, seeds array<int>, output_dir string, warmup int, log_every int, refresh_every int, "
     "max_instances bigint, verbose boolean, model_variants array<struct<name:string,model:string,selector:string,detector:string>>"

@@ -1,12 +1,13 @@
 """Exact small cases and brute-force comparisons."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import clean, codes
-from lodestream.operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance
+from lodestream.operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, trees
 from lodestream.sources import arff, generators, tables
 
 
@@ -93,7 +94,7 @@ def test_benjamini_hochberg(spark):
     assert [got[x] for x in p] == [True, True, False, False, False]
 
 
-@pytest.mark.parametrize("detector", [drift.AdaptiveWindow, drift.HoeffdingMean])
+@pytest.mark.parametrize("detector", [drift.AdaptiveWindow, drift.HoeffdingMean, drift.WeightedMean])
 def test_detectors_find_a_shift_and_stay_calm(detector):
     rng = random.Random(5)
     state = detector()
@@ -200,3 +201,130 @@ def test_survey_codes(spark):
     df = spark.createDataFrame([(3, "HBO", 4), (50, "hbw", 12), (None, "7", 18), (None, "11", 9), (None, None, None)], "reason int, name string, mode int")
     got = df.select(codes.purpose(F.col("reason"), F.col("name")), codes.transport_mode(F.col("mode"))).collect()
     assert [tuple(r) for r in got] == [(2, "PRIVATE_VEHICLE"), (2, "PUBLIC_TRANSIT"), (7, "ACTIVE"), (None, None), (None, None)]
+
+
+def test_tails_against_known_values():
+    assert significance.chi2_tail(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
+    assert significance.chi2_tail(9.487729, 4) == pytest.approx(0.05, abs=1e-6)
+    assert significance.chi2_tail(11.070498, 5) == pytest.approx(0.05, abs=1e-6)
+    assert significance.f_tail(4.964603, 1, 10) == pytest.approx(0.05, abs=1e-6)
+    assert significance.f_tail(2.866081, 4, 20) == pytest.approx(0.05, abs=1e-6)
+    assert significance.f_tail(0.5, 4, 20) > 0.5 and significance.f_tail(1.0, 50, 50) == pytest.approx(0.5)
+    assert significance.f_tail(4.0, 2, 1e6) == pytest.approx(math.exp(-4.0), rel=1e-4)
+
+
+def test_signed_rank_tail_against_all_subsets():
+    for n, w in ((5, 15.0), (6, 18.5), (8, 26.0), (0, 0.0)):
+        sums = [sum(r for r in range(1, n + 1) if s >> (r - 1) & 1) for s in range(2**n)]
+        want = 1.0 if n == 0 else min(2 * sum(x >= w for x in sums) / 2**n, 1.0)
+        assert significance.signed_rank_tail(n, w) == want
+    assert significance.signed_rank_tail(100, 100 * 101 / 4) == 1.0 and significance.signed_rank_tail(100, 5050.0) < 1e-15
+
+
+def test_friedman_p_of_a_clear_winner_and_of_ties(spark):
+    clear = spark.createDataFrame([(d, m, s + d % 3 / 1000) for d in range(20) for m, s in (("a", 0.9), ("b", 0.7), ("c", 0.5))], "dataset int, method string, score double")
+    r = one(significance.friedman_p(significance.friedman(significance.ranked(clear))))
+    assert r.p_f is None and r.p == r.p_chi2 < 1e-6 and r.reject
+    even = spark.createDataFrame([(d, m, float((d + i) % 3)) for d in range(12) for i, m in enumerate("abc")], "dataset int, method string, score double")
+    r = one(significance.friedman_p(significance.friedman(significance.ranked(even))))
+    assert r.p == pytest.approx(1.0) and not r.reject
+
+
+def test_sample_window_finds_a_shift_and_can_be_set():
+    rng = random.Random(6)
+    d = drift.SampleWindow(100, 0.001)
+    assert sum(d.add(rng.gauss(0, 1)) for _ in range(1100)) <= 5
+    assert any(d.add(rng.gauss(3, 1)) for _ in range(100))
+    with pytest.raises(ValueError):
+        d.set_reference([1.0])
+    d.reset()
+    with pytest.raises(ValueError):
+        d.promote()
+    for x in range(200):
+        d.add(float(x % 100))
+    assert d.p_value() == 1.0
+    with pytest.raises(ValueError):
+        drift.WeightedMean(0.01, 0.001)
+
+
+def test_weighted_mean_warns_before_it_alarms():
+    d, seen = drift.WeightedMean(1e-6, 0.05), []
+    for i in range(400):
+        changed = d.add(float(i % 10 == 0) if i < 300 else 1.0)
+        seen.append("C" if changed else "W" if d.warning else "-")
+    late = "".join(seen[300:])
+    assert "C" in late and "W" in late[: late.index("C")]
+
+
+def test_evolving_selection(spark):
+    def period(n, **score):
+        return [(0, n, f, s, f == "b" and n == 4) for f, s in score.items()]
+
+    rows = period(1, a=0.9, b=0.8, c=0.1, d=0.2) + period(2, a=0.1, b=0.2, c=0.9, d=0.8) + period(3, a=0.1, b=0.3, c=0.9, d=0.2) + period(4, a=0.5, b=0.3, c=0.9, d=0.4)
+    scored = spark.createDataFrame(rows, "run int, period int, feature string, chi2 double, drift boolean")
+    got = {r.period: (r.selected, r.n_swapped) for r in adaptive.evolving_selection(scored, 2).collect()}
+    assert got == {1: (["a", "b"], 0), 2: (["b", "c"], 1), 3: (["b", "c"], 0), 4: (["a", "c"], 1)}
+    held = {r.period: r.selected for r in adaptive.evolving_selection(scored.drop("drift"), 2, tenure=9).collect()}
+    assert set(map(tuple, held.values())) == {("a", "b")}
+    assert adaptive.evolving_selection(scored.where("false"), 2).count() == 0
+
+
+def test_split_gains_against_brute_force(spark):
+    rng = random.Random(7)
+    data = [(rng.randint(0, 5), rng.randint(0, 1)) for _ in range(80)]
+    cells = [("f", b, *(sum(d == (b, c) for d in data) for c in (0, 1))) for b in range(6)]
+
+    def entropy(part):
+        return -sum(q * math.log2(q) for c in (0, 1) if part and (q := sum(y == c for _, y in part) / len(part)))
+
+    def gain(cut):
+        left, right = [d for d in data if d[0] <= cut], [d for d in data if d[0] > cut]
+        return entropy(data) - sum(len(s) / len(data) * entropy(s) for s in (left, right))
+
+    r = one(trees.split_gains(spark.createDataFrame(cells, "feature string, bin int, c0 long, c1 long"), 2))
+    assert r.gain == pytest.approx(max(map(gain, range(6))), abs=1e-8) and gain(r.cut) == pytest.approx(r.gain, abs=1e-8)
+
+
+@pytest.mark.parametrize("growth", [trees.Growth(), trees.forest(3, 5), trees.patches(3, 5)])
+def test_trees_learn(spark, growth):
+    stream = generators.sea(spark, 1, 8000).where("seq < 2000")
+    model = trees.fit(stream.where("seq < 1500"), ["x0", "x1", "x2"], 2, growth)
+    tested = trees.predict(model, stream.where("seq >= 1500"))
+    assert one(tested.agg(F.count_if(F.col("p") == F.col("y")).alias("n"))).n >= 375
+
+
+def test_trees_of_nothing_and_weights(spark):
+    rows = spark.createDataFrame([(0, i, i % 2, float(i % 2), None) for i in range(600)], "run int, seq long, y int, a double, b double")
+    empty = trees.fit(rows.where("false"), ["a", "b"], 2)
+    assert {r.p for r in trees.predict(empty, rows).collect()} == {0}
+    two = trees.fit(rows, ["a", "b"], 2, trees.Growth(learners=2, subspace=1, seed=next(s for s in range(1, 99) if trees.subspaces(2, trees.Growth(learners=2, subspace=1, seed=s)) == [[0], [1]])))
+    right = lambda w: one(trees.predict(two, rows, w).agg(F.avg((F.col("p") == F.col("y")).cast("int")).alias("a"))).a
+    assert right([1.0, 0.0]) == 1.0 and right([0.0, 1.0]) == 0.5
+    with pytest.raises(ValueError):
+        trees.Growth(delta=0)
+
+
+def test_poisson_quantiles(spark):
+    got = one(spark.range(20_000).agg(F.avg(trees.poisson(6.0, generators.uniform(3, F.col("id")))).alias("m")))
+    assert got.m == pytest.approx(6.0, abs=0.1)
+
+
+def test_radial_centres_drift(spark):
+    still, moving = (generators.radial(spark, 1, 400, 3, 4, n, 0.01) for n in (0, 4))
+    assert still.columns == ["run", "seq", "x0", "x1", "x2", "y"] and still.count() == 400
+    assert still.exceptAll(generators.radial(spark, 1, 400, 3, 4, 0, 0.01)).count() == 0
+    assert still.where("seq > 0").exceptAll(moving).count() == 399
+
+
+def test_recovery_limit(spark):
+    rows = spark.createDataFrame([(0, i, m) for i, m in enumerate([0.9] + [0.4] * 50 + [0.9])], "run int, seq int, accuracy double")
+    assert one(prequential.recovery(rows, F.col("seq") == 0)).recovered_after == 51
+    assert one(prequential.recovery(rows, F.col("seq") == 0, limit=50)).recovered_after is None
+
+
+def test_write_ranks(spark, tmp_path):
+    df = spark.createDataFrame([('b"q', 2.0), ("a,c", 1.0)], "method string, rank double")
+    tables.write_ranks(df, f"file://{tmp_path}/r", ["lower is better"], ["rank"])
+    head = [r.value for r in spark.read.text(f"file://{tmp_path}/r/header").collect()]
+    body = sorted(r.value for r in spark.read.text(f"file://{tmp_path}/r/data").collect())
+    assert head == ["# lower is better", "method,rank"] and body == ['"a,c",1.0', '"b""q",2.0']

@@ -206,7 +206,8 @@ class SampleWindow:
         k = np.arange(1, TERMS + 1)
         return 1.0 if ks == 0 else float(np.clip((np.where(k % 2, 2.0, -2.0) * np.exp(-k * k * ks * ks * self.size)).sum(), 0, 1))
 
-    def add(self, x: float) -> bool:
+    def take(self, x: float) -> bool:
+        """Hold a value without a test; whether it went to the current window."""
         if len(self.reference) < self.size:
             self.reference.append(x)
             if len(self.reference) == self.size:
@@ -214,12 +215,42 @@ class SampleWindow:
             return False
         self.current.append(x)
         self.seen += 1
-        if self.seen % self.every or self.p_value() >= self.alpha:
+        return True
+
+    def add(self, x: float) -> bool:
+        if not self.take(x) or self.seen % self.every or self.p_value() >= self.alpha:
             return False
         self.promote()
         return True
 
 
+class TwoLevel:
+    """A detector of the error, and a sample window per feature that is tested only when the error alarms.
+
+    The tests of an alarm share one false discovery rate; the features found start a new reference.
+    """
+
+    def __init__(self, features: int, size: int = 100, q: float = 0.05, error: object | None = None) -> None:
+        self.q = q
+        self.error = error or HoeffdingMean()
+        self.windows = [SampleWindow(size) for _ in range(features)]
+
+    def add(self, wrong: float, values: list[float]) -> list[int] | None:
+        """None without an alarm, else the numbers of the drifting features; a missing value enters no window."""
+        for w, x in zip(self.windows, values, strict=True):
+            if x is not None and x == x:
+                w.take(float(x))
+        if not self.error.add(wrong):
+            return None
+        ranked = sorted((w.p_value(), i) for i, w in enumerate(self.windows))
+        last = max((r for r, (p, _) in enumerate(ranked, 1) if p <= r * self.q / len(ranked)), default=0)
+        found = sorted(i for _, i in ranked[:last])
+        for i in found:
+            if len(self.windows[i].current) == self.windows[i].size:
+                self.windows[i].promote()
+        return found
+
+
 def alarms(stream: DataFrame, key: str, seq: str, value: str, detector: Callable[[], object]) -> DataFrame:
     """key, seq of each change found. Rows are read in order, key by key; a task holds one detector's state only."""
 

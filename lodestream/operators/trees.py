@@ -18,11 +18,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import small, stored
 from ..sources.generators import uniform
 from .ranking import layer1_bin
 
 
+#: Models of at most this many nodes together (some 10 MB) are broadcast to the rows.
+BROADCAST_NODES = 200_000
+
+
 @dataclass(frozen=True)
 class Growth:
     depth: int = 5
@@ -42,6 +46,10 @@ class Growth:
         if not (self.depth >= 1 and self.bins >= 2 and 0 < self.delta < 1 and self.learners >= 1 and self.rate >= 0):
             raise ValueError("depth and learners from 1, bins from 2, delta in (0, 1), rate from 0")
 
+    def broadcast_runs(self) -> int:
+        """So many runs' models can be broadcast."""
+        return BROADCAST_NODES // (self.learners * 2 ** (self.depth + 1))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -154,7 +162,8 @@ def fit(train: DataFrame, features: Sequence[str], classes: int, growth: Growth
 
     def placed(splits: DataFrame) -> DataFrame:
         """Each row once per learner, in its leaf."""
-        each = rows.join(_assembled(runs, splits, None, spaces), "run").select("run", "seq", "y", "bins", F.explode("trees").alias("t"))
+        trees = small(stored(_assembled(runs, splits, None, spaces), "trees"), growth.broadcast_runs())
+        each = rows.join(trees, "run").select("run", "seq", "y", "bins", F.explode("trees").alias("t"))
         w = poisson(growth.rate, uniform(growth.seed + 31, F.col("t.learner"), F.col("run"), F.col("seq"))) if growth.rate else F.lit(1)
         return each.select("run", "y", "bins", F.col("t.learner").alias("learner"), F.col("t.features").alias("features"), _leaf(F.col("t.splits"), F.col("bins"), growth.depth).alias("node"), w.alias("w")).where("w > 0")
 
@@ -191,7 +200,8 @@ def predict(model: Model, rows: DataFrame, weights: Sequence[float] | None = Non
 
     zero = F.array(*[F.lit(0.0)] * model.classes)
     added = F.aggregate("_trees", zero, lambda a, t: F.zip_with(a, F.coalesce(votes(t), zero), lambda x, y: x + y))
-    df = rows.withColumn("_bins", model.bins()).join(model.trees.withColumnRenamed("trees", "_trees"), "run", "left")
+    trees = small(model.trees, model.growth.broadcast_runs()).withColumnRenamed("trees", "_trees")
+    df = rows.withColumn("_bins", model.bins()).join(trees, "run", "left")
     df = df.withColumn("_sums", F.transform(added, lambda x: F.round(x, 9)))
     p = F.coalesce(F.array_position("_sums", F.array_max("_sums")) - 1, F.lit(0)).cast("int")
     return df.withColumn("p", p).select(*rows.columns, "p")

@@ -622,6 +622,14 @@ def live_alarms(spark, sf_dir):
     return live.finished(live.alarms(generators.sea_live(spark, 4, 20_000).select("run", "seq", (F.col("x0") + F.col("x1") <= 8.0).cast("int").alias("p"), "y")), "append")
 
 
+@query()
+def live_two_level(spark, sf_dir):
+    """Alarms of a rule's error on a live stream, with the features that drifted."""
+    stream = generators.sea_live(spark, 2, 8000).withColumn("p", (F.col("x0") + F.col("x1") <= 8.0).cast("int"))
+    found = live.finished(live.two_level_alarms(stream, ["x0", "x1", "x2"]), "append")
+    return found.withColumn("drifting", F.array_join("drifting", ","))
+
+
 @query(
     """SELECT event_type, date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS n_events, round(sum(value), 4) AS total FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""

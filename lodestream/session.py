@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTC keeps timestamps equal to naive ones; AQE sizes the shuffles at run time.
 DEFAULTS = {
@@ -43,3 +44,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint a broadcast of df, a stored table, where it has at most max_rows rows; beyond that joins shuffle both sides."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

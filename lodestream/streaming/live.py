@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.drift import HoeffdingMean
+from ..operators.drift import HoeffdingMean, TwoLevel
 from ..session import shared_folder
 
 
@@ -44,6 +45,37 @@ def alarms(predicted: DataFrame, alpha: float = 0.001) -> DataFrame:
     return predicted.groupBy("run").applyInPandasWithState(step, "run int, seq long", "n long, sum double, n_min long, sum_min double", "append", GroupStateTimeout.NoTimeout)
 
 
+def two_level_alarms(predicted: DataFrame, features: Sequence[str], size: int = 100, q: float = 0.05, alpha: float = 0.001) -> DataFrame:
+    """run, seq, drifting: changes in the error of rows run, seq, y, p, and the features that drifted, by name.
+
+    The state of a run is four numbers and two windows a feature. Rows of one micro-batch are taken in order of
+    seq; batches must arrive in order.
+    """
+    state_type = "n long, sum double, n_min long, sum_min double, reference array<double>, n_reference array<int>, current array<double>, n_current array<int>"
+
+    def cut(values: Sequence[float], lengths: Sequence[int]) -> list[list[float]]:
+        ends = [sum(lengths[: i + 1]) for i in range(len(lengths))]
+        return [list(values[e - n : e]) for e, n in zip(ends, lengths)]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        d = TwoLevel(len(features), size, q, HoeffdingMean(alpha))
+        if state.exists:
+            d.error.n, d.error.sum, d.error.n_min, d.error.sum_min, reference, n_reference, current, n_current = state.get
+            for w, a, b in zip(d.windows, cut(reference, n_reference), cut(current, n_current)):
+                w.reference, w.current = a, deque(b, maxlen=size)
+        rows, found = pd.concat(list(frames)).sort_values("seq"), []
+        for seq, wrong, values in zip(rows["seq"], rows["y"] != rows["p"], rows[list(features)].to_numpy(float).tolist()):
+            drifting = d.add(float(wrong), values)
+            if drifting is not None:
+                found.append((key[0], seq, [features[i] for i in drifting]))
+        parts = [[w.reference for w in d.windows], [list(w.current) for w in d.windows]]
+        flat = [x for p in parts for x in ([float(v) for own in p for v in own], [len(own) for own in p])]
+        state.update((d.error.n, float(d.error.sum), d.error.n_min, float(d.error.sum_min), *flat))
+        yield pd.DataFrame(found, columns=["run", "seq", "drifting"]).astype({"run": "int32", "seq": "int64"})
+
+    return predicted.groupBy("run").applyInPandasWithState(step, "run int, seq long, drifting array<string>", state_type, "append", GroupStateTimeout.NoTimeout)
+
+
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """All that the stream gives for the input there is now, written to the shared folder and read back."""
     spark = stream.sparkSession

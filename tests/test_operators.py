@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestream.functions import clean, codes
 from lodestream.operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, trees
 from lodestream.sources import arff, generators, tables
+from lodestream.streaming import live
 
 
 def one(df):
@@ -328,3 +329,20 @@ def test_write_ranks(spark, tmp_path):
     head = [r.value for r in spark.read.text(f"file://{tmp_path}/r/header").collect()]
     body = sorted(r.value for r in spark.read.text(f"file://{tmp_path}/r/data").collect())
     assert head == ["# lower is better", "method,rank"] and body == ['"a,c",1.0', '"b""q",2.0']
+
+
+def test_two_level_tells_which_features_drift(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(0, i, int(rng.random() < (0.1 if i < 600 else 0.8)), 0, rng.gauss(0, 1), rng.gauss(4 if i >= 600 else 0, 1), rng.gauss(0, 1)) for i in range(900)]
+    whole, want = drift.TwoLevel(3, 50), []
+    for _, seq, y, p, *xs in rows:
+        found = whole.add(float(y != p), xs)
+        if found is not None:
+            want.append((seq, ["abc"[i] for i in found]))
+    assert want and "b" in want[0][1] and want[0][0] >= 600
+    schema = "run int, seq long, y int, p int, a double, b double, c double"
+    for part in range(3):  # one file a micro-batch: the state carries over
+        spark.createDataFrame(rows[part * 300 : part * 300 + 300], schema).coalesce(1).write.parquet(f"file://{tmp_path}/s/part={part}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/s/part=*")
+    got = sorted((r.seq, list(r.drifting)) for r in live.finished(live.two_level_alarms(stream, ["a", "b", "c"], 50), "append").collect())
+    assert got == want

@@ -118,6 +118,31 @@ def test_quality_filter_cuts_lines_and_keeps_columns(docs, clashing):
     assert all(r.text_key == "own text_key" and r.n_chars == len(r.text) and "Rights  reserved" not in r.text for r in rows)
 
 
+def test_boilerplate_of_depleted_documents_and_beside_near_copies(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows, footer = [], line(12)
+    for host, share in (("h80", 0.8), ("h85", 0.85), ("h90", 0.9)):
+        template = [line(round(120 * share) // 4) for _ in range(4)]
+        rows += [(host, "\n".join([*template, line(120 - 4 * len(template[0].split()))]), 4 * len(template[0].split())) for _ in range(100)]
+    rows += [("mixed", line(90) + "\n" + footer, 12) for _ in range(60)]
+    article = [line(20).split() for _ in range(9)]
+    for _ in range(600):
+        copy = [list(x) for x in article]
+        for _ in range(2):
+            rng.choice(copy)[rng.randrange(20)] = line(1)
+        rows.append(("mixed", "\n".join(map(" ".join, copy)) + "\n" + footer, 12))
+    # few groups of copies share a line: not boilerplate; many groups do: boilerplate
+    for host, groups, cut in (("few", 4, 0), ("many", 14, 12)):
+        for k in range(groups):
+            body = [line(30) for _ in range(4)]
+            rows += [(host, "\n".join([*body[:3], body[3] + " " + line(2), footer]), cut) for _ in range(15)]
+    df = spark.createDataFrame([(i, t, "en", h, len(t)) for i, (h, t, _) in enumerate(rows)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.n_removed_words for r in quality_rules.quality_report(df).collect()}
+    wrong = Counter((h, n, got[i]) for i, (h, _, n) in enumerate(rows) if got[i] != n)
+    assert not wrong, wrong
+
+
 # ---------------------------------------------------------------- 2
 
 

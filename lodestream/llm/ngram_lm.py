@@ -10,8 +10,9 @@ probability, and with each context the mass left for the shorter context, both a
 
     P(w | c) = max(n(c w) - D, 0) / n(c) + rest(c) P(w | c without its first word)
 
-P(w) is the add-one estimate. n-grams of two and more words that occur once are not listed (min_count = 2, a parameter);
-their mass is part of rest(c). An n-gram can only occur twice if its parts do, so only such are counted.
+P(w) is the add-one estimate. n-grams of two and more words that occur less than min_count times are not listed (the registered
+query has min_count = 1 and lists all); their mass is part of rest(c). An n-gram can only occur so often if its parts
+do, so only such are counted.
 
 Levels are cut into parts of about PART entries, by ranges of the hash or of the context id. Each part is a file in the shared folder,
 written under a name of its own by the task that builds it and known to the model only once that task has
@@ -337,7 +338,7 @@ def _level(made: DataFrame, parts: int, contexts: int) -> Level:
     return Level(tuple(found.get(p, ("", 0))[0] for p in range(parts)), tuple(firsts), contexts, sum(sizes))
 
 
-def _train_level(texts: DataFrame, model: Model, folder: str, more: bool) -> Level:
+def _train_level(texts: DataFrame, model: Model, folder: str, more: bool, min_count: int) -> Level:
     """The level after the last of the model; `more`: another one follows."""
     depth = len(model.levels) + 1
     radix = model.end + 1
@@ -347,12 +348,12 @@ def _train_level(texts: DataFrame, model: Model, folder: str, more: bool) -> Lev
         for _, tokens in _chunks(batches, 0):
             ids, counts, before, _ = _laid_out(model, tokens)
             context = contexts_of(model, ids, before, depth)[-1]
-            ok = (counts >= MIN_COUNT) & (context >= 0)
+            ok = (counts >= min_count) & (context >= 0)
             if depth == 1:
-                ok &= np.concatenate(([model.docs], counts[:-1])) >= MIN_COUNT
+                ok &= np.concatenate(([model.docs], counts[:-1])) >= min_count
             yield _counted(context[ok].astype(np.uint64) * np.uint64(radix) + ids[ok].astype(np.uint64), ["g", "n"])
 
-    grams = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_COUNT)
+    grams = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     grams = common.stored(grams, f"grams{depth + 1}")
     entries = grams.count()
     parts = _parts(entries)
@@ -400,7 +401,7 @@ def _gram_counts(model: Model, contexts: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, order: int = 2) -> Model:
+def train(docs: DataFrame, order: int = 2, min_count: int = MIN_COUNT) -> Model:
     """Counts and tries from all rows of docs (columns text); order is 2 or more."""
     folder = common.work_folder(docs.sparkSession)
     texts = docs.select("text")
@@ -408,7 +409,7 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     n_docs = texts.count()
     model = Model(words, n_words + n_docs, n_docs)
     for n in range(2, order + 1):
-        model = Model(words, model.tokens, n_docs, (*model.levels, _train_level(texts, model, folder, n < order)))
+        model = Model(words, model.tokens, n_docs, (*model.levels, _train_level(texts, model, folder, n < order, min_count)))
     return model
 
 
@@ -452,6 +453,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return source.mapInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score_report(docs: DataFrame, order: int = 2) -> DataFrame:
+def score_report(docs: DataFrame, order: int = 2, min_count: int = MIN_COUNT) -> DataFrame:
     """Scores of all rows of docs under a model of those not held out."""
-    return score(docs, train(docs.where(~is_held_out(F.col("doc_id"))), order))
+    return score(docs, train(docs.where(~is_held_out(F.col("doc_id"))), order, min_count))

@@ -33,7 +33,7 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_lm.score_report(read(spark, sf_dir, "documents"))
+    return ngram_lm.score_report(read(spark, sf_dir, "documents"), order=3, min_count=1)
 
 
 def op7_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -365,6 +365,39 @@ def test_language_model(docs, empty, order):
         assert all(r.score == 0 for r in ngram_lm.score(docs, model).where("n_tokens = 1").collect())
 
 
+def test_registered_language_model_lists_every_trigram(spark, monkeypatch, docs):
+    toks = lambda t: [w.translate({c: c + 32 for c in range(65, 91)}) for w in words(t)] + ["</end>"]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    train = [toks(t) for d, t, *_ in sample() if not held(d)]
+    uni = Counter(w for t in train for w in t)
+    full = {n: Counter(tuple((["<b>"] + t)[i : i + n]) for t in train for i in range(len(t) + 2 - n)) for n in (2, 3)}
+    after = {c: Counter() for n in (2, 3) for c in {g[:-1] for g in full[n]}}
+    for n in (2, 3):
+        for g, k in full[n].items():
+            after[g[:-1]][g[-1]] = k
+
+    def prob(history, w):
+        p = (uni.get(w, 0) + 1) / (sum(uni.values()) + len(uni) + 1)
+        for c in (tuple(history[-1:]), tuple(history[-2:])):
+            if c in after:
+                n = full[2][c] if len(c) == 2 else uni.get(c[0], len(train))
+                listed = {x: (k - 0.75) / n for x, k in after[c].items()}
+                p = listed.get(w, 0) + (1 - sum(listed.values())) * p
+            if len(history) == 1:
+                break
+        return p
+
+    monkeypatch.setattr(registry, "read", lambda *_: docs)
+    got = {r.doc_id: r.score for r in registry.op6_ngram_lm(spark, FOLDER).collect()}
+    for d, t, *_ in sample():
+        if d is not None and d < 900:
+            history, want = ["<b>"], 0.0
+            for w in toks(t):
+                want += math.log10(prob(history, w))
+                history.append(w)
+            assert got[d] == pytest.approx(want, rel=2e-4, abs=2e-3 * len(history)), d
+
+
 # ---------------------------------------------------------------- 7
 
 

@@ -27,6 +27,12 @@ FURNITURE = frozenset(
     "sidebar aside widget widgets comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended pagination pager search searchform complementary contentinfo".split()
 )
+#: Words that say no more than where or how furniture stands: a name of these and furniture words is furniture.
+PLACES = frozenset(
+    "area articles bar block bottom box btn button buttons container content footer form global header inline inner item items left link links list local main "
+    "nav outer page panel post posts primary right row secondary section site title top wrap wrapper".split()
+)
+#: Elements deeper than this are aligned as parts of their ancestor at this depth.
 MAX_DEPTH = 150
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -36,10 +42,10 @@ NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("hidden", "kids", "label", "names", "tag")
+    __slots__ = ("hidden", "kids", "label", "names", "tag", "tokens")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
-        self.tag, self.kids, self.names, self.hidden = tag, [], frozenset(), False
+        self.tag, self.kids, self.names, self.tokens, self.hidden = tag, [], frozenset(), (frozenset(), frozenset()), False
         self.label = UNSAFE.sub("_", tag)
         if attrs and "=" in attrs or "hidden" in attrs:
             found = {}
@@ -48,8 +54,9 @@ class Node:
             classes = sorted(re.sub(r"\d+", "0", x) for x in found.get("class", "").lower().split())
             if classes:
                 self.label = UNSAFE.sub("_", f"{tag}.{'.'.join(classes)}")
-            named = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-            self.names = frozenset(x for x in NAME_PARTS.split(named) if x)
+            named, own = (" ".join(found.get(k, "") for k in keys).lower() for keys in (("class", "role"), ("id",)))
+            self.names = frozenset(x for x in NAME_PARTS.split(f"{named} {own}") if x)
+            self.tokens = frozenset(named.split()), frozenset(own.split())
             self.hidden = "hidden" in found or found.get("aria-hidden") == "true"
 
 
@@ -85,7 +92,7 @@ def parse(source: str) -> Node:
             lower = lower if len(lower) == n else source  # case folding may change lengths
             end = lower.find(f"</{tag}", at)
             at = n if end < 0 else (source.find(">", end) + 1 or n)
-        elif tag not in VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     return root
 
@@ -115,22 +122,31 @@ def skeleton(root: Node) -> tuple[str, dict[int, int]]:
     Inline elements count as text. Equal neighbouring structures (rows, items, paragraphs) are one node.
     """
 
-    def shape(node: Node) -> tuple:
+    def shape(node: Node, depth: int) -> tuple:
         kids: list[tuple[tuple, list[Node]]] = []
+        if depth == MAX_DEPTH:
+            return f"{node.label}()", [_below(node)]
         for kid in node.kids:
             if isinstance(kid, str) or kid.tag in INLINE or kid.tag in RAW or kid.tag in VOID:
                 continue
-            own = shape(kid)
+            own = shape(kid, depth + 1)
             if kids and kids[-1][0][0] == own[0]:
                 kids[-1] = (_together(kids[-1][0], own), kids[-1][1])
             else:
                 kids.append((own, []))
         return f"{node.label}({' '.join(k[0][0] for k in kids)})", [[id(node)]] + [x for k in kids for x in k[0][1]]
 
+    def _below(node: Node) -> list[int]:
+        todo, ids = [node], []
+        while todo:
+            ids.append(id(todo[-1]))
+            todo.extend(kid for kid in todo.pop().kids if not isinstance(kid, str))
+        return ids
+
     def _together(a: tuple, b: tuple) -> tuple:
         return a[0], [x + y for x, y in zip(a[1], b[1])]
 
-    text, members = shape(root)
+    text, members = shape(root, 0)
     return text, {i: number for number, ids in enumerate(members) for i in ids}
 
 
@@ -222,7 +238,7 @@ def _holds_main(node: Node) -> bool:
     while todo:
         kid = todo.pop()
         if not isinstance(kid, str):
-            if kid.tag in ("main", "article") and not kid.names & FURNITURE:
+            if kid.tag in ("main", "article") and not _named_furniture(kid, False):
                 return True
             todo.extend(kid.kids)
     return False
@@ -233,40 +249,62 @@ def _furniture(node: Node, inside: bool) -> bool:
         return True
     if node.tag in ("html", "body", "main", "#root"):
         return False
-    if node.tag == "header" and not inside or node.names & FURNITURE:
+    if node.tag == "header" and not inside or _named_furniture(node, inside):
         return not _holds_main(node)
     return False
 
 
+def _named_furniture(node: Node, inside: bool) -> bool:
+    """Whether class, role or id name furniture.
+
+    Outside the main part one word of a block's class or role is enough; an id, which often is a heading's anchor, must
+    say nothing else. Inside, only a whole class or role counts. Headings and the wording of a sentence are never furniture
+    by name; links and plain spans only outside the main part, by a whole class or role.
+    """
+    if not node.names & FURNITURE or node.tag in HEADINGS:
+        return False
+    named, own = node.tokens
+    if node.tag in INLINE:
+        return not inside and node.tag in ("a", "span") and any(map(_whole, named))
+    if inside:
+        return any(map(_whole, named))
+    return any(not FURNITURE.isdisjoint(NAME_PARTS.split(x)) for x in named) or any(map(_whole, own))
+
+
+def _whole(token: str) -> bool:
+    parts = {x for x in NAME_PARTS.split(token) if x}
+    return not parts.isdisjoint(FURNITURE) and parts <= FURNITURE | PLACES
+
+
 def _collect(top: Node, inside: bool, out: list[tuple[int, str]]) -> None:
     parts: list[str] = []
-    linked = [0]
 
     def flush(owner: Node) -> None:
         text = " ".join("".join(parts).split())
-        if text and not (not inside and owner.tag == "li" and linked[0] >= 0.8 * len(text)):
+        if text:
             out.append((id(owner), text))
         parts.clear()
-        linked[0] = 0
 
-    def walk(node: Node, owner: Node, in_link: bool, heading_only: bool) -> None:
-        for kid in node.kids:
+    todo = [(iter(top.kids), top, False, True)]
+    while todo:
+        kids, owner, heading_only, block = todo[-1]
+        for kid in kids:
             if isinstance(kid, str):
                 if not heading_only:
                     parts.append(kid)
-                    linked[0] += len(kid.strip()) * in_link
             elif kid.tag == "br":
                 parts.append(" ")
             elif kid.tag in VOID and kid.tag != "hr" or _furniture(kid, inside):
                 if kid.tag not in INLINE and kid.tag not in VOID:
                     flush(owner)
             elif kid.tag in INLINE:
-                walk(kid, owner, in_link or kid.tag == "a", heading_only)
+                todo.append((iter(kid.kids), owner, heading_only, False))
+                break
             else:
                 flush(owner)
-                header = kid.tag == "header"
-                walk(kid, kid, in_link, (heading_only or header) and kid.tag not in HEADINGS)
-                flush(kid)
-
-    walk(top, top, False, False)
-    flush(top)
+                todo.append((iter(kid.kids), kid, (heading_only or kid.tag == "header") and kid.tag not in HEADINGS, True))
+                break
+        else:
+            todo.pop()
+            if block:
+                flush(owner)

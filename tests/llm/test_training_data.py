@@ -530,6 +530,23 @@ def test_constant_blocks_become_template(spark):
     assert all("Same sentence" not in r.text and f"Own text {r.page_id}" in r.text for r in got)
 
 
+def test_content_named_like_furniture_stays():
+    texts = lambda source: [t for _, t in dom.blocks(dom.parse(source))]
+    body = "<h2 id='related-work'>Related work</h2><h2 id='search-trees'>Trees</h2><section id='social-history'><p>Past</p></section><p>Open <kbd class='menu'>File</kbd> now</p>"
+    want = ["Related work", "Trees", "Past", "Open File now"]
+    assert texts(f"<nav>Home</nav><article>{body}<div class='share-buttons'>Share</div><div class='related'>More</div></article>") == want
+    assert texts(f"<div class='top-menu'>Home</div>{body}<ol><li><a href='#x'>A cited work</a></li></ol><div id='sidebar'>Side</div>") == [*want, "A cited work"]
+
+
+def test_deep_pages_keep_their_text():
+    for depth in (100, 149, 160, 5000):
+        source = f"<div><nav>{'<div>' * depth}menu{'</div>' * depth}</nav></div><div><article><p>first</p>{'<div>' * depth}deep{'</div>' * depth}<p>last</p></article></div>"
+        root = dom.parse(source)
+        assert [t for _, t in dom.blocks(root)] == ["first", "deep", "last"]
+        shape, numbers = dom.skeleton(root)
+        assert all(i in numbers for i, _ in dom.blocks(root)) and dom.read_skeleton(shape)[0] == "#root"
+
+
 def test_tree_matching():
     a, b = dom.read_skeleton("r(x(p()) y() z())"), dom.read_skeleton("r(x(p() q()) z())")
     assert dom.simple_tree_matching(a, b) == {0: 0, 1: 1, 2: 2, 4: 4}

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 # HTML element names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,7 +21,8 @@ CLOSES_P = frozenset(
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIPPED = frozenset("head nav footer aside form button select dialog menu object canvas audio video".split())
+SKIPPED = frozenset("nav footer aside form menu".split())
+UNSEEN = frozenset("head button select dialog object canvas audio video".split())
 #: Words of class, id and role that name page furniture.
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs footer header masthead topbar "
@@ -34,7 +36,9 @@ PLACES = frozenset(
 )
 #: Elements deeper than this are aligned as parts of their ancestor at this depth.
 MAX_DEPTH = 150
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends at the first > outside quotes, or, if a quote doesn't close, at the first >.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I | re.A) for tag in RAW}
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Characters that structure a skeleton string.
 UNSAFE = re.compile(r"[()\s]")
@@ -64,7 +68,6 @@ def parse(source: str) -> Node:
     """The element tree; text stays as str among the kids, character references decoded."""
     root = Node("#root")
     stack, at, n = [root], 0, len(source)
-    lower = None
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
@@ -85,14 +88,13 @@ def parse(source: str) -> Node:
             _close_open(stack, {"p"}, {"table", "td", "th", "li", "blockquote", "div", "article", "section", "main", "#root"})
         if tag in SELF_CLOSING:
             _close_open(stack, SELF_CLOSING[tag], SCOPES[tag])
-        node = Node(tag, m[3])
+        attrs = m[3][:-1]
+        node = Node(tag, attrs)
         stack[-1].kids.append(node)
-        if tag in RAW and not m[3].endswith("/"):
-            lower = source.lower() if lower is None else lower
-            lower = lower if len(lower) == n else source  # case folding may change lengths
-            end = lower.find(f"</{tag}", at)
-            at = n if end < 0 else (source.find(">", end) + 1 or n)
-        elif tag not in VOID and not m[3].endswith("/"):
+        if tag in RAW and not attrs.endswith("/"):
+            end = RAW_END[tag].search(source, at)
+            at = end.end() if end else n
+        elif tag not in VOID and not attrs.endswith("/"):
             stack.append(node)
     return root
 
@@ -198,18 +200,86 @@ def simple_tree_matching(a: tuple, b: tuple) -> dict[int, int]:
     return dict(weigh(a, b)[1]) if a[0] == b[0] else {}
 
 
-def blocks(root: Node) -> list[tuple[int, str]]:
-    """(id() of the block element, text) of the page's main text in page order, without page furniture.
+class Block(NamedTuple):
+    """A run of text of one block element. `words` of it, `links` of these in links; `flags`: see below."""
+
+    owner: int
+    text: str
+    words: int
+    links: int
+    flags: int
+
+
+#: Flags of a block: part of the main text by the page's own marks and names; under an element whose tag or name
+#: says furniture by the rule for main parts; the same by the rule for whole pages.
+USUAL, NAMED, NAMED_OUTSIDE = 1, 2, 4
 
-    If the page marks its main part (main, else article, or the role main), only that part counts.
+
+def page_blocks(root: Node) -> list[Block]:
+    """All visible blocks of a page in page order, furniture included, with what the page itself says of them.
+
+    If the page marks its main part (main, else article, or the role main), only that part is its usual main text.
     """
-    main = _marked(root)
-    out: list[tuple[int, str]] = []
-    for top in main or [root]:
-        _collect(top, bool(main), out)
+    main = {id(x) for x in _marked(root)}
+    out: list[Block] = []
+    parts: list[tuple[str, bool]] = []
+
+    def flush(owner: Node, named: bool, outside: bool, within: bool, into: list[tuple[str, bool]] = parts) -> None:
+        text = " ".join("".join(x for x, _ in into).split())
+        if text:
+            usual = within and not named if main else not outside
+            links = sum(len(x.split()) for x, link in into if link)
+            out.append(Block(id(owner), text, text.count(" ") + 1, links, usual * USUAL | named * NAMED | outside * NAMED_OUTSIDE))
+        into.clear()
+
+    # kids, owner, named, outside, within the main part, in a link, only headings count, is a block
+    todo = [(iter(root.kids), root, False, False, False, False, False, True)]
+    while todo:
+        kids, owner, named, outside, within, link, heading_only, block = todo[-1]
+        for kid in kids:
+            if isinstance(kid, str):
+                parts.append((kid, link))
+            elif kid.tag == "br":
+                parts.append((" ", link))
+            elif kid.tag in VOID and kid.tag != "hr" or kid.tag in UNSEEN or kid.tag in RAW or kid.hidden:
+                if kid.tag not in INLINE and kid.tag not in VOID:
+                    flush(owner, named or heading_only, outside, within)
+            elif kid.tag in INLINE:
+                if not within and not outside and _furniture(kid, False):
+                    aside = [(x, True) for x in _texts(kid)]
+                    flush(kid, named, True, within, aside)
+                    continue
+                todo.append((iter(kid.kids), owner, named, outside, within, link or kid.tag == "a", heading_only, False))
+                break
+            else:
+                flush(owner, named or heading_only, outside, within)
+                inside = within or id(kid) in main
+                only = (heading_only or kid.tag == "header") and kid.tag not in HEADINGS
+                todo.append((iter(kid.kids), kid, named or _furniture(kid, True), outside or _furniture(kid, False), inside, link, only, True))
+                break
+        else:
+            todo.pop()
+            if block:
+                flush(owner, named or heading_only, outside, within)
     return out
 
 
+def _texts(node: Node) -> list[str]:
+    todo, found = [node], []
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str):
+            found.append(kid)
+        elif kid.tag not in RAW:
+            todo.extend(reversed(kid.kids))
+    return found
+
+
+def blocks(root: Node) -> list[tuple[int, str]]:
+    """(id() of the block element, text) of the page's usual main text: what it yields without its host's wrapper."""
+    return [(b.owner, b.text) for b in page_blocks(root) if b.flags & USUAL]
+
+
 def _marked(root: Node) -> list[Node]:
     for test in (lambda n: n.tag == "main" or "main" in n.names and n.tag not in ("body", "html"), lambda n: n.tag == "article"):
         found: list[Node] = []
@@ -228,9 +298,15 @@ def _marked(root: Node) -> list[Node]:
 
 
 def _has_text(node: Node) -> bool:
-    out: list[tuple[int, str]] = []
-    _collect(node, True, out)
-    return bool(out)
+    todo = [node]
+    while todo:
+        kid = todo.pop()
+        if isinstance(kid, str):
+            if not kid.isspace() and kid:
+                return True
+        elif kid is node or not _furniture(kid, True):
+            todo.extend(kid.kids)
+    return False
 
 
 def _holds_main(node: Node) -> bool:
@@ -245,8 +321,10 @@ def _holds_main(node: Node) -> bool:
 
 
 def _furniture(node: Node, inside: bool) -> bool:
-    if node.tag in SKIPPED or node.tag in RAW or node.hidden:
+    if node.tag in UNSEEN or node.tag in RAW or node.hidden:
         return True
+    if node.tag in SKIPPED:
+        return node.tag != "form" or not _holds_main(node)
     if node.tag in ("html", "body", "main", "#root"):
         return False
     if node.tag == "header" and not inside or _named_furniture(node, inside):
@@ -274,37 +352,3 @@ def _named_furniture(node: Node, inside: bool) -> bool:
 def _whole(token: str) -> bool:
     parts = {x for x in NAME_PARTS.split(token) if x}
     return not parts.isdisjoint(FURNITURE) and parts <= FURNITURE | PLACES
-
-
-def _collect(top: Node, inside: bool, out: list[tuple[int, str]]) -> None:
-    parts: list[str] = []
-
-    def flush(owner: Node) -> None:
-        text = " ".join("".join(parts).split())
-        if text:
-            out.append((id(owner), text))
-        parts.clear()
-
-    todo = [(iter(top.kids), top, False, True)]
-    while todo:
-        kids, owner, heading_only, block = todo[-1]
-        for kid in kids:
-            if isinstance(kid, str):
-                if not heading_only:
-                    parts.append(kid)
-            elif kid.tag == "br":
-                parts.append(" ")
-            elif kid.tag in VOID and kid.tag != "hr" or _furniture(kid, inside):
-                if kid.tag not in INLINE and kid.tag not in VOID:
-                    flush(owner)
-            elif kid.tag in INLINE:
-                todo.append((iter(kid.kids), owner, heading_only, False))
-                break
-            else:
-                flush(owner)
-                todo.append((iter(kid.kids), kid, (heading_only or kid.tag == "header") and kid.tag not in HEADINGS, True))
-                break
-        else:
-            todo.pop()
-            if block:
-                flush(owner)

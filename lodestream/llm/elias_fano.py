@@ -36,16 +36,28 @@ def unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
     return (low | high) & ((ONE << U64(bits)) - ONE)
 
 
+def _select_table() -> np.ndarray:
+    """[k * 256 + byte]: place of the k-th (from 0) set bit of a byte."""
+    table = np.zeros(8 * 256, np.uint8)
+    for byte in range(256):
+        for k, place in enumerate(i for i in range(8) if byte >> i & 1):
+            table[k * 256 + byte] = place
+    return table
+
+
+SELECT = _select_table()
+EACH_BYTE, TOP_BITS = U64(0x0101010101010101), U64(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each word."""
-    place = np.zeros(len(word), U64)
-    for half in (32, 16, 8, 4, 2, 1):
-        part = (word >> place) & ((ONE << U64(half)) - ONE)
-        ones = np.bitwise_count(part).astype(np.int64)
-        right = k >= ones
-        k = np.where(right, k - ones, k)
-        place = np.where(right, place + U64(half), place)
-    return place.astype(np.int64)
+    """Place of the k-th (from 0) set bit of each word: its byte by the bytes' running sums, then by table."""
+    k = k.astype(U64)
+    pairs = word - ((word >> ONE) & U64(0x5555555555555555))
+    nibbles = (pairs & U64(0x3333333333333333)) + ((pairs >> U64(2)) & U64(0x3333333333333333))
+    sums = ((nibbles + (nibbles >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * EACH_BYTE
+    place = np.bitwise_count(((k * EACH_BYTE | TOP_BITS) - sums) & TOP_BITS).astype(U64) << U64(3)
+    rest = k - (((sums << U64(8)) >> place) & U64(255))
+    return (place + SELECT[(rest << U64(8)) | ((word >> place) & U64(255))]).astype(np.int64)
 
 
 class EliasFano:
@@ -96,12 +108,19 @@ class EliasFano:
         out = np.zeros(len(high), np.int64)
         some = high > 0
         k = high[some] - 1  # the k-th zero ends the run of high part k
-        words = np.arange(len(self.high), dtype=np.int64) * 64 - self.ones[:-1] if not hasattr(self, "_zeros") else self._zeros
-        self._zeros = words
-        word = np.searchsorted(words, k, side="right") - 1
-        out[some] = (word << 6) + _select_in_word(~self.high[word], k - words[word]) - k
+        if not hasattr(self, "_zeros"):
+            self._zeros = np.arange(len(self.high), dtype=np.int64) * 64 - self.ones[:-1]
+        word = np.searchsorted(self._zeros, k, side="right") - 1
+        out[some] = (word << 6) + _select_in_word(~self.high[word], k - self._zeros[word]) - k
         return out
 
+    def _run(self, bit: np.ndarray) -> np.ndarray:
+        """Length of the run of ones that begins at each bit, 64 for longer ones."""
+        word, off = bit >> 6, (bit & 63).astype(U64)
+        after = np.minimum(word + 1, len(self.high) - 1)
+        window = (self.high[word] >> off) | np.where(off == 0, U64(0), self.high[after] << ((U64(64) - off) & U64(63)))
+        return np.bitwise_count(window & ~(window + ONE)).astype(np.int64)
+
     def find(self, value: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
         """Index of each value among the elements [lo, hi), or -1. Elements of the range are distinct."""
         value = value.astype(U64)
@@ -109,20 +128,23 @@ class EliasFano:
         limit = len(self.high) * 64 - self.n - 2
         inside = high <= limit
         high = np.where(inside, high, 0)
-        both = self._before(np.concatenate((high, high + 1)))
-        left, right = np.maximum(both[: len(value)], lo), np.minimum(both[len(value) :], self.n if hi is None else hi)
+        left = self._before(high)
+        run = self._run(np.minimum(left + high, len(self.high) * 64 - 1))
+        right = left + run
+        long = np.flatnonzero(run >= 64)
+        right[long] = self._before(high[long] + 1)
+        left, right = np.maximum(left, lo), np.minimum(right, self.n if hi is None else hi)
         right = np.where(inside, right, left)
         want = value & ((ONE << U64(self.low_bits)) - ONE)
         end = right.copy()
-        while True:
-            open_ = np.flatnonzero(left < right)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(left < right)
+        while len(open_):
             mid = (left[open_] + right[open_]) >> 1
             less = unpack(self.low, self.low_bits, mid) < want[open_]
-            left[open_] = np.where(less, mid + 1, left[open_])
-            right[open_] = np.where(less, right[open_], mid)
-        hit = left < end
+            left[open_[less]] = mid[less] + 1
+            right[open_[~less]] = mid[~less]
+            open_ = open_[left[open_] < right[open_]]
+        hit = np.flatnonzero(left < end)
         found = np.full(len(value), -1, np.int64)
         at = left[hit]
         found[hit] = np.where(unpack(self.low, self.low_bits, at) == want[hit], at, -1)

@@ -14,21 +14,27 @@ P(w) is the add-one estimate. n-grams of two and more words that occur less than
 query has min_count = 1 and lists all); their mass is part of rest(c). An n-gram can only occur so often if its parts
 do, so only such are counted.
 
-Levels are cut into parts of about PART entries, by ranges of the hash or of the context id. Each part is a file in the shared folder,
-written under a name of its own by the task that builds it and known to the model only once that task has
-succeeded; scoring tasks map the files into memory. A context's list is at most as long as the vocabulary.
+Texts are read twice: to count the words, and to write each document as its words' ids, a table from which the
+n-grams are counted and the documents scored.
 
-Defined results: a null or blank text is the end token alone; a null doc_id counts as empty text for the split; equal
+Levels are cut into parts of about PART entries, level 1 by ranges of the hash, the others by ranges of
+(context, word) that Spark's range partitioning makes equally long, so that the successors of a very frequent context
+spread over parts. The mass of the few contexts at the parts' ends is summed on the driver. Each part is a file
+in the shared folder, written under a name of its own by the task that builds it and known to the model only once
+that task has succeeded; scoring tasks map the files into memory.
+
+Defined results: a very long text is one row in one task, its words an array of ids; a null or blank text is the end token alone; a null doc_id counts as empty text for the split; equal
 rows score alike; with no training documents every token has probability 1. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,19 +52,25 @@ SEED, FOLDS, HELD_OUT = 42, 7, 2
 DISCOUNT, MIN_COUNT = 0.75, 2
 PART = 1 << 20
 #: Tokens handled at once; a longer document is handled whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Hashed words kept by a task.
+KNOWN_WORDS = 1 << 20
 #: Steps of the stored logarithms: 4096 a decade, over sixteen decades.
 STEPS = 4096.0
 
 
 @dataclass(frozen=True)
 class Level:
-    """Parts in order: file, first global index of their entries; `contexts` ids are cut into equal ranges."""
+    """Parts in order: file, first global index of their entries, and but for words first context and word.
+
+    `shared`: contexts at the ends of parts, whose entries several parts may hold, with their rest.
+    """
 
     paths: tuple[str, ...]
     firsts: tuple[int, ...]
-    contexts: int
     entries: int
+    first_pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.complex128))
+    shared: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
 
 @dataclass(frozen=True)
@@ -146,22 +158,34 @@ def restored(q: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- tokens
 
 
+class _Hashes(dict):
+    """Hash of each word, computed when first met; forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_hashes = _Hashes()
+
+
 def token_hashes(text: str | None) -> np.ndarray:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(t, SEED) for t in tokens), np.uint64, len(tokens))
+    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, chunk: int = CHUNK) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """(other columns' rows, token hashes) of documents with about `chunk` tokens together."""
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, read: Callable, chunk: int = CHUNK) -> Iterator[tuple[list[tuple], list[np.ndarray]]]:
+    """(other columns' rows, arrays read from the column) of documents with about `chunk` tokens together."""
     rows, tokens, n = [], [], 0
     for batch in batches:
-        others = [batch.column(i).to_pylist() for i in range(batch.num_columns) if i != column]
-        for at, text in enumerate(batch.column(column)):
-            hashes = token_hashes(text.as_py())
-            rows.append([o[at] for o in others])
-            tokens.append(hashes)
-            n += len(hashes) + 1
+        others = zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns) if i != column]) if batch.num_columns > 1 else iter([()] * batch.num_rows)
+        for row, value in zip(others, batch.column(column)):
+            own = read(value.as_py())
+            rows.append(row)
+            tokens.append(own)
+            n += len(own) + 1
             if n >= chunk:
                 yield rows, tokens
                 rows, tokens, n = [], [], 0
@@ -169,11 +193,6 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int, chunk: int = CHUNK)
         yield rows, tokens
 
 
-def _counted(keys: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    found, n = np.unique(keys, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=names)
-
-
 def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % FOLDS == HELD_OUT
 
@@ -228,73 +247,91 @@ def _by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[own[0]]), own
 
 
-def _range_of(context: np.ndarray, level: Level) -> np.ndarray:
-    return context // _width(level.contexts, len(level.paths))
-
-
-def _width(contexts: int, parts: int) -> int:
-    return max(1, -(-contexts // parts))
-
-
 def successors(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Global index (-1: not listed), listed probability (0: none) and the context's rest, for each pair.
 
     Pairs repeat, and sorted look-ups read the level in order: each distinct pair is looked up once.
     """
-    radix = int(word.max(initial=0)) + 1
-    keys, back = np.unique(context * radix + word, return_inverse=True)
-    return tuple(found[back] for found in _sorted_successors(level, keys // radix, keys % radix))
+    codes, distinct = pd.factorize(_pair_keys(context, word))
+    first = np.zeros(len(distinct), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    context, word = context[first], word[first]
+    order = np.lexsort((word, context)) if len(level.paths) > 1 else np.argsort(context, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    back = back[codes]
+    return tuple(found[back] for found in _sorted_successors(level, context[order], word[order]))
+
+
+def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A key for each pair: one number, or the rank among the distinct pairs where that would pass 63 bits."""
+    radix = int(word.max(initial=0)) + 2
+    if int(context.max(initial=0) + 1) * radix < 1 << 63:
+        return context * radix + word + 1
+    distinct = pd.factorize(context)[0].astype(np.int64)
+    return distinct * radix + word + 1
 
 
 def _sorted_successors(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index, listed, rest = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-    width = _width(level.contexts, len(level.paths))
-    for p, own in _by_part(context // width):
-        uri = level.paths[p]
-        if not uri:
+    part = np.searchsorted(level.first_pairs, context + 1j * word, side="right") - 1
+    for p, own in _by_part(part):
+        if p < 0:
             continue
-        arrays = map_arrays(uri)
-        local = context[own] - p * width
-        codes = arrays["rest"][local]
-        rest[own] = restored(codes)
-        some = codes > 0  # a context with successors leaves less than all
-        own, local = own[some], local[some]
-        pointers, values = _sequence(uri, "pointer"), _sequence(uri, "successor")
-        lo, hi = np.split(pointers.get(np.concatenate((local, local + 1))).astype(np.int64), 2)
+        arrays = map_arrays(level.paths[p])
+        first, n = arrays["span"].tolist()
+        # what belongs to a context is read once for its run of pairs
+        starts = np.flatnonzero(np.diff(context[own], prepend=-1))
+        lengths = np.diff(np.append(starts, len(own)))
+        local = context[own[starts]] - first
+        inside = local < n
+        local = np.where(inside, local, 0)
+        codes = np.where(inside, arrays["rest"][local], 0)
+        rest[own] = np.repeat(restored(codes), lengths)
+        some = np.flatnonzero(codes > 0)  # a context with successors leaves less than all
+        pointers, values = _sequence(level.paths[p], "pointer"), _sequence(level.paths[p], "successor")
+        lo, hi = np.split(pointers.get(np.concatenate((local[some], local[some] + 1))).astype(np.int64), 2)
         base = np.zeros(len(lo), np.uint64)
         late = lo > 0
         base[late] = values.get(lo[late] - 1) + np.uint64(1)
-        at = values.find(base + word[own].astype(np.uint64), lo, hi)
-        hit = at >= 0
+        within = np.repeat(codes > 0, lengths)
+        own, lengths = own[within], lengths[some]
+        at = values.find(np.repeat(base, lengths) + word[own].astype(np.uint64), np.repeat(lo, lengths), np.repeat(hi, lengths))
+        hit = np.flatnonzero(at >= 0)
         index[own[hit]] = at[hit] + level.firsts[p]
         listed[own[hit]] = restored(arrays["prob"][at[hit]])
+    contexts, codes = level.shared
+    if len(contexts):
+        at = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+        hit = np.flatnonzero(contexts[at] == context)
+        rest[hit] = restored(codes[at[hit]])
     return index, listed, rest
 
 
-def _laid_out(model: Model, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, counts and previous ids of all tokens, ends included, and the number of tokens of each document."""
-    lengths = np.array([len(t) + 1 for t in tokens])
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    codes, distinct = pd.factorize(flat)
-    ids, counts = word_ids(model, distinct)
-    ends = np.cumsum(lengths) - 1
-    is_end = np.zeros(int(lengths.sum()), bool)
-    is_end[ends] = True
-    all_ids, all_counts = np.full(len(is_end), model.end, np.int64), np.full(len(is_end), model.docs, np.int64)
-    all_ids[~is_end], all_counts[~is_end] = ids[codes], counts[codes]
-    before = np.concatenate(([model.end], all_ids[:-1]))  # what follows an end follows a beginning
-    return all_ids, all_counts, before, lengths
+def _laid_out(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and previous ids of all tokens, ends included, and the number of tokens of each document."""
+    lengths = np.array([len(t) + 1 for t in docs])
+    ids = np.full(int(lengths.sum()), model.end, np.int64)
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    ids[inner] = np.concatenate(docs)
+    return ids, np.concatenate(([model.end], ids[:-1])), lengths  # what follows an end follows a beginning
+
 
+def contexts_of(model: Model, ids: np.ndarray, before: np.ndarray, depth: int, prob: np.ndarray | None = None) -> list[np.ndarray]:
+    """For level 2, 3, ... up to `depth` the id of each token's context there, -1 where the level has none.
 
-def contexts_of(model: Model, ids: np.ndarray, before: np.ndarray, depth: int) -> list[np.ndarray]:
-    """For level 2, 3, ... the id of each token's context there, -1 where the level has none."""
+    prob, the probabilities without a context, is raised in place to those of the whole model (which has `depth` levels).
+    """
     out = [before]
-    for n in range(depth - 1):
-        level = model.levels[n]
+    for n in range(depth if prob is not None else depth - 1):
         here = out[-1]
-        known = np.flatnonzero((here >= 0) & (ids >= 0) & (ids != model.end))
+        asked = np.flatnonzero(here >= 0) if prob is not None else np.flatnonzero((here >= 0) & (ids >= 0) & (ids != model.end))
+        index, listed, rest = successors(model.levels[n], here[asked], ids[asked])
+        if prob is not None:
+            prob[asked] = listed + rest * prob[asked]
         grams = np.full(len(ids), -1, np.int64)
-        grams[known] = successors(level, here[known], ids[known])[0]
+        grams[asked] = np.where(ids[asked] == model.end, -1, index)
         out.append(np.concatenate(([-1], grams[:-1])))
     return out
 
@@ -307,10 +344,15 @@ def _parts(entries: int) -> int:
     return 1 << max(0, (-(-entries // PART) - 1).bit_length())
 
 
+def _read_ids(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.int32)
+
+
 def _train_words(texts: DataFrame, folder: str) -> tuple[Level, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches, 0):
-            yield _counted(np.concatenate(tokens), ["h", "n"])
+        for _, tokens in _chunks(batches, 0, token_hashes):
+            codes, found = pd.factorize(np.concatenate(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(codes, minlength=len(found)))], names=["h", "n"])
 
     counts = common.stored(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     entries, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -327,67 +369,111 @@ def _train_words(texts: DataFrame, folder: str) -> tuple[Level, int]:
 
     part = F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
     made = common.stored(counts.withColumn("part", part).groupBy("part").applyInArrow(build, "part long, path string, entries long"), "word_parts")
-    return _level(made, parts, entries), tokens
+    return _level(made, parts), tokens
 
 
-def _level(made: DataFrame, parts: int, contexts: int) -> Level:
-    """The parts' files; their number is entries / PART, a few bytes each."""
+def _level(made: DataFrame, parts: int) -> Level:
+    """Level 1: the parts' files; their number is entries / PART, a few bytes each."""
     found = {r["part"]: (r["path"], r["entries"]) for r in made.collect()}
     sizes = [found.get(p, (None, 0))[1] for p in range(parts)]
-    firsts = [sum(sizes[:p]) for p in range(parts)] if parts < 1000 else [0, *np.cumsum(sizes[:-1]).tolist()]
-    return Level(tuple(found.get(p, ("", 0))[0] for p in range(parts)), tuple(firsts), contexts, sum(sizes))
+    return Level(tuple(found.get(p, ("", 0))[0] for p in range(parts)), tuple([0, *np.cumsum(sizes[:-1]).tolist()]), sum(sizes))
+
+
+def _encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, ids (32-bit word ids, -1: unknown), n_known and base_score of every row: a stored table."""
+    end = math.log10((model.docs + 1) / model.floor_mass()) if model.docs else math.log10(1 / model.floor_mass())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, tokens in _chunks(batches, 2, token_hashes):
+            lengths = np.array([len(t) for t in tokens])
+            codes, distinct = pd.factorize(np.concatenate(tokens))
+            ids, counts = word_ids(model, distinct)
+            ids, base = ids.astype(np.int32)[codes], np.log10((counts + 1) / model.floor_mass())[codes]
+            stops = np.cumsum(lengths)
+            sums, hits = np.concatenate(([0.0], np.cumsum(base))), np.concatenate(([0], np.cumsum(ids >= 0)))
+            arrays = [
+                pa.array([r[0] for r in rows], id_type),
+                pa.array([r[1] for r in rows], pa.bool_()),
+                pa.array([ids[stop - n : stop].tobytes() for stop, n in zip(stops.tolist(), lengths.tolist())], pa.binary()),
+                pa.array(hits[stops] - hits[stops - lengths] + (model.docs > 0)),
+                pa.array([float(base[stop - n : stop].sum()) + end for stop, n in zip(stops.tolist(), lengths.tolist())]),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "ids", "n_known", "base_score"])
+
+    if model.words.entries >= 1 << 31:
+        raise ValueError("more than 2**31 distinct words")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    source = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    return common.stored(source.mapInArrow(encode, f"doc_id {kind}, held_out boolean, ids binary, n_known long, base_score double"), "encoded")
 
 
-def _train_level(texts: DataFrame, model: Model, folder: str, more: bool, min_count: int) -> Level:
-    """The level after the last of the model; `more`: another one follows."""
+def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_count: int) -> Level:
+    """The level after the last of the model; `more`: another one follows. encoded: the training documents."""
     depth = len(model.levels) + 1
-    radix = model.end + 1
-    contexts = radix if depth == 1 else model.levels[-1].entries
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, tokens in _chunks(batches, 0):
-            ids, counts, before, _ = _laid_out(model, tokens)
+        for _, docs in _chunks(batches, 0, _read_ids):
+            ids, before, _ = _laid_out(model, docs)
             context = contexts_of(model, ids, before, depth)[-1]
-            ok = (counts >= min_count) & (context >= 0)
-            if depth == 1:
-                ok &= np.concatenate(([model.docs], counts[:-1])) >= min_count
-            yield _counted(context[ok].astype(np.uint64) * np.uint64(radix) + ids[ok].astype(np.uint64), ["g", "n"])
-
-    grams = texts.mapInArrow(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    grams = common.stored(grams, f"grams{depth + 1}")
-    entries = grams.count()
-    parts = _parts(entries)
-    width = _width(contexts, parts)
-
-    def build(rows: pa.Table) -> pa.Table:
-        part = rows.column("part")[0].as_py()
-        g, n = rows.column("g").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-        order = np.argsort(g)
-        g, n = g[order], n[order]
-        context, word = (g // np.uint64(radix)).astype(np.int64), g % np.uint64(radix)
+            ok = np.flatnonzero((ids >= 0) & (context >= 0))
+            context, word = context[ok], ids[ok]
+            codes, found = pd.factorize(_pair_keys(context, word))
+            first = np.zeros(len(found), np.int64)
+            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+            arrays = [pa.array(context[first]), pa.array(word[first].astype(np.int32)), pa.array(np.bincount(codes, minlength=len(found)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["c", "w", "n"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if not found:
+            return
+        rows = pa.Table.from_batches(found)
+        context, word, n = (rows.column(k).to_numpy() for k in ("c", "w", "n"))
+        order = np.lexsort((word, context))
+        context, word, n = context[order], word[order].astype(np.uint64), n[order]
         starts = np.flatnonzero(np.diff(context, prepend=-1))
         total = _gram_counts(model, context[starts], depth)
-        sizes = np.diff(np.append(starts, len(g)))
+        sizes = np.diff(np.append(starts, len(word)))
         prob = (n - DISCOUNT) / np.repeat(total, sizes)
-        local = context[starts] - part * width
+        first, width = int(context[0]), int(context[-1] - context[0]) + 1
+        local, mass = context[starts] - first, np.add.reduceat(prob, starts)
         rest = np.zeros(width, np.uint16)
-        rest[local] = np.maximum(quantised(1.0 - np.add.reduceat(prob, starts)), 1)
+        rest[local] = _rest_code(mass)
         held = np.zeros(width, np.int64)
         held[local] = sizes
         pointers = np.concatenate(([0], np.cumsum(held)))
-        lasts = word[np.append(starts[1:], len(g)) - 1] + np.uint64(1)
+        lasts = word[np.append(starts[1:], len(word)) - 1] + np.uint64(1)
         raised = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lasts)[:-1].astype(np.uint64)))
-        values = word + np.repeat(raised, sizes)
-        arrays = _named("pointer", EliasFano.of(pointers)) | _named("successor", EliasFano.of(values))
-        arrays |= {"rest": rest, "prob": quantised(prob)}
+        arrays = _named("pointer", EliasFano.of(pointers)) | _named("successor", EliasFano.of(word + np.repeat(raised, sizes)))
+        arrays |= {"span": np.array([first, width], np.int64), "rest": rest, "prob": quantised(prob)}
         if more:  # the next level's contexts are this level's entries
             arrays |= _named("count", EliasFano.of(np.concatenate(([0], np.cumsum(n)))))
         path = write_arrays(folder, f"grams{depth + 1}", arrays)
-        return pa.table({"part": rows.column("part")[:1], "path": [path], "entries": pa.array([len(g)], pa.int64())})
-
-    by_part = grams.withColumn("part", F.expr(f"(g div {radix}L) div {width}L"))
-    made = common.stored(by_part.groupBy("part").applyInArrow(build, "part long, path string, entries long"), f"parts{depth + 1}")
-    return _level(made, parts, contexts)
+        ends = [first, int(word[0]), float(mass[0]), int(context[-1]), float(mass[-1]) if len(mass) > 1 else 0.0]
+        yield pa.RecordBatch.from_pylist([dict(zip(made_names, [path, len(word), *ends]))])
+
+    made_names = ["path", "entries", "c", "w", "mass", "last", "last_mass"]
+    grams = encoded.select("ids").mapInArrow(count, "c long, w int, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    # as many parts as all tokens would need: their number bounds that of the distinct n-grams
+    ranges = grams.repartitionByRange(_parts(max(1, model.tokens)), "c", "w")
+    made = common.stored(ranges.mapInArrow(build, "path string, entries long, c long, w long, mass double, last long, last_mass double"), f"parts{depth + 1}")
+    parts = sorted(made.collect(), key=lambda r: (r["c"], r["w"]))
+    mass: dict[int, float] = {}
+    for r in parts:
+        mass[r["c"]] = mass.get(r["c"], 0.0) + r["mass"]
+        if r["last"] != r["c"]:
+            mass[r["last"]] = mass.get(r["last"], 0.0) + r["last_mass"]
+    ends = np.array(sorted(mass), np.int64)
+    codes = _rest_code(np.array([mass[c] for c in ends.tolist()]))
+    sizes = [r["entries"] for r in parts]
+    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist() if parts else []
+    pairs = np.array([complex(r["c"], r["w"]) for r in parts], np.complex128)
+    return Level(tuple(r["path"] for r in parts), tuple(firsts), sum(sizes), pairs, (ends, codes))
+
+
+def _rest_code(mass: np.ndarray) -> np.ndarray:
+    return np.maximum(quantised(1.0 - mass), 1)
 
 
 def _gram_counts(model: Model, contexts: np.ndarray, depth: int) -> np.ndarray:
@@ -402,57 +488,69 @@ def _gram_counts(model: Model, contexts: np.ndarray, depth: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, order: int = 2, min_count: int = MIN_COUNT) -> Model:
-    """Counts and tries from all rows of docs (columns text); order is 2 or more."""
+    """Counts and tries from all rows of docs (columns doc_id, text); order is 2 or more."""
+    return _trained(docs, docs, lambda encoded: encoded, order, min_count)[0]
+
+
+def _trained(docs: DataFrame, rated: DataFrame, training: Callable[[DataFrame], DataFrame], order: int, min_count: int) -> tuple[Model, DataFrame]:
+    """A model of docs, and the rows of `rated` encoded by it; `training` gives those of docs among them."""
     folder = common.work_folder(docs.sparkSession)
     texts = docs.select("text")
     words, n_words = _train_words(texts, folder)
     n_docs = texts.count()
     model = Model(words, n_words + n_docs, n_docs)
+    encoded = _encoded(rated, model)
     for n in range(2, order + 1):
-        model = Model(words, model.tokens, n_docs, (*model.levels, _train_level(texts, model, folder, n < order, min_count)))
-    return model
+        level = _train_level(training(encoded), model, folder, n < order, min_count)
+        model = Model(words, model.tokens, n_docs, (*model.levels, level))
+    return model, encoded
 
 
 # ---------------------------------------------------------------- scoring
 
 
-def log_probabilities(model: Model, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """log10 of the model's and of the add-one estimate, counts, for all tokens; tokens of each document."""
-    ids, counts, before, lengths = _laid_out(model, tokens)
-    base = (counts + 1) / model.floor_mass()
-    prob = base.copy()
-    contexts = contexts_of(model, ids, before, len(model.levels)) if model.levels else []
-    for level, context in zip(model.levels, contexts):
-        known = np.flatnonzero(context >= 0)
-        _, listed, rest = successors(level, context[known], np.where(ids[known] >= 0, ids[known], model.end + 1))
-        prob[known] = listed + rest * prob[known]
-    return np.log10(prob), np.log10(base), counts, lengths
-
+def log_probabilities(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """log10 probabilities of all tokens of documents of word ids, and the tokens of each document."""
+    ids, before, lengths = _laid_out(model, docs)
+    codes, distinct = pd.factorize(ids)
+    counts = np.zeros(len(distinct), np.int64)
+    known = np.flatnonzero(distinct >= 0)
+    counts[known] = counts_of(model, distinct[known])
+    prob = ((counts + 1) / model.floor_mass())[codes]
+    contexts_of(model, ids, before, len(model.levels), prob)
+    return np.log10(prob), lengths
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
 
+def _scored(encoded: DataFrame, model: Model) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, tokens in _chunks(batches, 2, CHUNK // 2):
-            prob, base, counts, lengths = log_probabilities(model, tokens)
+        for rows, docs in _chunks(batches, 0, _read_ids):
+            prob, lengths = log_probabilities(model, docs)
             starts = np.cumsum(lengths) - lengths
+            columns = [list(c) for c in zip(*rows)]
             arrays = [
-                pa.array([r[0] for r in rows], id_type),
-                pa.array([r[1] for r in rows], pa.bool_()),
+                pa.array(columns[0], id_type),
+                pa.array(columns[1], pa.bool_()),
                 pa.array(lengths.astype(np.int64)),
-                pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+                pa.array(columns[2], pa.int64()),
                 pa.array(np.full(len(rows), model.tokens, np.int64)),
-                pa.array(np.add.reduceat(base, starts)),
+                pa.array(columns[3], pa.float64()),
                 pa.array(np.add.reduceat(prob, starts)),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = encoded.schema["doc_id"].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    source = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    source = encoded.select("ids", "doc_id", "held_out", "n_known", "base_score")
     return source.mapInArrow(rate, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
+    return _scored(_encoded(docs, model), model)
+
+
 def score_report(docs: DataFrame, order: int = 2, min_count: int = MIN_COUNT) -> DataFrame:
     """Scores of all rows of docs under a model of those not held out."""
-    return score(docs, train(docs.where(~is_held_out(F.col("doc_id"))), order, min_count))
+    known = docs.where(~is_held_out(F.col("doc_id")))
+    model, encoded = _trained(known, docs, lambda rows: rows.where("not held_out"), order, min_count)
+    return _scored(encoded, model)

@@ -17,9 +17,11 @@ do, so only such are counted.
 Texts are read twice: to count the words, and to write each document as its words' ids, a table from which the
 n-grams are counted and the documents scored.
 
-Levels are cut into parts of about PART entries, level 1 by ranges of the hash, the others by ranges of
-(context, word) that Spark's range partitioning makes equally long, so that the successors of a very frequent context
-spread over parts. The mass of the few contexts at the parts' ends is summed on the driver. Each part is a file
+Levels are cut into parts, level 1 of about PART entries by ranges of the hash, the others by ranges of (context,
+word) that hold about PART tokens each: how often contexts and words occur is known from the level before, so a
+pair's place is the tokens of earlier contexts, plus its own context's times the share of earlier words. The
+successors of a very frequent context so spread over parts. Counted n-grams are shuffled as one row for each chunk
+and part. The mass of the few contexts at the parts' ends is summed on the driver. Each part is a file
 in the shared folder, written under a name of its own by the task that builds it and known to the model only once
 that task has succeeded; scoring tasks map the files into memory.
 
@@ -61,15 +63,16 @@ STEPS = 4096.0
 
 @dataclass(frozen=True)
 class Level:
-    """Parts in order: file, first global index of their entries, and but for words first context and word.
+    """Parts in order: file, and the number of entries and of tokens before them; but for words, first context and word.
 
     `shared`: contexts at the ends of parts, whose entries several parts may hold, with their rest.
     """
 
     paths: tuple[str, ...]
     firsts: tuple[int, ...]
+    tokens: tuple[int, ...]
     entries: int
-    first_pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.complex128))
+    first_pairs: tuple[tuple[int, int], ...] = ()
     shared: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.uint16))
 
 
@@ -151,8 +154,11 @@ def quantised(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(x, 1e-15)) * STEPS), 0, 65535).astype(np.uint16)
 
 
+RESTORED = 10.0 ** (np.arange(1 << 16) / -STEPS)
+
+
 def restored(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q / -STEPS)
+    return RESTORED[q]
 
 
 # ---------------------------------------------------------------- tokens
@@ -218,15 +224,22 @@ def word_ids(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, counts
 
 
+def running(model: Model, depth: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens before each of a level's entries, and its own. Of words (depth 1), the end's id stands last."""
+    level = model.words if depth == 1 else model.levels[depth - 2]
+    before, own = np.full(len(ids), model.tokens - model.docs, np.int64), np.full(len(ids), model.docs, np.int64)
+    part = np.searchsorted(np.array(level.firsts), ids, side="right") - 1
+    for p, at in _by_part(np.where(ids == model.end, -1, part) if depth == 1 else part):
+        if p >= 0:
+            local = ids[at] - level.firsts[p]
+            lo, hi = np.split(_sequence(level.paths[p], "count").get(np.concatenate((local, local + 1))).astype(np.int64), 2)
+            before[at], own[at] = lo + level.tokens[p], hi - lo
+    return before, own
+
+
 def counts_of(model: Model, ids: np.ndarray) -> np.ndarray:
     """Counts of word ids; the end's id as a context is the beginning, which every document has."""
-    out = np.full(len(ids), model.docs, np.int64)
-    firsts = np.array(model.words.firsts)
-    part = np.searchsorted(firsts, ids, side="right") - 1
-    for p, own in _by_part(np.where(ids == model.end, -1, part)):
-        if p >= 0:
-            out[own] = _run_lengths(_sequence(model.words.paths[p], "count"), ids[own] - firsts[p])
-    return out
+    return running(model, 1, ids)[1]
 
 
 def _run_lengths(sums: EliasFano, at: np.ndarray) -> np.ndarray:
@@ -252,32 +265,47 @@ def successors(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.
 
     Pairs repeat, and sorted look-ups read the level in order: each distinct pair is looked up once.
     """
-    codes, distinct = pd.factorize(_pair_keys(context, word))
-    first = np.zeros(len(distinct), np.int64)
-    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-    context, word = context[first], word[first]
-    order = np.lexsort((word, context)) if len(level.paths) > 1 else np.argsort(context, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    back = back[codes]
-    return tuple(found[back] for found in _sorted_successors(level, context[order], word[order]))
-
-
-def _pair_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """A key for each pair: one number, or the rank among the distinct pairs where that would pass 63 bits."""
+    context, word, _, back = _distinct_pairs(context, word, True)
+    return tuple(found[back] for found in _sorted_successors(level, context, word))
+
+
+def _distinct_pairs(context: np.ndarray, word: np.ndarray, places: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """The distinct pairs in order, how often each occurs, and with `places` where each of the given pairs is among them."""
     radix = int(word.max(initial=0)) + 2
-    if int(context.max(initial=0) + 1) * radix < 1 << 63:
-        return context * radix + word + 1
-    distinct = pd.factorize(context)[0].astype(np.int64)
-    return distinct * radix + word + 1
+    wide = int(context.max(initial=0) + 1) * radix >= 1 << 63
+    codes, contexts = pd.factorize(context, sort=True) if wide else (None, None)
+    keys = (codes.astype(np.int64) if wide else context) * radix + (word + 1)
+    codes, keys = pd.factorize(keys)
+    n = np.bincount(codes, minlength=len(keys))
+    order = np.argsort(keys)
+    keys = keys[order]
+    back = None
+    if places:
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        back = rank[codes]
+    context = keys // radix
+    word = keys - context * radix - 1
+    return contexts[context] if wide else context, word, n[order], back
+
+
+def _in_parts(level: Level, context: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each part, which of the sorted pairs are not before its first pair, nor behind the next one's."""
+    if not len(level.paths):
+        return
+    first = np.array([c for c, _ in level.first_pairs], np.int64)
+    cuts = np.searchsorted(context, first, side="left")
+    for p in np.flatnonzero(cuts < np.searchsorted(context, first, side="right")):
+        end = np.searchsorted(context, first[p], side="right")
+        cuts[p] += np.searchsorted(word[cuts[p] : end], level.first_pairs[p][1])
+    ends = np.append(cuts[1:], len(context))
+    for p in np.flatnonzero(cuts < ends).tolist():
+        yield p, np.arange(cuts[p], ends[p])
 
 
 def _sorted_successors(level: Level, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     index, listed, rest = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.ones(len(context))
-    part = np.searchsorted(level.first_pairs, context + 1j * word, side="right") - 1
-    for p, own in _by_part(part):
-        if p < 0:
-            continue
+    for p, own in _in_parts(level, context, word):
         arrays = map_arrays(level.paths[p])
         first, n = arrays["span"].tolist()
         # what belongs to a context is read once for its run of pairs
@@ -365,18 +393,22 @@ def _train_words(texts: DataFrame, folder: str) -> tuple[Level, int]:
         order = np.argsort(h)
         sums = np.concatenate(([0], np.cumsum(n[order])))
         path = write_arrays(folder, "words", _named("hash", EliasFano.of(h[order])) | _named("count", EliasFano.of(sums)))
-        return pa.table({"part": rows.column("part")[:1], "path": [path], "entries": pa.array([len(h)], pa.int64())})
+        return pa.table({"part": rows.column("part")[:1], "path": [path], "entries": pa.array([len(h)], pa.int64()), "tokens": pa.array(sums[-1:])})
 
     part = F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
-    made = common.stored(counts.withColumn("part", part).groupBy("part").applyInArrow(build, "part long, path string, entries long"), "word_parts")
+    made = common.stored(counts.withColumn("part", part).groupBy("part").applyInArrow(build, "part long, path string, entries long, tokens long"), "word_parts")
     return _level(made, parts), tokens
 
 
+def _before(sizes: list[int]) -> tuple[int, ...]:
+    return tuple(np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist()) if sizes else ()
+
+
 def _level(made: DataFrame, parts: int) -> Level:
     """Level 1: the parts' files; their number is entries / PART, a few bytes each."""
-    found = {r["part"]: (r["path"], r["entries"]) for r in made.collect()}
-    sizes = [found.get(p, (None, 0))[1] for p in range(parts)]
-    return Level(tuple(found.get(p, ("", 0))[0] for p in range(parts)), tuple([0, *np.cumsum(sizes[:-1]).tolist()]), sum(sizes))
+    found = {r["part"]: r for r in made.collect()}
+    paths, entries, tokens = ([found[p][k] if p in found else none for p in range(parts)] for k, none in (("path", ""), ("entries", 0), ("tokens", 0)))
+    return Level(tuple(paths), _before(entries), _before(tokens), sum(entries))
 
 
 def _encoded(docs: DataFrame, model: Model) -> DataFrame:
@@ -411,29 +443,37 @@ def _encoded(docs: DataFrame, model: Model) -> DataFrame:
 def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_count: int) -> Level:
     """The level after the last of the model; `more`: another one follows. encoded: the training documents."""
     depth = len(model.levels) + 1
+    parts = _parts(max(1, model.tokens))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, docs in _chunks(batches, 0, _read_ids):
             ids, before, _ = _laid_out(model, docs)
             context = contexts_of(model, ids, before, depth)[-1]
             ok = np.flatnonzero((ids >= 0) & (context >= 0))
-            context, word = context[ok], ids[ok]
-            codes, found = pd.factorize(_pair_keys(context, word))
-            first = np.zeros(len(found), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            arrays = [pa.array(context[first]), pa.array(word[first].astype(np.int32)), pa.array(np.bincount(codes, minlength=len(found)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["c", "w", "n"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b for b in batches if b.num_rows]
-        if not found:
-            return
-        rows = pa.Table.from_batches(found)
-        context, word, n = (rows.column(k).to_numpy() for k in ("c", "w", "n"))
+            context, word, n, _ = _distinct_pairs(context[ok], ids[ok], False)
+            codes, words = pd.factorize(word)
+            share = (running(model, 1, words)[0] / model.tokens)[codes]
+            starts = np.flatnonzero(np.diff(context, prepend=-1))
+            earlier, own = (np.repeat(x, np.diff(np.append(starts, len(context)))) for x in running(model, depth, context[starts]))
+            part = np.minimum((earlier + own * share) * (parts / model.tokens), parts - 1).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(part, prepend=-1))
+            ends = np.append(cuts[1:], len(part)).tolist()
+            word, n = word.astype(np.int32), n.astype(np.int32)
+            columns = [pa.array([x[i:j].tobytes() for i, j in zip(cuts.tolist(), ends)], pa.binary()) for x in (context, word, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *columns], names=["part", "c", "w", "n"])
+
+    def build(rows: pa.Table) -> pa.Table:
+        context, word, n = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(k)]) for k, kind in (("c", np.int64), ("w", np.int32), ("n", np.int32)))
         order = np.lexsort((word, context))
-        context, word, n = context[order], word[order].astype(np.uint64), n[order]
+        context, word, n = context[order], word[order], n[order].astype(np.int64)
+        starts = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
+        n = np.add.reduceat(n, starts)
+        enough = n >= min_count
+        context, word, n = context[starts][enough], word[starts][enough].astype(np.uint64), n[enough]
+        if not len(n):
+            return pa.table({k: pa.array([], kind) for k, kind in zip(made_names, made_types)})
         starts = np.flatnonzero(np.diff(context, prepend=-1))
-        total = _gram_counts(model, context[starts], depth)
+        total = running(model, depth, context[starts])[1]
         sizes = np.diff(np.append(starts, len(word)))
         prob = (n - DISCOUNT) / np.repeat(total, sizes)
         first, width = int(context[0]), int(context[-1] - context[0]) + 1
@@ -451,42 +491,29 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
             arrays |= _named("count", EliasFano.of(np.concatenate(([0], np.cumsum(n)))))
         path = write_arrays(folder, f"grams{depth + 1}", arrays)
         ends = [first, int(word[0]), float(mass[0]), int(context[-1]), float(mass[-1]) if len(mass) > 1 else 0.0]
-        yield pa.RecordBatch.from_pylist([dict(zip(made_names, [path, len(word), *ends]))])
-
-    made_names = ["path", "entries", "c", "w", "mass", "last", "last_mass"]
-    grams = encoded.select("ids").mapInArrow(count, "c long, w int, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    # as many parts as all tokens would need: their number bounds that of the distinct n-grams
-    ranges = grams.repartitionByRange(_parts(max(1, model.tokens)), "c", "w")
-    made = common.stored(ranges.mapInArrow(build, "path string, entries long, c long, w long, mass double, last long, last_mass double"), f"parts{depth + 1}")
-    parts = sorted(made.collect(), key=lambda r: (r["c"], r["w"]))
+        return pa.table({k: pa.array([v], kind) for k, kind, v in zip(made_names, made_types, [path, len(word), int(n.sum()), *ends])})
+
+    made_names = ["path", "entries", "tokens", "c", "w", "mass", "last", "last_mass"]
+    made_types = [pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.float64()]
+    grams = encoded.select("ids").mapInArrow(count, "part long, c binary, w binary, n binary")
+    made = grams.groupBy("part").applyInArrow(build, "path string, entries long, tokens long, c long, w long, mass double, last long, last_mass double")
+    parts_made = sorted(common.stored(made, f"parts{depth + 1}").collect(), key=lambda r: (r["c"], r["w"]))
     mass: dict[int, float] = {}
-    for r in parts:
+    for r in parts_made:
         mass[r["c"]] = mass.get(r["c"], 0.0) + r["mass"]
         if r["last"] != r["c"]:
             mass[r["last"]] = mass.get(r["last"], 0.0) + r["last_mass"]
     ends = np.array(sorted(mass), np.int64)
     codes = _rest_code(np.array([mass[c] for c in ends.tolist()]))
-    sizes = [r["entries"] for r in parts]
-    firsts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(int).tolist() if parts else []
-    pairs = np.array([complex(r["c"], r["w"]) for r in parts], np.complex128)
-    return Level(tuple(r["path"] for r in parts), tuple(firsts), sum(sizes), pairs, (ends, codes))
+    columns = {k: [r[k] for r in parts_made] for k in ("path", "entries", "tokens")}
+    pairs = tuple((r["c"], r["w"]) for r in parts_made)
+    return Level(tuple(columns["path"]), _before(columns["entries"]), _before(columns["tokens"]), sum(columns["entries"]), pairs, (ends, codes))
 
 
 def _rest_code(mass: np.ndarray) -> np.ndarray:
     return np.maximum(quantised(1.0 - mass), 1)
 
 
-def _gram_counts(model: Model, contexts: np.ndarray, depth: int) -> np.ndarray:
-    """How often the contexts of the level after `depth` levels occur: words, or entries of the last level."""
-    if depth == 1:
-        return counts_of(model, contexts)
-    level = model.levels[-1]
-    out, firsts = np.zeros(len(contexts), np.int64), np.array(level.firsts)
-    for p, own in _by_part(np.searchsorted(firsts, contexts, side="right") - 1):
-        out[own] = _run_lengths(_sequence(level.paths[p], "count"), contexts[own] - firsts[p])
-    return out
-
-
 def train(docs: DataFrame, order: int = 2, min_count: int = MIN_COUNT) -> Model:
     """Counts and tries from all rows of docs (columns doc_id, text); order is 2 or more."""
     return _trained(docs, docs, lambda encoded: encoded, order, min_count)[0]

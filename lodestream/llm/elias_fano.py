@@ -32,7 +32,7 @@ def unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
     at = index.astype(np.int64) * bits
     word, off = at >> 6, (at & 63).astype(U64)
     low = words[word] >> off
-    high = np.where(off == 0, U64(0), words[word + 1] << ((U64(64) - off) & U64(63)))
+    high = (words[word + 1] << (U64(63) - off)) << ONE  # in two steps: a shift by 64 is undefined
     return (low | high) & ((ONE << U64(bits)) - ONE)
 
 
@@ -118,7 +118,7 @@ class EliasFano:
         """Length of the run of ones that begins at each bit, 64 for longer ones."""
         word, off = bit >> 6, (bit & 63).astype(U64)
         after = np.minimum(word + 1, len(self.high) - 1)
-        window = (self.high[word] >> off) | np.where(off == 0, U64(0), self.high[after] << ((U64(64) - off) & U64(63)))
+        window = (self.high[word] >> off) | ((self.high[after] << (U64(63) - off)) << ONE)
         return np.bitwise_count(window & ~(window + ONE)).astype(np.int64)
 
     def find(self, value: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
@@ -136,16 +136,17 @@ class EliasFano:
         left, right = np.maximum(left, lo), np.minimum(right, self.n if hi is None else hi)
         right = np.where(inside, right, left)
         want = value & ((ONE << U64(self.low_bits)) - ONE)
-        end = right.copy()
+        found = np.full(len(value), -1, np.int64)
         open_ = np.flatnonzero(left < right)
+        left, right, want = left[open_], right[open_], want[open_]
+        mid = left  # runs are short: the first element first
         while len(open_):
-            mid = (left[open_] + right[open_]) >> 1
-            less = unpack(self.low, self.low_bits, mid) < want[open_]
-            left[open_[less]] = mid[less] + 1
-            right[open_[~less]] = mid[~less]
-            open_ = open_[left[open_] < right[open_]]
-        hit = np.flatnonzero(left < end)
-        found = np.full(len(value), -1, np.int64)
-        at = left[hit]
-        found[hit] = np.where(unpack(self.low, self.low_bits, at) == want[hit], at, -1)
+            here = unpack(self.low, self.low_bits, mid)
+            hit = here == want
+            found[open_[hit]] = mid[hit]
+            less = here < want
+            left, right = np.where(less, mid + 1, left), np.where(less, right, mid)
+            on = np.flatnonzero((left < right) & ~hit)
+            open_, left, right, want = open_[on], left[on], right[on], want[on]
+            mid = (left + right) >> 1
         return found

@@ -127,7 +127,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
             with os.fdopen(handle, "wb") as out, fs.open_input_stream(path) as source:
                 while block := source.read(1 << 22):
                     out.write(block)
-        data = np.memmap(local, dtype=np.uint8, mode="r")
+        data = np.asarray(np.memmap(local, dtype=np.uint8, mode="r"))  # slices of a plain view are cheaper
         if local != path:
             os.unlink(local)
         start = 8 + int.from_bytes(data[:8].tobytes(), "little")
@@ -377,10 +377,22 @@ def _read_ids(value: bytes) -> np.ndarray:
 
 
 def _train_words(texts: DataFrame, folder: str) -> tuple[Level, int]:
+    def merged(found: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        codes, distinct = pd.factorize(np.concatenate(found))
+        sums = np.bincount(codes, np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(sums)], names=["h", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, counts = [], []
         for _, tokens in _chunks(batches, 0, token_hashes):
-            codes, found = pd.factorize(np.concatenate(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(codes, minlength=len(found)))], names=["h", "n"])
+            codes, distinct = pd.factorize(np.concatenate(tokens))
+            found.append(distinct)
+            counts.append(np.bincount(codes, minlength=len(distinct)))
+            if sum(map(len, found)) >= KNOWN_WORDS:
+                yield merged(found, counts)
+                found, counts = [], []
+        if found:
+            yield merged(found, counts)
 
     counts = common.stored(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     entries, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()

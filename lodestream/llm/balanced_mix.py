@@ -9,14 +9,15 @@ fraction as inclusion probability. The cube method decides these fractions: the
 through the null space of the balancing constraints (number of documents and number of words), each step
 making at least one probability 0 or 1, until as many units are left as there are constraints.
 
-Flights run in blocks of a few thousand units of one source, dealt by a hash. Each leaves two undecided
+Flights run in blocks of a few thousand units of one source, dealt by a hash of the row and, where rows are equal, of
+its number among them, so that no block is much longer than others. Each leaves two undecided
 units at most; these form the next round's blocks, so every round is a thousand times smaller, and the last block
 of a source ends with the landing: the document constraint is dropped, then the last unit is drawn. A source of any size is
 so many blocks, and its totals stay within about two documents of its target.
 
 Runs agree: blocks, orders and draws follow hashes and the seed. Defined results: null and blank texts
 have size 0, count as documents and take 0 words; a null source is a source and the last; equal rows are
-interchangeable; an empty table gives an empty table. Other columns pass through `mix`.
+interchangeable and each is a unit; a very long text is one unit of its size; an empty table gives an empty table. Other columns pass through `mix`.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import random
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -96,8 +97,8 @@ def flight(pi: list[float], size: list[float], rng: random.Random, land: bool) -
 
 
 def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, key, source_size, target and copies (times taken) of every row of docs."""
-    rows = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), _key().alias("key"))
+    """doc_id, source, size, source_size, target, copies (times taken) and the hashes _key1 and _key2 of every row of docs."""
+    rows = common.numbered(docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), *common.whole_key(docs.columns)))
     rows = common.stored(rows, "rows")
     shares = common.small(common.stored(targets(rows, max_repeats), "targets")).withColumnRenamed("source", "_source")
     rows = rows.join(shares, rows["source"].eqNullSafe(F.col("_source"))).drop("_source")
@@ -116,7 +117,7 @@ def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     number = 0
     while True:
         blocks = F.ceil(F.col("n") / BLOCK)
-        dealt = rest.withColumn("round", F.lit(number)).withColumn("blocks", blocks).withColumn("h", F.xxhash64(F.lit(seed), F.lit(number), "key"))
+        dealt = rest.withColumn("round", F.lit(number)).withColumn("blocks", blocks).withColumn("h", F.xxhash64(F.lit(seed), F.lit(number), "_key1", "nth"))
         dealt = dealt.withColumn("block", F.pmod("h", "blocks"))
         flown = common.stored(dealt.groupBy("source", "block").applyInArrow(fly, dealt.schema), f"flight{number}")
         done = F.col("pi").isin(0.0, 1.0)
@@ -133,10 +134,6 @@ def mixed(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     return out.withColumn("copies", F.col("base") + F.col("pi").cast("int")).drop("base", "pi")
 
 
-def _key(prefix: str = "") -> Column:
-    return common.row_key(*[F.col(f"{prefix}{c}") for c in ("doc_id", "source", "text")])
-
-
 def mix_report(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     out = mixed(docs, max_repeats, seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source", "copies")
@@ -144,6 +141,6 @@ def mix_report(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFram
 
 def mix(docs: DataFrame, max_repeats: int = 3, seed: int = 1) -> DataFrame:
     """The mixture: each row of docs as many times as it is taken; columns as in docs."""
-    copies = mixed(docs, max_repeats, seed).select(F.col("key").alias("_key"), "copies")
-    out = common.deal(docs, copies, _key("row."), ["copies"]).where("own.copies > 0")
-    return out.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("own.copies")))).select(*common.unpacked(docs.columns))
+    copies = mixed(docs, max_repeats, seed).where("copies > 0").select("_key1", "_key2", "copies")
+    out = common.deal(docs, copies)
+    return out.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*common.unpacked(docs.columns))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that separates words; everything else belongs to a word.
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -47,10 +49,12 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 def work_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (a local session) a temporary folder is set in its place.
+    Only where that setting is absent in a local session, as in tests, a temporary folder is set in its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -61,15 +65,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast where df, a stored table of narrow rows, has at most max_rows rows.
+def discard(df: DataFrame) -> None:
+    """Delete a table made by `stored` that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(name: str, kind: T.DataType) -> Column:
+    """Bytes of a value, about."""
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        width = F.octet_length(column)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
+        width = F.octet_length(F.array_join(column, "")) + 16 * F.size(column)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+        width = 8 * F.size(column)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        width = F.octet_length(F.to_json(F.struct(column)))
+    else:
+        width = F.lit(8)
+    return F.coalesce(width, F.lit(0)) + 8
+
+
+def small(df: DataFrame, max_rows: int = 500_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast where df, a stored table, has at most max_rows rows and max_bytes bytes, both counted.
 
     Beyond that the join shuffles both sides.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if df.count() > max_rows:
+        return df
+    width = sum((_width(f.name, f.dataType) for f in df.schema.fields), F.lit(0))
+    n_bytes = df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if n_bytes <= max_bytes else df
 
 
 def row_key(*columns: Column) -> Column:
@@ -86,13 +119,35 @@ def unpacked(columns: list[str], **replaced: Column) -> list[Column]:
     return [(replaced[c] if c in replaced else F.col("row").getField(c)).alias(c) for c in columns]
 
 
-def deal(rows: DataFrame, dealt: DataFrame, key: Column, names: list[str]) -> DataFrame:
-    """Give each of the rows with one key one of the entries of `dealt` with that key.
+#: Equal rows are numbered in pieces of this many.
+PIECE = 4096
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with `nth`, which numbers equal ones from 0; all columns must be comparable.
+
+    Equal rows are counted before they are shuffled. Of a row that is there more than PIECE times, pieces are
+    dealt to tasks before they are made rows again.
+    """
+    counted = rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_m"))
+    single = counted.where(F.col("_m") <= PIECE).withColumn("_piece", F.lit(0).cast("long"))
+    pieces = counted.where(F.col("_m") > PIECE).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / PIECE))))
+    pieces = single.unionByName(pieces.repartition(*[F.col(f"`{c}`") for c in rows.columns], "_piece"))
+    first = F.col("_piece") * PIECE
+    return pieces.withColumn("nth", F.explode(F.sequence(first, F.least(first + PIECE, F.col("_m")) - 1))).drop("_m", "_piece")
+
+
+def whole_key(columns: list[str], prefix: str = "") -> list[Column]:
+    """Two hashes of a whole row: rows that agree in them are taken for equal (128 bits)."""
+    all_columns = [F.col(f"{prefix}`{c}`") for c in columns]
+    return [F.xxhash64(F.lit(k), *all_columns).alias(f"_key{k}") for k in (1, 2)]
+
+
+def deal(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Each entry of `dealt` with the row it is for: `row`, a struct of the columns of rows, and the columns of dealt.
 
-    `dealt` has a column `_key` and as many rows of a key as `rows` has; rows that share a key are equal,
-    so it does not matter which gets which entry. Returns `row` (a struct of the columns of rows, which `key`
-    names as row.*) and `own` (a struct of the columns `names` of `dealt`).
+    `dealt` has the columns _key1 and _key2 (see whole_key) and an entry for each of the rows. Equal rows are one
+    row here, so no key's rows meet; the entries of a key are that many rows of a join, which Spark splits where skewed.
     """
-    lists = dealt.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_dealt"))
-    numbered = packed(rows).withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    return numbered.join(lists, "_key").select("row", F.element_at("_dealt", F.col("_nth")).alias("own"))
+    keyed = packed(rows).select("row", *whole_key(rows.columns, "row."))
+    return keyed.dropDuplicates(["_key1", "_key2"]).join(dealt, ["_key1", "_key2"])

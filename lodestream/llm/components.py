@@ -37,7 +37,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = common.stored(edges, name)
     state = _state(edges)
     while True:
-        edges = common.stored(_small_star(_large_star(edges)), name)
+        last, edges = edges, common.stored(_small_star(_large_star(edges)), name)
         state, before = _state(edges), state
+        common.discard(last)
         if state == before:
             return edges

@@ -5,12 +5,14 @@ Rows are put in a seeded random order within each source; a row of rank r of n g
 the order into equal runs gives shards whose mixture is that of the whole and whose counts differ by
 at most one.
 
-Nothing is ranked in one task: ranks within a source are counts of earlier hash ranges plus a rank within
+Equal rows, however many, are numbered (`common.numbered`), and the number is part of the hash, so that they
+spread over the order and over tasks; law `rows` spreads a group of equal texts over the shards. Nothing is ranked in one task: ranks within a source are counts of earlier hash ranges plus a rank within
 the range, and the global order is cut into ranges of the fraction, which hold equally many rows by
 construction. Only the counts of the ranges, a bounded number, are summed in order.
 
-Defined results: null text has 0 bytes (size 16, crc32 0); null source is a source; rows that agree in
-doc_id and text are ordered arbitrarily among themselves, being equal; empty tables give empty tables.
+Defined results: null text has 0 bytes (size 16, crc32 0); null source is a source; equal
+rows are interchangeable; rows that agree in doc_id, source and text, and so in hash, are ordered by a hash of all columns;
+a very long text is hashed where it is read and only its hash moves in `shard_slots`; empty tables give empty tables.
 Other columns pass through `shard_rows`.
 """
 
@@ -27,13 +29,14 @@ SOURCE_RANGES, ORDER_RANGES = 4096, 65536
 
 def _narrow(docs: DataFrame, seed: int) -> DataFrame:
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    df = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), crc.alias("text_crc32"))
-    df = df.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long")
+    df = common.numbered(docs.select("doc_id", "source", size.alias("size"), crc.alias("text_crc32"), *common.whole_key(docs.columns)))
+    df = df.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size", "nth"))
     return df.withColumn("_bucket", F.pmod("_h", F.lit(SOURCE_RANGES)).cast("int"))
 
 
 def shard_slots(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
-    """doc_id, source, size, text_crc32, shard, slot for each row of docs."""
+    """doc_id, source, size, text_crc32, shard, slot and the hashes of the whole row (_key1, _key2) for each row of docs."""
     rows = common.stored(_narrow(docs, seed), "rows")
     counts = rows.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     by_source = Window.partitionBy("source")
@@ -44,29 +47,26 @@ def shard_slots(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(by_source).alias("_total"),
     )
-    in_range = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "text_crc32", "size")
+    in_range = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "text_crc32", "size", "_key1", "_key2", "nth")
     ranked = rows.withColumn("_rank", F.row_number().over(in_range)).join(counts, rows["source"].eqNullSafe(counts["_source"]) & (rows["_bucket"] == counts["_range"]))
-    ranked = ranked.select("doc_id", "source", "size", "text_crc32", "_h", ((F.col("_rank") + F.col("_before") - 0.5) / F.col("_total")).alias("_at"))
+    ranked = ranked.select("doc_id", "source", "size", "text_crc32", "_key1", "_key2", "nth", "_h", ((F.col("_rank") + F.col("_before") - 0.5) / F.col("_total")).alias("_at"))
     ranked = common.stored(ranked.withColumn("_part", F.least(F.floor(F.col("_at") * ORDER_RANGES), F.lit(ORDER_RANGES - 1)).cast("int")), "ranked")
     parts = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.orderBy("_part")
     parts = parts.select("_part", F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"), F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
-    in_part = Window.partitionBy("_part").orderBy("_at", "source", "_h", "doc_id", "text_crc32", "size")
+    in_part = Window.partitionBy("_part").orderBy("_at", "source", "_h", "doc_id", "text_crc32", "size", "_key1", "_key2", "nth")
     placed = ranked.withColumn("_nth", F.row_number().over(in_part) - 1).join(F.broadcast(parts), "_part").withColumn("_pos", F.col("_first") + F.col("_nth"))
     placed = placed.withColumn("shard", F.expr(f"cast((_pos * {shards}L) div _all as int)"))
     start = F.expr(f"(shard * _all + {shards - 1}L) div {shards}L")
-    return placed.select("doc_id", "source", "size", "text_crc32", "shard", (F.col("_pos") - start).cast("long").alias("slot"))
+    return placed.select("doc_id", "source", "size", "text_crc32", "_key1", "_key2", "shard", (F.col("_pos") - start).cast("long").alias("slot"))
 
 
 def shard_rows(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:
     """The rows of docs with their shard and slot (columns of docs of these names are replaced)."""
-    slots = shard_slots(docs, shards, seed)
-    slots = slots.withColumn("_key", common.row_key(F.col("doc_id"), F.col("source"), F.col("text_crc32"), F.col("size")))
     rows = docs.drop("shard", "slot")
-    crc = F.crc32(F.encode(F.coalesce("row.text", F.lit("")), "UTF-8"))
-    size = (F.coalesce(F.octet_length("row.text"), F.lit(0)) + 16).cast("long")
-    dealt = common.deal(rows, slots, common.row_key(F.col("row.doc_id"), F.col("row.source"), crc, size), ["shard", "slot"])
-    return dealt.select(*common.unpacked(rows.columns), "own.shard", "own.slot")
+    slots = shard_slots(rows, shards, seed)
+    dealt = common.deal(rows, slots.select("_key1", "_key2", "shard", "slot"))
+    return dealt.select(*common.unpacked(rows.columns), "shard", "slot")
 
 
 def shard_report(docs: DataFrame, shards: int = 40, seed: int = 1) -> DataFrame:

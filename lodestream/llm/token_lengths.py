@@ -8,7 +8,7 @@ truncated total is linear.
 
 Only the histogram is summed in order, in two levels: lengths within blocks of `BLOCK` lengths, then blocks.
 
-Defined results: null and empty texts have no tokens and count as documents of length 0; repeated rows
+Defined results: very long texts are encoded whole, piece by piece; null and empty texts have no tokens and count as documents of length 0; repeated rows
 count each time; an empty table gives an empty histogram. Columns other than text are ignored.
 """
 
@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Documents are counted in pieces of this many characters cut at a space before a letter, where no token crosses.
 PIECE = 1 << 16
 BLOCK = 1024
@@ -31,14 +33,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _of_vocabulary(lines: bytes):
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line.strip())}
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _vocabulary(path: str) -> bytes:
+    with open(path, "rb") as lines:
+        return lines.read()
+
+
+def _encoding(path: str):
+    return _of_vocabulary(_vocabulary(path))
+
+
 def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     """Parts of a text that encode independently: cuts stand between a letter and a space before a letter."""
     at = 0
@@ -51,19 +62,21 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:]
 
 
-def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
+def count_tokens(text: str | None, encoding=None) -> int:
     if not text:
         return 0
-    encode = _encoding(path).encode_ordinary
+    encode = (encoding or _encoding(TOKENIZER)).encode_ordinary
     return len(encode(text)) if len(text) <= PIECE else sum(len(encode(part)) for part in pieces(text))
 
 
 def encoded_lengths(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """n_tokens of every row of docs."""
+    """n_tokens of every row of docs. The vocabulary file, of about a megabyte, is read by the driver and shipped to the tasks."""
+    shipped = docs.sparkSession.sparkContext.broadcast(_vocabulary(path))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding = _of_vocabulary(shipped.value)
         for batch in batches:
-            lengths = [count_tokens(text, path) for text in batch.column(0).to_pylist()]
+            lengths = [count_tokens(text, encoding) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], names=["n_tokens"])
 
     return docs.select("text").mapInArrow(count, "n_tokens long")
@@ -75,7 +88,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     n_docs; docs_at_least and tokens_at_least (documents of this length or longer); truncated_tokens (all
     tokens after truncation to this length); docs_below; share_below; total_docs; total_tokens.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = common.stored(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "counts")
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after, whole = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing), Window.partitionBy()
@@ -106,17 +119,22 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 def at_limits(histogram: DataFrame, limits: DataFrame) -> DataFrame:
     """For each row of limits (column context_limit): total, truncated total, and documents cut.
 
-    Each limit is answered by the least length of the histogram that reaches it; limits are joined by block.
+    Each limit is answered by the least length of the histogram that reaches it: in its own block of lengths, else
+    the first of a later block. Only the blocks are put in one order.
     """
-    keyed = histogram.select(F.col("n_tokens"), "docs_at_least", "tokens_at_least", "total_docs", "total_tokens")
-    nearest = limits.select("context_limit").distinct().join(F.broadcast(keyed.agg(F.max("n_tokens").alias("longest"), F.max("total_docs").alias("total_docs"), F.max("total_tokens").alias("total_tokens"))))
-    both = keyed.select("n_tokens", "docs_at_least", "tokens_at_least").withColumn("context_limit", F.lit(None).cast("long"))
-    asked = nearest.select(F.col("context_limit").cast("long").alias("n_tokens"), F.lit(None).cast("long").alias("docs_at_least"), F.lit(None).cast("long").alias("tokens_at_least"), F.col("context_limit").cast("long").alias("context_limit"))
-    order = Window.orderBy("n_tokens", F.col("context_limit").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-    filled = both.unionByName(asked)
-    filled = filled.select("context_limit", *[F.coalesce(F.first(c, ignorenulls=True).over(order), F.lit(0)).alias(c) for c in ("docs_at_least", "tokens_at_least")])
-    out = filled.where("context_limit is not null").join(nearest.select(F.col("context_limit").cast("long").alias("context_limit"), "total_docs", "total_tokens"), "context_limit")
-    return out.select("context_limit", "total_docs", "total_tokens", F.col("docs_at_least").alias("docs_reaching"), (F.col("total_tokens") - F.col("tokens_at_least") + F.col("context_limit") * F.col("docs_at_least")).alias("truncated_tokens"))
+    block = lambda c: F.floor(F.col(c) / BLOCK).alias("block")
+    sums = F.struct("docs_at_least", "tokens_at_least")
+    known = histogram.select(block("n_tokens"), "n_tokens", sums.alias("sums"), "total_docs", "total_tokens")
+    asked = limits.select(F.col("context_limit").cast("long").alias("context_limit"), block("context_limit")).distinct()
+    inside = asked.join(known, "block").where(F.col("n_tokens") >= F.col("context_limit")).groupBy("context_limit").agg(F.min_by("sums", "n_tokens").alias("own"))
+    blocks = known.groupBy("block").agg(F.min_by("sums", "n_tokens").alias("first")).unionByName(asked.select("block", F.lit(None).cast(known.schema["sums"].dataType).alias("first")))
+    blocks = blocks.groupBy("block").agg(F.max("first").alias("first"))
+    after = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.select("block", F.first("first", ignorenulls=True).over(after).alias("later"))
+    totals = known.agg(F.max("total_docs").alias("total_docs"), F.max("total_tokens").alias("total_tokens"))
+    out = asked.join(blocks, "block").join(inside, "context_limit", "left").withColumn("sums", F.coalesce("own", "later")).join(F.broadcast(totals))
+    docs, tokens = (F.coalesce(F.col("sums").getField(c), F.lit(0)) for c in ("docs_at_least", "tokens_at_least"))
+    return out.select("context_limit", "total_docs", "total_tokens", docs.alias("docs_reaching"), (F.col("total_tokens") - tokens + F.col("context_limit") * docs).alias("truncated_tokens"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:

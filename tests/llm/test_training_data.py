@@ -449,7 +449,8 @@ def test_mixture(docs, clashing, empty):
     again = balanced_mix.mix_report(docs.repartition(2)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, rows))
     out = balanced_mix.mix(clashing)
-    assert out.columns == clashing.columns and out.count() == sum(r.copies for r in rows)
+    # draws follow hashes of whole rows
+    assert out.columns == clashing.columns and out.count() == balanced_mix.mix_report(clashing).agg(F.sum("copies")).first()[0]
     assert out.where("copies <> 'own copies'").count() == 0
     assert balanced_mix.mix(empty).count() == balanced_mix.mix_report(empty).count() == 0
 
@@ -463,6 +464,48 @@ def test_flight_keeps_the_balance():
     assert sum(out) == pytest.approx(sum(pi), abs=1e-6) and sum(p * s for p, s in zip(out, size)) == pytest.approx(sum(p * s for p, s in zip(pi, size)), abs=1e-3)
 
 
+def test_many_equal_rows_spread(spark, monkeypatch):
+    """60,000 equal rows beside others: blocks stay short, every row is dealt, and reruns agree."""
+    blocks = []
+    df = spark.range(60_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same text here").alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(14).cast("long").alias("n_chars"))
+    others = spark.range(3000).select("id", F.concat(F.lit("other "), F.col("id")), F.lit("en"), F.when(F.col("id") % 2 == 0, "a").otherwise("b"), F.lit(9).cast("long"))
+    docs = df.union(others)
+    stored = common.stored
+
+    def spied(df, name):
+        out = stored(df, name)
+        if name == "flight0":
+            blocks.append(out.groupBy("source", "block").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(common, "stored", spied)
+    report = balanced_mix.mix_report(docs)
+    assert max(blocks) <= 1.15 * balanced_mix.BLOCK and report.count() == 63_000
+    again = balanced_mix.mix_report(docs.repartition(5))
+    key = lambda d: d.groupBy(*d.columns).count().agg(F.sum(F.xxhash64(*d.columns, "count").cast("decimal(38,0)"))).first()[0]
+    assert key(report) == key(again)
+    assert balanced_mix.mix(docs).count() == report.agg(F.sum("copies")).first()[0]
+    shards = sharding.shard_rows(docs)
+    counts = [r["count"] for r in shards.groupBy("shard").count().collect()]
+    assert sum(counts) == 63_000 and max(counts) - min(counts) <= 1
+    assert shards.where("doc_id = 7").groupBy("shard").count().agg(F.min("count")).first()[0] > 1000
+    assert shards.select("shard", "slot").distinct().count() == 63_000
+
+
+def test_rows_equal_but_for_another_column_stay_apart(spark):
+    rows = [(1, "a b", "en", "s", 3), (1, "a b", "de", "s", 3), (1, "a b", "de", "s", 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert Counter(r.lang for r in sharding.shard_rows(docs, 2).collect()) == {"en": 1, "de": 2}
+    assert Counter(r.lang for r in balanced_mix.mix(docs).collect()) == {"en": 1, "de": 2}
+
+
+def test_broadcasts_are_bounded_by_bytes(spark):
+    wide = common.stored(spark.range(50).select(F.array_repeat("id", 1000).alias("a")), "wide")
+    assert "broadcast" in common.small(wide)._jdf.queryExecution().toString()
+    assert "broadcast" not in common.small(wide, max_bytes=100_000)._jdf.queryExecution().toString()
+    assert "broadcast" not in common.small(wide, max_rows=49)._jdf.queryExecution().toString()
+
+
 # ---------------------------------------------------------------- 8
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestream.llm import balanced_mix, chat_format, common, decontaminate, dom, elias_fano, licenses, ngram_lm, quality_rules, registry, sharding, simhash, templates, token_lengths, wrapper_extract
+from lodestream.llm import balanced_mix, chat_format, common, decontaminate, dom, elias_fano, licenses, near_copies, ngram_lm, quality_rules, registry, sharding, simhash, templates, token_lengths, wrapper_extract
 
 FOLDER = "/root/testdata/sf0.001"
 GAP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -568,6 +568,66 @@ def test_links_of_close_fingerprints(spark, monkeypatch, large):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def shingle_set(text, n=5):
+    w = [x.lower() for x in words(text)]
+    return {tuple(w[i : i + n]) for i in range(max(len(w) - n + 1, min(len(w), 1)))}
+
+
+def brute_groups(texts, kept, least_recall=0.9):
+    """Holds what stays of texts (by doc_id) against the groups of texts with a Jaccard coefficient of 0.8 or more."""
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(texts)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if texts[a] == texts[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    groups = defaultdict(set)
+    for d in ids:
+        groups[find(d)].add(d)
+    assert all(g & kept and min(g) in kept for g in groups.values())
+    assert len(ids) - len(kept) >= least_recall * (len(ids) - len(groups)) > 0
+
+
+def test_near_copies(spark, clashing, empty):
+    rng = random.Random(9)
+    texts, n = {}, 0
+    for _ in range(120):
+        body = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([40, 100, 400]))]
+        for _ in range(rng.choice([1, 2, 4])):
+            copy = list(body)
+            for _ in range(rng.randint(0, max(1, len(body) // 60))):
+                copy[rng.randrange(len(copy))] = "edited"
+            texts[n] = " ".join(copy)
+            n += 1
+    texts |= {n: "", n + 1: " ", n + 2: "one", n + 3: "ONE", n + 4: "one two"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    brute_groups(texts, {r.doc_id for r in near_copies.deduplicate(df).collect()})
+    out = near_copies.deduplicate(clashing)
+    assert out.columns == clashing.columns and out.where("row <> 'own row'").count() == 0
+    rows = out.collect()
+    assert len({r.text for r in rows}) == len(rows) and sum(not words(r.text) for r in rows) == 1
+    brute_groups({d: t or "" for d, t, *_ in sample() if d is not None}, {r.doc_id for r in rows})
+    assert near_copies.deduplicate(empty).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    """Hundreds of different near copies become one row, through a number of candidates that grows with their number."""
+    rng = random.Random(10)
+    body = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(i, " ".join(body[: (k := rng.randrange(199))] + [f"e{i}"] + body[k + 1 :])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    fps = common.stored(near_copies._fingerprints(df).select("text_key", "fp"), "fps")
+    assert near_copies._candidates(fps).count() < 600 * 192
+    assert [r.doc_id for r in near_copies.deduplicate(df).collect()] == [0]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -661,16 +721,12 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in first.collect()} == kept
     second = stages["near_duplicates"](spark, first, FOLDER)
     texts = {r.doc_id: r.text for r in first.collect()}
-    fps = {d: brute_fingerprint(t) for d, t in texts.items()}
-    root = brute_components(set(fps.values()))
-    least = {}
-    for d, f in fps.items():
-        least[root[f]] = min(least.get(root[f], d), d)
-    assert sorted(r.doc_id for r in second.collect()) == sorted(least.values())
+    kept = {r.doc_id for r in second.collect()}
+    brute_groups(texts, kept)
     third = stages["decontamination"](spark, second, FOLDER)
     grams = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", (t or "").lower())] if w for i in range(max(len(w) - 4, 1))}
     items = [grams(t) for t in bench if grams(t)]
-    clean = {d for d in least.values() if not any(len(g & grams(texts[d])) >= 0.8 * len(g) for g in items)}
+    clean = {d for d in kept if not any(len(g & grams(texts[d])) >= 0.8 * len(g) for g in items)}
     assert {r.doc_id for r in third.collect()} == clean
     fourth = stages["mixing"](spark, third, FOLDER)
     taken = Counter(r.doc_id for r in fourth.collect())
@@ -681,6 +737,20 @@ def test_pipeline_against_brute_force(spark):
     assert Counter(r.doc_id for r in whole.collect()) == taken
 
 
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Nulls, blanks, repeated rows and extra columns with clashing names go through all stages; so do empty tables."""
+    docs = spark.createDataFrame(sample(), SCHEMA).withColumns({c: F.lit(f"own {c}") for c in ("row", "_key1", "nth", "_piece", "size", "fp")})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (2, "w1 w2 w3 w4 w5 w6")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "shard", "slot"] and out.count() > 20
+    assert out.where("row <> 'own row' or size <> 'own size'").count() == 0
+    counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(counts) == out.count() and (len(counts) < 40 or max(counts) - min(counts) <= 1)
+    docs.where("false").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registry_names():
     names = registry.queries()
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Codes by which surveys mark a missing answer.
+# Codes by which surveys mark a missing answer.
 MISSING_CODES = (-1, -7, -8, -9)
 
 
@@ -56,3 +56,26 @@ def flag(c: Column, yes: int = 1) -> Column:
 def direction(change: Column, margin: float = 0.005) -> Column:
     """UP, DOWN or NEUTRAL; NULL is NEUTRAL."""
     return F.when(change > margin, "UP").when(change < -margin, "DOWN").otherwise("NEUTRAL")
+
+
+def moment(c: Column) -> Column:
+    """As timestamp; what is no time is NULL."""
+    return c.cast("string").try_cast("timestamp_ntz")
+
+
+def complete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The rows without a NULL in any column, or in the given ones."""
+    return df.dropna(subset=list(columns) if columns else None)
+
+
+def interaction(*columns: Column) -> Column:
+    """Product of columns; NULL if one is."""
+    out = columns[0]
+    for c in columns[1:]:
+        out = out * c
+    return out
+
+
+def complement(p: Column) -> Column:
+    """1 - p, with p clamped to [0, 1]; NULL stays."""
+    return 1 - clipped(p, 0.0, 1.0)

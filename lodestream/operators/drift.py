@@ -16,7 +16,7 @@ TERMS = 100
 
 
 def distance(samples: DataFrame, *by: str) -> DataFrame:
-    """by, n0, n1, ks: the greatest difference of the two samples' distribution functions.
+    """by, n0, n1, ks: the greatest difference of the two samples' distribution functions; NULL without one of them.
 
     samples: by, side (0 or 1), value. Equal values are counted first, so the ordered pass is over distinct values.
     """
@@ -24,7 +24,7 @@ def distance(samples: DataFrame, *by: str) -> DataFrame:
     upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     steps = points.select(*by, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("n0"), F.sum("b").over(whole).alias("n1"))
-    return steps.groupBy(*by).agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"), F.max(F.abs(F.col("ca") / F.col("n0") - F.col("cb") / F.col("n1"))).alias("ks"))
+    return steps.groupBy(*by).agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"), F.max(F.abs(F.try_divide("ca", "n0") - F.try_divide("cb", "n1"))).alias("ks"))
 
 
 def p_value(ks: Column, n0: Column, n1: Column) -> Column:

@@ -111,3 +111,11 @@ def snapshot(predicted: DataFrame, classes: int) -> DataFrame:
     """The last metrics of each run, with its number of rows."""
     rows = metrics(predicted, classes).withColumn("n", F.row_number().over(_by("seq")))
     return rows.groupBy("run").agg(*[F.max_by(c, "seq").alias(c) for c in ("n", "accuracy", "kappa", "kappa_temporal")])
+
+
+def progress(predicted: DataFrame, every: int) -> DataFrame:
+    """run, n, accuracy after every `every` rows of a run."""
+    by = _by("seq")
+    hits = F.count_if(F.col("y") == F.col("p")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = predicted.select("run", F.row_number().over(by).alias("n"), hits.alias("_hits"))
+    return rows.where(F.col("n") % every == 0).select("run", F.col("n").cast("long").alias("n"), (F.col("_hits") / F.col("n")).alias("accuracy"))

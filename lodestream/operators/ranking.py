@@ -118,3 +118,21 @@ def importance(scored: DataFrame, distance: DataFrame, w_score: float = 0.7, w_s
 def weighted_sample(df: DataFrame, weight: str, u: Column, k: int, *ties: str) -> DataFrame:
     """k rows drawn without replacement with chances that follow weight; u: uniform in (0, 1). Weights not above 0 never enter."""
     return df.where(F.col(weight) > 0).withColumn("_key", F.ln(u) / F.col(weight)).orderBy(F.desc("_key"), *ties).limit(k).drop("_key")
+
+
+def updated_importance(before: DataFrame, scored: DataFrame | None = None, distance: DataFrame | None = None, **weights: float) -> DataFrame:
+    """Importance after a partial update: features without a new score or distance keep the one of `before`.
+
+    before: feature, mutual_info, ks; scored: feature, mutual_info; distance: feature, ks; a row per feature.
+    """
+    df = before.select("feature", F.col("mutual_info").alias("_m"), F.col("ks").alias("_k"))
+    for new, column in ((scored, "mutual_info"), (distance, "ks")):
+        df = df.join(new.select("feature", column), "feature", "left") if new is not None else df.withColumn(column, F.lit(None).cast("double"))
+    df = df.select("feature", F.coalesce("mutual_info", "_m").alias("mutual_info"), F.coalesce("ks", "_k").alias("ks"))
+    return importance(df.select("feature", "mutual_info"), df.select("feature", "ks"), **weights)
+
+
+def projected(instances: DataFrame, importances: DataFrame, k: int) -> DataFrame:
+    """Long-form instances of the k most important features alone."""
+    best = top(importances, "importance", k).select("feature")
+    return instances.join(F.broadcast(best), "feature", "left_semi")  # a row per feature

@@ -134,3 +134,13 @@ def wilcoxon_p(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
         return pd.Series([signed_rank_tail(int(a), b) for a, b in zip(n, greater)], dtype="float64")
 
     return tests.withColumn("p", tail("n", F.greatest("w_plus", "w_minus"))).withColumn("reject", F.col("p") < alpha)
+
+
+def rejected(pairs: DataFrame) -> DataFrame:
+    """n_pairs and n_rejected: of `nemenyi` rows, how many differ significantly."""
+    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("significant").alias("n_rejected"))
+
+
+def report(ranks: DataFrame) -> DataFrame:
+    """line: a text line for each method."""
+    return mean_ranks(ranks).select(F.format_string("%s: mean rank %.3f over %d datasets", "method", "mean_rank", "n").alias("line"))

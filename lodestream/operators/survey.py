@@ -29,10 +29,13 @@ def imputed(df: DataFrame, medians: Sequence[str] = (), modes: Sequence[str] = (
 
 
 def edition_starts(df: DataFrame, edition: str, order: Sequence[str]) -> DataFrame:
-    """starts_edition: 1 on the first row of every edition but the earliest."""
-    first = F.row_number().over(Window.partitionBy(edition).orderBy(*order)) == 1
-    earliest = df.agg(F.min(edition).alias("_earliest"))
-    return df.crossJoin(F.broadcast(earliest)).withColumn("starts_edition", (first & (F.col(edition) > F.col("_earliest"))).cast("int")).drop("_earliest")
+    """starts_edition: 1 on the first row of every edition but the earliest; `order` must tell an edition's rows apart."""
+    firsts = df.groupBy(F.col(edition).alias("_edition")).agg(F.min(F.struct(*order)).alias("_first"))  # a row per edition
+    earliest = Window.partitionBy()
+    firsts = firsts.where(F.col("_edition").isNotNull()).withColumn("_late", F.col("_edition") > F.min("_edition").over(earliest))
+    joined = df.join(F.broadcast(firsts), df[edition] == F.col("_edition"), "left")
+    starts = F.coalesce(F.col("_late") & F.struct(*order).eqNullSafe(F.col("_first")), F.lit(False))
+    return joined.withColumn("starts_edition", starts.cast("int")).drop("_edition", "_first", "_late")
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

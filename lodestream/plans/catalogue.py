@@ -690,3 +690,6 @@ def friedman_significance(spark, sf_dir):
 @query()
 def wilcoxon_significance(spark, sf_dir):
     return rounded(significance.wilcoxon_p(significance.wilcoxon(_scored(spark, sf_dir), "click", "view")))
+
+
+from . import workflows  # noqa: E402, F401  registers its queries; it needs the names above

@@ -64,8 +64,8 @@ def csv(spark: SparkSession, path: str, schema: str | None = None, renamed: dict
 
 
 def monthly(spark: SparkSession, pattern: str, ts: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of monthly files (…YYYY-MM…) whose timestamp falls in their file's month; one job for all files."""
-    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})[^/]*$", 1)
+    """Rows of monthly files, or folders of part files, (…YYYY-MM…) whose timestamp falls in their file's month; one job for all."""
+    month = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2})[^/]*(?:/part-[^/]*)?$", 1)
     df = spark.read.parquet(pattern).select(*columns, month.alias("_month"))
     return df.where(F.date_format(ts, "yyyy-MM") == F.col("_month")).drop("_month")
 
@@ -104,3 +104,11 @@ def runs(configs: DataFrame) -> DataFrame:
     df = configs.select("experiment_group", "warmup", "max_instances", F.explode("datasets").alias("dataset"), "seeds", "model_variants")
     df = df.withColumn("variant", F.explode("model_variants")).withColumn("seed", F.explode("seeds"))
     return df.select("experiment_group", "dataset", F.col("variant.name").alias("variant"), "seed", "warmup", "max_instances", F.coalesce("variant.detector", F.lit("TWO_LEVEL")).alias("detector"))
+
+
+def find_file(spark: SparkSession, folder: str, name: str) -> str | None:
+    """Path of the entry of a folder with this name in any case; the first by name of several."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    found = sorted(e.getPath().getName() for e in entries if e.getPath().getName().lower() == name.lower())
+    return f"{folder.rstrip('/')}/{found[0]}" if found else None

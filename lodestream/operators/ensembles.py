@@ -26,7 +26,7 @@ PRIOR = ""
 
 def blocks(stream: DataFrame, size: int) -> DataFrame:
     """The stream with its block, counted from 0; seq counts a run's rows from 0."""
-    return stream.withColumn("block", F.floor(F.col("seq") / size).cast("int"))
+    return stream.withColumn("block", F.floor(F.col("seq") / size))
 
 
 def _long(blocked: DataFrame, features: Sequence[str]) -> DataFrame:

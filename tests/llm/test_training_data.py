@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -684,24 +685,34 @@ def test_license_scan(spark, empty):
     rng = random.Random(6)
     texts = [t for _, t in licenses.NOTICES]
     rows = [(0, None), (1, ""), (2, "one"), (3, "\n".join(texts)), (3, "\n".join(texts)), (4, "Released under the MIT License.\nReleased under the MIT License.")]
+    rows += [(5, "Copyright 2021 The Authors. Released under the MIT License. See the file for details."), (6, "x " * 30_000 + texts[3])]
+    rows += [(7 + i, "# Copyright 2020\n#\n" + "\n".join(f"# {line}" for line in textwrap.wrap(t, 72)) + "\n\nint main() {}") for i, t in enumerate(texts)]
     for i in range(40):
         w = rng.choice(texts).split()
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = "other"
-        rows.append((10 + i, "plain line here\n" + " ".join(w[: rng.randint(3, len(w))])))
+        rows.append((100 + i, "plain line here\n" + " ".join(w[: rng.randint(3, len(w))])))
     normal = lambda t: re.findall(r"[^\W_]+", t.lower())
-    grams = lambda w: {tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))} if w else set()
+    grams = lambda w: [tuple(w[i : i + 2]) for i in range(max(len(w) - 1, 1))] if w else []
     want = Counter()
     for d, t in rows:
-        for line in set((t or "").split("\n")):
-            a = grams(normal(line))
-            for k, n in enumerate(texts):
-                b = grams(normal(n))
-                if a and 2 * len(a & b) / (len(a) + len(b)) >= 0.8:
-                    want[d, line, k, round(2 * len(a & b) / (len(a) + len(b)), 9)] += 1
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("license", F.lit("clash"))
-    got = Counter((r.doc_id, r.line, r.notice_id, round(r.dice, 9)) for r in licenses.scan(df, licenses.notices(spark)).collect())
-    assert got == want and len(want) > 40
+        g = grams(normal(t or ""))
+        for k, n in enumerate(texts):
+            size, b = len(normal(n)), set(grams(normal(n)))
+            best = None
+            for i, x in enumerate(g):
+                if x in b:
+                    a = set(g[i : i + max(size - 1, 1)])
+                    dice = 2 * len(a & b) / (len(a) + len(b))
+                    if dice >= 0.8 and (best is None or dice > best[0]):
+                        best = dice, i
+            if best:
+                want[d, k, best[1], min(size, len(g) + 1 - best[1]), round(best[0], 9)] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("g", F.lit("clash")).withColumn("license", F.lit("clash"))
+    got = Counter((r.doc_id, r.notice_id, r.start, r.n_words, round(r.dice, 9)) for r in licenses.scan(df, licenses.notices(spark)).collect())
+    assert got == want and len(want) > 80
+    found = {(d, k) for d, k, *_ in want}
+    assert all((7 + i, i) in found for i in range(len(texts))) and (5, 2) in found and (6, 3) in found
     assert licenses.scan(empty, licenses.notices(spark)).count() == licenses.scan(df, licenses.notices(spark).where("false")).count() == 0
 
 

@@ -4,22 +4,27 @@ Texts become sets of five-word shingles (lower case, runs of letters and digits
 is one shingle). A document is contaminated by an item if it contains at least `min_containment` of the
 item's shingles.
 
-Search: documents are partitioned by size into powers of two, and the sketch of a document of a partition
-has as many minima as the partition's upper size: the hash space is cut into that many equal ranges and the
-least hash of each range is kept (one-permutation MinHash). An item's sketch for a partition holds its own
-hashes by range, so an equality join on the hash finds every document one of whose minima is an item's shingle.
-Because the number of minima follows the partition's size, at least 63 % of the shingles are expected to be
-minima in every partition, and a match of 13 shared shingles is missed with a chance of about 2e-6 however long the document is.
-Items of fewer than `short_item` shingles meet all hashes of a document instead of its minima.
+Search: documents are partitioned by size into powers of two, and the signature of a document of a partition has a
+number of minima in proportion to the partition's upper size: the hash space is cut into so many equal ranges, and
+the least hash of each range is kept (one-permutation MinHash). An item's hashes that are a document's minima are
+found by an equality join. How many ranges a shingle gets follows from the shortest item: as few as let one
+of the shingles that it must share be a minimum with a chance of 0.999. Long items so need a third of a document's hashes,
+items of one shingle nearly all.
 
-Verification: candidates are compared as exact sets of shingle strings.
+Estimate: of the shingles that an item shares with a document of its partition, the share `p` is expected to be met.
+A pair is a candidate if as many were met as min_containment demands, less four standard deviations, one at least.
+
+Verification: candidates are compared as exact sets of shingle strings, of which only those that meet an item's are
+moved.
 
 Defined results: null, empty or wordless texts and items match nothing; repeated items and repeated rows
-are each matched; a null doc_id or item_id is kept; empty tables give no rows. Other columns are ignored.
+are each matched; ties of containment all appear; a very long text is one row and searched whole; a null doc_id or item_id is kept; empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,14 +58,25 @@ def shingle_texts(words: Column, n: int = SHINGLE) -> Column:
     return common.let(words, of)
 
 
-def minima(hashes: Column) -> Column:
-    """The least of the distinct hashes in each of as many equal ranges as the hashes' partition has minima."""
+def resolution(n_shared: int, miss: float = 1e-3) -> int:
+    """e: with 2^e ranges for a hash, one of n_shared hashes is the least of its range but for this chance."""
+    return next((e for e in range(-4, 10) if 1 - met_share(e) <= miss ** (1 / n_shared)), 10)
+
+
+def met_share(e: int) -> float:
+    """Expected share of a document's hashes that are minima with 2^e ranges for a hash, at the fullest of its partition."""
+    load = 2.0**-e
+    return (1 - math.exp(-load)) / load
+
+
+def minima(hashes: Column, e: int = 0) -> Column:
+    """The least of the distinct hashes in each of the equal ranges: 2^e times the upper size of the hashes' partition."""
 
     def first_of_ranges(h: Column, s: Column) -> Column:
         part = lambda x: F.call_function("shiftright", x, s)
-        return F.filter(h, lambda x, i: (i == 0) | (s == 64) | (part(x) != part(F.get(h, i - 1))))
+        return F.filter(h, lambda x, i: (i == 0) | (s < 64) & (part(x) != part(F.get(h, i - 1))))
 
-    bits = lambda h: F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)))).cast("int")
+    bits = lambda h: F.greatest(F.ceil(F.log2(F.greatest(F.size(h), F.lit(1)))).cast("int") + e, F.lit(0))
     return common.let(F.sort_array(hashes), lambda h: common.let(F.lit(64) - bits(h), lambda s: first_of_ranges(h, s)))
 
 
@@ -69,30 +85,42 @@ def _exploded(df: DataFrame, hashes: Column) -> DataFrame:
     return df.select("text_key", F.explode_outer(hashes).alias("h")).where(F.col("h").isNotNull())
 
 
-def contamination(docs: DataFrame, items: DataFrame, min_containment: float = 0.8, short_item: int = 16) -> DataFrame:
+def candidates(docs: DataFrame, tests: DataFrame, min_containment: float) -> DataFrame:
+    """text_key, item_no: the pairs whose estimated containment may reach min_containment; tests: item_no and h, stored."""
+    shortest = tests.agg(F.min(F.size("h"))).first()[0] or 1
+    e = resolution(max(1, math.ceil(min_containment * shortest - 1e-9)))
+    p = met_share(e)
+    demanded = F.ceil(F.size("h") * min_containment - 1e-9)
+    least = F.greatest(F.floor(demanded * p - 4 * F.sqrt(demanded * p * (1 - p))), F.lit(1)).cast("long")
+    by_hash = common.small(common.stored(tests.select(F.explode("h").alias("h"), "item_no", least.alias("least")), "item_hashes"))
+    keys = common.small(common.stored(by_hash.select("h").distinct(), "item_keys"))
+    hashed = docs.select(F.xxhash64("text").alias("text_key"), shingle_hashes(normal_words(F.coalesce("text", F.lit("")))).alias("hs"))
+    met = _exploded(hashed, minima(F.col("hs"), e)).join(keys, "h", "left_semi").distinct()
+    met = met.join(by_hash, "h").groupBy("text_key", "item_no").agg(F.count(F.lit(1)).alias("n_met"), F.max("least").alias("least"))
+    return met.where("n_met >= least").select("text_key", "item_no")
+
+
+def contamination(docs: DataFrame, items: DataFrame, min_containment: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_item, n_shared and containment for each contaminated row of docs.
 
-    items: item_id, text. Their hashes are broadcast only under a checked number of rows.
+    items: item_id, text. Their hashes are broadcast only under a checked number of rows and bytes.
     """
     tests = items.select("item_id", normal_words(F.col("text")).alias("w")).where("size(w) > 0")
     w = F.col("w")
-    tests = common.stored(tests.select("item_id", F.monotonically_increasing_id().alias("item_no"), shingle_hashes(w).alias("h"), shingle_texts(w).alias("item_shingles")), "items")
-    keys = common.stored(tests.select(F.explode("h").alias("h"), (F.size("h") < short_item).alias("short")).distinct(), "item_hashes")
-    is_short = keys.where("short").limit(1).count() > 0
-    by_hash = common.small(tests.select(F.explode("h").alias("h"), "item_no"))
-    hashed = docs.select(F.xxhash64("text").alias("text_key"), shingle_hashes(normal_words(F.coalesce("text", F.lit("")))).alias("hs"))
-    met = _exploded(hashed, minima(F.col("hs"))).join(common.small(keys.where("not short").select("h")), "h", "left_semi")
-    if is_short:
-        met = met.unionByName(_exploded(hashed, F.col("hs")).join(common.small(keys.where("short").select("h")), "h", "left_semi"))
-    candidates = met.distinct().join(by_hash, "h").groupBy("text_key").agg(F.collect_set("item_no").alias("item_nos"))
-    candidates = common.small(common.stored(candidates, "candidates"), 200_000)
-    seen = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).join(candidates, "text_key")
-    seen = seen.select("doc_id", "item_nos", shingle_texts(normal_words(F.col("text"))).alias("shingles"))
-    pairs = seen.select("doc_id", "shingles", F.explode("item_nos").alias("item_no"))
-    tests = common.small(tests.select("item_no", "item_id", "item_shingles"), 100_000)
-    pairs = pairs.join(tests, "item_no").withColumn("n_shared", F.size(F.array_intersect("shingles", "item_shingles")).cast("long"))
-    pairs = pairs.withColumn("n_item", F.size("item_shingles").cast("long")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
-    return pairs.where(F.col("containment") >= min_containment).select("doc_id", "item_id", "n_item", "n_shared", "containment")
+    tests = common.stored(tests.select("item_id", F.monotonically_increasing_id().alias("item_no"), shingle_hashes(w).alias("h"), shingle_texts(w).alias("s")), "items")
+    found = common.stored(candidates(docs, tests.select("item_no", "h"), min_containment), "candidates")
+    texts = common.small(common.stored(found.select("text_key").distinct(), "candidate_texts"))
+    seen = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").join(texts, "text_key")
+    seen = common.stored(seen, "candidate_rows")
+    whole = seen.select("text_key", "text").dropDuplicates(["text_key"])
+    shingles = whole.select("text_key", F.explode(shingle_texts(normal_words(F.col("text")))).alias("shingle"))
+    asked = common.small(common.stored(tests.select("item_no", F.explode("s").alias("shingle")), "item_shingles"))
+    shared = shingles.join(asked, "shingle").groupBy("text_key", "item_no").agg(F.count(F.lit(1)).alias("n_shared"))
+    known = tests.select("item_no", "item_id", F.size("s").cast("long").alias("n_item"))
+    pairs = shared.join(found, ["text_key", "item_no"], "left_semi").join(common.small(known), "item_no")
+    pairs = pairs.withColumn("containment", F.col("n_shared") / F.col("n_item")).where(F.col("containment") >= min_containment)
+    pairs = common.stored(pairs.drop("item_no"), "pairs")
+    return seen.select("doc_id", "text_key").join(common.small(pairs), "text_key").select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
 def oracle_sql(min_containment: float = 0.8) -> str:

@@ -294,8 +294,28 @@ def test_contamination(spark, docs, clashing, empty):
 
 
 def test_minima_follow_the_size(spark):
-    df = spark.range(1000).agg(F.collect_list(F.xxhash64("id")).alias("h"))
-    assert df.select(F.size(decontaminate.minima(F.col("h")))).first()[0] > 560
+    for n in (1000, 60):
+        df = spark.range(n).agg(F.collect_list(F.xxhash64("id")).alias("h"))
+        for e in (-3, 0, 3, 9):
+            found = df.select(F.size(decontaminate.minima(F.col("h"), e))).first()[0]
+            assert found >= 0.9 * n * decontaminate.met_share(e) - 6, (n, e)
+    assert decontaminate.resolution(1) > decontaminate.resolution(8) > decontaminate.resolution(60)
+
+
+@pytest.mark.parametrize("size", [5, 9, 30, 120])
+def test_candidates_are_found(spark, size):
+    """Recall of the search alone, before verification, for items of one size in long and short documents."""
+    rng = random.Random(size)
+    docs, items = [], []
+    for i in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([150, 600, 5000]))]
+        part = w[(at := rng.randrange(len(w) - size)) : at + size]
+        if size > 25:
+            part[size // 2] = "changed"
+        docs.append((i, " ".join(w)))
+        items.append((i, " ".join(part)))
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sum(r.doc_id == r.item_id for r in found) >= 0.98 * len(items) and all(r.doc_id == r.item_id for r in found)
 
 
 # ---------------------------------------------------------------- 6

@@ -409,7 +409,9 @@ def _train_words(texts: DataFrame, folder: str) -> tuple[Level, int]:
 
     part = F.shiftrightunsigned("h", 64 - bits).cast("long") if bits else F.lit(0).cast("long")
     made = common.stored(counts.withColumn("part", part).groupBy("part").applyInArrow(build, "part long, path string, entries long, tokens long"), "word_parts")
-    return _level(made, parts), tokens
+    level = _level(made, parts)
+    common.discard(counts)
+    return level, tokens
 
 
 def _before(sizes: list[int]) -> tuple[int, ...]:
@@ -470,14 +472,20 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
             part = np.minimum((earlier + own * share) * (parts / model.tokens), parts - 1).astype(np.int64)
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             ends = np.append(cuts[1:], len(part)).tolist()
-            word, n = word.astype(np.int32), n.astype(np.int32)
-            columns = [pa.array([x[i:j].tobytes() for i, j in zip(cuts.tolist(), ends)], pa.binary()) for x in (context, word, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), *columns], names=["part", "c", "w", "n"])
+            word, steps = word.astype(np.int32), np.diff(context, prepend=0)
+            steps[cuts] = 0  # a row's contexts are its first one and steps from there
+            columns = [pa.array([_bytes(x[i:j], small) for i, j in zip(cuts.tolist(), ends)], pa.binary()) for x, small in ((steps, np.uint32), (word, np.int32), (n, np.uint8))]
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(context[cuts]), *columns], names=["part", "first", "c", "w", "n"])
 
     def build(rows: pa.Table) -> pa.Table:
-        context, word, n = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in rows.column(k)]) for k, kind in (("c", np.int64), ("w", np.int32), ("n", np.int32)))
+        contexts, words, counts = [], [], []
+        for first, c, w, m in zip(*(rows.column(k).to_pylist() for k in ("first", "c", "w", "n"))):
+            words.append(np.frombuffer(w, np.int32))
+            contexts.append(first + np.cumsum(_numbers(c, np.uint32, len(words[-1])), dtype=np.int64))
+            counts.append(_numbers(m, np.uint8, len(words[-1])).astype(np.int64))
+        context, word, n = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
         order = np.lexsort((word, context))
-        context, word, n = context[order], word[order], n[order].astype(np.int64)
+        context, word, n = context[order], word[order], n[order]
         starts = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(word, prepend=-1) != 0))
         n = np.add.reduceat(n, starts)
         enough = n >= min_count
@@ -507,7 +515,7 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
 
     made_names = ["path", "entries", "tokens", "c", "w", "mass", "last", "last_mass"]
     made_types = [pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.float64()]
-    grams = encoded.select("ids").mapInArrow(count, "part long, c binary, w binary, n binary")
+    grams = encoded.select("ids").mapInArrow(count, "part long, first long, c binary, w binary, n binary")
     made = grams.groupBy("part").applyInArrow(build, "path string, entries long, tokens long, c long, w long, mass double, last long, last_mass double")
     parts_made = sorted(common.stored(made, f"parts{depth + 1}").collect(), key=lambda r: (r["c"], r["w"]))
     mass: dict[int, float] = {}
@@ -522,6 +530,16 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
     return Level(tuple(columns["path"]), _before(columns["entries"]), _before(columns["tokens"]), sum(columns["entries"]), pairs, (ends, codes))
 
 
+def _bytes(values: np.ndarray, small: type) -> bytes:
+    """The values' bytes, of a small type if all fit, else of eight bytes each."""
+    fits = len(values) == 0 or int(values.max()) <= np.iinfo(small).max
+    return values.astype(small if fits else np.int64).tobytes()
+
+
+def _numbers(data: bytes, small: type, count: int) -> np.ndarray:
+    return np.frombuffer(data, small if len(data) == count * np.dtype(small).itemsize else np.int64)
+
+
 def _rest_code(mass: np.ndarray) -> np.ndarray:
     return np.maximum(quantised(1.0 - mass), 1)
 

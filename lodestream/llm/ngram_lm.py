@@ -475,14 +475,15 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
             word, steps = word.astype(np.int32), np.diff(context, prepend=0)
             steps[cuts] = 0  # a row's contexts are its first one and steps from there
             columns = [pa.array([_bytes(x[i:j], small) for i, j in zip(cuts.tolist(), ends)], pa.binary()) for x, small in ((steps, np.uint32), (word, np.int32), (n, np.uint8))]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(context[cuts]), *columns], names=["part", "first", "c", "w", "n"])
+            sizes = pa.array(np.diff(np.append(cuts, len(part))))
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(context[cuts]), sizes, *columns], names=["part", "first", "size", "c", "w", "n"])
 
     def build(rows: pa.Table) -> pa.Table:
         contexts, words, counts = [], [], []
-        for first, c, w, m in zip(*(rows.column(k).to_pylist() for k in ("first", "c", "w", "n"))):
-            words.append(np.frombuffer(w, np.int32))
-            contexts.append(first + np.cumsum(_numbers(c, np.uint32, len(words[-1])), dtype=np.int64))
-            counts.append(_numbers(m, np.uint8, len(words[-1])).astype(np.int64))
+        for first, size, c, w, m in zip(*(rows.column(k).to_pylist() for k in ("first", "size", "c", "w", "n"))):
+            words.append(_numbers(w, np.int32, size))
+            contexts.append(first + np.cumsum(_numbers(c, np.uint32, size), dtype=np.int64))
+            counts.append(_numbers(m, np.uint8, size).astype(np.int64))
         context, word, n = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
         order = np.lexsort((word, context))
         context, word, n = context[order], word[order], n[order]
@@ -515,7 +516,7 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
 
     made_names = ["path", "entries", "tokens", "c", "w", "mass", "last", "last_mass"]
     made_types = [pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.float64()]
-    grams = encoded.select("ids").mapInArrow(count, "part long, first long, c binary, w binary, n binary")
+    grams = encoded.select("ids").mapInArrow(count, "part long, first long, size long, c binary, w binary, n binary")
     made = grams.groupBy("part").applyInArrow(build, "path string, entries long, tokens long, c long, w long, mass double, last long, last_mass double")
     parts_made = sorted(common.stored(made, f"parts{depth + 1}").collect(), key=lambda r: (r["c"], r["w"]))
     mass: dict[int, float] = {}
@@ -531,13 +532,14 @@ def _train_level(encoded: DataFrame, model: Model, folder: str, more: bool, min_
 
 
 def _bytes(values: np.ndarray, small: type) -> bytes:
-    """The values' bytes, of a small type if all fit, else of eight bytes each."""
+    """The values compressed, of a small type if all fit, else of eight bytes each; the first byte tells the size."""
     fits = len(values) == 0 or int(values.max()) <= np.iinfo(small).max
-    return values.astype(small if fits else np.int64).tobytes()
+    values = np.ascontiguousarray(values.astype(small if fits else np.int64))
+    return bytes([values.itemsize]) + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
 
 
 def _numbers(data: bytes, small: type, count: int) -> np.ndarray:
-    return np.frombuffer(data, small if len(data) == count * np.dtype(small).itemsize else np.int64)
+    return np.frombuffer(pa.decompress(data[1:], count * data[0], codec="zstd", asbytes=True), small if data[0] == np.dtype(small).itemsize else np.int64)
 
 
 def _rest_code(mass: np.ndarray) -> np.ndarray:

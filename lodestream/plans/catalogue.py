@@ -336,7 +336,18 @@ def uniform_layer2(spark, sf_dir):
     return counts.groupBy("feature", ranking.uniform_groups(F.col("bin"), 20, 6).alias("bin"), "cls").agg(F.sum("n").alias("n"))
 
 
-@query()
+MERGE_COST = f"""0.5 * ({" + ".join(f"abs((v[{c}] + 1) / (list_sum(v) + 3) - (nv[{c}] + 1) / (list_sum(nv) + 3))" for c in (1, 2, 3))}) * (least(list_sum(v), list_sum(nv)) + 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LONG}, {RANGES}, {COUNTS}, z AS (SELECT f.feature, b.bin, [{", ".join(f"coalesce(sum(c.n) FILTER (c.cls = '{x}'), 0)::DOUBLE" for x in "ANR")}] AS v
+      FROM (SELECT DISTINCT feature FROM c) f CROSS JOIN range(20) b(bin) LEFT JOIN c ON c.feature = f.feature AND c.bin = b.bin GROUP BY f.feature, b.bin),
+    g AS (SELECT feature, 0 AS step, bin, v FROM z UNION ALL
+      SELECT feature, step + 1, bin, CASE WHEN r = 1 THEN [v[1] + nv[1], v[2] + nv[2], v[3] + nv[3]] ELSE v END FROM (SELECT *, lag(r) OVER (PARTITION BY feature ORDER BY bin) AS pr FROM (
+        SELECT *, row_number() OVER (PARTITION BY feature ORDER BY cost NULLS LAST, bin) AS r FROM (SELECT *, {MERGE_COST} AS cost FROM (SELECT *, lead(v) OVER (PARTITION BY feature ORDER BY bin) AS nv FROM g WHERE step < 14)))) WHERE coalesce(pr, 0) <> 1),
+    o AS (SELECT feature, (row_number() OVER (PARTITION BY feature ORDER BY bin) - 1)::INT AS bin, v FROM g WHERE step = 14), u AS (SELECT feature, bin, unnest(['A', 'N', 'R']) AS cls, unnest(v)::BIGINT AS n FROM o)
+    SELECT feature, bin, cls, n FROM u WHERE n > 0"""
+)
 def merged_layer2(spark, sf_dir):
     counts = _counts(spark, sf_dir)
     return ranking.regrouped(counts, ranking.merged_bins(counts, 20, 6))
@@ -476,7 +487,8 @@ def window_drift(spark, sf_dir):
 CLASSES = {"A": 0, "N": 1, "R": 2}
 
 
-def _bayes_sql() -> str:
+def _bayes_sql(restart: int = 0) -> str:
+    """A run is learned afresh at every `restart`-th row, if any."""
     state, scores = [], []
     for c in range(3):
         state.append(f"count(*) FILTER (y = {c}) OVER w AS n{c}")
@@ -487,8 +499,9 @@ def _bayes_sql() -> str:
             variance = f"(CASE WHEN n{c} > 0 THEN greatest(q{c}{f} / n{c} - {mean} * {mean}, 0) + 0.001 ELSE 1 END)"
             score += f" - 0.5 * ln({variance}) - ({f} - {mean}) * ({f} - {mean}) / (2 * {variance})"
         scores.append(f"round({score}, 9) AS l{c}")
-    return f"""WITH t AS (SELECT l_suppkey AS run, l_orderkey * 10 + l_linenumber AS seq, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS y, l_quantity AS quantity, l_discount AS discount FROM lineitem),
-    st AS (SELECT *, {", ".join(state)} FROM t WINDOW w AS (PARTITION BY run ORDER BY seq, quantity, discount, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), sc AS (SELECT *, {", ".join(scores)} FROM st)
+    session = f"row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity, l_discount, l_returnflag) // {restart}" if restart else "0"
+    return f"""WITH t AS (SELECT l_suppkey AS run, {session} AS session, l_orderkey * 10 + l_linenumber AS seq, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS y, l_quantity AS quantity, l_discount AS discount FROM lineitem),
+    st AS (SELECT *, {", ".join(state)} FROM t WINDOW w AS (PARTITION BY run, session ORDER BY seq, quantity, discount, y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), sc AS (SELECT *, {", ".join(scores)} FROM st)
     SELECT run, count(*) AS n, sum((y = CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END)::INT)::BIGINT AS hits FROM sc GROUP BY run"""
 
 
@@ -501,14 +514,6 @@ def naive_bayes_hits(spark, sf_dir):
     return p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("y")).alias("hits"))
 
 
-@query()
-def naive_bayes_restarted(spark, sf_dir):
-    """Prequential accuracy on generated runs with drift, learned afresh at every quarter."""
-    stream = generators.sea(spark, 4, 4000)
-    p = learners.naive_bayes(stream, ["x0", "x1", "x2"], 2, (F.col("seq") % 1000 == 0))
-    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
-
-
 ALARMED = """num AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i, l_returnflag AS cls, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem),
 long AS (SELECT run, i, cls, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::DOUBLE AS value FROM num),
 al AS (SELECT run, i AS "at" FROM num WHERE i % 200 = 0),
@@ -579,7 +584,14 @@ def patches_accuracy(spark, sf_dir):
     return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LONG}, {RANGES}, {PERIODS}, sc AS MATERIALIZED (SELECT period, feature, round(chi2, 9) AS v, dense_rank() OVER (ORDER BY period) AS t FROM s),
+    ev AS (SELECT 1::BIGINT AS t, list(feature) AS sel, 0::BIGINT AS n FROM (SELECT feature FROM sc WHERE t = 1 ORDER BY v DESC, feature LIMIT 2) UNION ALL
+      SELECT t, CASE WHEN -best.v > worst.v THEN list_append(list_filter(sel, lambda f: f <> worst.f), best.f) ELSE sel END, CASE WHEN -best.v > worst.v THEN 1 ELSE 0 END FROM (
+        SELECT ev.t + 1 AS t, ev.sel, min({{'v': sc.v, 'f': sc.feature}}) FILTER (list_contains(ev.sel, sc.feature)) AS worst, min({{'v': -sc.v, 'f': sc.feature}}) FILTER (NOT list_contains(ev.sel, sc.feature)) AS best
+        FROM ev JOIN sc ON sc.t = ev.t + 1 GROUP BY ev.t, ev.sel))
+    SELECT 0 AS run, period, array_to_string(list_sort(sel), ',') AS selected, n AS n_swapped FROM ev JOIN (SELECT DISTINCT t, period FROM sc) USING (t)"""
+)
 def evolving_selection(spark, sf_dir):
     """Two of four features by year, with limited swaps."""
     instances = _long(spark, sf_dir, "l_shipdate")
@@ -595,28 +607,11 @@ def _errors(spark: SparkSession) -> DataFrame:
     return stream.select("run", "seq", wrong.cast("double").alias("error"))
 
 
-@query()
-def hoeffding_alarms(spark, sf_dir):
-    return drift.alarms(_errors(spark), "run", "seq", "error", drift.HoeffdingMean)
-
-
 @query()
 def adaptive_window_alarms(spark, sf_dir):
     return drift.alarms(_errors(spark), "run", "seq", "error", drift.AdaptiveWindow)
 
 
-@query()
-def weighted_alarms(spark, sf_dir):
-    return drift.alarms(_errors(spark), "run", "seq", "error", drift.WeightedMean)
-
-
-@query()
-def sample_window_alarms(spark, sf_dir):
-    """Changes of a generated feature's distribution after each run's half."""
-    stream = generators.sea(spark, 4, 4000).select("run", "seq", (F.col("x0") + F.when(F.col("seq") >= 2000, 3.0).otherwise(0.0)).alias("x"))
-    return drift.alarms(stream, "run", "seq", "x", lambda: drift.SampleWindow(100, 0.001, 10))
-
-
 @query()
 def live_alarms(spark, sf_dir):
     return live.finished(live.alarms(generators.sea_live(spark, 4, 20_000).select("run", "seq", (F.col("x0") + F.col("x1") <= 8.0).cast("int").alias("p"), "y")), "append")
@@ -673,23 +668,34 @@ def nemenyi_pairs(spark, sf_dir):
     return rounded(significance.nemenyi(significance.ranked(_scored(spark, sf_dir))))
 
 
-@query(
-    f"""WITH {SCORED}, pr AS (SELECT dataset, max(score) FILTER (method = 'click') - max(score) FILTER (method = 'view') AS d FROM sc GROUP BY dataset), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM pr),
-    s AS (SELECT count(*) AS n, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r)
-    SELECT *, round((greatest(w_plus, w_minus) - n * (n + 1) / 4 - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s"""
-)
+SIGNED = """pr AS (SELECT dataset, max(score) FILTER (method = 'click') - max(score) FILTER (method = 'view') AS d FROM sc GROUP BY dataset), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM pr),
+    s AS (SELECT count(*) AS n, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d < 0) AS losses, count(*) FILTER (d = 0) AS ties, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus FROM r)"""
+SIGNED_Z = "(greatest(w_plus, w_minus) - n * (n + 1) / 4 - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24)"
+
+
+@query(f"WITH {SCORED}, {SIGNED} SELECT *, round({SIGNED_Z}, 6) AS z FROM s")
 def wilcoxon_pair(spark, sf_dir):
     return rounded(significance.wilcoxon(_scored(spark, sf_dir), "click", "view"))
 
 
-@query()
+@query(
+    f"""WITH {SCORED}, {RANKED}, {MEANS}, f AS (SELECT max(n) AS n, max(k) AS k, 12 * max(n) / (max(k) * (max(k) + 1)) * sum(mean_rank * mean_rank) - 3 * max(n) * (max(k) + 1) AS chi2 FROM mr),
+    g AS (SELECT *, (n - 1) * chi2 / (n * (k - 1) - chi2) AS f_stat, 4 * (n - 1) AS d2 FROM f), p AS (SELECT *, exp(-chi2 / 2) * (1 + chi2 / 2) AS p_chi2, pow(d2 / (d2 + 4 * f_stat), d2 / 2) * (1 + d2 / 2 * (1 - d2 / (d2 + 4 * f_stat))) AS p_f FROM g)
+    SELECT n, k, round(chi2, 6) AS chi2, round(f_stat, 6) AS f_stat, round(p_chi2, 6) AS p_chi2, round(p_f, 6) AS p_f, round(p_f, 6) AS p, p_f < 0.05 AS reject FROM p"""  # the tails' finite sums for five methods
+)
 def friedman_significance(spark, sf_dir):
     return rounded(significance.friedman_p(significance.friedman(significance.ranked(_scored(spark, sf_dir)))))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SCORED}, {SIGNED}, sz AS (SELECT *, {SIGNED_Z} AS z FROM s),
+    ways AS (SELECT 0 AS rank, [1]::DOUBLE[] AS c UNION ALL SELECT rank + 1, list_transform(range(0, len(c) + rank + 1), lambda j: coalesce(c[j + 1], 0) + CASE WHEN j > rank THEN coalesce(c[j - rank], 0) ELSE 0 END) FROM ways WHERE rank < 30),
+    p AS (SELECT sz.*, CASE WHEN n <= 30 THEN least(2 * coalesce(list_sum(c[ceil(greatest(w_plus, w_minus))::INT + 1:]), 0) / pow(2, n), 1) WHEN z > 6 THEN 0
+      ELSE least(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * pow(z / sqrt(2), 2 * j + 1) / (exp(lgamma(j + 1)) * (2 * j + 1)))), 1) END AS p FROM sz LEFT JOIN ways ON rank = n)
+    SELECT * REPLACE (round(z, 6) AS z, round(p, 6) AS p), p < 0.05 AS reject FROM p"""
+)
 def wilcoxon_significance(spark, sf_dir):
     return rounded(significance.wilcoxon_p(significance.wilcoxon(_scored(spark, sf_dir), "click", "view")))
 
 
-from . import workflows  # noqa: E402, F401  registers its queries; it needs the names above
+from . import detections, workflows  # noqa: E402, F401  register their queries; they need the names above

@@ -10,6 +10,8 @@ import textwrap
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -649,6 +651,37 @@ def test_large_group_of_near_copies(spark):
     assert [r.doc_id for r in near_copies.deduplicate(df).collect()] == [0]
 
 
+def test_neighbours_of_a_bucket_over_many_tasks(spark):
+    """However a bucket's ids are cut into batches and tasks, borders and pairs connect them; buckets stay apart."""
+    rng = np.random.default_rng(11)
+    for n_keys in (1, 3, 40):
+        rows = sorted({(int(k), int(i)) for k, i in zip(rng.integers(0, n_keys, 300), rng.integers(-(2**62), 2**62, 300))})
+        cuts = sorted(int(c) for c in rng.integers(0, len(rows), 5))
+        met = []
+        for task in (rows[i:j] for i, j in zip([0, *cuts], [*cuts, len(rows)])):
+            halves = [task[: len(task) // 2], task[len(task) // 2 :]]
+            batches = [pa.RecordBatch.from_pydict({"key": pa.array([k for k, _ in h], pa.int64()), "id": pa.array([i for _, i in h], pa.int64())}) for h in halves]
+            met += [r for out in near_copies._neighbours(iter(batches)) for r in out.to_pylist()]
+        borders = defaultdict(list)
+        for r in met:
+            if r["border"] is not None:
+                borders[r["border"]].append(r["a"])
+        pairs = [(r["a"], r["b"]) for r in met if r["border"] is None] + [(a, min(g)) for g in borders.values() for a in g]
+        assert len(met) - sum(map(len, borders.values())) <= 2 * len(rows) and sum(map(len, borders.values())) <= 3 * 6
+        key_of = {i: k for k, i in rows}
+        assert all(key_of[a] == key_of[b] for a, b in pairs)
+        root = {i: i for i in key_of}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        assert len({find(i) for i in root}) == len({k for k, _ in rows})
+
+
 # ---------------------------------------------------------------- 9
 
 

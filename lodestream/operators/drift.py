@@ -4,27 +4,63 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from itertools import groupby
+from operator import and_
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 TERMS = 100
 
 
+def ranged_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """df with `upto_x` and `all_x` for each x of sums: its total up to the row in its group, and over the group.
+
+    Groups are cut into ranges, however few or long they are: rows are sorted by ranges and stored, a row per range
+    (a few for each task) is summed up, and each range goes on from the total of those before it. `order` must tell a group's rows apart.
+    """
+    keys = list(by)
+    pieces = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = pieces.groupBy(*keys, "_range").agg(*[F.sum(x).alias(f"_{x}") for x in sums])
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_of_{c}") for c in (*keys, "_range")], *[F.coalesce(F.sum(f"_{x}").over(before), F.lit(0)).alias(f"_before_{x}") for x in sums], *[F.sum(f"_{x}").over(group).alias(f"all_{x}") for x in sums])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys] + [F.col("_range") == F.col("_of__range")]
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = pieces.join(offsets, reduce(and_, same))
+    return joined.select(*df.columns, *[(F.col(f"_before_{x}") + F.sum(x).over(within)).alias(f"upto_{x}") for x in sums], *[f"all_{x}" for x in sums])
+
+
+def _points(samples: DataFrame, by: Sequence[str]) -> DataFrame:
+    return samples.groupBy(*by, "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+
+
+def _distance(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    gap = F.abs(F.try_divide("upto_a", "all_a") - F.try_divide("upto_b", "all_b"))
+    return steps.groupBy(*by).agg(F.max("all_a").alias("n0"), F.max("all_b").alias("n1"), F.max(gap).alias("ks"))
+
+
 def distance(samples: DataFrame, *by: str) -> DataFrame:
     """by, n0, n1, ks: the greatest difference of the two samples' distribution functions; NULL without one of them.
 
     samples: by, side (0 or 1), value. Equal values are counted first, so the ordered pass is over distinct values.
+    For many groups that fit a task each; see `long_distance` for few and long ones.
     """
-    points = samples.groupBy(*by, "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    steps = points.select(*by, F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(whole).alias("n0"), F.sum("b").over(whole).alias("n1"))
-    return steps.groupBy(*by).agg(F.max("n0").alias("n0"), F.max("n1").alias("n1"), F.max(F.abs(F.try_divide("ca", "n0") - F.try_divide("cb", "n1"))).alias("ks"))
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    sums = [F.sum(x).over(w).alias(f"{name}_{x}") for x in "ab" for name, w in (("upto", upto), ("all", whole))]
+    return _distance(_points(samples, by).select(*by, *sums), by)
+
+
+def long_distance(samples: DataFrame, *by: str) -> DataFrame:
+    """As `distance`, for groups of any length: their distinct values spread over tasks by ranges."""
+    return _distance(ranged_sums(_points(samples, by), by, ["value"], ["a", "b"]), by)
 
 
 def p_value(ks: Column, n0: Column, n1: Column) -> Column:
@@ -43,12 +79,15 @@ def windows(stream: DataFrame, key: str, seq: str, value: str, size: int) -> Dat
     return df.select(key, "value", (F.col("i") > size).cast("int").alias("side"))
 
 
-def discoveries(tests: DataFrame, p: str, q: float = 0.05, *ties: str) -> DataFrame:
-    """drift: whether each test is among those up to the largest rank r with p <= r q / m. A row per test: a small table."""
-    order, everything = Window.orderBy(p, *ties), Window.partitionBy()
-    df = tests.withColumn("_r", F.row_number().over(order)).withColumn("_m", F.count(F.lit(1)).over(everything))
-    cut = F.max(F.when(F.col(p) <= F.col("_r") * q / F.col("_m"), F.col("_r"))).over(everything)
-    return df.withColumn("drift", F.col("_r") <= F.coalesce(cut, F.lit(0))).drop("_r", "_m")
+def discoveries(tests: DataFrame, p: str, q: float = 0.05) -> DataFrame:
+    """drift: whether each test is among those up to the largest rank r with p <= r q / m. A NULL p is no test.
+
+    Equal p are counted first and ranked by ranges; what is compared with all tests is one row, the greatest such p.
+    """
+    points = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = ranged_sums(points, [], ["_p"], ["n"])
+    cut = ranks.agg(F.max(F.when(F.col("_p") <= F.col("upto_n") * q / F.col("all_n"), F.col("_p"))).alias("_cut"))
+    return tests.crossJoin(F.broadcast(cut)).withColumn("drift", F.coalesce(F.col(p) <= F.col("_cut"), F.lit(False))).drop("_cut")  # one row
 
 
 class HoeffdingMean:

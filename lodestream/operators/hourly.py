@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heappop, heappush, heappushpop
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import clock
 
@@ -40,11 +45,48 @@ def lag_features(hourly: DataFrame, key: str, value: str, warm_up: int = 24) ->
     return df.where(F.col("row_num") >= warm_up)
 
 
+class RunningMedian:
+    """Exact median of the values so far; None before the first. A value takes logarithmic time."""
+
+    def __init__(self) -> None:
+        self.below: list[float] = []  # the smaller half, negated, its greatest first
+        self.above: list[float] = []
+
+    def add(self, x: float) -> None:
+        heappush(self.above, -heappushpop(self.below, -x))
+        if len(self.above) > len(self.below):
+            heappush(self.below, -heappop(self.above))
+
+    def value(self) -> float | None:
+        if not self.below:
+            return None
+        return -self.below[0] if len(self.below) > len(self.above) else (self.above[0] - self.below[0]) / 2
+
+
 def past_median_label(hourly: DataFrame, key: str, value: str) -> DataFrame:
-    """past_median, the exact median of all earlier rows of the key, and label HIGH above it, else LOW."""
-    before = Window.partitionBy(key).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    median = F.expr(f"percentile({value}, 0.5)").over(before)
-    return hourly.withColumn("past_median", median).withColumn("label", F.when(F.col(value) > F.col("past_median"), "HIGH").otherwise("LOW"))
+    """past_median, the exact median of all earlier rows of the key, and label HIGH above it, else LOW.
+
+    Rows are read in order, key by key; a task holds the hours of one key, whose number the calendar bounds. NULL values enter no median.
+    """
+    hourly = hourly.drop("past_median")
+    names = [*hourly.columns, "past_median"]
+    k, v = names.index(key), names.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, past = object(), RunningMedian()
+        for batch in batches:
+            medians = []
+            for of, x in zip(batch.column(k).to_pylist(), batch.column(v).to_pylist()):
+                if of != current:
+                    current, past = of, RunningMedian()
+                medians.append(past.value())
+                if x is not None:
+                    past.add(float(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(medians, pa.float64())], names=names)
+
+    rows = hourly.repartition(key).sortWithinPartitions(key, "hour")
+    marked = rows.mapInArrow(run, T.StructType([*hourly.schema.fields, T.StructField("past_median", T.DoubleType())]))
+    return marked.withColumn("label", F.when(F.col(value) > F.col("past_median"), "HIGH").otherwise("LOW"))
 
 
 def cyclic_time(df: DataFrame, ts: str) -> DataFrame:

@@ -391,7 +391,7 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LONG}, {KS} SELECT feature, n0, n1, round(ks, 9) AS ks FROM ks")
 def feature_drift(spark, sf_dir):
-    return rounded(drift.distance(_halves(spark, sf_dir), "feature"), 9)
+    return rounded(drift.long_distance(_halves(spark, sf_dir), "feature"), 9)
 
 
 @query(
@@ -399,7 +399,7 @@ def feature_drift(spark, sf_dir):
     w AS (SELECT feature, 0.7 * mutual_info / max(mutual_info) OVER () + 0.3 * stable / max(stable) OVER () AS raw FROM i) SELECT feature, round(raw / sum(raw) OVER (), 6) AS importance FROM w"""
 )
 def feature_importance(spark, sf_dir):
-    return rounded(ranking.importance(ranking.scores(_counts(spark, sf_dir)), drift.distance(_halves(spark, sf_dir), "feature").select("feature", "ks")))
+    return rounded(ranking.importance(ranking.scores(_counts(spark, sf_dir)), drift.long_distance(_halves(spark, sf_dir), "feature").select("feature", "ks")))
 
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, ln(((p_partkey * 7919 + 104729) % 1000003 + 1) / 1000004.0) / p_size AS k FROM part WHERE p_size > 0 ORDER BY k DESC, p_partkey LIMIT 100)")
@@ -481,7 +481,7 @@ def window_drift(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     d = drift.distance(drift.windows(events, "user_id", "event_id", "value", 25), "user_id")
     tests = d.select("user_id", "ks", drift.p_value(F.col("ks"), F.col("n0").cast("double"), F.col("n1").cast("double")).alias("p"))
-    return rounded(drift.discoveries(tests, "p", 0.2, "user_id"))
+    return rounded(drift.discoveries(tests, "p", 0.2))
 
 
 CLASSES = {"A": 0, "N": 1, "R": 2}

@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,45 @@ def test_ks_against_brute_force(spark):
     assert abs(one(drift.distance(df, "k")).ks - want) < 1e-12
 
 
+@pytest.mark.parametrize("by", [["k"], ["k", "j"], []])
+def test_totals_by_ranges(spark, by):
+    """Running totals agree with a plain loop, over tasks and groups of any size, NULL keys included."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(2), i, rng.choice([None, 1, 2, 5])) for i in rng.sample(range(1000), 300)]
+    df = spark.createDataFrame(rows, "k string, j int, i int, n int").repartition(5)
+    totals, running = {}, {}
+    for k, j, i, n in sorted(rows, key=lambda r: r[2]):
+        group = tuple({"k": k, "j": j}[c] for c in by)
+        totals[group] = totals.get(group, 0) + (n or 0)
+        running[i] = totals[group]
+    for r in drift.ranged_sums(df.fillna(0, ["n"]), by, ["i"], ["n"]).collect():
+        assert (r.upto_n, r.all_n) == (running[r.i], totals[tuple(r[c] for c in by)])
+        running.pop(r.i)
+    assert not running
+
+
+def test_long_distance_is_the_distance(spark):
+    rng = random.Random(13)
+    rows = [(k, rng.randrange(2), rng.choice([None, round(rng.gauss(0, 1), 1)])) for k in ["a", "b", None] for _ in range(200)] + [("one side", 0, 1.0)]
+    df = spark.createDataFrame(rows, "k string, side int, value double")
+    assert sorted(map(str, drift.long_distance(df, "k").collect())) == sorted(map(str, drift.distance(df, "k").collect()))
+    assert drift.long_distance(df.limit(0), "k").count() == 0
+
+
+def test_past_median(spark):
+    rng = random.Random(14)
+    rows = [(k, h, rng.choice([None, 0.0, float(rng.randrange(9)), rng.random()])) for k in ["a", "b", None] for h in range(70)]
+    df = hourly.past_median_label(spark.createDataFrame(rows, "k string, hour int, v double").repartition(3), "k", "v")
+    values = {(k, h): v for k, h, v in rows}
+    out = df.collect()
+    assert len(out) == len(rows) and df.columns == ["k", "hour", "v", "past_median", "label"]
+    for r in out:
+        past = [values[r.k, h] for h in range(r.hour) if values[r.k, h] is not None]
+        want = statistics.median(past) if past else None
+        assert r.past_median == want or abs(r.past_median - want) < 1e-12
+        assert r.label == ("HIGH" if None not in (r.v, want) and r.v > want else "LOW")
+
+
 def test_benjamini_hochberg(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.6]
     got = {r["p"]: r["drift"] for r in drift.discoveries(spark.createDataFrame([(x,) for x in p], "p double"), "p", 0.05).collect()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import balanced_mix, chat_format, decontaminate, hard_negatives, licenses, ngram_lm, quality_rules, sharding, simhash, token_lengths, wrapper_extract
+from . import balanced_mix, chat_format, decontaminate, divergence, fingerprints, hard_negatives, licenses, ngram_lm, quality_rules, sharding, simhash, token_lengths, wrapper_extract
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,22 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mining_report(read(spark, sf_dir, "embeddings"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": decontaminate.oracle_sql(), "op10_license_scan": licenses.oracle_sql(), "op11_hard_negatives": hard_negatives.oracle_sql()}
+    return {
+        "op5_benchmark_decontamination": decontaminate.oracle_sql(),
+        "op10_license_scan": licenses.oracle_sql(),
+        "op11_hard_negatives": hard_negatives.oracle_sql(),
+        "op13_source_divergence": divergence.oracle_sql(),
+    }

@@ -3,13 +3,14 @@
 Each language keeps the terms that enough of its documents use. A group (language, source) gives every kept term the smoothed
 share p, in integers. Two groups lie apart by the sum of |p - q| over all kept terms, and this sum is split:
 
-* heavy terms, which many groups use, fill dense tiles: a matrix of groups by terms, whose rows are subtracted whole;
-* light terms, which few groups use, are never laid out. A group that lacks a term gives it its least share p0. Between two groups
-  all light terms count as |p0 - q0| first; then comes, for each group's own light terms, the difference that they make
+* a group that lacks a term gives it its least share p0, so between two groups all terms count as |p0 - q0| first;
+* heavy terms, which many groups use, fill dense tiles: a matrix of groups by terms, whose rows are subtracted whole. What
+  a tile's terms differ by in place of |p0 - q0| is its part of the sum;
+* light terms, which few groups use, are never laid out. For each group's own light terms comes the difference that they make
   (a histogram of its shares against the other's p0), and for terms of both groups, by posting pairs, what the two
   corrections have wrong together.
 
-Both sums are integers and are added exactly. A light term has at most LIGHT postings, so its pairs are few; tiles hold a bounded
+All sums are integers and are added exactly. A light term has at most LIGHT postings, so its pairs are few; tiles hold a bounded
 number of cells, and groups beyond GROUPS are cut into blocks, of which every two share a tile.
 
 Texts are counted in the tasks that read them (by bytes, since only ASCII letters change case and ASCII alone separates terms); what is
@@ -109,20 +110,25 @@ def share(n: Column, total: Column, terms: Column) -> Column:
     return F.when(terms > 0, whole + 1).otherwise(0).cast("long")
 
 
-def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """lang, g, h, apart: what the terms of a tile add between its groups; rows without a term hold the groups' least shares."""
-    least = pdf[pdf["term"].isna()].sort_values("idx")
-    groups = least["idx"].to_numpy()
-    own = pdf[pdf["term"].notna()]
-    at, terms = pd.factorize(own["term"])
-    shares = np.repeat(least["p"].to_numpy()[:, None], len(terms), axis=1)
-    shares[np.searchsorted(groups, own["idx"].to_numpy()), at] = own["p"].to_numpy()
-    low, high = pdf["b1"].iloc[0], pdf["b2"].iloc[0]
-    left = np.flatnonzero(groups // GROUPS == low)
-    right = np.flatnonzero(groups // GROUPS == high)
-    found = [(groups[i], to := right[right > i], np.abs(shares[to] - shares[i]).sum(axis=1)) for i in left]
-    g = np.concatenate([np.full(len(to), i) for i, to, _ in found])
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "g": g, "h": groups[np.concatenate([to for _, to, _ in found])], "apart": np.concatenate([d for *_, d in found])})
+def _tiles(size: int):
+    """lang, g, h, apart: what the terms of a tile change between its groups, `size` to a block; rows without a term hold the groups' least shares."""
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        least = pdf[pdf["term"].isna()].sort_values("idx")
+        groups = least["idx"].to_numpy()
+        own = pdf[pdf["term"].notna()]
+        at, terms = pd.factorize(own["term"])
+        shares = np.repeat(least["p"].to_numpy()[:, None], len(terms), axis=1)
+        shares[np.searchsorted(groups, own["idx"].to_numpy()), at] = own["p"].to_numpy()
+        low, high = pdf["b1"].iloc[0], pdf["b2"].iloc[0]
+        left = np.flatnonzero(groups // size == low)
+        right = np.flatnonzero(groups // size == high)
+        p0 = least["p"].to_numpy()
+        found = [(groups[i], to := right[right > i], np.abs(shares[to] - shares[i]).sum(axis=1) - len(terms) * np.abs(p0[to] - p0[i])) for i in left]
+        g = np.concatenate([np.full(len(to), i) for i, to, _ in found])
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "g": g, "h": groups[np.concatenate([to for _, to, _ in found])], "apart": np.concatenate([d for *_, d in found])})
+
+    return tile
 
 
 def _block_pairs(df: DataFrame) -> DataFrame:
@@ -140,7 +146,7 @@ def _heavy(entries: DataFrame, groups: DataFrame) -> DataFrame:
     cells = entries.where(F.col("in_groups") > LIGHT).select("lang", F.pmod(F.xxhash64("term"), tiles).cast("int").alias("tile"), "idx", "s", "term", "p")
     least = groups.where("heavy > 0").select("lang", F.explode(F.sequence(F.lit(0), (tiles - 1).cast("int"))).alias("tile"), "idx", "s", F.lit(None).cast("string").alias("term"), F.col("p0").alias("p"))
     both = _block_pairs(cells.unionByName(least)).drop("s")
-    return both.groupBy("lang", "tile", "b1", "b2").applyInPandas(_tile, "lang string, g long, h long, apart long")
+    return both.groupBy("lang", "tile", "b1", "b2").applyInPandas(_tiles(GROUPS), "lang string, g long, h long, apart long")
 
 
 def _posting_pairs(entries: DataFrame) -> DataFrame:
@@ -155,7 +161,7 @@ def _posting_pairs(entries: DataFrame) -> DataFrame:
 
 def _grid(groups: DataFrame) -> DataFrame:
     """Every two groups of a language once, as structs g and h; they meet by blocks."""
-    each = _block_pairs(groups).select("lang", "b1", "b2", "idx", F.struct("idx", "source", "p0", "held", "shares", "light").alias("x"))
+    each = _block_pairs(groups).select("lang", "b1", "b2", "idx", F.struct("idx", "source", "p0", "held", "shares", "v").alias("x"))
     left, right = each.select("lang", "b1", "b2", F.col("idx").alias("_i"), F.col("x").alias("g")), each.select("lang", "b1", "b2", F.col("idx").alias("_j"), F.col("x").alias("h"))
     in_order = (F.col("_i") < F.col("_j")) & (F.floor(F.col("_i") / GROUPS) == F.col("b1")) & (F.floor(F.col("_j") / GROUPS) == F.col("b2"))
     return left.join(right, ["lang", "b1", "b2"]).where(in_order).select("lang", "g", "h")
@@ -177,7 +183,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
     found = _heavy(entries, groups).unionByName(_posting_pairs(entries)).groupBy("lang", "g", "h").agg(F.sum("apart").alias("apart"))
     shares = entries.where(F.col("in_groups") <= LIGHT).groupBy("lang", "source", "p").agg(F.count(F.lit(1)).alias("n"))
     shares = shares.groupBy("lang", "source").agg(F.sum("n").alias("held"), F.collect_list(F.struct("p", "n")).alias("shares"))
-    known = groups.join(shares, ["lang", "source"], "left").withColumn("light", F.col("v") - F.col("heavy")).na.fill(0, ["held"])
+    known = groups.join(shares, ["lang", "source"], "left").na.fill(0, ["held"])
     grid = _grid(known).withColumns({"_base": F.abs(F.col("g.p0") - F.col("h.p0"))})
 
     def single(own: str, other: str) -> Column:
@@ -185,9 +191,9 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> DataFrame:
         away = F.aggregate(f"{own}.shares", F.lit(0).cast("long"), lambda a, x: a + x["n"] * F.abs(x["p"] - F.col(f"{other}.p0")))
         return F.coalesce(away, F.lit(0)) - F.col(f"{own}.held") * F.col("_base")
 
-    single_light = F.col("g.light") * F.col("_base") + single("g", "h") + single("h", "g")
-    pairs = grid.select("lang", F.col("g.idx").cast("long").alias("g"), F.col("h.idx").cast("long").alias("h"), F.col("g.source").alias("a"), F.col("h.source").alias("b"), single_light.alias("_light"))
-    pairs = pairs.join(found, ["lang", "g", "h"], "left").select("lang", "a", "b", (F.col("_light") + F.coalesce("apart", F.lit(0))).alias("value"))
+    rest = F.col("g.v") * F.col("_base") + single("g", "h") + single("h", "g")
+    pairs = grid.select("lang", F.col("g.idx").cast("long").alias("i"), F.col("h.idx").cast("long").alias("j"), F.col("g.source").alias("a"), F.col("h.source").alias("b"), rest.alias("_rest"))
+    pairs = pairs.withColumnsRenamed({"i": "g", "j": "h"}).join(found, ["lang", "g", "h"], "left").select("lang", "a", "b", (F.col("_rest") + F.coalesce("apart", F.lit(0))).alias("value"))
     both = F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item"))))
     pairs = pairs.select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -2,26 +2,38 @@
 
 A stream has rows run, seq, y (a class from 0) and its features. A run is cut into blocks of `size` rows; a block
 is predicted by what was learned up to the block before. Learners are Gaussian naive Bayes models on subspaces of
-the features. After each block every feature is tested against the block before (two samples, one false discovery
-rate for a run's block); a learner without drifting features is kept, one with some learns these features afresh
-from this block (surgical replacement), one with many of them learns all afresh (full refresh).
+the features, and the subspaces evolve. After each block every feature is scored and tested against the block before (two
+samples, one false discovery rate for a run's block), and each learner is dealt with by its share of drifting features:
+
+* KEEP: none drifts;
+* SURGICAL: some do, and are swapped, in the order of the subspace, for the best-scored others that do not drift, where these score
+  more. What stays keeps what it has learned, what comes learns from this block on;
+* NO_REPLACEMENT: some do, but none of the others would gain;
+* FULL: many do; the learner draws a new subspace of the same size, by weight and without the drifting features while there
+  are enough others, and learns afresh from this block on.
+
+With `alarms` learners are touched only after blocks in which an error detector fired.
 
 Nothing is learned row by row: a block's counts, sums and squares by feature and class come from one aggregation,
-and a learner's state is their sum since the feature's last reset. States are a row for a run's block; rows meet them by a
+and a learner's state is their sum since the feature came. Only a block's scores, one row, reach the fold that keeps the subspaces. States are a row for a run's block; rows meet them by a
 join and are scored in native expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import math
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import drift
+from . import drift, ranking
 
-#: The pseudo-feature whose counts are a learner's class counts; it is reset by full refreshes alone.
+#: The pseudo-feature whose counts are a learner's class counts; it starts afresh with full refreshes alone.
 PRIOR = ""
+ACTIONS = ("KEEP", "SURGICAL", "NO_REPLACEMENT", "FULL")
 
 
 def blocks(stream: DataFrame, size: int) -> DataFrame:
@@ -47,31 +59,106 @@ def block_drift(blocked: DataFrame, features: Sequence[str], q: float = 0.05) ->
     return tests.withColumn("drift", F.col("_r") <= F.coalesce(cut, F.lit(0))).drop("_r", "_m")
 
 
-def block_actions(drifts: DataFrame, subspaces: DataFrame, full: float = 0.5) -> DataFrame:
-    """run, block, learner, overlap, action, resets (features learned afresh). subspaces: learner, feature; a small table."""
-    hit = drifts.join(F.broadcast(subspaces), "feature").groupBy("run", "block", "learner")
-    found = hit.agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list(F.when(F.col("drift"), F.col("feature")))).alias("_drifting"), F.sort_array(F.collect_list("feature")).alias("_all"))
-    overlap = F.size("_drifting") / F.col("_n")
-    action = F.when(F.col("overlap") == 0, "KEEP").when(F.col("overlap") < full, "SURGICAL").otherwise("FULL")
-    resets = F.when(F.col("action") == "FULL", F.concat("_all", F.array(F.lit(PRIOR)))).otherwise(F.col("_drifting"))
-    return found.withColumn("overlap", overlap).withColumn("action", action).select("run", "block", "learner", "overlap", "action", resets.alias("resets"))
+def block_scores(blocked: DataFrame, features: Sequence[str], bins: int = 10, score: str = "chi2") -> DataFrame:
+    """run, block, feature, score (to nine digits): each block by itself, binned over the span of its run's first block."""
+    long = ranking.long_form(blocked, list(features), "y", "run", "block")
+    counts = ranking.histogram(long, ranking.ranges(long.where("block = 0"), "run"), bins, "run", "block")
+    return ranking.scores(counts, "run", "block").select("run", "block", "feature", F.round(score, 9).alias("score"))
+
+
+def drawn(weights: dict[str, float], size: int, avoid: set[str], seed: int, *key: object) -> list[str]:
+    """`size` features without replacement, with chances that follow the weights; those to avoid only where there are too few others.
+
+    Weights not above 0 come after all others. The draw depends on seed and key alone.
+    """
+
+    def rank(f: str) -> tuple:
+        u = (int(hashlib.md5(":".join(map(str, (seed, *key, f))).encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+        w = weights[f]
+        return (f in avoid, not w > 0, -math.log(u) / w if w > 0 else -u, f)
+
+    return sorted(sorted(weights, key=rank)[:size])
+
+
+def replaced(own: Sequence[str], drifting: set[str], score: dict[str, float]) -> list[str]:
+    """The subspace with its drifting features, in their order, swapped for the best others that score more."""
+    others = sorted((f for f in score if f not in own and f not in drifting), key=lambda f: (-score[f], f))
+    swaps = {f: other for f, other in zip((f for f in own if f in drifting), others) if score[other] > score.get(f, 0.0)}
+    return [swaps.get(f, f) for f in own]
+
+
+def evolving_subspaces(found: DataFrame, start: DataFrame, full: float = 0.5, seed: int = 1) -> DataFrame:
+    """run, block, learner, overlap, action, features (in place, after the block), fresh (those that learn from this block on).
+
+    found: run, block, feature, score, drift and, optionally, weight (of a draw; the score where absent), a row for each feature of each
+    block; a NULL score is 0, a NULL drift is none. start: learner, feature; a small table, the subspaces to begin with.
+    """
+    spaces: dict[int, list[str]] = {}
+    for r in start.select("learner", "feature").orderBy("learner", "feature").collect():  # a row for each learner and feature
+        spaces.setdefault(r.learner, []).append(r.feature)
+    if not spaces:
+        raise ValueError("start names no learner")
+    weight = "weight" if "weight" in found.columns else "score"
+    number = lambda c: F.coalesce(c, F.lit(0.0)).cast("double")
+    entry = F.struct("feature", number("score").alias("score"), number(weight).alias("weight"), F.coalesce("drift", F.lit(False)).alias("drift"))
+    rows = found.groupBy("run", "block").agg(F.collect_list(entry).alias("found")).withColumn("key", F.col("run").cast("string"))
+    kinds = {c: found.schema[c].dataType.simpleString() for c in ("run", "block")}
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, now = object(), {}
+        for pdf in frames:
+            made = []
+            for run, block, key, features in zip(pdf["run"], pdf["block"], pdf["key"], pdf["found"]):
+                if key != current:
+                    current, now = key, {learner: list(own) for learner, own in spaces.items()}
+                    made += [(run, block, learner, 0.0, "KEEP", own, own) for learner, own in now.items()]
+                    continue
+                score = {x["feature"]: x["score"] for x in features}
+                drifting = {x["feature"] for x in features if x["drift"]}
+                for learner, own in now.items():
+                    overlap = sum(f in drifting for f in own) / len(own)
+                    if overlap == 0:
+                        action, new, fresh = "KEEP", own, []
+                    elif overlap < full:
+                        new = replaced(own, drifting, score)
+                        fresh = [f for f in new if f not in own]
+                        action = "SURGICAL" if fresh else "NO_REPLACEMENT"
+                    else:
+                        new = drawn({x["feature"]: x["weight"] for x in features}, len(own), drifting, seed, key, block, learner)
+                        action, fresh = "FULL", new
+                    made.append((run, block, learner, overlap, action, new, fresh))
+                    now[learner] = new
+            yield pd.DataFrame(made, columns=["run", "block", "learner", "overlap", "action", "features", "fresh"]).astype({"run": pdf["run"].dtype, "block": pdf["block"].dtype, "learner": "int64"})
+
+    out = f"run {kinds['run']}, block {kinds['block']}, learner long, overlap double, action string, features array<string>, fresh array<string>"
+    return rows.repartition("run").sortWithinPartitions("run", "block").mapInPandas(fold, out)
+
+
+def surgery(blocked: DataFrame, features: Sequence[str], start: DataFrame, q: float = 0.05, full: float = 0.5, bins: int = 10, alarms: DataFrame | None = None, seed: int = 1) -> DataFrame:
+    """The evolving subspaces of a stream in blocks. alarms: run, block; without it each block's drift counts."""
+    found = block_scores(blocked, features, bins).join(block_drift(blocked, features, q).select("run", "block", "feature", "drift"), ["run", "block", "feature"], "left")
+    if alarms is not None:
+        fired = alarms.select("run", "block", F.lit(True).alias("_fired")).distinct()
+        found = found.join(fired, ["run", "block"], "left").withColumn("drift", F.col("drift") & F.coalesce("_fired", F.lit(False))).drop("_fired")
+    return evolving_subspaces(found, start, full, seed)
 
 
 def action_summary(actions: DataFrame) -> DataFrame:
-    """run, action, n_learners and n_features learned afresh."""
-    return actions.groupBy("run", "action").agg(F.count(F.lit(1)).alias("n_learners"), F.sum(F.size(F.array_remove("resets", PRIOR))).alias("n_features"))
+    """run, action, n_learners and n_features that learn afresh."""
+    return actions.groupBy("run", "action").agg(F.count(F.lit(1)).alias("n_learners"), F.sum(F.size("fresh")).alias("n_features"))
 
 
-def _states(blocked: DataFrame, features: Sequence[str], classes: int, subspaces: DataFrame, actions: DataFrame, eps: float) -> DataFrame:
+def _states(blocked: DataFrame, features: Sequence[str], classes: int, spaces: DataFrame, eps: float) -> DataFrame:
     """run, block, learners: what is known after the block, an array with each learner's weight and its classes' terms."""
     moments = _long(blocked, features).unionByName(blocked.select("run", "block", "y", F.lit(PRIOR).alias("feature"), F.lit(0.0).alias("value")))
     moments = moments.groupBy("run", "block", "feature", F.col("y").alias("cls")).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    spaces = subspaces.unionByName(subspaces.select("learner").distinct().withColumn("feature", F.lit(PRIOR)))
-    grid = blocked.select("run", "block").distinct().join(F.broadcast(spaces)).withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    resets = actions.select("run", "block", "learner", F.explode("resets").alias("feature"), F.lit(1).alias("reset"))
-    df = grid.join(moments, ["run", "block", "feature", "cls"], "left").join(resets, ["run", "block", "learner", "feature"], "left")
+    whole = F.col("action") == "FULL"
+    own = F.concat(F.transform("features", lambda f: F.struct(f.alias("feature"), F.array_contains("fresh", f).cast("int").alias("reset"))), F.array(F.struct(F.lit(PRIOR).alias("feature"), whole.cast("int").alias("reset"))))
+    grid = spaces.select("run", "block", "learner", F.explode(own).alias("x")).select("run", "block", "learner", "x.feature", "x.reset")
+    grid = grid.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    df = grid.join(moments, ["run", "block", "feature", "cls"], "left")
     of = Window.partitionBy("run", "learner", "feature", "cls").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_session", F.sum(F.coalesce("reset", F.lit(0))).over(of))
+    df = df.withColumn("_session", F.sum("reset").over(of))
     since = Window.partitionBy("run", "learner", "feature", "cls", "_session").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumns({c: F.coalesce(F.sum(c).over(since), F.lit(0)) for c in ("n", "s", "q")})
     mean = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)
@@ -89,14 +176,14 @@ def _states(blocked: DataFrame, features: Sequence[str], classes: int, subspaces
     return learners.groupBy("run", "block").agg(F.sort_array(F.collect_list(F.struct("learner", "weight", "classes"))).alias("learners"))
 
 
-def drift_aware(stream: DataFrame, features: Sequence[str], classes: int, size: int, subspaces: DataFrame, q: float = 0.05, full: float = 0.5, eps: float = 1e-3) -> DataFrame:
+def drift_aware(stream: DataFrame, features: Sequence[str], classes: int, size: int, spaces: DataFrame, eps: float = 1e-3) -> DataFrame:
     """run, seq, y, p and block of every row; rows of a run's first block are predicted as class 0.
 
-    Ties of classes and of votes go to the lowest class; NULL features count nothing.
+    spaces: what `surgery` makes of the stream in blocks of this size. Ties of classes and of votes go to the lowest class; NULL features
+    count nothing.
     """
     blocked = blocks(stream, size)
-    actions = block_actions(block_drift(blocked, features, q), subspaces, full)
-    states = _states(blocked, features, classes, subspaces, actions, eps).withColumn("block", F.col("block") + 1)
+    states = _states(blocked, features, classes, spaces, eps).withColumn("block", F.col("block") + 1)
     df = blocked.join(states, ["run", "block"], "left").withColumn("_x", F.create_map(*[part for f in features for part in (F.lit(f), F.col(f).cast("double"))]))
 
     def log_density(t: Column) -> Column:

@@ -16,12 +16,12 @@ def long_form(df: DataFrame, features: list[str], cls: str, *keep: str) -> DataF
     return wide.unpivot(["cls", *keep], features, "feature", "value")
 
 
-def ranges(warm_up: DataFrame, margin: float = 0.05) -> DataFrame:
-    """feature, low, high: least and greatest value of the warm-up rows, widened by a margin of the span at each end."""
-    found = warm_up.groupBy("feature").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+def ranges(warm_up: DataFrame, *by: str, margin: float = 0.05) -> DataFrame:
+    """by, feature, low, high: least and greatest value of the warm-up rows, widened by a margin of the span at each end."""
+    found = warm_up.groupBy(*by, "feature").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     span = F.col("b") - F.col("a")
     constant = span == 0
-    return found.select("feature", F.when(constant, F.col("a")).otherwise(F.col("a") - margin * span).alias("low"), F.when(constant, F.col("a") + 1).otherwise(F.col("b") + margin * span).alias("high"))
+    return found.select(*by, "feature", F.when(constant, F.col("a")).otherwise(F.col("a") - margin * span).alias("low"), F.when(constant, F.col("a") + 1).otherwise(F.col("b") + margin * span).alias("high"))
 
 
 def layer1_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -31,8 +31,9 @@ def layer1_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 
 def histogram(instances: DataFrame, found: DataFrame, bins: int = 100, *by: str) -> DataFrame:
-    """feature, bin, cls, n (and the columns `by`)."""
-    placed = instances.join(F.broadcast(found), "feature")  # a row per feature
+    """feature, bin, cls, n (and the columns `by`). found: feature, low, high, and columns of `by` where each has ranges of its own."""
+    on = [c for c in found.columns if c not in ("low", "high")]
+    placed = instances.join(F.broadcast(found) if on == ["feature"] else found, on)  # broadcast: a row per feature
     binned = placed.select(*by, "feature", layer1_bin(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"), "cls")
     return binned.groupBy(*by, "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
 

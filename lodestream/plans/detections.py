@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import adaptive, drift, learners, trees
 from ..sources.tables import table
 from .catalogue import CLASSES, FEATURES, RANGES, _bayes_sql, _numbered, query, rounded
-from .workflows import _stream
+from .workflows import DRIFTS, SIZE, _stream, _surgery, _surgery_sql
 
 ALPHA = 0.2
 NUMBERED = "num AS MATERIALIZED (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i, l_returnflag AS cls, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
@@ -54,6 +54,17 @@ def detected_selection(spark, sf_dir):
     return adaptive.selection_after_alarms(_numbered(spark, sf_dir)[0], found, 80, 2)
 
 
+@query(
+    f"""WITH RECURSIVE {HOEFFDING}, fires AS (SELECT DISTINCT run, (i - 1) // {SIZE} AS block FROM st WHERE alarm), {DRIFTS.replace("st AS", "steps AS").replace("FROM st ", "FROM steps ")},
+    {_surgery_sql("(run, block) IN (FROM fires)")} SELECT run, block, learner, round(overlap, 6) AS overlap, action, array_to_string(own, ',') AS features FROM ev WHERE action <> 'KEEP'"""
+)
+def alarmed_surgery(spark, sf_dir):
+    """What becomes of the learners where drift counts only in blocks in which the error detector fires; rows that change nothing are left out."""
+    fired = _alarms(spark, sf_dir).select("run", F.floor((F.col("i") - 1) / SIZE).alias("block"))
+    found = _surgery(spark, sf_dir, fired).where("action <> 'KEEP'")
+    return rounded(found.select("run", "block", "learner", "overlap", "action", F.array_join("features", ",").alias("features")))
+
+
 def _limit(mean: str, weight: str) -> str:
     return f"{mean} + sqrt({weight} * ln(1 / {ALPHA}) / 2)"
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import ensembles, prequential, ranking, significance
-from ..session import shared_folder
+from ..session import shared_folder, stored
 from ..sources import arff, tables
 from ..sources.tables import table
 from .catalogue import FEATURES, LONG, MEANS, RANGES, RANKED, SCORED, _scored, query, rounded
 
-BLOCK, SPACES = 200, [(0, "l_quantity"), (0, "l_extendedprice"), (1, "l_discount"), (1, "l_tax"), (2, "l_quantity"), (2, "l_tax"), (2, "l_discount")]
+BLOCK = 200
 ORDERED = "n AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS seq, * FROM lineitem)"
 
 
@@ -22,10 +22,6 @@ def _stream(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), F.col("l_returnflag").alias("cls"), *FEATURES)
 
 
-def _subspaces(spark):
-    return spark.createDataFrame(SPACES, "learner int, feature string")
-
-
 @query("SELECT n_nationkey::VARCHAR AS key, upper(n_name) AS name, n_regionkey::VARCHAR AS region FROM nation")
 def csv_round_trip(spark, sf_dir):
     path = f"{shared_folder(spark)}/nation_csv"
@@ -73,38 +69,67 @@ def selection_by_rows(spark, sf_dir):
     return sets.select("run", "period", F.array_join("selected", ",").alias("selected"), F.when(F.col("_before").isNotNull(), F.size(F.array_intersect("_before", "selected")) / 2.0).alias("stability"))
 
 
-DRIFTS = f"""{ORDERED}, {LONG.replace("FROM lineitem", "FROM n").replace("l_returnflag AS cls, l_shipdate,", "run, seq // 200 AS block,")},
+#: What the ensemble's learners start with, on rows of blocks of 100.
+WIDE, SIZE = [*FEATURES, "l_linenumber", "l_partkey"], 100
+SPACES = {0: ["l_extendedprice", "l_linenumber", "l_quantity"], 1: ["l_discount", "l_partkey", "l_tax"], 2: ["l_discount", "l_partkey", "l_quantity", "l_tax"], 3: ["l_extendedprice", "l_linenumber"]}
+WIDE_LONG = f"long AS (SELECT l_returnflag AS cls, run, seq // {SIZE} AS block, unnest({WIDE}) AS feature, unnest([{', '.join(WIDE)}])::DOUBLE AS value FROM n)"
+DRIFTS = f"""{ORDERED}, {WIDE_LONG},
     sides AS (SELECT run, block + 1 - side AS block, feature, value, side FROM long, (VALUES (0), (1)) v(side)),
     pt AS (SELECT run, block, feature, value, count(*) FILTER (side = 0) AS a, count(*) FILTER (side = 1) AS b FROM sides GROUP BY ALL),
     st AS (SELECT run, block, feature, sum(a) OVER u AS ca, sum(b) OVER u AS cb, sum(a) OVER g AS n0, sum(b) OVER g AS n1 FROM pt WINDOW u AS (PARTITION BY run, block, feature ORDER BY value ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY run, block, feature)),
     d AS (SELECT run, block, feature, max(n0)::DOUBLE AS n0, max(n1)::DOUBLE AS n1, max(abs(ca / n0 - cb / n1)) AS ks FROM st WHERE n0 > 0 AND n1 > 0 GROUP BY ALL),
     t AS (SELECT run, block, feature, round(CASE WHEN ks = 0 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2.0 ELSE -2.0 END) * exp(-2.0 * k * k * ks * ks * (n0 * n1 / (n0 + n1))))), 0.0), 1.0) END, 9) AS p FROM d),
     o AS (SELECT *, row_number() OVER (PARTITION BY run, block ORDER BY p, feature) AS r, count(*) OVER (PARTITION BY run, block) AS m FROM t),
-    f AS (SELECT run, block, feature, r <= coalesce(max(CASE WHEN p <= r * 0.3 / m THEN r END) OVER (PARTITION BY run, block), 0) AS drift FROM o),
-    sp AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{f}')" for i, f in SPACES)}) v(learner, feature)),
-    act AS (SELECT run, block, learner, count(*) FILTER (drift) / count(*)::DOUBLE AS overlap, array_to_string(list_sort(list(feature) FILTER (drift)), ',') AS drifting FROM f JOIN sp USING (feature) GROUP BY ALL)"""
+    f AS (SELECT run, block, feature, r <= coalesce(max(CASE WHEN p <= r * 0.3 / m THEN r END) OVER (PARTITION BY run, block), 0) AS drift FROM o)"""
+
+
+def _surgery_sql(fired: str = "true") -> str:
+    """ev: run, block, learner, overlap, action, own, a row for each learner and block; `fired` tells whether drift counts in a block."""
+    ranges = "r0 AS (SELECT run, feature, min(value) AS a, max(value) AS b FROM long WHERE block = 0 GROUP BY ALL), r AS (SELECT run, feature, CASE WHEN a = b THEN a ELSE a - 0.05 * (b - a) END AS low, CASE WHEN a = b THEN a + 1 ELSE b + 0.05 * (b - a) END AS high FROM r0)"
+    start = ", ".join(f"({i}, {own})" for i, own in SPACES.items())
+    u = "(('0x' || substr(md5('1:' || k.run || ':' || k.block || ':' || k.learner || ':' || x), 1, 8))::BIGINT + 0.5) / 4294967296"
+    return f"""{ranges},
+    c AS (SELECT run, block, feature, greatest(least(floor((value - low) / ((high - low) / 10))::INT, 9), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (run, feature) GROUP BY ALL),
+    e AS (SELECT run, block, feature, n, sum(n) OVER (PARTITION BY run, block, feature, bin)::DOUBLE * sum(n) OVER (PARTITION BY run, block, feature, cls) / sum(n) OVER (PARTITION BY run, block, feature) AS e, sum(n) OVER (PARTITION BY run, block, feature) AS t FROM c),
+    s AS (SELECT run, block, feature, round(greatest(sum(n::DOUBLE * n / e) - max(t), 0), 9)::DOUBLE AS score FROM e GROUP BY ALL),
+    fb AS MATERIALIZED (SELECT run, block, list(feature ORDER BY score DESC, feature) AS ranked, map_from_entries(list((feature, score))) AS sc, coalesce(list(feature) FILTER (drift AND {fired}), []) AS dr FROM s LEFT JOIN f USING (run, block, feature) GROUP BY ALL),
+    ev AS (SELECT run, 0::BIGINT AS block, learner, 0::DOUBLE AS overlap, 'KEEP' AS action, own, own AS fresh FROM (SELECT DISTINCT run FROM n), (VALUES {start}) v(learner, own) UNION ALL
+      SELECT run, block, learner, overlap, CASE WHEN action = 'SURGICAL' AND swapped = own THEN 'NO_REPLACEMENT' ELSE action END, CASE action WHEN 'KEEP' THEN own WHEN 'SURGICAL' THEN swapped ELSE fresh END,
+        CASE action WHEN 'KEEP' THEN [] WHEN 'SURGICAL' THEN list_filter(swapped, lambda x: NOT list_contains(own, x)) ELSE fresh END FROM (
+        SELECT k.*, list_transform(own, lambda x, i: CASE WHEN list_contains(dr, x) AND coalesce(sc[others[len(list_filter(own[:i], lambda y: list_contains(dr, y)))]], -1) > sc[x] THEN others[len(list_filter(own[:i], lambda y: list_contains(dr, y)))] ELSE x END) AS swapped,
+          list_sort(list_transform(list_sort(list_transform(ranked, lambda x: {{'avoid': list_contains(dr, x), 'none': NOT sc[x] > 0, 'key': CASE WHEN sc[x] > 0 THEN -ln({u}) / sc[x] ELSE -({u}) END, 'f': x}}))[:len(own)], lambda z: z.f)) AS fresh FROM (
+          SELECT *, CASE WHEN overlap = 0 THEN 'KEEP' WHEN overlap < 0.5 THEN 'SURGICAL' ELSE 'FULL' END AS action, list_filter(ranked, lambda x: NOT list_contains(own, x) AND NOT list_contains(dr, x)) AS others FROM (
+            SELECT fb.*, learner, own, len(list_filter(own, lambda x: list_contains(dr, x))) / len(own)::DOUBLE AS overlap FROM ev JOIN fb ON fb.run = ev.run AND fb.block = ev.block + 1)) k))"""
+
+
+def _wide(spark, sf_dir):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    y = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), *WIDE)
 
 
-@query(
-    f"""WITH {DRIFTS} SELECT run, block, learner, round(overlap, 6) AS overlap, CASE WHEN overlap = 0 THEN 'KEEP' WHEN overlap < 0.5 THEN 'SURGICAL' ELSE 'FULL' END AS action FROM act"""
-)
+def _surgery(spark, sf_dir, alarms=None):
+    start = spark.createDataFrame([(i, f) for i, own in SPACES.items() for f in own], "learner int, feature string")
+    return ensembles.surgery(ensembles.blocks(_wide(spark, sf_dir), SIZE), WIDE, start, 0.3, alarms=alarms)
+
+
+@query(f"WITH RECURSIVE {DRIFTS}, {_surgery_sql()} SELECT run, block, learner, round(overlap, 6) AS overlap, action, array_to_string(own, ',') AS features FROM ev")
 def ensemble_actions(spark, sf_dir):
-    """What the drift of every block of 200 rows does to each learner of each supplier's ensemble."""
-    drifts = ensembles.block_drift(ensembles.blocks(_stream(spark, sf_dir), BLOCK), FEATURES, 0.3)
-    return rounded(ensembles.block_actions(drifts, _subspaces(spark)).drop("resets"))
+    """What the drift of every block of 100 rows does to each learner of each supplier's ensemble, and the subspaces afterwards."""
+    return rounded(_surgery(spark, sf_dir).select("run", "block", "learner", "overlap", "action", F.array_join("features", ",").alias("features")))
 
 
-@query(f"""WITH {DRIFTS} SELECT CASE WHEN overlap = 0 THEN 'KEEP' WHEN overlap < 0.5 THEN 'SURGICAL' ELSE 'FULL' END AS action, count(*) AS n_learners FROM act GROUP BY ALL""")
+@query(f"WITH RECURSIVE {DRIFTS}, {_surgery_sql()} SELECT action, count(*) AS n_learners, sum(len(fresh))::BIGINT AS n_features FROM ev GROUP BY ALL")
 def action_summary(spark, sf_dir):
-    drifts = ensembles.block_drift(ensembles.blocks(_stream(spark, sf_dir), BLOCK), FEATURES, 0.3)
-    summary = ensembles.action_summary(ensembles.block_actions(drifts, _subspaces(spark)))
-    return summary.groupBy("action").agg(F.sum("n_learners").alias("n_learners"))
+    summary = ensembles.action_summary(_surgery(spark, sf_dir))
+    return summary.groupBy("action").agg(F.sum("n_learners").alias("n_learners"), F.sum("n_features").alias("n_features"))
 
 
 @query()
 def ensemble_run(spark, sf_dir):
     """From stream to metrics: the drift-aware ensemble on every supplier's line items, tested then trained; a row a supplier."""
-    predicted = ensembles.drift_aware(_stream(spark, sf_dir), FEATURES, 3, BLOCK, _subspaces(spark), 0.3)
+    spaces = stored(_surgery(spark, sf_dir), "subspaces")
+    predicted = ensembles.drift_aware(_wide(spark, sf_dir), WIDE, 3, SIZE, spaces)
     return rounded(prequential.snapshot(predicted.select("run", "seq", "y", "p"), 3))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey, trees
-from ..sources import arff, generators
+from ..sources import arff
 from ..sources.tables import runs, table
 from ..streaming import live
 
@@ -570,20 +570,6 @@ def best_splits(spark, sf_dir):
     return trees.split_gains(counts, 3).select("feature", "cut", "gain")
 
 
-@query()
-def tree_accuracy(spark, sf_dir):
-    """Prequential accuracy, by blocks, of one Hoeffding tree on generated runs with drift."""
-    p = trees.by_blocks(generators.sea(spark, 4, 4000), ["x0", "x1", "x2"], 2, 1000)
-    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
-
-
-@query()
-def patches_accuracy(spark, sf_dir):
-    """The same of ten trees on reweighted rows and random features."""
-    p = trees.by_blocks(generators.sea(spark, 4, 4000), ["x0", "x1", "x2"], 2, 1000, trees.patches(3))
-    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
-
-
 @query(
     f"""WITH RECURSIVE {LONG}, {RANGES}, {PERIODS}, sc AS MATERIALIZED (SELECT period, feature, round(chi2, 9) AS v, dense_rank() OVER (ORDER BY period) AS t FROM s),
     ev AS (SELECT 1::BIGINT AS t, list(feature) AS sel, 0::BIGINT AS n FROM (SELECT feature FROM sc WHERE t = 1 ORDER BY v DESC, feature LIMIT 2) UNION ALL
@@ -600,31 +586,6 @@ def evolving_selection(spark, sf_dir):
     return adaptive.evolving_selection(scored, 2).withColumn("selected", F.array_join("selected", ","))
 
 
-def _errors(spark: SparkSession) -> DataFrame:
-    """Errors of a fixed rule on four generated runs whose concept changes three times."""
-    stream = generators.sea(spark, runs=4, rows=20_000)
-    wrong = (F.col("x0") + F.col("x1") <= 8.0).cast("int") != F.col("y")
-    return stream.select("run", "seq", wrong.cast("double").alias("error"))
-
-
-@query()
-def adaptive_window_alarms(spark, sf_dir):
-    return drift.alarms(_errors(spark), "run", "seq", "error", drift.AdaptiveWindow)
-
-
-@query()
-def live_alarms(spark, sf_dir):
-    return live.finished(live.alarms(generators.sea_live(spark, 4, 20_000).select("run", "seq", (F.col("x0") + F.col("x1") <= 8.0).cast("int").alias("p"), "y")), "append")
-
-
-@query()
-def live_two_level(spark, sf_dir):
-    """Alarms of a rule's error on a live stream, with the features that drifted."""
-    stream = generators.sea_live(spark, 2, 8000).withColumn("p", (F.col("x0") + F.col("x1") <= 8.0).cast("int"))
-    found = live.finished(live.two_level_alarms(stream, ["x0", "x1", "x2"]), "append")
-    return found.withColumn("drifting", F.array_join("drifting", ","))
-
-
 @query(
     """SELECT event_type, date_trunc('hour', ts)::VARCHAR AS hour, count(*) AS n_events, round(sum(value), 4) AS total FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY ALL"""
@@ -698,4 +659,4 @@ def wilcoxon_significance(spark, sf_dir):
     return rounded(significance.wilcoxon_p(significance.wilcoxon(_scored(spark, sf_dir), "click", "view")))
 
 
-from . import detections, workflows  # noqa: E402, F401  register their queries; they need the names above
+from . import detections, growth, workflows  # noqa: E402, F401  register their queries; they need the names above

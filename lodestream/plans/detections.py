@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import adaptive, drift, learners, trees
+from ..operators import adaptive, drift, learners
 from ..sources.tables import table
-from .catalogue import CLASSES, FEATURES, RANGES, _bayes_sql, _numbered, query, rounded
-from .workflows import DRIFTS, SIZE, _stream, _surgery, _surgery_sql
+from .catalogue import CLASSES, RANGES, _bayes_sql, _numbered, query, rounded
+from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
 
 ALPHA = 0.2
 NUMBERED = "num AS MATERIALIZED (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS i, l_returnflag AS cls, l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem)"
@@ -118,8 +118,6 @@ def naive_bayes_restarted(spark, sf_dir):
 
 
 @query()
-def forest_accuracy(spark, sf_dir):
-    """Prequential accuracy, by blocks of 200 rows, of a forest of five trees on every supplier's line items."""
-    growth = trees.forest(len(FEATURES), 5, depth=3, grace=100)
-    p = trees.by_blocks(_stream(spark, sf_dir), FEATURES, 3, 200, growth)
-    return rounded(p.groupBy("run").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
+def adaptive_window_alarms(spark, sf_dir):
+    """Changes of each supplier's error, found by the window that drops its oldest part."""
+    return drift.alarms(_errors(spark, sf_dir), "run", "i", "error", lambda: drift.AdaptiveWindow(0.8, every=4))

@@ -6,18 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import ensembles, prequential, ranking, significance
+from ..operators import ensembles, learners, prequential, ranking, significance
 from ..session import shared_folder, stored
 from ..sources import arff, tables
 from ..sources.tables import table
-from .catalogue import FEATURES, LONG, MEANS, RANGES, RANKED, SCORED, _scored, query, rounded
+from .catalogue import FEATURES, LONG, MEANS, RANKED, SCORED, _scored, query, rounded
 
 BLOCK = 200
-ORDERED = "n AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS seq, * FROM lineitem)"
+ORDERED = "n AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, * FROM lineitem)"
 
 
 def _stream(spark, sf_dir):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     y = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), F.col("l_returnflag").alias("cls"), *FEATURES)
 
@@ -48,27 +48,84 @@ def monthly_scan(spark, sf_dir):
     return rounded(found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("sum_value")))
 
 
-@query(
-    f"""WITH {ORDERED}, {LONG.replace("FROM lineitem", "FROM n").replace("l_returnflag AS cls, l_shipdate,", "l_returnflag AS cls, run, seq // 200 AS period,")}, {RANGES},
-    c AS (SELECT run, period, feature, greatest(least(floor((value - low) / ((high - low) / 10))::INT, 9), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (feature) GROUP BY ALL),
+def _own_ranges(period: str) -> str:
+    """r: the ranges of each run's features over its first period."""
+    return f"r0 AS (SELECT run, feature, min(value) AS a, max(value) AS b FROM long WHERE {period} = 0 GROUP BY ALL), r AS (SELECT run, feature, CASE WHEN a = b THEN a ELSE a - 0.05 * (b - a) END AS low, CASE WHEN a = b THEN a + 1 ELSE b + 0.05 * (b - a) END AS high FROM r0)"
+
+
+SELECTED = f"""{ORDERED}, {LONG.replace("FROM lineitem", "FROM n").replace("l_returnflag AS cls, l_shipdate,", "l_returnflag AS cls, run, seq // 200 AS period,")}, {_own_ranges("period")},
+    c AS (SELECT run, period, feature, greatest(least(floor((value - low) / ((high - low) / 10))::INT, 9), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (run, feature) GROUP BY ALL),
     e AS (SELECT run, period, feature, n, sum(n) OVER (PARTITION BY run, period, feature, bin)::DOUBLE * sum(n) OVER (PARTITION BY run, period, feature, cls) / sum(n) OVER (PARTITION BY run, period, feature) AS e, sum(n) OVER (PARTITION BY run, period, feature) AS t FROM c),
     s AS (SELECT run, period, feature, greatest(sum(n::DOUBLE * n / e) - max(t), 0) AS chi2 FROM e GROUP BY ALL),
     k AS (SELECT *, row_number() OVER (PARTITION BY run, period ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s),
-    p AS (SELECT run, period, list_sort(list(feature)) AS selected FROM k WHERE rank <= 2 GROUP BY ALL)
-    SELECT run, period, array_to_string(selected, ',') AS selected, CASE WHEN lag(selected) OVER w IS NOT NULL THEN len(list_intersect(selected, lag(selected) OVER w)) / 2.0::DOUBLE END AS stability FROM p WINDOW w AS (PARTITION BY run ORDER BY period)"""
-)
-def selection_by_rows(spark, sf_dir):
-    """The two best features of every 200 rows of each supplier, by chi-squared, and the share that stays."""
+    p AS (SELECT run, period, list_sort(list(feature)) AS selected FROM k WHERE rank <= 2 GROUP BY ALL)"""
+
+
+def _selected(spark, sf_dir):
+    """run, period, selected: the two best features of every 200 rows of each supplier, by chi-squared, binned over the first of them."""
     stream = _stream(spark, sf_dir).withColumn("period", F.floor(F.col("seq") / BLOCK))
     long = ranking.long_form(stream, FEATURES, "cls", "run", "period")
-    counts = ranking.histogram(long, ranking.ranges(long), 10, "run", "period")
+    counts = ranking.histogram(long, ranking.ranges(long.where("period = 0"), "run"), 10, "run", "period")
     best = ranking.top(ranking.scores(counts, "run", "period"), "chi2", 2, "run", "period")
-    sets = best.groupBy("run", "period").agg(F.sort_array(F.collect_set("feature")).alias("selected"))
+    return best.groupBy("run", "period").agg(F.sort_array(F.collect_set("feature")).alias("selected"))
+
+
+@query(
+    f"""WITH {SELECTED} SELECT run, period, array_to_string(selected, ',') AS selected, CASE WHEN lag(selected) OVER w IS NOT NULL THEN len(list_intersect(selected, lag(selected) OVER w)) / 2.0::DOUBLE END AS stability FROM p WINDOW w AS (PARTITION BY run ORDER BY period)"""
+)
+def selection_by_rows(spark, sf_dir):
+    """The two best features of every 200 rows of each supplier, and the share that stays."""
+    sets = _selected(spark, sf_dir)
     before = F.lag("selected").over(Window.partitionBy("run").orderBy("period"))
     sets = sets.withColumn("_before", before)
     return sets.select("run", "period", F.array_join("selected", ",").alias("selected"), F.when(F.col("_before").isNotNull(), F.size(F.array_intersect("_before", "selected")) / 2.0).alias("stability"))
 
 
+def _synced_sql(remap: bool) -> str:
+    """Naive Bayes on the features selected by the period before, all of them in the first."""
+    state, scores, comes, versions = [], [], [], []
+    for f in FEATURES:
+        comes.append(f"(list_contains(sel, '{f}') AND NOT coalesce(list_contains(lag(sel) OVER o, '{f}'), false))::INT AS come_{f}")
+        versions.append(f"sum(come_{f}) OVER u AS v_{f}")
+    w = lambda *more: f"(PARTITION BY {', '.join(('run', 'session', *more))} ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    for c in range(3):
+        state.append(f"count(*) FILTER (y = {c}) OVER {w()} AS n{c}")
+        score = f"ln(n{c} + 1.0)"
+        for f in FEATURES:
+            own, over = f"FILTER (y = {c} AND list_contains(sel, '{f}'))", w(f"v_{f}") if remap else w()
+            state.append(f"count(*) {own} OVER {over} AS n{c}{f}, sum({f}::DOUBLE) {own} OVER {over} AS s{c}{f}, sum({f}::DOUBLE * {f}::DOUBLE) {own} OVER {over} AS q{c}{f}")
+            mean = f"(CASE WHEN n{c}{f} > 0 THEN s{c}{f} / n{c}{f} ELSE 0 END)"
+            variance = f"(CASE WHEN n{c}{f} > 0 THEN greatest(q{c}{f} / n{c}{f} - {mean} * {mean}, 0) + 0.001 ELSE 1 END)"
+            score += f" + CASE WHEN list_contains(sel, '{f}') THEN -0.5 * ln({variance}) - ({f} - {mean}) * ({f} - {mean}) / (2 * {variance}) ELSE 0 END"
+        scores.append(f"round({score}, 9) AS l{c}")
+    changed = "0" if remap else "sum(coalesce((sel <> before)::INT, 0)) OVER u"
+    return f"""WITH {SELECTED}, t AS (SELECT n.* REPLACE (floor(l_extendedprice / 1000) AS l_extendedprice), seq // 200 AS period, list_position(['A', 'N', 'R'], l_returnflag) - 1 AS y, coalesce(p.selected, {sorted(FEATURES)}) AS sel FROM n LEFT JOIN p ON p.run = n.run AND p.period = seq // 200 - 1),
+    ch AS (SELECT *, lag(sel) OVER o AS before, {", ".join(comes)} FROM t WINDOW o AS (PARTITION BY run ORDER BY seq)), ve AS (SELECT *, {changed} AS session, {", ".join(versions)} FROM ch WINDOW u AS (PARTITION BY run ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+    st AS (SELECT *, {", ".join(state)} FROM ve), sc AS (SELECT *, {", ".join(scores)} FROM st)
+    SELECT run, period, array_to_string(sel, ',') AS selected, count(*) AS n, sum((y = CASE WHEN l0 >= l1 AND l0 >= l2 THEN 0 WHEN l1 >= l2 THEN 1 ELSE 2 END)::INT)::BIGINT AS hits FROM sc GROUP BY ALL"""
+
+
+def _synced(spark, sf_dir, remap):
+    stream = _stream(spark, sf_dir).withColumn("period", F.floor(F.col("seq") / BLOCK))
+    chosen = _selected(spark, sf_dir).withColumn("period", F.col("period") + 1)
+    stream = stream.join(chosen, ["run", "period"], "left").withColumn("selected", F.coalesce("selected", F.array(*map(F.lit, sorted(FEATURES)))))
+    stream = stream.withColumn("l_extendedprice", F.floor(F.col("l_extendedprice") / 1000))  # whole thousands: sums of squares stay exact
+    p = learners.naive_bayes(stream, FEATURES, 3, selected=F.col("selected"), remap=remap)
+    return p.groupBy("run", "period", F.array_join("selected", ",").alias("selected")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("y")).alias("hits"))
+
+
+@query(_synced_sql(False))
+def synced_bayes(spark, sf_dir):
+    """Rows predicted rightly by naive Bayes on the features that the 200 rows before selected; each new selection is learned afresh."""
+    return _synced(spark, sf_dir, False)
+
+
+@query(_synced_sql(True))
+def remapped_bayes(spark, sf_dir):
+    """The same, where features that stay selected keep what they have learned."""
+    return _synced(spark, sf_dir, True)
+
+
 #: What the ensemble's learners start with, on rows of blocks of 100.
 WIDE, SIZE = [*FEATURES, "l_linenumber", "l_partkey"], 100
 SPACES = {0: ["l_extendedprice", "l_linenumber", "l_quantity"], 1: ["l_discount", "l_partkey", "l_tax"], 2: ["l_discount", "l_partkey", "l_quantity", "l_tax"], 3: ["l_extendedprice", "l_linenumber"]}
@@ -85,10 +142,9 @@ DRIFTS = f"""{ORDERED}, {WIDE_LONG},
 
 def _surgery_sql(fired: str = "true") -> str:
     """ev: run, block, learner, overlap, action, own, a row for each learner and block; `fired` tells whether drift counts in a block."""
-    ranges = "r0 AS (SELECT run, feature, min(value) AS a, max(value) AS b FROM long WHERE block = 0 GROUP BY ALL), r AS (SELECT run, feature, CASE WHEN a = b THEN a ELSE a - 0.05 * (b - a) END AS low, CASE WHEN a = b THEN a + 1 ELSE b + 0.05 * (b - a) END AS high FROM r0)"
     start = ", ".join(f"({i}, {own})" for i, own in SPACES.items())
     u = "(('0x' || substr(md5('1:' || k.run || ':' || k.block || ':' || k.learner || ':' || x), 1, 8))::BIGINT + 0.5) / 4294967296"
-    return f"""{ranges},
+    return f"""{_own_ranges("block")},
     c AS (SELECT run, block, feature, greatest(least(floor((value - low) / ((high - low) / 10))::INT, 9), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (run, feature) GROUP BY ALL),
     e AS (SELECT run, block, feature, n, sum(n) OVER (PARTITION BY run, block, feature, bin)::DOUBLE * sum(n) OVER (PARTITION BY run, block, feature, cls) / sum(n) OVER (PARTITION BY run, block, feature) AS e, sum(n) OVER (PARTITION BY run, block, feature) AS t FROM c),
     s AS (SELECT run, block, feature, round(greatest(sum(n::DOUBLE * n / e) - max(t), 0), 9)::DOUBLE AS score FROM e GROUP BY ALL),
@@ -103,7 +159,7 @@ def _surgery_sql(fired: str = "true") -> str:
 
 
 def _wide(spark, sf_dir):
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     y = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), *WIDE)
 

@@ -6,6 +6,7 @@ class, whatever the number of instances, and is made by one partial aggregation.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,15 +39,17 @@ def histogram(instances: DataFrame, found: DataFrame, bins: int = 100, *by: str)
     return binned.groupBy(*by, "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
-def merged_bins(counts: DataFrame, bins: int, groups: int) -> DataFrame:
-    """feature, bin, to: neighbouring bins merged, the pair of least weighted class distance first, until `groups` are left.
+def merged_bins(counts: DataFrame, bins: int, groups: int, *by: str, classes: int | None = None) -> DataFrame:
+    """by, feature, bin, to: neighbouring bins merged, the pair of least weighted class distance first, until `groups` are left.
 
-    The distance is half the sum of differences of the Laplace-smoothed class shares, times the smaller
-    count plus one; of equal distances the leftmost goes. Each feature is at most bins x classes rows.
+    classes: how many there are, if a feature's counts need not show all. The distance is half the sum of differences of the Laplace-smoothed class shares, times the smaller
+    count plus one; of distances equal to nine digits the leftmost goes. Each feature is at most bins x classes rows.
     """
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="bin", columns="cls", values="n", aggfunc="sum", fill_value=0).reindex(range(bins), fill_value=0).to_numpy(float)
+        codes, names = pd.factorize(pdf["cls"], sort=True)
+        table = np.zeros((bins, max(len(names), classes or 0)))
+        np.add.at(table, (pdf["bin"].to_numpy(), codes), pdf["n"].to_numpy())
         parts = [[i] for i in range(bins)]
         rows = list(table)
         while len(parts) > groups:
@@ -54,15 +57,17 @@ def merged_bins(counts: DataFrame, bins: int, groups: int) -> DataFrame:
             def cost(i: int) -> float:
                 a, b = rows[i], rows[i + 1]
                 shares = (a + 1) / (a.sum() + len(a)) - (b + 1) / (b.sum() + len(b))
-                return 0.5 * abs(shares).sum() * (min(a.sum(), b.sum()) + 1)
+                return round(0.5 * abs(shares).sum() * (min(a.sum(), b.sum()) + 1), 9)
 
             at = min(range(len(parts) - 1), key=cost)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
             rows[at : at + 2] = [rows[at] + rows[at + 1]]
         pairs = [(b, to) for to, own in enumerate(parts) for b in own]
-        return pd.DataFrame({"feature": pdf["feature"].iloc[0], "bin": [b for b, _ in pairs], "to": [t for _, t in pairs]})
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"bin": [b for b, _ in pairs], "to": [t for _, t in pairs]})
 
-    return counts.groupBy("feature").applyInPandas(merge, "feature string, bin int, to int")
+    keys = [*by, "feature"]
+    kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in keys)
+    return counts.groupBy(*keys).applyInPandas(merge, f"{kinds}, bin int, to int")
 
 
 def uniform_groups(bin_: Column, bins: int, groups: int) -> Column:

@@ -336,7 +336,7 @@ def uniform_layer2(spark, sf_dir):
     return counts.groupBy("feature", ranking.uniform_groups(F.col("bin"), 20, 6).alias("bin"), "cls").agg(F.sum("n").alias("n"))
 
 
-MERGE_COST = f"""0.5 * ({" + ".join(f"abs((v[{c}] + 1) / (list_sum(v) + 3) - (nv[{c}] + 1) / (list_sum(nv) + 3))" for c in (1, 2, 3))}) * (least(list_sum(v), list_sum(nv)) + 1)"""
+MERGE_COST = f"""round(0.5 * ({" + ".join(f"abs((v[{c}] + 1) / (list_sum(v) + 3) - (nv[{c}] + 1) / (list_sum(nv) + 3))" for c in (1, 2, 3))}) * (least(list_sum(v), list_sum(nv)) + 1), 9)"""
 
 
 @query(

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import ensembles, learners, prequential, ranking, significance
+from ..operators import discretiser, ensembles, learners, prequential, ranking, significance
 from ..session import shared_folder, stored
 from ..sources import arff, tables
 from ..sources.tables import table
-from .catalogue import FEATURES, LONG, MEANS, RANKED, SCORED, _scored, query, rounded
+from .catalogue import FEATURES, LONG, MEANS, MERGE_COST, RANKED, SCORED, _scored, query, rounded
 
 BLOCK = 200
 ORDERED = "n AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) - 1 AS seq, * FROM lineitem)"
@@ -189,6 +189,44 @@ def ensemble_run(spark, sf_dir):
     return rounded(prequential.snapshot(predicted.select("run", "seq", "y", "p"), 3))
 
 
+GATHERED = f"""{DRIFTS}, se0 AS (SELECT run, block, feature, coalesce(sum(drift::INT) OVER (PARTITION BY run, feature ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS session FROM (SELECT DISTINCT run, block, feature FROM long) LEFT JOIN f USING (run, block, feature)),
+    se AS (SELECT *, block - min(block) OVER (PARTITION BY run, feature, session) AS age FROM se0), ro AS (SELECT long.*, session, age FROM long JOIN se USING (run, block, feature)),
+    r0 AS (SELECT run, session, feature, min(value) AS a, max(value) AS b FROM ro WHERE age < 1 GROUP BY ALL), r AS (SELECT run, session, feature, CASE WHEN a = b THEN a ELSE a - 0.05 * (b - a) END AS low, CASE WHEN a = b THEN a + 1 ELSE b + 0.05 * (b - a) END AS high FROM r0),
+    c AS (SELECT run, session, block, feature, greatest(least(floor((value - low) / ((high - low) / 12))::INT, 11), 0) AS bin, cls, count(*) AS n FROM ro JOIN r USING (run, session, feature) GROUP BY ALL),
+    ga AS (SELECT se.run, se.session, se.block, se.feature, c.bin, c.cls, sum(c.n)::BIGINT AS n FROM se JOIN c ON c.run = se.run AND c.session = se.session AND c.feature = se.feature AND c.block <= se.block GROUP BY ALL)"""
+
+
+def _gathered(spark, sf_dir):
+    """The histograms of each supplier's features after every 100 rows; drift of a feature begins its histogram afresh."""
+    stream = _wide(spark, sf_dir)
+    blocked = ensembles.blocks(stream, SIZE)
+    resets = ensembles.block_drift(blocked, WIDE, 0.3).where("drift").withColumnRenamed("block", "update")
+    named = blocked.withColumn("cls", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("y") + 1).cast("int")))
+    long = ranking.long_form(named.withColumnRenamed("block", "update"), WIDE, "cls", "run", "update")
+    return stored(discretiser.gathered(long, 12, 1, resets), "gathered")
+
+
+@query(f"WITH {GATHERED} SELECT run, block AS update, feature, session, count(*) AS n_cells, sum(n)::BIGINT AS n_rows, sum(n * bin)::BIGINT AS weighted FROM ga GROUP BY ALL")
+def gathered_histograms(spark, sf_dir):
+    """Sizes of the gathered histograms, by supplier, update and feature."""
+    return _gathered(spark, sf_dir).groupBy("run", "update", "feature", "session").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_rows"), F.sum(F.col("n") * F.col("bin")).alias("weighted"))
+
+
+@query(
+    f"""WITH RECURSIVE {GATHERED}, z AS (SELECT k.run, k.block, k.feature, b.bin, [{", ".join(f"coalesce(sum(ga.n) FILTER (ga.cls = '{x}'), 0)::DOUBLE" for x in "ANR")}] AS v, b.bin AS last
+      FROM (SELECT DISTINCT run, block, feature FROM ga) k CROSS JOIN range(12) b(bin) LEFT JOIN ga ON ga.run = k.run AND ga.block = k.block AND ga.feature = k.feature AND ga.bin = b.bin GROUP BY ALL),
+    g AS (SELECT run, block, feature, 0 AS step, bin, v, last FROM z UNION ALL
+      SELECT run, block, feature, step + 1, bin, CASE WHEN r = 1 THEN [v[1] + nv[1], v[2] + nv[2], v[3] + nv[3]] ELSE v END, CASE WHEN r = 1 THEN nl ELSE last END FROM (SELECT *, lag(r) OVER (PARTITION BY run, block, feature ORDER BY bin) AS pr FROM (
+        SELECT *, row_number() OVER (PARTITION BY run, block, feature ORDER BY cost NULLS LAST, bin) AS r FROM (SELECT *, {MERGE_COST} AS cost FROM (SELECT *, lead(v) OVER w AS nv, lead(last) OVER w AS nl FROM g WHERE step < 8 WINDOW w AS (PARTITION BY run, block, feature ORDER BY bin))))) WHERE coalesce(pr, 0) <> 1),
+    fin AS (SELECT run, block, feature, (row_number() OVER (PARTITION BY run, block, feature ORDER BY bin) - 1)::INT AS bin, v, last FROM g WHERE step = 8)
+    SELECT fin.run, fin.block AS update, fin.feature, fin.bin, round(low + (last + 1) * ((high - low) / 12), 6) AS upto, list_sum(v)::BIGINT AS n FROM fin JOIN se ON se.run = fin.run AND se.block = fin.block AND se.feature = fin.feature JOIN r ON r.run = fin.run AND r.session = se.session AND r.feature = fin.feature WHERE list_sum(v) > 0"""
+)
+def discretiser_cuts(spark, sf_dir):
+    """The cut points of the second layer's four bins after each update, merged anew from what has been gathered."""
+    cells = discretiser.merged(_gathered(spark, sf_dir), 12, 4, 3)
+    return rounded(cells.groupBy("run", "update", "feature", "bin", "upto").agg(F.sum("n").alias("n")))
+
+
 @query(
     "SELECT event_id, CASE WHEN value IS NOT NULL THEN value * (event_id % 7) END AS crossed, try_cast(props AS TIMESTAMP) IS NULL AS bad_time, 1 - greatest(least(value / 100, 1), 0) AS left_over FROM events WHERE value IS NOT NULL"
 )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, drift, learners
 from ..sources.tables import table
+from ..streaming import live
 from .catalogue import CLASSES, RANGES, _bayes_sql, _numbered, query, rounded
 from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
 
@@ -87,8 +88,7 @@ def weighted_alarms(spark, sf_dir):
 SAMPLE, EVERY = 20, 5
 
 
-@query(
-    f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id AS run, event_id AS seq, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL), st AS (
+SAMPLED = f"""st AS (
     SELECT DISTINCT run, 0::BIGINT AS i, 0::BIGINT AS seq, []::DOUBLE[] AS ref, []::DOUBLE[] AS cur, 0 AS seen, false AS alarm FROM ev
     UNION ALL
     SELECT run, i, seq, CASE WHEN alarm THEN cur ELSE ref END, CASE WHEN alarm THEN []::DOUBLE[] ELSE cur END, seen, alarm FROM (
@@ -97,9 +97,10 @@ SAMPLE, EVERY = 20, 5
           SELECT *, taken AND seen % {EVERY} = 0 AND len(cur) = {SAMPLE} AS tested FROM (
             SELECT ev.run, ev.i, ev.seq, len(st.ref) = {SAMPLE} AS taken, CASE WHEN len(st.ref) = {SAMPLE} THEN st.ref ELSE list_append(st.ref, ev.x) END AS ref,
               CASE WHEN len(st.ref) < {SAMPLE} THEN st.cur WHEN len(st.cur) = {SAMPLE} THEN list_append(st.cur[2:], ev.x) ELSE list_append(st.cur, ev.x) END AS cur,
-              CASE WHEN len(st.ref) = {SAMPLE} THEN st.seen + 1 ELSE st.seen END AS seen FROM st JOIN ev ON ev.run = st.run AND ev.i = st.i + 1)))))
-    SELECT run, seq FROM st WHERE alarm"""
-)
+              CASE WHEN len(st.ref) = {SAMPLE} THEN st.seen + 1 ELSE st.seen END AS seen FROM st JOIN ev ON ev.run = st.run AND ev.i = st.i + 1)))))"""
+
+
+@query(f"WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id AS run, event_id AS seq, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL), {SAMPLED} SELECT run, seq FROM st WHERE alarm")
 def sample_window_alarms(spark, sf_dir):
     """Changes of the distribution of each user's event values."""
     stream = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "value")
@@ -117,6 +118,43 @@ def naive_bayes_restarted(spark, sf_dir):
     return p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("y")).alias("hits"))
 
 
+def _events(spark, sf_dir):
+    """run, seq, y and p: every event of a user against a rule that takes each for a view."""
+    rows = live.table(spark, sf_dir, "events")
+    return rows.select(F.col("user_id").cast("int").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("y"), F.lit("view").alias("p"), F.col("value").cast("double").alias("value"), F.hour("ts").cast("double").alias("hour"))
+
+
+@query(
+    "WITH RECURSIVE "
+    + HOEFFDING.replace(ERRORS, "er AS MATERIALIZED (SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, (event_type <> 'view')::DOUBLE AS x FROM events)")
+    + " SELECT st.run::INT AS run, er.seq FROM st JOIN er ON er.run = st.run AND er.i = st.i WHERE alarm"
+)
+def live_alarms(spark, sf_dir):
+    """Changes in the error of a fixed rule on a stream of all events."""
+    return live.finished(live.alarms(_events(spark, sf_dir).select("run", "seq", "y", "p"), ALPHA), "append")
+
+
+@query()
+def live_two_level(spark, sf_dir):
+    """Alarms of the rule's error on the stream of events, with the features that drifted."""
+    found = live.finished(live.two_level_alarms(_events(spark, sf_dir), ["value", "hour"], 20, 0.3, ALPHA), "append")
+    return found.withColumn("drifting", F.array_join("drifting", ","))
+
+
+@query(
+    f"""WITH RECURSIVE ev AS MATERIALIZED (SELECT user_id AS run, event_id AS seq, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS i FROM events
+      WHERE value IS NOT NULL AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM events WHERE value IS NOT NULL) - 600000), {SAMPLED} SELECT run::BIGINT AS run, seq FROM st WHERE alarm"""
+)
+def live_sample_windows(spark, sf_dir):
+    """Changes of each user's event values, live: three slices of time, a restart after each; all that the watermark has passed."""
+
+    def run(stream):
+        rows = stream.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), "ts", "value")
+        return live.sample_windows(rows, "10 minutes", SAMPLE, ALPHA, EVERY)
+
+    return live.slices(spark, table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "ts", 3, run)
+
+
 @query()
 def adaptive_window_alarms(spark, sf_dir):
     """Changes of each supplier's error, found by the window that drops its oldest part."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import clean
 from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey, trees
 from ..sources import arff
-from ..sources.tables import runs, table
+from ..sources.tables import table
 from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -594,13 +594,6 @@ def live_hourly(spark, sf_dir):
     return rounded(live.finished(live.hourly(live.table(spark, sf_dir, "events"), "event_type"), "append"), 4)
 
 
-@query("SELECT d AS dataset, v AS variant, s AS seed FROM (SELECT unnest(['a', 'b']) AS d), (SELECT unnest(['nb', 'tree']) AS v), (SELECT unnest([1, 2, 3]) AS s)")
-def sweep_runs(spark, sf_dir):
-    variants = F.array(*[F.struct(F.lit(v).alias("name"), F.lit(v).alias("model"), F.lit("S1").alias("selector"), F.lit(None).cast("string").alias("detector")) for v in ("nb", "tree")])
-    one = spark.range(1).select(F.lit("g").alias("experiment_group"), F.lit(1500).alias("warmup"), F.lit(0).alias("max_instances"), F.array(F.lit("a"), F.lit("b")).alias("datasets"), F.array(*map(F.lit, (1, 2, 3))).alias("seeds"), variants.alias("model_variants"))
-    return runs(one).select("dataset", "variant", "seed")
-
-
 # ---------------------------------------------------------------- significance
 
 SCORED = "sc AS (SELECT user_id AS dataset, event_type AS method, (sum(round(value * 100)::BIGINT) // count(*))::BIGINT / 100.0 AS score FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id HAVING count(DISTINCT event_type) = 5) GROUP BY ALL)"
@@ -659,4 +652,4 @@ def wilcoxon_significance(spark, sf_dir):
     return rounded(significance.wilcoxon_p(significance.wilcoxon(_scored(spark, sf_dir), "click", "view")))
 
 
-from . import detections, growth, workflows  # noqa: E402, F401  register their queries; they need the names above
+from . import detections, experiments, growth, workflows  # noqa: E402, F401  register their queries; they need the names above

@@ -101,9 +101,9 @@ def config(spark: SparkSession, path: str) -> DataFrame:
 
 def runs(configs: DataFrame) -> DataFrame:
     """dataset x variant x seed of each configuration."""
-    df = configs.select("experiment_group", "warmup", "max_instances", F.explode("datasets").alias("dataset"), "seeds", "model_variants")
+    df = configs.select("experiment_group", "warmup", "log_every", "max_instances", F.explode("datasets").alias("dataset"), "seeds", "model_variants")
     df = df.withColumn("variant", F.explode("model_variants")).withColumn("seed", F.explode("seeds"))
-    return df.select("experiment_group", "dataset", F.col("variant.name").alias("variant"), "seed", "warmup", "max_instances", F.coalesce("variant.detector", F.lit("TWO_LEVEL")).alias("detector"))
+    return df.select("experiment_group", "dataset", F.col("variant.name").alias("variant"), "seed", F.col("variant.model").alias("model"), "warmup", "log_every", "max_instances", F.coalesce("variant.detector", F.lit("TWO_LEVEL")).alias("detector"))
 
 
 def find_file(spark: SparkSession, folder: str, name: str) -> str | None:

@@ -39,10 +39,10 @@ def drifting_features(stream: DataFrame, alarms: DataFrame, width: int, q: float
     return tests.withColumn("drift", F.col("_r") <= F.coalesce(cut, F.lit(0))).drop("_r", "_m")
 
 
-def selection_after_alarms(stream: DataFrame, alarms: DataFrame, width: int, k: int, bins: int = 20, score: str = "chi2") -> DataFrame:
-    """run, at, feature, rank: the k best features on the `width` rows from each alarm on."""
+def selection_after_alarms(stream: DataFrame, alarms: DataFrame, width: int, k: int, bins: int = 20, score: str = "chi2", warm_up: int = 200) -> DataFrame:
+    """run, at, feature, rank: the k best features on the `width` rows from each alarm on, binned over the first `warm_up` rows of the runs."""
     after = around_alarms(stream, alarms, width).where("side = 1")
-    counts = ranking.histogram(after, ranking.ranges(stream), bins, "run", "at")
+    counts = ranking.histogram(after, ranking.ranges(stream.where(F.col("i") <= warm_up)), bins, "run", "at")
     return ranking.top(ranking.scores(counts, "run", "at"), score, k, "run", "at").select("run", "at", "feature", "rank")
 
 

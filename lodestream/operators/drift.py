@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 TERMS = 100
+#: Up to so many rows a running total is one window; beyond, groups are cut into ranges.
+FEW = 200_000
 
 
 def ranged_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """df with `upto_x` and `all_x` for each x of sums: its total up to the row in its group, and over the group.
 
-    Groups are cut into ranges, however few or long they are: rows are sorted by ranges and stored, a row per range
+    Beyond FEW rows groups are cut into ranges, however few or long they are: rows are sorted by ranges and stored, a row per range
     (a few for each task) is summed up, and each range goes on from the total of those before it. `order` must tell a group's rows apart.
     """
     keys = list(by)
+    df = stored(df, "rows")
+    if df.limit(FEW + 1).count() <= FEW:
+        whole = Window.partitionBy(*keys)
+        upto = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(x).over(upto).alias(f"upto_{x}") for x in sums], *[F.sum(x).over(whole).alias(f"all_{x}") for x in sums])
     pieces = stored(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = pieces.groupBy(*keys, "_range").agg(*[F.sum(x).alias(f"_{x}") for x in sums])
     group = Window.partitionBy(*keys)

@@ -99,9 +99,9 @@ def strict_stability(selected: DataFrame) -> DataFrame:
     return df.groupBy("run").agg(F.coalesce(same, F.lit(1.0)).alias("stability"))
 
 
-def ram_hours(memory: DataFrame) -> DataFrame:
-    """run, mb_hours (trapezoid) and gb_hours (right rectangle) of samples run, seconds, mb."""
-    w = _by("seconds")
+def ram_hours(memory: DataFrame, *ties: str) -> DataFrame:
+    """run, mb_hours (trapezoid) and gb_hours (right rectangle) of samples run, seconds, mb; samples of one time go by `ties`."""
+    w = Window.partitionBy("run").orderBy("seconds", *ties)
     hours = (F.col("seconds") - F.lag("seconds").over(w)) / 3600
     df = memory.withColumns({"_h": hours, "_m": (F.col("mb") + F.lag("mb").over(w)) / 2})
     return df.groupBy("run").agg(F.coalesce(F.sum(F.col("_h") * F.col("_m")), F.lit(0.0)).alias("mb_hours"), F.coalesce(F.sum(F.col("_h") * F.col("mb") / 1024), F.lit(0.0)).alias("gb_hours"))

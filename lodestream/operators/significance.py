@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import drift
+
 # Studentised range statistics over sqrt(2) for 2, 3, ... 10 methods.
 NEMENYI = {
     0.05: (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164),
@@ -49,14 +51,17 @@ def wilcoxon(scores: DataFrame, a: str, b: str) -> DataFrame:
     """n, wins, losses, ties of a over b, both rank sums of the absolute differences (zeros ranked too), and the normal z."""
     pairs = scores.where(F.col("method").isin(a, b)).groupBy("dataset").agg(F.max(F.when(F.col("method") == a, F.col("score"))).alias("x"), F.max(F.when(F.col("method") == b, F.col("score"))).alias("y"))
     pairs = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).withColumn("d", F.col("x") - F.col("y")).withColumn("m", F.abs("d"))
-    rank = F.rank().over(Window.orderBy("m")) + (F.count(F.lit(1)).over(Window.partitionBy("m")) - 1) / 2  # a row per dataset
-    sums = pairs.withColumn("r", rank).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("d") > 0).alias("wins"),
-        F.count_if(F.col("d") < 0).alias("losses"),
-        F.count_if(F.col("d") == 0).alias("ties"),
-        F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"),
+    # equal differences are counted first and ranked by ranges: datasets may be many
+    points = pairs.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("above"), F.count_if(F.col("d") < 0).alias("below"))
+    rank = F.col("upto_c") - (F.col("c") - 1) / 2
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = drift.ranged_sums(points, [], ["m"], ["c"]).agg(
+        count("c").alias("n"),
+        count("above").alias("wins"),
+        count("below").alias("losses"),
+        count(F.col("c") - F.col("above") - F.col("below")).alias("ties"),
+        F.coalesce(F.sum(F.col("above") * rank), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum(F.col("below") * rank), F.lit(0.0)).alias("w_minus"),
     )
     n = F.col("n").cast("double")
     return sums.withColumn("z", (F.greatest("w_plus", "w_minus") - n * (n + 1) / 4 - 0.5) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))
@@ -141,6 +146,10 @@ def rejected(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("significant").alias("n_rejected"))
 
 
-def report(ranks: DataFrame) -> DataFrame:
-    """line: a text line for each method."""
-    return mean_ranks(ranks).select(F.format_string("%s: mean rank %.3f over %d datasets", "method", "mean_rank", "n").alias("line"))
+def report(ranks: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """line: the mean rank of each method, the test of all of them with its verdict, and each two methods against the critical difference."""
+    means = mean_ranks(ranks).select(F.format_string("%s: mean rank %.3f over %d datasets", "method", "mean_rank", "n").alias("line"))
+    verdict = F.when(F.col("reject"), "methods differ").otherwise("no difference shown")
+    whole = friedman_p(friedman(ranks), alpha).select(F.concat(F.format_string("Friedman: chi2 %.3f, F %.3f, p %.4f: ", "chi2", "f_stat", "p"), verdict).alias("line"))
+    pairs = nemenyi(ranks, alpha).select(F.concat(F.format_string("%s and %s: mean ranks differ by %.3f, critical difference %.3f: ", "a", "b", "difference", "cd"), F.when(F.col("significant"), "significant").otherwise("not significant")).alias("line"))
+    return means.unionByName(whole).unionByName(pairs)

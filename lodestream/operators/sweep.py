@@ -14,9 +14,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import small, stored
 from . import drift, learners, prequential
 
 RUN = ["experiment_group", "dataset", "variant", "seed"]
+#: Up to so many runs are broadcast to the rows.
+MOST_RUNS = 10_000
 #: name -> f(stream with run, seq, y, seed and features, features, classes), giving the stream with p.
 MODELS: dict[str, Callable[[DataFrame, Sequence[str], int], DataFrame]] = {
     "NO_CHANGE": lambda stream, features, classes: prequential.no_change(stream),
@@ -44,7 +47,7 @@ def streams(data: DataFrame, runs: DataFrame) -> DataFrame:
     data: dataset, seq (from 0), y and the features; runs: RUN, model, detector, warmup, log_every, max_instances (below 1: no limit); a row a run.
     """
     own = runs.select("dataset", F.struct(*RUN).alias("run"), "seed", "model", "detector", "warmup", "log_every", F.when(F.col("max_instances") > 0, F.col("max_instances")).alias("_most"))
-    met = data.join(F.broadcast(own), "dataset")  # runs come from configuration files
+    met = data.join(small(stored(own, "runs"), MOST_RUNS), "dataset")
     return met.where(F.col("_most").isNull() | (F.col("seq") < F.col("_most"))).drop("_most")
 
 

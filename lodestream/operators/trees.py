@@ -141,13 +141,13 @@ def _assembled(runs: DataFrame, splits: DataFrame, leaves: DataFrame | None, spa
     return df.select("run", F.transform(learners, tree).alias("trees"))
 
 
-def fit(train: DataFrame, features: Sequence[str], classes: int, growth: Growth = Growth()) -> Model:
+def fit(train: DataFrame, features: Sequence[str], classes: int, growth: Growth = Growth(), warm_up: DataFrame | None = None) -> Model:
     """One model per run of rows run, seq, y (class index) and the features.
 
-    Rows whose label is NULL or out of range teach nothing; a NULL feature falls in bin 0.
+    Bins span the values of the warm-up rows, of all rows where none are given. Rows whose label is NULL or out of range teach nothing; a NULL feature falls in bin 0.
     """
     rows = train.where(F.col("y").between(0, classes - 1))
-    ends = rows.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max))]).first()
+    ends = (rows if warm_up is None else warm_up).agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(features) for n, f in (("a", F.min), ("b", F.max))]).first()
     spans = []
     for i in range(len(features)):
         a, b = ends[f"a{i}"], ends[f"b{i}"]
@@ -210,12 +210,12 @@ def predict(model: Model, rows: DataFrame, weights: Sequence[float] | None = Non
 def by_blocks(stream: DataFrame, features: Sequence[str], classes: int, size: int, growth: Growth = Growth()) -> DataFrame:
     """Test-then-train by blocks of `size` values of seq: a block is predicted by the model of the block before.
 
-    The first block of a run has no model yet and gets class 0. Each row teaches one model, so nothing is
+    The first block of a run has no model yet and gets class 0. Bins span the first blocks, later values beyond fall in the end bins. Each row teaches one model, so nothing is
     repeated, and a change of concept is forgotten after a block.
     """
     block = F.floor(F.col("seq") / size)
     keyed = stream.withColumnRenamed("run", "_run")
     train = keyed.withColumn("run", F.struct("_run", (block + 1).alias("block")))
     test = keyed.withColumn("run", F.struct("_run", block.alias("block")))
-    out = predict(fit(train, features, classes, growth), test)
+    out = predict(fit(train, features, classes, growth, stream.where(block == 0)), test)
     return out.drop("run").withColumnRenamed("_run", "run").select(*stream.columns, "p")

@@ -311,6 +311,8 @@ def class_distribution(spark, sf_dir):
 
 LONG = "long AS (SELECT l_returnflag AS cls, l_shipdate, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::DOUBLE AS value FROM lineitem)"
 RANGES = "r0 AS (SELECT feature, min(value) AS a, max(value) AS b FROM long GROUP BY ALL), r AS (SELECT feature, CASE WHEN a = b THEN a ELSE a - 0.05 * (b - a) END AS low, CASE WHEN a = b THEN a + 1 ELSE b + 0.05 * (b - a) END AS high FROM r0)"
+#: Ranges of a stream's first rows, and of its first year.
+FIRST_ROWS, FIRST_YEAR = (RANGES.replace("FROM long", f"FROM long WHERE {w}") for w in ("i <= 200", "year(l_shipdate) = (SELECT min(year(l_shipdate)) FROM lineitem)"))
 COUNTS = "c AS (SELECT feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM long JOIN r USING (feature) GROUP BY ALL)"
 CELLS = "x AS (SELECT feature, n::DOUBLE AS o, (sum(n) OVER (PARTITION BY feature, bin))::DOUBLE * (sum(n) OVER (PARTITION BY feature, cls))::DOUBLE / (sum(n) OVER (PARTITION BY feature))::DOUBLE AS e, (sum(n) OVER (PARTITION BY feature))::DOUBLE AS t FROM c)"
 SCORES = "s AS (SELECT feature, greatest(sum(o * ln(o / e)) / max(t), 0) AS mutual_info, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY feature)"
@@ -369,10 +371,18 @@ s AS (SELECT period, feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM
 g AS (SELECT period, list_sort(list(feature)) AS selected FROM k WHERE rank <= 2 GROUP BY period), h AS (SELECT *, lag(selected) OVER (ORDER BY period) AS before FROM g)"""
 
 
-@query(f"WITH {LONG}, {RANGES}, {PERIODS} SELECT period, array_to_string(selected, ',') AS selected, len(list_intersect(before, selected)) / len(before) AS stability FROM h")
+def _yearly(instances: DataFrame) -> DataFrame:
+    """Counts by year, binned over the first."""
+    instances = instances.withColumn("period", F.year("l_shipdate"))
+    first = instances.agg(F.min("period").alias("_first"))  # one row
+    warm_up = instances.join(F.broadcast(first)).where(F.col("period") == F.col("_first"))
+    return ranking.histogram(instances, ranking.ranges(warm_up), 20, "period")
+
+
+@query(f"WITH {LONG}, {FIRST_YEAR}, {PERIODS} SELECT period, array_to_string(selected, ',') AS selected, len(list_intersect(before, selected)) / len(before) AS stability FROM h")
 def periodic_selection(spark, sf_dir):
     instances = _long(spark, sf_dir, "l_shipdate")
-    counts = ranking.histogram(instances.withColumn("period", F.year("l_shipdate")), ranking.ranges(instances), 20, "period")
+    counts = _yearly(instances)
     chosen = ranking.top(ranking.scores(counts, "period"), "chi2", 2, "period")
     return ranking.selections(chosen, "period").withColumn("selected", F.array_join("selected", ","))
 
@@ -536,7 +546,7 @@ def alarm_drift(spark, sf_dir):
 
 
 @query(
-    f"""WITH {ALARMED}, {RANGES}, c AS (SELECT run, "at", feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM near JOIN r USING (feature) WHERE side = 1 GROUP BY ALL),
+    f"""WITH {ALARMED}, {FIRST_ROWS}, c AS (SELECT run, "at", feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM near JOIN r USING (feature) WHERE side = 1 GROUP BY ALL),
     x AS (SELECT run, "at", feature, n::DOUBLE AS o, (sum(n) OVER (PARTITION BY run, "at", feature, bin))::DOUBLE * (sum(n) OVER (PARTITION BY run, "at", feature, cls))::DOUBLE / (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS e, (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS t FROM c),
     s AS (SELECT run, "at", feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run, "at" ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s)
     SELECT run, "at"::INT AS "at", feature, rank::INT AS rank FROM k WHERE rank <= 2"""
@@ -571,7 +581,7 @@ def best_splits(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {LONG}, {RANGES}, {PERIODS}, sc AS MATERIALIZED (SELECT period, feature, round(chi2, 9) AS v, dense_rank() OVER (ORDER BY period) AS t FROM s),
+    f"""WITH RECURSIVE {LONG}, {FIRST_YEAR}, {PERIODS}, sc AS MATERIALIZED (SELECT period, feature, round(chi2, 9) AS v, dense_rank() OVER (ORDER BY period) AS t FROM s),
     ev AS (SELECT 1::BIGINT AS t, list(feature) AS sel, 0::BIGINT AS n FROM (SELECT feature FROM sc WHERE t = 1 ORDER BY v DESC, feature LIMIT 2) UNION ALL
       SELECT t, CASE WHEN -best.v > worst.v THEN list_append(list_filter(sel, lambda f: f <> worst.f), best.f) ELSE sel END, CASE WHEN -best.v > worst.v THEN 1 ELSE 0 END FROM (
         SELECT ev.t + 1 AS t, ev.sel, min({{'v': sc.v, 'f': sc.feature}}) FILTER (list_contains(ev.sel, sc.feature)) AS worst, min({{'v': -sc.v, 'f': sc.feature}}) FILTER (NOT list_contains(ev.sel, sc.feature)) AS best
@@ -581,7 +591,7 @@ def best_splits(spark, sf_dir):
 def evolving_selection(spark, sf_dir):
     """Two of four features by year, with limited swaps."""
     instances = _long(spark, sf_dir, "l_shipdate")
-    counts = ranking.histogram(instances.withColumn("period", F.year("l_shipdate")), ranking.ranges(instances), 20, "period")
+    counts = _yearly(instances)
     scored = ranking.scores(counts, "period").withColumn("run", F.lit(0)).withColumn("chi2", F.round("chi2", 9))
     return adaptive.evolving_selection(scored, 2).withColumn("selected", F.array_join("selected", ","))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import adaptive, drift, learners
 from ..sources.tables import table
 from ..streaming import live
-from .catalogue import CLASSES, RANGES, _bayes_sql, _numbered, query, rounded
+from .catalogue import CLASSES, FIRST_ROWS, _bayes_sql, _numbered, query, rounded
 from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
 
 ALPHA = 0.2
@@ -43,7 +43,7 @@ def hoeffding_alarms(spark, sf_dir):
 @query(
     f"""WITH RECURSIVE {HOEFFDING}, long AS (SELECT run, i, cls, unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_extendedprice, l_discount, l_tax])::DOUBLE AS value FROM num),
     near AS (SELECT l.*, a.i AS "at" FROM long l JOIN st a ON a.alarm AND l.run = a.run AND l.i >= a.i AND l.i < a.i + 80),
-    last AS (SELECT * FROM near WHERE "at" = (SELECT max(a.i) FROM st a WHERE a.alarm AND a.run = near.run AND a.i <= near.i)), {RANGES},
+    last AS (SELECT * FROM near WHERE "at" = (SELECT max(a.i) FROM st a WHERE a.alarm AND a.run = near.run AND a.i <= near.i)), {FIRST_ROWS},
     c AS (SELECT run, "at", feature, greatest(least(floor((value - low) / ((high - low) / 20))::INT, 19), 0) AS bin, cls, count(*) AS n FROM last JOIN r USING (feature) GROUP BY ALL),
     x AS (SELECT run, "at", feature, n::DOUBLE AS o, (sum(n) OVER (PARTITION BY run, "at", feature, bin))::DOUBLE * (sum(n) OVER (PARTITION BY run, "at", feature, cls))::DOUBLE / (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS e, (sum(n) OVER (PARTITION BY run, "at", feature))::DOUBLE AS t FROM c),
     s AS (SELECT run, "at", feature, greatest(sum(o * o / e) - max(t), 0) AS chi2 FROM x GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run, "at" ORDER BY round(chi2, 9) DESC, feature) AS rank FROM s)

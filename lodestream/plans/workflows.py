@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import clean
+from ..functions import clean, clock, codes
 from ..operators import discretiser, ensembles, learners, prequential, ranking, significance
 from ..session import shared_folder, stored
 from ..sources import arff, tables
@@ -37,14 +37,13 @@ def arff_round_trip(spark, sf_dir):
     return arff.read(spark, path)
 
 
-@query("SELECT event_type, count(*) AS n_events, round(sum(value), 6) AS sum_value FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n_events, round(sum(value), 6) AS sum_value FROM events WHERE event_id % 50 <> 0 GROUP BY event_type")
 def monthly_scan(spark, sf_dir):
-    """Events landed as a file for each month, scanned by pattern; rows of other months than their file's would be left out."""
+    """Events landed by month, every 50th a month late, and scanned by pattern; rows of other months than their file's are left out."""
     path = f"{shared_folder(spark)}/events"
-    events = table(spark, sf_dir, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
-    for month in [r.month for r in events.select("month").distinct().collect()]:  # as many as the stream has months
-        events.where(F.col("month") == month).drop("month").write.parquet(f"{path}/events_{month}.parquet")
-    found = tables.monthly(spark, f"{path}/events_*.parquet", "ts", ["ts", "event_type", "value"])
+    month = F.when(F.col("event_id") % 50 == 0, F.add_months("ts", 1)).otherwise(F.col("ts"))
+    table(spark, sf_dir, "events").withColumn("month", F.date_format(month, "yyyy-MM")).write.partitionBy("month").parquet(path)
+    found = tables.monthly(spark, f"{path}/month=*", "ts", ["ts", "event_type", "value"])
     return rounded(found.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("sum_value")))
 
 
@@ -241,11 +240,57 @@ def rejected_pairs(spark, sf_dir):
     return significance.rejected(significance.nemenyi(significance.ranked(_scored(spark, sf_dir))))
 
 
-@query(f"WITH {SCORED}, {RANKED}, {MEANS} SELECT method || ': mean rank ' || printf('%.3f', mean_rank) || ' over ' || n::BIGINT || ' datasets' AS line FROM mr")
+@query(
+    f"""WITH {SCORED}, {RANKED}, {MEANS}, fr AS (SELECT max(n) AS n, max(k) AS k, 12 * max(n) / (max(k) * (max(k) + 1)) * sum(mean_rank * mean_rank) - 3 * max(n) * (max(k) + 1) AS chi2 FROM mr),
+    fs AS (SELECT *, (n - 1) * chi2 / (n * (k - 1) - chi2) AS f, 4 * (n - 1) AS d2 FROM fr), fp AS (SELECT *, pow(d2 / (d2 + 4 * f), d2 / 2) * (1 + d2 / 2 * (1 - d2 / (d2 + 4 * f))) AS p FROM fs)
+    SELECT method || ': mean rank ' || printf('%.3f', mean_rank) || ' over ' || n::BIGINT || ' datasets' AS line FROM mr
+    UNION ALL SELECT printf('Friedman: chi2 %.3f, F %.3f, p %.4f: ', chi2, f, p) || CASE WHEN p < 0.05 THEN 'methods differ' ELSE 'no difference shown' END FROM fp
+    UNION ALL SELECT a.method || ' and ' || b.method || printf(': mean ranks differ by %.3f, critical difference %.3f: ', abs(a.mean_rank - b.mean_rank), 2.728 * sqrt(5 * 6 / (6 * a.n))) || CASE WHEN abs(a.mean_rank - b.mean_rank) > 2.728 * sqrt(5 * 6 / (6 * a.n)) THEN 'significant' ELSE 'not significant' END FROM mr a JOIN mr b ON a.method < b.method"""
+)
 def rank_report(spark, sf_dir):
+    """Mean ranks, the test of all methods, and each two methods, as text."""
     return significance.report(significance.ranked(_scored(spark, sf_dir)))
 
 
+@query(f"WITH {SELECTED}, q AS (SELECT run, selected = lag(selected) OVER (PARTITION BY run ORDER BY period) AS same FROM p) SELECT run, round(coalesce(avg(same::INT), 1), 6) AS stability FROM q GROUP BY run")
+def strict_stability(spark, sf_dir):
+    """The share of each supplier's selections that equal the one before."""
+    return rounded(prequential.strict_stability(_selected(spark, sf_dir).select("run", F.col("period").alias("seq"), F.col("selected").alias("selection"))))
+
+
+@query(
+    "WITH s AS (SELECT user_id AS run, epoch_us(ts) / 1000000.0::DOUBLE AS sec, value AS mb, event_id FROM events WHERE value IS NOT NULL), d AS (SELECT run, (sec - lag(sec) OVER w) / 3600 AS h, mb, (mb + lag(mb) OVER w) / 2 AS m FROM s WINDOW w AS (PARTITION BY run ORDER BY sec, event_id)) "
+    "SELECT run, round(coalesce(sum(h * m), 0), 4) AS mb_hours, round(coalesce(sum(h * mb / 1024), 0), 4) AS gb_hours FROM d GROUP BY run"
+)
+def memory_hours(spark, sf_dir):
+    """Each user's values taken for samples of memory, integrated over time."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    samples = events.select(F.col("user_id").alias("run"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), F.col("value").alias("mb"), "event_id")
+    return rounded(prequential.ram_hours(samples, "event_id"), 4)
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, p_size, p_brand, CASE WHEN p_size % 3 = 0 THEN p_size END AS reason, (['HBW', 'hbshop', 'NHB', '3', '12', 'x', '4.0'])[p_partkey % 7 + 1] AS name FROM part)
+    SELECT p_partkey, coalesce(CASE reason {" ".join(f"WHEN {k} THEN {v}" for k, v in codes.REASONS.items())} END, CASE upper(name) {" ".join(f"WHEN '{k}' THEN {v}" for k, v in codes.PURPOSES.items())} END, CASE WHEN try_cast(name AS DOUBLE) BETWEEN 1 AND 10 THEN try_cast(name AS DOUBLE)::INT END)::INT AS purpose,
+      CASE {" ".join(f"WHEN p_size BETWEEN {low} AND {high} THEN '{n}'" for n, (low, high) in codes.MODES.items())} END AS mode, (p_partkey % 2400 // 100)::INT AS hour, try_cast(substr(p_brand, 7) AS DOUBLE) AS brand, try_cast(p_brand AS DOUBLE) AS no_number FROM c"""
+)
+def trip_codes(spark, sf_dir):
+    """Purpose and mode codes, hours of HHMM numbers, and text as numbers, over all parts."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    name = F.element_at(F.array(*map(F.lit, ("HBW", "hbshop", "NHB", "3", "12", "x", "4.0"))), (key % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", codes.purpose(F.when(size % 3 == 0, size), name).alias("purpose"), codes.transport_mode(size).alias("mode"), clock.hour_of_hhmm(key % 2400).alias("hour"),
+        clean.number(F.substring("p_brand", 7, 99)).alias("brand"), clean.number(F.col("p_brand")).alias("no_number"),
+    )
+
+
+@query("SELECT l_linestatus, count(*) AS n, round(avg(datediff('second', o_orderdate, l_shipdate) / 60.0), 4) AS mean_minutes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def shipping_minutes(spark, sf_dir):
+    """Minutes from order to shipment, by status."""
+    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rounded(joined.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.avg(clock.minutes_between(F.col("o_orderdate"), F.col("l_shipdate"))).alias("mean_minutes")), 4)
+
+
 @query(
     "WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER w AS i, event_type = lag(event_type) OVER w AS hit FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), "
     "c AS (SELECT user_id, i, count(*) FILTER (hit) OVER (PARTITION BY user_id ORDER BY event_id) AS hits FROM n) SELECT user_id AS run, i AS n, round(hits / i::DOUBLE, 6) AS accuracy FROM c WHERE i % 10 = 0"

@@ -37,6 +37,18 @@ def arff_round_trip(spark, sf_dir):
     return arff.read(spark, path)
 
 
+@query("SELECT c_custkey::DOUBLE AS key, c_nationkey::VARCHAR AS nation, c_mktsegment AS segment, (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_nations, (SELECT count(DISTINCT c_mktsegment) FROM customer) AS n_segments FROM customer WHERE c_acctbal > 9000")
+def reduced_round_trip(spark, sf_dir):
+    """Some features of some customers, written and read under a header that declares what all customers have."""
+    path = f"{shared_folder(spark)}/reduced_arff"
+    customers = table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("balance"), F.col("c_custkey").cast("double").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    own = arff.reduced(arff.described(customers, "segment", ["nation"]).where("balance > 9000"), ["nation", "key"])
+    arff.write(own, path, "customers_reduced", "segment")
+    back = arff.read(spark, path)
+    sizes = {f"n_{c}s": F.lit(len(back.schema[c].metadata[arff.DOMAIN])).cast("long") for c in ("nation", "segment")}
+    return back.withColumns(sizes)
+
+
 @query("SELECT event_type, count(*) AS n_events, round(sum(value), 6) AS sum_value FROM events WHERE event_id % 50 <> 0 GROUP BY event_type")
 def monthly_scan(spark, sf_dir):
     """Events landed by month, every 50th a month late, and scanned by pattern; rows of other months than their file's are left out."""

@@ -3,17 +3,27 @@
 The class column comes last. Text and boolean columns, and those listed, are nominal with the sorted distinct
 values as their domain, numbers are numeric, and NULL is `?`. A nominal number that is whole is written
 without a fraction in the domain and in the rows alike.
+
+A schema can carry its declarations: `described` puts domains and the class in the metadata of the fields, where filters and
+selections keep them, so that a header declares what the whole data had and needs no pass over the data. `read` gives such a schema.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import require_columns
+
 NEEDS_QUOTES = r"[\s,{}'\"%\\]"
+#: Metadata of a field: the values of a nominal column, and whether it is the class.
+DOMAIN, CLASS = "domain", "class"
+#: A value of a declared domain.
+VALUE = re.compile(r"'((?:[^'\\]|\\.)*)'|([^,{}\s][^,{}]*)")
 
 
 def is_nominal(field: T.StructField) -> bool:
@@ -38,12 +48,44 @@ def _plain_quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'" if any(x in text for x in " \t,{}'\"%\\") or text in ("", "?") else text
 
 
+def _domains(df: DataFrame, named: Sequence[T.StructField]) -> dict[str, list[str]]:
+    held = {f.name: list(f.metadata[DOMAIN]) for f in named if DOMAIN in f.metadata}
+    rest = [f for f in named if f.name not in held]
+    found = df.agg(*[F.sort_array(F.collect_set(_nominal(f))).alias(f.name) for f in rest]).first().asDict() if rest else {}
+    return held | found
+
+
+def described(df: DataFrame, class_col: str, nominal: Sequence[str] = ()) -> DataFrame:
+    """df whose schema holds the domains of its nominal columns and which column is the class."""
+    named = [f for f in df.schema if is_nominal(f) or f.name in (*nominal, class_col)]
+    domains = _domains(df, named)
+    columns = []
+    for f in df.schema:
+        metadata = f.metadata | ({DOMAIN: domains[f.name]} if f.name in domains else {}) | ({CLASS: True} if f.name == class_col else {})
+        columns.append(F.col(f"`{f.name}`").alias(f.name, metadata=metadata))
+    return df.select(*columns)
+
+
+def class_column(df: DataFrame) -> str:
+    """The class of a described schema."""
+    found = [f.name for f in df.schema if f.metadata.get(CLASS)]
+    if len(found) != 1:
+        raise ValueError(f"one class column is needed, not {len(found)}")
+    return found[0]
+
+
+def reduced(df: DataFrame, selected: Sequence[str]) -> DataFrame:
+    """The selected features, in their order, and the class; each keeps its declaration. Features that are not there are an error."""
+    own = class_column(df)
+    return require_columns(df, selected).select(*[F.col(f"`{c}`") for c in [*(c for c in selected if c != own), own]])
+
+
 def rows(df: DataFrame, class_col: str, nominal: Sequence[str] = (), missing: str = "?") -> DataFrame:
     """One column `line`, the data section."""
     fields = [f for f in df.schema if f.name != class_col] + [df.schema[class_col]]
     cells = []
     for f in fields:
-        if is_nominal(f) or f.name in (*nominal, class_col):
+        if is_nominal(f) or f.name in (*nominal, class_col) or DOMAIN in f.metadata:
             text = _quoted(_nominal(f))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             text = F.when(~F.isnan(f"`{f.name}`"), F.format_string("%.10g", F.col(f"`{f.name}`")))
@@ -54,10 +96,10 @@ def rows(df: DataFrame, class_col: str, nominal: Sequence[str] = (), missing: st
 
 
 def header(df: DataFrame, relation: str, class_col: str, nominal: Sequence[str] = ()) -> str:
-    """The declarations. Domains are small sets by nature: the distinct values of the nominal columns alone reach the driver."""
+    """The declarations. Domains that the schema does not hold are small sets by nature: the distinct values of the nominal columns alone reach the driver."""
     fields = [f for f in df.schema if f.name != class_col] + [df.schema[class_col]]
-    named = [f for f in fields if is_nominal(f) or f.name in (*nominal, class_col)]
-    domains = df.agg(*[F.sort_array(F.collect_set(_nominal(f))).alias(f.name) for f in named]).first()
+    named = [f for f in fields if is_nominal(f) or f.name in (*nominal, class_col) or DOMAIN in f.metadata]
+    domains = _domains(df, named)
     lines = [f"@RELATION {_plain_quoted(relation)}", ""]
     for f in fields:
         kind = "{" + ",".join(map(_plain_quoted, domains[f.name])) + "}" if f in named else "NUMERIC"
@@ -80,8 +122,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     fields = []
     for a in attributes:
         end = a.index("'", 1) + 1 if a[0] == "'" else a.index(" ")
-        fields.append((a[:end].strip("'"), a[end:].strip().upper() == "NUMERIC"))
-    schema = T.StructType([T.StructField(n, T.DoubleType() if numeric else T.StringType()) for n, numeric in fields])
+        kind = a[end:].strip()
+        values = [re.sub(r"\\(.)", r"\1", quoted) if plain == "" else plain for quoted, plain in VALUE.findall(kind)] if kind.upper() != "NUMERIC" else None
+        metadata = ({} if values is None else {DOMAIN: values}) | ({CLASS: True} if a is attributes[-1] else {})
+        fields.append(T.StructField(a[:end].strip("'"), T.DoubleType() if values is None else T.StringType(), True, metadata))
+    schema = T.StructType(fields)
     return spark.read.schema(schema).option("quote", "'").option("escape", "\\").option("nullValue", "?").csv(f"{path}/data")
 
 

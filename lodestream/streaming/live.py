@@ -128,7 +128,8 @@ class SampleWindows(StatefulProcessor):
                 for state, values in ((self.reference, window.reference), (self.current, window.current)):
                     state.put([(float(x),) for x in values]) if values else state.clear()
                 self.told.update((window.seen, last))
-            self.handle.registerTimer(rest[0][0] if rest else last + self.idle + 1)
+            if rest or last is not None:  # neither where an earlier timer of the same batch has cleared the run
+                self.handle.registerTimer(rest[0][0] if rest else last + self.idle + 1)
         yield pd.DataFrame({"run": [key[0]] * len(found), "seq": found}).astype({"run": "int64", "seq": "int64"})
 
 

@@ -90,9 +90,11 @@ def test_ks_against_brute_force(spark):
     assert abs(one(drift.distance(df, "k")).ks - want) < 1e-12
 
 
+@pytest.mark.parametrize("few", [0, 200_000])
 @pytest.mark.parametrize("by", [["k"], ["k", "j"], []])
-def test_totals_by_ranges(spark, by):
-    """Running totals agree with a plain loop, over tasks and groups of any size, NULL keys included."""
+def test_totals_by_ranges(spark, monkeypatch, by, few):
+    """Running totals agree with a plain loop, over tasks and groups of any size, NULL keys included, by ranges and by one window."""
+    monkeypatch.setattr(drift, "FEW", few)
     rng = random.Random(12)
     rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(2), i, rng.choice([None, 1, 2, 5])) for i in rng.sample(range(1000), 300)]
     df = spark.createDataFrame(rows, "k string, j int, i int, n int").repartition(5)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, drift, learners
 from ..sources.tables import table
-from ..streaming import live
-from .catalogue import CLASSES, FIRST_ROWS, _bayes_sql, _numbered, query, rounded
+from ..session import shared_folder
+from ..streaming import live, measured
+from .catalogue import CLASSES, FIRST_ROWS, TYPES, _bayes_sql, _numbered, query, rounded
 from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
 
 ALPHA = 0.2
@@ -155,6 +156,30 @@ def live_sample_windows(spark, sf_dir):
     return live.slices(spark, table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "ts", 3, run)
 
 
+@query(
+    """WITH b AS (SELECT min(epoch_us(ts)) AS a, (max(epoch_us(ts)) - min(epoch_us(ts))) // 3 + 1 AS w FROM events), s AS (SELECT (epoch_us(ts) - a) // w AS batch, event_type FROM events, b),
+    c AS (SELECT batch, count(*) AS n, count(*) FILTER (event_type = 'view') AS hits FROM s GROUP BY ALL)
+    SELECT (sum(n) OVER u)::BIGINT AS instance_num, round((sum(hits) OVER u)::DOUBLE / (sum(n) OVER u), 6) AS accuracy, 0::DOUBLE AS kappa, true AS measured FROM c WINDOW u AS (ORDER BY batch)"""
+)
+def measured_run(spark, sf_dir):
+    """The result table of a fixed rule on all events, live in three slices of time, each with its time and memory."""
+    folder = shared_folder(spark)
+    y = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1
+    events = table(spark, sf_dir, "events").select((F.unix_micros(F.col("ts").cast("timestamp"))).alias("us"), y.cast("int").alias("y"), F.lit(TYPES.index("view")).alias("p"))
+    ends = events.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
+    width = ((ends.b or 0) - (ends.a or 0)) // 3 + 1
+    events.where("us IS NOT NULL").withColumn("slice", F.floor((F.col("us") - (ends.a or 0)) / width)).write.partitionBy("slice").parquet(f"{folder}/landed")
+    tables_ = []
+    for k in range(3):
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/landed/slice={k}")
+        tables_.append(measured.run(stream, f"slice_{k}", len(TYPES), f"{folder}/run_{k}").withColumn("_k", F.lit(k)))
+    each = tables_[0].unionByName(tables_[1]).unionByName(tables_[2])
+    upto = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)  # a row a batch
+    n, hits = F.sum("instance_num").over(upto), F.sum(F.round(F.col("accuracy") * F.col("instance_num"))).over(upto)
+    fine = (F.col("seconds") > 0) & (F.col("micros_per_instance") > 0) & (F.col("ram_hours") >= 0)
+    return rounded(each.select(n.alias("instance_num"), (hits / n).alias("accuracy"), F.col("kappa"), fine.alias("measured"))).withColumn("kappa", F.col("kappa") + 0.0)
+
+
 @query()
 def adaptive_window_alarms(spark, sf_dir):
     """Changes of each supplier's error, found by the window that drops its oldest part."""

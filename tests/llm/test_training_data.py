@@ -647,10 +647,43 @@ def test_large_group_of_near_copies(spark):
     rows = [(i, " ".join(body[: (k := rng.randrange(199))] + [f"e{i}"] + body[k + 1 :])) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     fps = common.stored(near_copies._fingerprints(df).select("text_key", "fp"), "fps")
-    assert near_copies._candidates(fps).count() < 600 * 192
+    assert near_copies._candidates(fps).count() < 600 * near_copies.SEGMENTS * near_copies.SEGMENT
     assert [r.doc_id for r in near_copies.deduplicate(df).collect()] == [0]
 
 
+@pytest.mark.parametrize("shared", [0, 0.4, 0.6])
+def test_recall_of_single_pairs(spark, shared):
+    """Each band of coefficients from 0.8 on, also where all texts share a passage of this part of their words, so that buckets are crowded."""
+    rng = random.Random(12)
+    passage = [f"p{rng.randrange(5000)}" for _ in range(480)]
+    bands, n, pairs, texts = (0.8, 0.85, 0.9, 0.95), 150, {}, {}
+    for band in bands:
+        for _ in range(n):
+            size = rng.choice([60, 120, 250, 800][2 * (band > 0.85) :])  # an edit of a short text changes more
+            head = passage[: int(shared * size)]
+            body = head + [f"w{rng.randrange(50000)}" for _ in range(size - len(head))]
+            copy, least = list(body), 1.0
+            own, want = shingle_set(" ".join(body)), rng.uniform(band, band + 0.05)
+            while least > want or copy == body:
+                tried = list(copy)
+                tried[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+                other = shingle_set(" ".join(tried))
+                least = len(own & other) / len(own | other)
+                if least >= band:
+                    copy = tried
+            pair = len(texts), len(texts) + 1
+            texts |= dict(zip(pair, (" ".join(body), " ".join(copy))))
+            pairs[pair] = band
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    fps = common.stored(near_copies._fingerprints(df), "fps")
+    id_of = {r.text_key: r.doc_id for r in fps.select("text_key", "doc_id").collect()}
+    found = {tuple(sorted((id_of[r.u], id_of[r.v]))) for r in near_copies.similar_texts(df, fps.select("text_key", "fp")).collect()}
+    recall = Counter(pairs[p] for p in found & set(pairs))
+    assert all(recall[b] >= 0.9 * n for b in bands), recall
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
+
+
 def test_neighbours_of_a_bucket_over_many_tasks(spark):
     """However a bucket's ids are cut into batches and tasks, borders and pairs connect them; buckets stay apart."""
     rng = np.random.default_rng(11)

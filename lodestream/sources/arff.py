@@ -1,4 +1,4 @@
-"""ARFF: attribute-relation files, written as text by Spark with a header of its own, and read back.
+"""ARFF: attribute-relation files, through the data source of `arff_format`.
 
 The class column comes last. Text and boolean columns, and those listed, are nominal with the sorted distinct
 values as their domain, numbers are numeric, and NULL is `?`. A nominal number that is whole is written
@@ -10,21 +10,15 @@ selections keep them, so that a header declares what the whole data had and need
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arff_format import CLASS, DOMAIN, declarations, register
 from .tables import require_columns
 
-NEEDS_QUOTES = r"[\s,{}'\"%\\]"
-#: Metadata of a field: the values of a nominal column, and whether it is the class.
-DOMAIN, CLASS = "domain", "class"
-#: A value of a declared domain.
-VALUE = re.compile(r"'((?:[^'\\]|\\.)*)'|([^,{}\s][^,{}]*)")
-
 
 def is_nominal(field: T.StructField) -> bool:
     return isinstance(field.dataType, (T.StringType, T.BooleanType))
@@ -39,15 +33,6 @@ def _nominal(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def _quoted(c: Column) -> Column:
-    escaped = F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), "'", r"\\'")
-    return F.when(c.rlike(NEEDS_QUOTES) | (c == "") | (c == "?"), F.concat(F.lit("'"), escaped, F.lit("'"))).otherwise(c)
-
-
-def _plain_quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'" if any(x in text for x in " \t,{}'\"%\\") or text in ("", "?") else text
-
-
 def _domains(df: DataFrame, named: Sequence[T.StructField]) -> dict[str, list[str]]:
     held = {f.name: list(f.metadata[DOMAIN]) for f in named if DOMAIN in f.metadata}
     rest = [f for f in named if f.name not in held]
@@ -80,54 +65,22 @@ def reduced(df: DataFrame, selected: Sequence[str]) -> DataFrame:
     return require_columns(df, selected).select(*[F.col(f"`{c}`") for c in [*(c for c in selected if c != own), own]])
 
 
-def rows(df: DataFrame, class_col: str, nominal: Sequence[str] = (), missing: str = "?") -> DataFrame:
-    """One column `line`, the data section."""
-    fields = [f for f in df.schema if f.name != class_col] + [df.schema[class_col]]
-    cells = []
-    for f in fields:
-        if is_nominal(f) or f.name in (*nominal, class_col) or DOMAIN in f.metadata:
-            text = _quoted(_nominal(f))
-        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            text = F.when(~F.isnan(f"`{f.name}`"), F.format_string("%.10g", F.col(f"`{f.name}`")))
-        else:
-            text = _quoted(F.col(f"`{f.name}`").cast("string"))
-        cells.append(F.coalesce(text, F.lit(missing)))
-    return df.select(F.concat_ws(",", *cells).alias("line"))
-
-
 def header(df: DataFrame, relation: str, class_col: str, nominal: Sequence[str] = ()) -> str:
     """The declarations. Domains that the schema does not hold are small sets by nature: the distinct values of the nominal columns alone reach the driver."""
-    fields = [f for f in df.schema if f.name != class_col] + [df.schema[class_col]]
-    named = [f for f in fields if is_nominal(f) or f.name in (*nominal, class_col) or DOMAIN in f.metadata]
-    domains = _domains(df, named)
-    lines = [f"@RELATION {_plain_quoted(relation)}", ""]
-    for f in fields:
-        kind = "{" + ",".join(map(_plain_quoted, domains[f.name])) + "}" if f in named else "NUMERIC"
-        lines.append(f"@ATTRIBUTE {_plain_quoted(f.name)} {kind}")
-    return "\n".join([*lines, "", "@DATA"])
+    own = described(df, class_col, nominal)
+    return declarations([f for f in own.schema if f.name != class_col] + [own.schema[class_col]], relation)
 
 
 def write(df: DataFrame, path: str, relation: str, class_col: str, nominal: Sequence[str] = ()) -> None:
-    """path/header holds the declarations, path/data the rows in parts; the header followed by the parts is the file."""
-    spark = df.sparkSession
-    head = spark.createDataFrame([(header(df, relation, class_col, nominal),)], "line string")
-    head.coalesce(1).write.mode("overwrite").text(f"{path}/header")
-    rows(df, class_col, nominal).write.mode("overwrite").text(f"{path}/data")
+    """A folder of whole ARFF files with one header, in place of what was there."""
+    register(df.sparkSession)
+    described(df, class_col, nominal).write.format("arff").mode("overwrite").option("relation", relation).save(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of what `write` wrote, numeric columns as double and nominal ones as text."""
-    lines = [r["value"] for r in spark.read.text(f"{path}/header").collect()]
-    attributes = [x[len("@ATTRIBUTE ") :] for x in lines if x.upper().startswith("@ATTRIBUTE ")]
-    fields = []
-    for a in attributes:
-        end = a.index("'", 1) + 1 if a[0] == "'" else a.index(" ")
-        kind = a[end:].strip()
-        values = [re.sub(r"\\(.)", r"\1", quoted) if plain == "" else plain for quoted, plain in VALUE.findall(kind)] if kind.upper() != "NUMERIC" else None
-        metadata = ({} if values is None else {DOMAIN: values}) | ({CLASS: True} if a is attributes[-1] else {})
-        fields.append(T.StructField(a[:end].strip("'"), T.DoubleType() if values is None else T.StringType(), True, metadata))
-    schema = T.StructType(fields)
-    return spark.read.schema(schema).option("quote", "'").option("escape", "\\").option("nullValue", "?").csv(f"{path}/data")
+    """The rows of a folder or a file, numeric columns as double and all others as text; the schema holds the declarations."""
+    register(spark)
+    return spark.read.format("arff").load(path)
 
 
 def profile(df: DataFrame, class_col: str) -> DataFrame:

@@ -850,7 +850,7 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
 
 def test_registry_names():
     names = registry.queries()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(names)
 
 

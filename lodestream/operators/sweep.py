@@ -24,7 +24,7 @@ MOST_RUNS = 10_000
 MODELS: dict[str, Callable[[DataFrame, Sequence[str], int], DataFrame]] = {
     "NO_CHANGE": lambda stream, features, classes: prequential.no_change(stream),
     "MAJORITY": lambda stream, features, classes: prequential.majority(stream, classes),
-    "RANDOM": lambda stream, features, classes: stream.withColumn("p", ((F.col("seq") * 7919 + F.col("seed") * 104729) % 1000003 % classes).cast("int")),
+    "RANDOM": lambda stream, features, classes: stream.withColumn("p", ((F.col("seq").cast("long") * 7919 + F.col("seed").cast("long") * 104729) % 1000003 % classes).cast("int")),
     "NAIVE_BAYES": lambda stream, features, classes: learners.naive_bayes(stream, features, classes),
 }
 DETECTORS: dict[str, Callable[[], object]] = {

@@ -22,8 +22,9 @@ CONFIGS = [
 
 def _sweep(spark, sf_dir):
     folder = shared_folder(spark)
-    spark.createDataFrame([(json.dumps(c),) for c in CONFIGS], "line string").repartition(2).write.text(f"{folder}/configs")
-    runs = tables.runs(tables.config(spark, f"{folder}/configs"))
+    for c in CONFIGS:  # a file for each: of several in one file only the first is read
+        spark.createDataFrame([(json.dumps(c),)], "line string").coalesce(1).write.text(f"{folder}/configs/{c['experiment_group']}")
+    runs = tables.runs(tables.config(spark, f"{folder}/configs/*"))
     by = Window.partitionBy("l_linestatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     y = F.expr(f"CASE l_returnflag {' '.join(f"WHEN '{c}' THEN {n}" for c, n in CLASSES.items())} END")
     data = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("dataset"), (F.row_number().over(by) - 1).alias("seq"), y.alias("y"), F.col("l_quantity").alias("quantity"))

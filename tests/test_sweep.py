@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.operators import drift, prequential, sweep
+from lodestream.plans import experiments
 from lodestream.sources import generators, tables
 
 SETTINGS = {"experiment_group": "g", "datasets": ["s0", "s1"], "seeds": [1, 2], "warmup": 50, "log_every": 300, "max_instances": 700}
@@ -54,3 +55,17 @@ def test_unknown_names_are_errors(spark, data, tmp_path):
     odd = runs(spark, tmp_path, model_variants=[VARIANTS[0] | {"model": "ORACLE"}])
     with pytest.raises(ValueError, match="ORACLE"):
         sweep.results(data, odd, ["x0", "x1"], 2)
+
+
+def test_random_predictions_of_long_runs(spark):
+    """Positions and seeds whose multiples are beyond 32 bits."""
+    rows = spark.createDataFrame([(300_000, 3), (2_000_000_000, 30_000)], "seq int, seed int")
+    got = {r.seq: r.p for r in sweep.MODELS["RANDOM"](rows, [], 3).collect()}
+    assert got == {q: (q * 7919 + s * 104729) % 1000003 % 3 for q, s in ((300_000, 3), (2_000_000_000, 30_000))}
+
+
+@pytest.mark.parametrize("cores", [2, 5, 12])
+def test_every_configuration_is_read_under_any_parallelism(spark, monkeypatch, cores):
+    monkeypatch.setattr(type(spark.sparkContext), "defaultParallelism", property(lambda _: cores))
+    _, found, _ = experiments._sweep(spark, "/root/testdata/sf0.001")
+    assert {r.experiment_group: r["count"] for r in found.groupBy("experiment_group").count().collect()} == {"short": 8, "whole": 6}

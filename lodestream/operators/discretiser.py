@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import ranking
 
 KEY = ["run", "update", "feature"]
@@ -23,7 +24,8 @@ def sessions(long: DataFrame, resets: DataFrame | None = None) -> DataFrame:
 
     long: run, update, feature; resets: run, update, feature, those after whose update a feature begins afresh.
     """
-    grid = long.select("run", "feature").distinct().join(long.select("run", "update").distinct(), "run").select(*KEY)
+    seen = stored(long.select(*KEY).distinct(), "seen")
+    grid = seen.select("run", "feature").distinct().join(seen.select("run", "update").distinct(), "run").select(*KEY)
     if resets is None:
         grid = grid.withColumn("_reset", F.lit(0))
     else:
@@ -34,21 +36,29 @@ def sessions(long: DataFrame, resets: DataFrame | None = None) -> DataFrame:
     return grid.select(*KEY, "session", (F.col("update") - began).alias("age"))
 
 
-def gathered(long: DataFrame, bins: int = 100, warm_up: int = 1, resets: DataFrame | None = None, margin: float = 0.05) -> DataFrame:
+def gathered(long: DataFrame, bins: int = 100, warm_up: int = 1, resets: DataFrame | None = None, margin: float = 0.05, tasks: int | None = None) -> DataFrame:
     """run, update, feature, session, low, high, bin, cls, n: the first-layer counts gathered up to the end of each update.
 
-    long: run, update, feature, value, cls. The updates of a warm-up before its last give no rows: the feature is not ready.
+    long: run, update, feature, value, cls. The updates of a warm-up before its last give no rows: the feature is not ready. tasks: what
+    long is dealt into by run, if it is; what it meets is then dealt likewise, and its rows stay where they are.
     """
-    own = sessions(long, resets)
-    rows = long.join(own, KEY)
-    ranges = ranking.ranges(rows.where(F.col("age") < warm_up), "run", "session", margin=margin)
-    counts = ranking.histogram(rows, ranges, bins, "run", "session", "update")
-    cells = counts.select("run", "session", "feature", "bin", "cls").distinct().join(own, ["run", "session", "feature"])
-    whole = [*KEY, "session", "bin", "cls"]
-    upto = Window.partitionBy("run", "session", "feature", "bin", "cls").orderBy("update").rowsBetween(Window.unboundedPreceding, 0)
-    df = cells.join(counts, whole, "left").withColumn("n", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    df = df.where((F.col("n") > 0) & (F.col("age") >= warm_up - 1))
-    return df.join(ranges, ["run", "session", "feature"]).select(*KEY, "session", "low", "high", "bin", "cls", "n")
+    place = Window.partitionBy("run", "feature")
+    own = sessions(long, resets).withColumn("_at", F.row_number().over(place.orderBy("update")))
+    own = stored(own.withColumn("_last", F.max("_at").over(Window.partitionBy("run", "feature", "session"))), "sessions")
+    own = own if tasks is None else own.repartition(tasks, "run")
+    of = Window.partitionBy("run", "feature", "session")
+    early = F.when(F.col("age") < warm_up, F.col("value"))
+    rows = long.join(own, KEY).withColumns({"_any": F.max((F.col("age") < warm_up).cast("int")).over(of), "_a": F.min(early).over(of), "_b": F.max(early).over(of)}).where("_any = 1")
+    low, high = ranking.widened(F.col("_a"), F.col("_b"), margin)
+    rows = rows.withColumns({"low": low, "high": high})
+    binned = rows.select("run", "feature", "session", "low", "high", "_at", "_last", ranking.layer1_bin(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin"), "cls")
+    counts = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n"))
+    cell = Window.partitionBy("run", "feature", "session", "bin", "cls").orderBy("_at")
+    # a sum stands until the update before the cell's next one
+    upto = {"n": F.sum("n").over(cell.rowsBetween(Window.unboundedPreceding, 0)), "_until": F.coalesce(F.lead("_at").over(cell) - 1, "_last")}
+    standing = counts.withColumns(upto).withColumn("_at", F.explode(F.sequence("_at", "_until")))
+    ready = own.where(F.col("age") >= warm_up - 1).select("run", "feature", "_at", "update")
+    return standing.join(ready, ["run", "feature", "_at"]).select(*KEY, "session", "low", "high", "bin", "cls", "n")
 
 
 def merged(counts: DataFrame, bins: int, groups: int, classes: int | None = None) -> DataFrame:

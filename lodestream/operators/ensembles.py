@@ -25,7 +25,10 @@ import hashlib
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +45,79 @@ def blocks(stream: DataFrame, size: int) -> DataFrame:
 
 
 def _long(blocked: DataFrame, features: Sequence[str]) -> DataFrame:
-    wide = blocked.select("run", "block", "y", *[F.col(f).cast("double").alias(f) for f in features])
-    return wide.unpivot(["run", "block", "y"], list(features), "feature", "value")
+    return ranking.unpivoted(blocked, features, "run", "block", "y")
+
+
+def block_distances(blocked: DataFrame, features: Sequence[str]) -> DataFrame:
+    """run, block, feature, n0, n1, ks: the greatest difference of a block's distribution function from that of the block before.
+
+    A window by run brings each run into one task, in the order of its blocks; a task holds two blocks at a time. A NULL is a value below all others.
+    """
+    names = [f"_x{i}" for i in range(len(features))]
+    order = F.row_number().over(Window.partitionBy("run").orderBy("block")).alias("_i")
+    rows = blocked.select("run", "block", order, *[F.col(f).cast("double").alias(x) for f, x in zip(features, names)]).sortWithinPartitions("run", "block")
+    kinds = ", ".join(f"{c} {blocked.schema[c].dataType.simpleString()}" for c in ("run", "block"))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _distances(batches, list(features), names)
+
+    return rows.mapInArrow(of, f"{kinds}, feature string, n0 long, n1 long, ks double")
+
+
+def _sample(parts: list[pa.RecordBatch], name: str) -> tuple[int, int, np.ndarray]:
+    """Number of rows, of NULLs, and the other values in order."""
+    column = pa.chunked_array([p.column(name) for p in parts])
+    return len(column), column.null_count, np.sort(column.drop_null().to_numpy())
+
+
+def _ks(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
+    (n0, nulls0, x), (n1, nulls1, y) = a, b
+    at = np.concatenate([x, y])
+    gaps = np.abs((nulls0 + np.searchsorted(x, at, "right")) / n0 - (nulls1 + np.searchsorted(y, at, "right")) / n1)
+    return float(max(gaps.max(initial=0.0), abs(nulls0 / n0 - nulls1 / n1)))
+
+
+def _distances(batches: Iterator[pa.RecordBatch], features: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows come by run and block."""
+    parts: list[pa.RecordBatch] = []
+    before, key, columns, found = None, None, None, []
+
+    def ended() -> None:
+        nonlocal before
+        run, block = key
+        own = [_sample(parts, x) for x in names]
+        if before is not None and before[0] == run and before[1] + 1 == block:
+            found.extend((run, block, f, a[0], b[0], _ks(a, b)) for f, a, b in zip(features, before[2], own))
+        before = (run, block, own)
+
+    def made() -> pa.RecordBatch:
+        run, block, feature, n0, n1, ks = zip(*found)
+        return pa.RecordBatch.from_arrays([pa.array(run, columns[0]), pa.array(block, columns[1]), pa.array(feature), pa.array(n0, pa.int64()), pa.array(n1, pa.int64()), pa.array(ks)], names=["run", "block", "feature", "n0", "n1", "ks"])
+
+    for batch in batches:
+        columns = (batch.schema.field("run").type, batch.schema.field("block").type)
+        runs, blocks_ = batch.column("run"), batch.column("block")
+        ends = pc.or_(pc.not_equal(runs[1:], runs[:-1]), pc.not_equal(blocks_[1:], blocks_[:-1])).to_numpy(zero_copy_only=False) if len(batch) > 1 else np.zeros(0, bool)
+        starts = [0, *(np.flatnonzero(ends) + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(starts, starts[1:]):
+            own = (runs[a].as_py(), blocks_[a].as_py())
+            if parts and own != key:
+                ended()
+                parts = []
+            key = own
+            parts.append(batch.slice(a, b - a))
+        if found:
+            yield made()
+            found = []
+    if parts:
+        ended()
+        if found:
+            yield made()
 
 
 def block_drift(blocked: DataFrame, features: Sequence[str], q: float = 0.05) -> DataFrame:
     """run, block, feature, ks, p, drift: each block after a run's first against the one before."""
-    rows = _long(blocked, features).select("run", "block", "feature", "value")
-    # a row is the sample after in its own block's test, and the sample before in the next one's
-    sides = rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("block", F.col("block") + 1 - F.col("side"))
-    d = drift.distance(sides, "run", "block", "feature").where("n0 > 0 and n1 > 0")
+    d = block_distances(blocked, features)
     tests = d.select("run", "block", "feature", "ks", drift.p_value(F.col("ks"), F.col("n0").cast("double"), F.col("n1").cast("double")).alias("p"))
     mine = Window.partitionBy("run", "block")
     tests = tests.withColumn("_r", F.row_number().over(mine.orderBy(F.round("p", 9), "feature"))).withColumn("_m", F.count(F.lit(1)).over(mine))
@@ -61,8 +127,7 @@ def block_drift(blocked: DataFrame, features: Sequence[str], q: float = 0.05) ->
 
 def block_scores(blocked: DataFrame, features: Sequence[str], bins: int = 10, score: str = "chi2") -> DataFrame:
     """run, block, feature, score (to nine digits): each block by itself, binned over the span of its run's first block."""
-    long = ranking.long_form(blocked, list(features), "y", "run", "block")
-    counts = ranking.histogram(long, ranking.ranges(long.where("block = 0"), "run"), bins, "run", "block")
+    counts = ranking.own_histogram(blocked, features, "y", F.col("block") == 0, bins, "block")
     return ranking.scores(counts, "run", "block").select("run", "block", "feature", F.round(score, 9).alias("score"))
 
 

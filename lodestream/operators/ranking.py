@@ -6,6 +6,8 @@ class, whatever the number of instances, and is made by one partial aggregation.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,16 +15,27 @@ from pyspark.sql import functions as F
 
 
 def long_form(df: DataFrame, features: list[str], cls: str, *keep: str) -> DataFrame:
-    wide = df.select(F.col(cls).alias("cls"), *keep, *[F.col(f).cast("double").alias(f) for f in features])
-    return wide.unpivot(["cls", *keep], features, "feature", "value")
+    return unpivoted(df, features, F.col(cls).alias("cls"), *keep)
+
+
+def unpivoted(df: DataFrame, features: Sequence[str], *keep: str | Column) -> DataFrame:
+    """keep, feature, value (double): a row for each feature; rows stay in their partitions, of which Spark's unpivot forgets the key."""
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    return df.select(*keep, F.explode(cells).alias("_cell")).select("*", "_cell.feature", "_cell.value").drop("_cell")
 
 
 def ranges(warm_up: DataFrame, *by: str, margin: float = 0.05) -> DataFrame:
     """by, feature, low, high: least and greatest value of the warm-up rows, widened by a margin of the span at each end."""
     found = warm_up.groupBy(*by, "feature").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    span = F.col("b") - F.col("a")
+    low, high = widened(F.col("a"), F.col("b"), margin)
+    return found.select(*by, "feature", low.alias("low"), high.alias("high"))
+
+
+def widened(a: Column, b: Column, margin: float) -> tuple[Column, Column]:
+    """The ends a and b, apart by a margin of the span more at each end; a unit where they are equal."""
+    span = b - a
     constant = span == 0
-    return found.select(*by, "feature", F.when(constant, F.col("a")).otherwise(F.col("a") - margin * span).alias("low"), F.when(constant, F.col("a") + 1).otherwise(F.col("b") + margin * span).alias("high"))
+    return F.when(constant, a).otherwise(a - margin * span), F.when(constant, a + 1).otherwise(b + margin * span)
 
 
 def layer1_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
@@ -39,6 +52,28 @@ def histogram(instances: DataFrame, found: DataFrame, bins: int = 100, *by: str)
     return binned.groupBy(*by, "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+def own_histogram(rows: DataFrame, features: Sequence[str], cls: str, first: Column, bins: int, *by: str, margin: float = 0.05) -> DataFrame:
+    """run, by, feature, bin, cls, n: rows (run, cls, by and the features) binned over the span of those rows of their own run that are `first`.
+
+    As `histogram` and `ranges` by run give it, in one pass: the spans are a window over the run, and rows become cells only when they
+    have their bins. Runs without a first row give nothing.
+    """
+    own = Window.partitionBy("run")
+    df = rows.select("run", F.col(cls).alias("cls"), *by, first.alias("_first"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    ends = {"_any": F.max(F.col("_first").cast("int")).over(own)}
+    for i in range(len(features)):
+        x = F.when(F.col("_first"), F.col(f"_x{i}"))
+        ends |= {f"_a{i}": F.min(x).over(own), f"_b{i}": F.max(x).over(own)}
+    df = df.withColumns(ends).where("_any = 1")
+
+    def bin_of(i: int) -> Column:
+        return layer1_bin(F.col(f"_x{i}"), *widened(F.col(f"_a{i}"), F.col(f"_b{i}"), margin), bins)
+
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(i).alias("bin")) for i, f in enumerate(features)])
+    each = df.select("run", *by, "cls", F.explode(cells).alias("_cell")).select("run", *by, "_cell.feature", "_cell.bin", "cls")
+    return each.groupBy("run", *by, "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merged_bins(counts: DataFrame, bins: int, groups: int, *by: str, classes: int | None = None) -> DataFrame:
     """by, feature, bin, to: neighbouring bins merged, the pair of least weighted class distance first, until `groups` are left.
 

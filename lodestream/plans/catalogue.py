@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import adaptive, bars, drift, hourly, learners, prequential, ranking, significance, survey, trees
+from ..session import keyed
 from ..sources import arff
 from ..sources.tables import table
 from ..streaming import live
@@ -532,7 +533,7 @@ near AS (SELECT l.*, a."at", (l.i >= a."at")::INT AS side FROM long l JOIN al a
 
 def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), F.row_number().over(w).alias("i"), "l_returnflag", *FEATURES)
+    rows = keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), F.row_number().over(w).alias("i"), "l_returnflag", *FEATURES)
     return ranking.long_form(rows, FEATURES, "l_returnflag", "run", "i"), rows.where("i % 200 = 0").select("run", F.col("i").alias("at"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, drift, learners
 from ..sources.tables import table
-from ..session import shared_folder
+from ..session import keyed, shared_folder
 from ..streaming import live, measured
 from .catalogue import CLASSES, FIRST_ROWS, TYPES, _bayes_sql, _numbered, query, rounded
 from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
@@ -29,7 +29,7 @@ def _errors(spark, sf_dir):
     """Errors of predicting each supplier's return flag by the one before; the first row counts as one."""
     by = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     wrong = F.coalesce((F.lag("l_returnflag").over(by) != F.col("l_returnflag")).cast("double"), F.lit(1.0))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), F.row_number().over(by).alias("i"), wrong.alias("error"))
+    return keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), F.row_number().over(by).alias("i"), wrong.alias("error"))
 
 
 def _alarms(spark, sf_dir):
@@ -114,7 +114,7 @@ def naive_bayes_restarted(spark, sf_dir):
     order = ["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag"]
     i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order))
     y = F.expr(f"CASE l_returnflag {' '.join(f"WHEN '{c}' THEN {n}" for c, n in CLASSES.items())} END")
-    stream = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), i.alias("seq"), y.alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
+    stream = keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), i.alias("seq"), y.alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"))
     p = learners.naive_bayes(stream, ["quantity", "discount"], 3, F.col("seq") % 100 == 0)
     return p.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p") == F.col("y")).alias("hits"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, clock, codes
 from ..operators import discretiser, ensembles, learners, prequential, ranking, significance
-from ..session import shared_folder, stored
+from ..session import keyed, shared_folder, stored, tasks_of
 from ..sources import arff, tables
 from ..sources.tables import table
 from .catalogue import FEATURES, LONG, MEANS, MERGE_COST, RANKED, SCORED, _scored, query, rounded
@@ -19,7 +19,7 @@ ORDERED = "n AS (SELECT l_suppkey AS run, row_number() OVER (PARTITION BY l_supp
 def _stream(spark, sf_dir):
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     y = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), F.col("l_returnflag").alias("cls"), *FEATURES)
+    return keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), F.col("l_returnflag").alias("cls"), *FEATURES)
 
 
 @query("SELECT n_nationkey::VARCHAR AS key, upper(n_name) AS name, n_regionkey::VARCHAR AS region FROM nation")
@@ -75,8 +75,7 @@ SELECTED = f"""{ORDERED}, {LONG.replace("FROM lineitem", "FROM n").replace("l_re
 def _selected(spark, sf_dir):
     """run, period, selected: the two best features of every 200 rows of each supplier, by chi-squared, binned over the first of them."""
     stream = _stream(spark, sf_dir).withColumn("period", F.floor(F.col("seq") / BLOCK))
-    long = ranking.long_form(stream, FEATURES, "cls", "run", "period")
-    counts = ranking.histogram(long, ranking.ranges(long.where("period = 0"), "run"), 10, "run", "period")
+    counts = ranking.own_histogram(stream, FEATURES, "cls", F.col("period") == 0, 10, "period")
     best = ranking.top(ranking.scores(counts, "run", "period"), "chi2", 2, "run", "period")
     return best.groupBy("run", "period").agg(F.sort_array(F.collect_set("feature")).alias("selected"))
 
@@ -172,7 +171,7 @@ def _surgery_sql(fired: str = "true") -> str:
 def _wide(spark, sf_dir):
     order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     y = F.expr("CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), *WIDE)
+    return keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), (F.row_number().over(order) - 1).alias("seq"), y.alias("y"), *WIDE)
 
 
 def _surgery(spark, sf_dir, alarms=None):
@@ -214,7 +213,7 @@ def _gathered(spark, sf_dir):
     resets = ensembles.block_drift(blocked, WIDE, 0.3).where("drift").withColumnRenamed("block", "update")
     named = blocked.withColumn("cls", F.element_at(F.array(*map(F.lit, "ANR")), (F.col("y") + 1).cast("int")))
     long = ranking.long_form(named.withColumnRenamed("block", "update"), WIDE, "cls", "run", "update")
-    return stored(discretiser.gathered(long, 12, 1, resets), "gathered")
+    return stored(discretiser.gathered(long, 12, 1, resets, tasks=tasks_of(table(spark, sf_dir, "lineitem"))), "gathered")
 
 
 @query(f"WITH {GATHERED} SELECT run, block AS update, feature, session, count(*) AS n_cells, sum(n)::BIGINT AS n_rows, sum(n * bin)::BIGINT AS weighted FROM ga GROUP BY ALL")

@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
 }
 
+ROWS_PER_TASK = 100_000
+
 
 def local_session(cores: int = 8, app: str = "lodestream", **extra: str) -> SparkSession:
     """A local session for tests and the benchmark; on a cluster the submitter sets these."""
@@ -49,6 +51,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_of(df: DataFrame) -> int | None:
+    """How many tasks of some ROWS_PER_TASK rows a scan gives, counted from its files' footers; None where the cores suffice."""
+    tasks = -(-df.count() // ROWS_PER_TASK)
+    return tasks if tasks > df.sparkSession.sparkContext.defaultParallelism else None
+
+
+def keyed(df: DataFrame, key: str) -> DataFrame:
+    """A scan dealt by key, so that a task's memory does not grow with the input; as it is where the cores suffice.
+
+    What is grouped or ordered by the key and more columns afterwards stays in its task without another shuffle.
+    """
+    tasks = tasks_of(df)
+    return df if tasks is None else df.repartition(tasks, key)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Hint a broadcast of df, a stored table, where it has at most max_rows rows; beyond that joins shuffle both sides."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

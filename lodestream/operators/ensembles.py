@@ -14,9 +14,9 @@ samples, one false discovery rate for a run's block), and each learner is dealt
 
 With `alarms` learners are touched only after blocks in which an error detector fired.
 
-Nothing is learned row by row: a block's counts, sums and squares by feature and class come from one aggregation,
-and a learner's state is their sum since the feature came. Only a block's scores, one row, reach the fold that keeps the subspaces. States are a row for a run's block; rows meet them by a
-join and are scored in native expressions.
+Nothing is learned row by row: a block's counts, sums and squares by feature and class are matrix products, and what a learner
+knows is their sum since the feature came. Rows are dealt by run and read block by block in Arrow batches; a task holds one block and one
+run's sums. Only a block's scores, one row, reach the fold that keeps the subspaces.
 """
 
 from __future__ import annotations
@@ -32,10 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import drift, ranking
+from . import drift, folds, ranking
 
-#: The pseudo-feature whose counts are a learner's class counts; it starts afresh with full refreshes alone.
-PRIOR = ""
 ACTIONS = ("KEEP", "SURGICAL", "NO_REPLACEMENT", "FULL")
 
 
@@ -59,14 +57,13 @@ def block_distances(blocked: DataFrame, features: Sequence[str]) -> DataFrame:
     kinds = ", ".join(f"{c} {blocked.schema[c].dataType.simpleString()}" for c in ("run", "block"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _distances(batches, list(features), names)
+        return folds.batched(_distances(batches, list(features), names))
 
     return rows.mapInArrow(of, f"{kinds}, feature string, n0 long, n1 long, ks double")
 
 
-def _sample(parts: list[pa.RecordBatch], name: str) -> tuple[int, int, np.ndarray]:
+def _sample(column: pa.ChunkedArray) -> tuple[int, int, np.ndarray]:
     """Number of rows, of NULLs, and the other values in order."""
-    column = pa.chunked_array([p.column(name) for p in parts])
     return len(column), column.null_count, np.sort(column.drop_null().to_numpy())
 
 
@@ -77,43 +74,17 @@ def _ks(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float
     return float(max(gaps.max(initial=0.0), abs(nulls0 / n0 - nulls1 / n1)))
 
 
-def _distances(batches: Iterator[pa.RecordBatch], features: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _distances(batches: Iterator[pa.RecordBatch], features: list[str], names: list[str]) -> Iterator[pa.Table]:
     """Rows come by run and block."""
-    parts: list[pa.RecordBatch] = []
-    before, key, columns, found = None, None, None, []
-
-    def ended() -> None:
-        nonlocal before
-        run, block = key
-        own = [_sample(parts, x) for x in names]
+    before = None
+    for (run, block), rows in folds.blocks(batches):
+        own = [_sample(rows.column(x)) for x in names]
         if before is not None and before[0] == run and before[1] + 1 == block:
-            found.extend((run, block, f, a[0], b[0], _ks(a, b)) for f, a, b in zip(features, before[2], own))
+            n0, n1, ks = zip(*[(a[0], b[0], _ks(a, b)) for a, b in zip(before[2], own)])
+            of = pa.array([0] * len(features))
+            yield pa.table({"run": rows.column("run").take(of), "block": rows.column("block").take(of), "feature": features, "n0": pa.array(n0, pa.int64()), "n1": pa.array(n1, pa.int64()), "ks": pa.array(ks)})
         before = (run, block, own)
 
-    def made() -> pa.RecordBatch:
-        run, block, feature, n0, n1, ks = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(run, columns[0]), pa.array(block, columns[1]), pa.array(feature), pa.array(n0, pa.int64()), pa.array(n1, pa.int64()), pa.array(ks)], names=["run", "block", "feature", "n0", "n1", "ks"])
-
-    for batch in batches:
-        columns = (batch.schema.field("run").type, batch.schema.field("block").type)
-        runs, blocks_ = batch.column("run"), batch.column("block")
-        ends = pc.or_(pc.not_equal(runs[1:], runs[:-1]), pc.not_equal(blocks_[1:], blocks_[:-1])).to_numpy(zero_copy_only=False) if len(batch) > 1 else np.zeros(0, bool)
-        starts = [0, *(np.flatnonzero(ends) + 1).tolist(), len(batch)] if len(batch) else []
-        for a, b in zip(starts, starts[1:]):
-            own = (runs[a].as_py(), blocks_[a].as_py())
-            if parts and own != key:
-                ended()
-                parts = []
-            key = own
-            parts.append(batch.slice(a, b - a))
-        if found:
-            yield made()
-            found = []
-    if parts:
-        ended()
-        if found:
-            yield made()
-
 
 def block_drift(blocked: DataFrame, features: Sequence[str], q: float = 0.05) -> DataFrame:
     """run, block, feature, ks, p, drift: each block after a run's first against the one before."""
@@ -213,62 +184,86 @@ def action_summary(actions: DataFrame) -> DataFrame:
     return actions.groupBy("run", "action").agg(F.count(F.lit(1)).alias("n_learners"), F.sum(F.size("fresh")).alias("n_features"))
 
 
-def _states(blocked: DataFrame, features: Sequence[str], classes: int, spaces: DataFrame, eps: float) -> DataFrame:
-    """run, block, learners: what is known after the block, an array with each learner's weight and its classes' terms."""
-    moments = _long(blocked, features).unionByName(blocked.select("run", "block", "y", F.lit(PRIOR).alias("feature"), F.lit(0.0).alias("value")))
-    moments = moments.groupBy("run", "block", "feature", F.col("y").alias("cls")).agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
-    whole = F.col("action") == "FULL"
-    own = F.concat(F.transform("features", lambda f: F.struct(f.alias("feature"), F.array_contains("fresh", f).cast("int").alias("reset"))), F.array(F.struct(F.lit(PRIOR).alias("feature"), whole.cast("int").alias("reset"))))
-    grid = spaces.select("run", "block", "learner", F.explode(own).alias("x")).select("run", "block", "learner", "x.feature", "x.reset")
-    grid = grid.withColumn("cls", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
-    df = grid.join(moments, ["run", "block", "feature", "cls"], "left")
-    of = Window.partitionBy("run", "learner", "feature", "cls").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_session", F.sum("reset").over(of))
-    since = Window.partitionBy("run", "learner", "feature", "cls", "_session").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({c: F.coalesce(F.sum(c).over(since), F.lit(0)) for c in ("n", "s", "q")})
-    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)
-    variance = F.when(F.col("n") > 0, F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)) + eps).otherwise(1.0)
-    term = F.struct("feature", F.col("n"), mean.alias("mean"), variance.alias("variance"))
-    by_class = df.groupBy("run", "block", "learner", "cls").agg(F.collect_list(F.when(F.col("feature") != PRIOR, term)).alias("terms"), F.max(F.when(F.col("feature") == PRIOR, F.col("n"))).alias("n"))
-    # a learner's weight: the mean share of its features' variance that lies between classes
-    whole = df.where(F.col("feature") != PRIOR).groupBy("run", "block", "learner", "feature").agg(
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.when(F.col("n") > 0, F.col("s") * F.col("s") / F.col("n"))).alias("between")
-    )
-    centre = F.col("s") * F.col("s") / F.col("n")
-    share = F.when(F.col("q") - centre > 0, (F.col("between") - centre) / (F.col("q") - centre)).otherwise(0.0)
-    weights = whole.groupBy("run", "block", "learner").agg(F.round(F.avg(F.greatest(share, F.lit(0.0))), 9).alias("weight"))
-    learners = by_class.groupBy("run", "block", "learner").agg(F.collect_list(F.struct("cls", "n", "terms")).alias("classes")).join(weights, ["run", "block", "learner"])
-    return learners.groupBy("run", "block").agg(F.sort_array(F.collect_list(F.struct("learner", "weight", "classes"))).alias("learners"))
-
-
-def drift_aware(stream: DataFrame, features: Sequence[str], classes: int, size: int, spaces: DataFrame, eps: float = 1e-3) -> DataFrame:
+class Learned:
+    """What a run's learners know: counts, sums and squares by learner, class and feature, of the features each has in its subspace."""
+
+    def __init__(self, learners: Sequence[int], features: Sequence[str], classes: int, eps: float) -> None:
+        self.at, self.of, self.classes, self.eps = {x: i for i, x in enumerate(learners)}, {f: i for i, f in enumerate(features)}, classes, eps
+        self.moments = np.zeros((3, len(self.at), classes, len(self.of)))
+        self.prior = np.zeros((len(self.at), classes))
+        self.has = np.zeros((len(self.at), len(self.of)), bool)
+
+    def learn(self, spaces: list[dict], y: np.ndarray, x: np.ndarray, there: np.ndarray) -> None:
+        """The subspaces change, then the block's rows teach them."""
+        for s in spaces:
+            i = self.at[s["learner"]]
+            self.moments[:, i, :, [self.of[f] for f in s["fresh"]]] = 0
+            if s["action"] == "FULL":
+                self.prior[i] = 0
+            self.has[i] = False
+            self.has[i, [self.of[f] for f in s["features"]]] = True
+        told = np.equal.outer(np.arange(self.classes), y).astype(float)
+        self.moments += np.stack([told @ there, told @ x, told @ (x * x)])[:, None] * self.has[None, :, None]
+        self.prior += told.sum(axis=1)
+
+    def weights(self) -> np.ndarray:
+        """Of each learner: the mean share of its features' variance that lies between classes."""
+        n, s, q = self.moments
+        with np.errstate(divide="ignore", invalid="ignore"):
+            between = np.where(n > 0, s * s / n, 0.0).sum(axis=1)
+            n, s, q = (m.sum(axis=1) for m in (n, s, q))
+            centre = np.where(n > 0, s * s / n, 0.0)
+            share = np.where(q - centre > 0, (between - centre) / (q - centre), 0.0)
+        return np.round((np.maximum(share, 0.0) * self.has).sum(axis=1) / np.maximum(self.has.sum(axis=1), 1), 9)
+
+    def predict(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
+        n, s, q = self.moments
+        some = np.maximum(n, 1.0)
+        mean = s / some
+        variance = np.where(n > 0, np.maximum(q / some - mean * mean, 0.0) + self.eps, 1.0)
+        gap = x[:, None, None, :] - mean
+        density = (-0.5 * np.log(variance) - gap * gap / (2 * variance)) * (self.has[:, None, :] & there[:, None, None, :])
+        winner = np.round(np.log(self.prior + 1.0) + density.sum(axis=-1), 9).argmax(axis=-1)
+        weights = self.weights()
+        weights = np.ones(len(weights)) if weights.sum() == 0 else weights
+        return np.round((np.equal.outer(np.arange(self.classes), winner) * weights).sum(axis=-1), 9).argmax(axis=0)
+
+
+def drift_aware(stream: DataFrame, features: Sequence[str], classes: int, size: int, spaces: DataFrame, eps: float = 1e-3, tasks: int | None = None) -> DataFrame:
     """run, seq, y, p and block of every row; rows of a run's first block are predicted as class 0.
 
     spaces: what `surgery` makes of the stream in blocks of this size. Ties of classes and of votes go to the lowest class; NULL features
-    count nothing.
+    count nothing. A task reads its runs in the order of their blocks, each followed by its subspaces, and holds one block and what one run's
+    learners know. tasks: what the rows are dealt into by run, where given.
     """
-    blocked = blocks(stream, size)
-    states = _states(blocked, features, classes, spaces, eps).withColumn("block", F.col("block") + 1)
-    df = blocked.join(states, ["run", "block"], "left").withColumn("_x", F.create_map(*[part for f in features for part in (F.lit(f), F.col(f).cast("double"))]))
-
-    def log_density(t: Column) -> Column:
-        x = F.element_at("_x", t["feature"])
-        return F.coalesce(-0.5 * F.ln(t["variance"]) - (x - t["mean"]) * (x - t["mean"]) / (2 * t["variance"]), F.lit(0.0))
-
-    def winner(learner: Column) -> Column:
-        scored = F.transform(learner["classes"], lambda c: F.struct(F.round(F.aggregate(c["terms"], F.ln(c["n"] + 1.0), lambda a, t: a + log_density(t)), 9).alias("score"), (-c["cls"]).alias("cls")))
-        return -F.array_max(scored)["cls"]
-
-    df = df.withColumn("_votes", F.transform("learners", lambda x: F.struct(winner(x).alias("cls"), x["weight"].alias("weight"))))
-    total = F.aggregate("_votes", F.lit(0.0), lambda a, v: a + v["weight"])
-    df = df.withColumn("_even", total == 0)
+    names = [f"_x{i}" for i in range(len(features))]
+    rows = blocks(stream, size).select("run", "seq", "y", "block", *[F.col(f).cast("double").alias(x) for f, x in zip(features, names)])
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("run", "seq", "y", "block")}
+    known = spaces.select("run", F.col("block").cast(kinds["block"]).alias("block"), F.struct("learner", "action", "features", "fresh").alias("space"))
+    both = rows.unionByName(known, allowMissingColumns=True)
+    both = both.repartition("run") if tasks is None else both.repartition(tasks, "run")
+
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        run, learned, last = None, None, None
+        for (own, block), piece in folds.blocks(batches):
+            if learned is None or own != run:
+                run, learned, last = own, None, None
+            told = piece.column("space").is_valid()
+            found, data = piece.column("space").filter(told).to_pylist(), piece.filter(pc.invert(told))
+            x, there = folds.matrix(data, names)
+            # NULL labels count for no class
+            y = data.column("y").cast(pa.float64()).fill_null(-1.0).to_numpy()
+            p = learned.predict(x, there) if learned is not None and last == block - 1 else np.zeros(len(y), np.int64)
+            yield data.select(["run", "seq", "y"]).append_column("p", pa.array(p, pa.int32())).append_column("block", data.column("block"))
+            if found:
+                learned = learned or Learned(sorted(s["learner"] for s in found), features, classes, eps)
+                learned.learn(found, y, x, there)
+                last = block
 
-    def tally(c: Column) -> Column:
-        return F.aggregate("_votes", F.lit(0.0), lambda a, v: a + F.when(v["cls"] == c, F.when(F.col("_even"), 1.0).otherwise(v["weight"])).otherwise(0.0))
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return folds.batched(predicted(batches))
 
-    votes = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda c: F.struct(F.round(tally(c), 9).alias("votes"), (-c).alias("cls")))
-    best = -F.array_max(votes)["cls"]
-    return df.select("run", "seq", "y", F.coalesce(best, F.lit(0)).alias("p"), "block")
+    return both.sortWithinPartitions("run", "block").mapInArrow(of, f"run {kinds['run']}, seq {kinds['seq']}, y {kinds['y']}, p int, block {kinds['block']}")
 
 
 def random_subspaces(spark, features: Sequence[str], learners: int, share: float = 0.6, seed: int = 1, avoid: Sequence[str] = ()) -> DataFrame:

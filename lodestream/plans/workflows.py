@@ -195,7 +195,7 @@ def action_summary(spark, sf_dir):
 def ensemble_run(spark, sf_dir):
     """From stream to metrics: the drift-aware ensemble on every supplier's line items, tested then trained; a row a supplier."""
     spaces = stored(_surgery(spark, sf_dir), "subspaces")
-    predicted = ensembles.drift_aware(_wide(spark, sf_dir), WIDE, 3, SIZE, spaces)
+    predicted = ensembles.drift_aware(_wide(spark, sf_dir), WIDE, 3, SIZE, spaces, tasks=tasks_of(table(spark, sf_dir, "lineitem")))
     return rounded(prequential.snapshot(predicted.select("run", "seq", "y", "p"), 3))
 
 

@@ -204,3 +204,15 @@ def test_cleaning(spark):
 def test_files_are_found_in_any_case(spark, tmp_path):
     (tmp_path / "Trips.CSV").write_text("A\n1\n")
     assert tables.find_file(spark, str(tmp_path), "trips.csv").endswith("/Trips.CSV") and tables.find_file(spark, str(tmp_path), "none") is None
+
+
+def test_rows_and_subspaces_meet_in_one_shuffle(spark, stream):
+    """The states are no rows of a join, and a feature without values tells nothing (it was divided by its count of none)."""
+    rows = stream.select("run", "seq", "y", "x0", "x1", F.lit(None).cast("double").alias("x2"))
+    kept = spark.createDataFrame([(0, b, l, "KEEP", f, f if b == 0 else []) for b in range(16) for l, f in enumerate((["x0", "x1", "x2"], ["x2"]))], "run int, block long, learner int, action string, features array<string>, fresh array<string>")
+    spaces = kept.unionByName(kept.withColumn("run", F.lit(1)))
+    out = ensembles.drift_aware(rows, FEATURES, 2, 100, spaces)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.run, r.seq): r.p for r in out.collect()}
+    two = ensembles.drift_aware(rows.drop("x2"), ["x0", "x1"], 2, 100, spaces.where("learner = 0").withColumns({c: F.array_remove(c, "x2") for c in ("features", "fresh")}))
+    assert len(got) == 3200 and got == {(r.run, r.seq): r.p for r in two.collect()}

@@ -12,9 +12,12 @@ of candidates grows with the number of rows, not with the square of a group. The
 spreads over tasks; where it does, the few rows at the tasks' borders are paired in the same way. Candidates are pruned by
 the whole fingerprints' distance and verified by their shingle sets.
 
-Recall of single pairs, measured (texts of 60 to 800 random words, also where six tenths of the words are one passage
-common to all): 0.98 at coefficients of 0.80 to 0.85, 0.99 and more above; members of a group are also found through each
-other. There are no false links.
+That finds 0.98 of single pairs at coefficients of 0.80 to 0.85 and 0.99 above (texts of 60 to 800 random words). The rest is found
+by an exact search: of two texts at a coefficient of at least c, in any order of all shingles the first n - ceil(c n) + 1 of
+either's n shingles have one in common. Shingles that are frequent in a sample of texts come last in that order, so that common passages make
+no large buckets; the sample decides nothing but the order. Each text is dealt to its first shingles' buckets, and a bucket pairs what is
+not in one group yet: the members outside its largest group with all others of like length. So the members of a large group are not paired
+with each other, and no link between groups is lost. There are no false links.
 
 Defined results: a text of fewer than five words is one shingle, one of a single word is one pair; null, empty and blank
 texts have no shingles and are copies of each other; equal texts are copies; a very long text is handled whole in its
@@ -24,6 +27,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +46,8 @@ SEGMENTS = WORDS * PER_WORD
 #: At a coefficient of 0.8 some 18 of 192 bits differ, with a deviation of 4: six of these are allowed.
 MAX_DISTANCE = 42
 CHUNK = 1 << 16
+#: Texts whose shingles' frequencies order all; frequent shingles kept; text hashes a task remembers.
+SAMPLE, FREQUENT, KNOWN = 5_000, 1 << 18, 1 << 20
 ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(SHINGLE + WORDS + SEGMENTS)]
 
 
@@ -153,9 +159,8 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("text_key", "text").mapInArrow(of, "text_key long, grams array<long>")
 
 
-def similar_texts(docs: DataFrame, fps: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(u, v): hashes of different texts whose shingle sets have at least this Jaccard coefficient, as candidates found them."""
-    pairs = common.stored(_candidates(fps), "candidates")
+def _verified(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """(u, v): those of the pairs (a, b) of text hashes, a stored table, whose shingle sets have at least this Jaccard coefficient."""
     asked = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), "asked")
     texts = docs.select(_key("text").alias("text_key"), "text").join(common.small(asked), "text_key", "left_semi")
     sets = common.stored(_shingle_sets(texts).dropDuplicates(["text_key"]), "shingle_sets")
@@ -165,12 +170,126 @@ def similar_texts(docs: DataFrame, fps: DataFrame, min_similarity: float = MIN_S
     return both.where(F.least(F.size("ga"), F.size("gb")) >= min_similarity * F.greatest(F.size("ga"), F.size("gb"))).where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def similar_texts(docs: DataFrame, fps: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(u, v): hashes of different texts whose shingle sets have at least this Jaccard coefficient, as candidates found them."""
+    return _verified(docs, common.stored(_candidates(fps), "candidates"), min_similarity)
+
+
+def _frequent(docs: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one row of a sample of about SAMPLE texts, in order, and in how many they are; at most FREQUENT, the most frequent ones."""
+    every = max(1, n_texts // SAMPLE)
+    sample = docs.select(_key("text").alias("text_key"), "text").where(F.pmod("text_key", F.lit(every)) == 0)
+    counts = _shingle_sets(sample).select(F.explode("grams").alias("g")).groupBy("g").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "g").limit(FREQUENT).toPandas()  # of a sample of fixed size
+    grams = found["g"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(grams)
+    return grams[order], found["count"].to_numpy(np.int64)[order]
+
+
+def leading(grams: np.ndarray, min_similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a text's distinct shingles, rare ones first, of which two similar texts share one."""
+    n = len(grams)
+    take = n - math.ceil(min_similarity * n - 1e-9) + 1
+    known, counts = frequent
+    times = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        times = np.where(known[at] == grams, counts[at], 0)
+    return grams[np.lexsort((grams, times))[:take]]
+
+
+def _leading(docs: DataFrame, min_similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """gram, key and size: each text with its leading shingles and their number in all; of equal texts a task gives one at least."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, found, sizes = [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key in seen:
+                    continue
+                if len(seen) >= KNOWN:
+                    seen.clear()
+                seen.add(key)
+                grams = np.unique(shingles(token_hashes(text.as_py()), SHINGLE))
+                if len(grams):
+                    keys.append(key)
+                    sizes.append(len(grams))
+                    found.append(leading(grams, min_similarity, frequent))
+            if keys:
+                times = [len(f) for f in found]
+                columns = [np.concatenate(found).view(np.int64), np.repeat(np.array(keys, np.int64), times), np.repeat(np.array(sizes, np.int32), times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "size"])
+
+    return docs.select(_key("text"), "text").mapInArrow(of, "gram long, key long, size int")
+
+
+def bucket_pairs(root: np.ndarray, key: np.ndarray, size: np.ndarray, min_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's members (in order of root) that are in different groups and of like size, in pieces."""
+    starts = np.flatnonzero(np.diff(root, prepend=root[0] ^ 1))
+    ends = np.append(starts[1:], len(root))
+    largest = np.argmax(ends - starts)
+    outside = np.concatenate((np.arange(starts[largest]), np.arange(ends[largest], len(root))))
+    inside = root == root[starts[largest]]
+    step = max(1, CHUNK // len(root))
+    for at in range(0, len(outside), step):
+        i = outside[at : at + step, None]
+        like = np.minimum(size[i], size) >= min_similarity * np.maximum(size[i], size) - 1e-9
+        a, b = np.nonzero(like & (root[i] != root) & (inside | (key[i] < key)))
+        yield key[i[a, 0]], key[b]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, root, key, size) in that order: (a, b), the pairs of each gram's bucket; a bucket is held at a time."""
+    held = np.zeros((4, 0), np.int64)
+
+    def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not rows.shape[1]:
+            return
+        rows = rows[:, np.append(True, (np.diff(rows[0]) != 0) | (np.diff(rows[2]) != 0))]  # without equal texts of other tasks
+        gram, root = rows[0], rows[1]
+        starts = np.flatnonzero(np.diff(gram, prepend=gram[0] ^ 1))
+        ends = np.append(starts[1:], len(gram))
+        several = root[starts] != root[ends - 1]
+        found = [p for i, j in zip(starts[several].tolist(), ends[several].tolist()) for p in bucket_pairs(*rows[1:, i:j], min_similarity)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        held = np.concatenate((held, rows), axis=1) if held.shape[1] else rows
+        if held[0, 0] == held[0, -1]:
+            continue
+        cut = np.searchsorted(held[0], held[0, -1])  # the last bucket may go on
+        yield from of(held[:, :cut])
+        held = held[:, cut:]
+    yield from of(held)
+
+
+def missed_links(docs: DataFrame, groups: DataFrame, n_texts: int, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(u, v): all pairs of different groups with at least this Jaccard coefficient. groups: u, v, a text's hash and its group's, where they differ; stored."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _pairs(batches, min_similarity)
+
+    members = _leading(docs, min_similarity, _frequent(docs, n_texts)).join(common.small(groups.withColumnRenamed("u", "key")), "key", "left")
+    members = members.select("gram", F.coalesce("v", "key").alias("root"), "key", "size").repartition("gram").sortWithinPartitions("gram", "root", "key")
+    pairs = common.stored(members.mapInArrow(of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "missed")
+    return _verified(docs, pairs, min_similarity)
+
+
 def deduplicate(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """One row of each group of near copies; columns as in docs."""
     rows = common.stored(_fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("text_key"))
     distinct = common.stored(rows.groupBy("text_key").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "distinct")
-    groups = components(similar_texts(docs, distinct.select("text_key", "fp"), min_similarity)).withColumnRenamed("u", "text_key").withColumnRenamed("v", "root")
+    groups = components(similar_texts(docs, distinct.select("text_key", "fp"), min_similarity))
+    missed = common.stored(missed_links(docs, groups, distinct.count(), min_similarity), "links")
+    if not missed.isEmpty():
+        groups = components(groups.unionByName(missed))
+    groups = groups.withColumnRenamed("u", "text_key").withColumnRenamed("v", "root")
     kept = distinct.select("text_key", "first").join(common.small(groups), "text_key", "left").groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text_key"))
     found = common.packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (_key("row.text") == F.col("_text_key")))

@@ -684,6 +684,42 @@ def test_recall_of_single_pairs(spark, shared):
     assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found)
 
 
+def test_no_pair_at_the_threshold_is_missed(spark):
+    """Pairs at a coefficient of hardly more than 0.8, some hundred words beside a passage common to many."""
+    rng = random.Random(17)
+    passage = [f"p{k}" for k in range(60)]
+    texts = {}
+    for n in range(700):
+        body = passage[: 60 * (n % 2)] + [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 80]))]
+        copy, own = list(body), shingle_set(" ".join(body))
+        for _ in range(20):
+            tried = list(copy)
+            tried[rng.randrange(len(tried))] = f"e{rng.randrange(10**6)}"
+            other = shingle_set(" ".join(tried))
+            if len(own & other) >= 0.8 * len(own | other):
+                copy = tried
+        texts |= {2 * n: " ".join(body), 2 * n + 1: " ".join(copy)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    brute_groups(texts, {r.doc_id for r in near_copies.deduplicate(df.unionByName(df.where("doc_id < 40"))).collect()}, 1)
+
+
+def test_leading_shingles_and_pairs_of_groups():
+    rng = np.random.default_rng(18)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 400, rng.integers(1, 120)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(400, 500, rng.integers(0, 12)).astype(np.uint64))))
+        known = np.unique(rng.integers(0, 500, 30).astype(np.uint64))
+        frequent = (known, rng.integers(2, 9, len(known)))
+        if len(b) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert len(np.intersect1d(near_copies.leading(a, 0.8, frequent), near_copies.leading(b, 0.8, frequent)))
+    rows = sorted((int(g), int(r), 10 * int(r) + int(k)) for g, r, k in zip(rng.integers(0, 6, 400), rng.integers(0, 4, 400) ** 2, rng.integers(0, 9, 400)))
+    sizes = [10 + key % 7 for *_, key in rows]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in (*map(list, zip(*rows[i : i + 37])), sizes[i : i + 37])], names=["gram", "root", "key", "size"]) for i in range(0, 400, 37)]
+    got = {tuple(sorted(p)) for batch in near_copies._pairs(iter(batches), 0.8) for p in zip(*(c.to_pylist() for c in batch.columns))}
+    like = lambda x, y: min(x, y) >= 0.8 * max(x, y)
+    assert got == {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and x[2] < y[2] and like(10 + x[2] % 7, 10 + y[2] % 7)}
+
+
 def test_neighbours_of_a_bucket_over_many_tasks(spark):
     """However a bucket's ids are cut into batches and tasks, borders and pairs connect them; buckets stay apart."""
     rng = np.random.default_rng(11)

@@ -17,7 +17,9 @@ by an exact search: of two texts at a coefficient of at least c, in any order of
 either's n shingles have one in common. Shingles that are frequent in a sample of texts come last in that order, so that common passages make
 no large buckets; the sample decides nothing but the order. Each text is dealt to its first shingles' buckets, and a bucket pairs what is
 not in one group yet: the members outside its largest group with all others of like length. So the members of a large group are not paired
-with each other, and no link between groups is lost. There are no false links.
+with each other, and no link between groups is lost. Most of these pairs share a passage and no more. Their shingle sets stay where they are: a
+text's signature has a bit or two for each shingle, which tells whether a shingle number of its own hashes is odd, so two signatures differ in no more bits
+than the sets in shingles, and only pairs whose signatures are near enough are verified. There are no false links.
 
 Defined results: a text of fewer than five words is one shingle, one of a single word is one pair; null, empty and blank
 texts have no shingles and are copies of each other; equal texts are copies; a very long text is handled whole in its
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -159,15 +161,60 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("text_key", "text").mapInArrow(of, "text_key long, grams array<long>")
 
 
+def signature(grams: np.ndarray) -> bytes:
+    """Of each value of the distinct shingles' last bits, whether it is there an odd number of times: a power of two of bits, one a shingle at least."""
+    bits = 1 << max(6, (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many shingles the sets of two signatures differ at least."""
+    n, x, y = len(a), int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    if len(b) > n:
+        n, x, y = len(b), y, x
+    while n > min(len(a), len(b)):  # the longer one, as it would be of fewer bits
+        n //= 2
+        x = (x >> (8 * n)) ^ (x & ((1 << (8 * n)) - 1))
+    return (x ^ y).bit_count()
+
+
+def _near(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of text hashes, a stored table, whose signatures leave a Jaccard coefficient of at least min_similarity possible."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingles(token_hashes(t.as_py()), SHINGLE)) for t in batch.column(1)]
+            columns = [batch.column(0), pa.array([len(g) for g in sets], pa.int32()), pa.array([signature(g) for g in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["text_key", "n", "signature"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, sa, sb = (c.to_pylist() for c in batch.columns)
+            most = [m * (1 - min_similarity) / (1 + min_similarity) + 1e-6 for m in n]  # of so many shingles together, those of one set alone
+            ok = pa.array([least_difference(x, y) <= m for x, y, m in zip(sa, sb, most)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    asked = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), "asked")
+    texts = docs.select(_key("text").alias("text_key"), "text").join(common.small(asked), "text_key", "left_semi")
+    signed = common.stored(texts.mapInArrow(sign, "text_key long, n int, signature binary").dropDuplicates(["text_key"]), "signatures")
+    left, right = (signed.select(F.col("text_key").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "sa", "sb")
+    return common.stored(both.mapInArrow(near, "a long, b long"), "near")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataFrame:
-    """(u, v): those of the pairs (a, b) of text hashes, a stored table, whose shingle sets have at least this Jaccard coefficient."""
+    """(u, v): those of the pairs (a, b) of text hashes, a stored table, whose shingle sets have at least this Jaccard coefficient; stored."""
     asked = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct(), "asked")
     texts = docs.select(_key("text").alias("text_key"), "text").join(common.small(asked), "text_key", "left_semi")
     sets = common.stored(_shingle_sets(texts).dropDuplicates(["text_key"]), "shingle_sets")
     both = pairs.join(sets.select(F.col("text_key").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("text_key").alias("b"), F.col("grams").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     close = shared >= min_similarity * (F.size("ga") + F.size("gb") - shared)
-    return both.where(F.least(F.size("ga"), F.size("gb")) >= min_similarity * F.greatest(F.size("ga"), F.size("gb"))).where(close).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    alike = both.where(F.least(F.size("ga"), F.size("gb")) >= min_similarity * F.greatest(F.size("ga"), F.size("gb"))).where(close)
+    links = common.stored(alike.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    common.discard(sets)
+    return links
 
 
 def similar_texts(docs: DataFrame, fps: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -277,7 +324,7 @@ def missed_links(docs: DataFrame, groups: DataFrame, n_texts: int, min_similarit
     members = _leading(docs, min_similarity, _frequent(docs, n_texts)).join(common.small(groups.withColumnRenamed("u", "key")), "key", "left")
     members = members.select("gram", F.coalesce("v", "key").alias("root"), "key", "size").repartition("gram").sortWithinPartitions("gram", "root", "key")
     pairs = common.stored(members.mapInArrow(of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "missed")
-    return _verified(docs, pairs, min_similarity)
+    return _verified(docs, _near(docs, pairs, min_similarity), min_similarity)
 
 
 def deduplicate(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -285,13 +332,19 @@ def deduplicate(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Data
     rows = common.stored(_fingerprints(docs), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id"), F.col("text_key"))
     distinct = common.stored(rows.groupBy("text_key").agg(F.min(order).alias("first"), F.min("fp").alias("fp")), "distinct")
+    common.discard(rows)
     groups = components(similar_texts(docs, distinct.select("text_key", "fp"), min_similarity))
-    missed = common.stored(missed_links(docs, groups, distinct.count(), min_similarity), "links")
+    missed = missed_links(docs, groups, distinct.count(), min_similarity)
     if not missed.isEmpty():
         groups = components(groups.unionByName(missed))
     groups = groups.withColumnRenamed("u", "text_key").withColumnRenamed("v", "root")
     kept = distinct.select("text_key", "first").join(common.small(groups), "text_key", "left").groupBy(F.coalesce("root", "text_key").alias("root")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_text_key"))
-    found = common.packed(docs).join(kept, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (_key("row.text") == F.col("_text_key")))
-    # equal in doc_id and text: few distinct rows at most, as equal rows are counted once before they are shuffled
-    return found.select("row", "_id", "_text_key").dropDuplicates(["_id", "_text_key"]).select(*common.unpacked(docs.columns))
+    kept = kept.select(*_row_key(F.col("first.doc_id"), F.col("first.text_key")))
+    # rows equal in doc_id and text are one before they are shuffled; the join finds them where the grouping has put them
+    first = common.packed(docs).select("row", *_row_key(F.col("row.doc_id"), _key("row.text"))).dropDuplicates(["_none", "_id", "_text_key"])
+    return first.join(kept, ["_none", "_id", "_text_key"]).select(*common.unpacked(docs.columns))
+
+
+def _row_key(doc_id: Column, text_key: Column) -> list[Column]:
+    """Columns without NULLs, so that a plain join compares them."""
+    return [doc_id.isNull().alias("_none"), F.coalesce(doc_id.cast("string"), F.lit("")).alias("_id"), text_key.alias("_text_key")]

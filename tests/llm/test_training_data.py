@@ -703,6 +703,41 @@ def test_no_pair_at_the_threshold_is_missed(spark):
     brute_groups(texts, {r.doc_id for r in near_copies.deduplicate(df.unionByName(df.where("doc_id < 40"))).collect()}, 1)
 
 
+def test_signatures_lose_no_similar_pair():
+    """Signatures never differ in more bits than the sets in shingles, whatever their lengths; unrelated sets differ in many."""
+    rng = np.random.default_rng(19)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 700)).astype(np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64))))
+        least = near_copies.least_difference(near_copies.signature(a), near_copies.signature(b))
+        assert least <= len(np.setxor1d(a, b)) and least == near_copies.least_difference(near_copies.signature(b), near_copies.signature(a))
+    a, b = (rng.integers(0, 2**63, 800).astype(np.uint64) for _ in "ab")
+    assert near_copies.least_difference(near_copies.signature(a), near_copies.signature(b)) > 1600 / 9
+
+
+def test_shingle_sets_of_texts_with_a_common_passage_stay_where_they_are(spark, monkeypatch):
+    """Texts that meet in a bucket by a common passage are told apart by their signatures; no shingle set is gathered or stored for them."""
+    rng = random.Random(20)
+    passage = [f"p{k}" for k in range(150)]
+    texts = {i: " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(150)]) for i in range(60)}
+    texts |= {60: " ".join([*texts[0].split(), *"a b c d e f g h i j".split()])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    counts, stored = {}, common.stored
+
+    def counting(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", counting)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    groups = stored(spark.createDataFrame([], "u long, v long"), "groups")
+    missed = near_copies.missed_links(df, groups, len(texts)).collect()
+    key = {r.doc_id: r.k for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    assert [{r.u, r.v} for r in missed] == [{key[0], key[60]}]
+    assert counts["missed"] > 50 and counts["shingle_sets"] < 10
+
+
 def test_leading_shingles_and_pairs_of_groups():
     rng = np.random.default_rng(18)
     for _ in range(50):

@@ -14,15 +14,14 @@ def pack(values: np.ndarray, bits: int) -> np.ndarray:
         return np.zeros(1, U64)
     out = np.zeros(len(values) * bits // 64 + 2, U64)
     step = 1 << 16  # multiples of 64 values start at whole words
-    for at in range(0, len(values), step):
-        part = values[at : at + step].astype("<u8").view(np.uint8).reshape(-1, 8)
-        flat = np.unpackbits(part, axis=1, bitorder="little")[:, :bits].reshape(-1)
-        packed = np.packbits(flat, bitorder="little")
-        words = np.zeros(-(-len(packed) // 8) * 8, np.uint8)
-        words[: len(packed)] = packed
-        words = words.view("<u8")
-        first = at * bits // 64
-        out[first : first + len(words)] = words
+    for first in range(0, len(values), step):
+        part = values[first : first + step].astype(U64)
+        at = np.arange(first, first + len(part), dtype=np.int64) * bits
+        word, off = at >> 6, (at & 63).astype(U64)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[starts]] |= np.bitwise_or.reduceat(part << off, starts)
+        over = np.flatnonzero(off + U64(bits) > U64(64))  # at most one value goes over a word's end
+        out[word[over] + 1] |= part[over] >> (U64(64) - off[over])
     return out
 
 

@@ -738,6 +738,34 @@ def test_shingle_sets_of_texts_with_a_common_passage_stay_where_they_are(spark,
     assert counts["missed"] > 50 and counts["shingle_sets"] < 10
 
 
+def test_words_and_pairs_in_bulk():
+    """Words of many texts split at once are those of each text; pairs are ordered and counted alike, also where no number holds both."""
+    rng = random.Random(21)
+    texts = [None, "", " \t\x0b ", " A b  b\tc\n", "\xc9a \xe9 x \x1f y\xa0z", *(" ".join(rng.choice("aAbB\u0130") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) for _ in range(200))]
+    for some in (texts, texts[:3], []):
+        hashes, codes, lengths = ngram_lm._words(pa.array(some, pa.string()))
+        own = [ngram_lm.token_hashes(t) for t in some]
+        assert len(set(hashes.tolist())) == len(hashes) and lengths.tolist() == [len(o) for o in own]
+        assert hashes[codes].tolist() == [h for o in own for h in o.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    assert [t for s in ngram_lm._slices(iter([batch]), 0) for t in s.column(0).to_pylist()] == texts
+    g = np.random.default_rng(22)
+    for step in (1, 1 << 40):
+        context, word = g.integers(0, 9, 500) * step, g.integers(-1, 5, 500)
+        word = np.where((word > 0) & (step > 1), word << 28, word)
+        want = Counter(zip(context.tolist(), word.tolist()))
+        for places in (False, True):
+            c, w, n, back = ngram_lm._distinct_pairs(context, word, places)
+            assert list(zip(c.tolist(), w.tolist(), n.tolist())) == [(*k, want[k]) for k in sorted(want)]
+            assert not places or ((c[back] == context).all() and (w[back] == word).all())
+        order = ngram_lm._in_order(context, np.abs(word))
+        pairs = list(zip(context.tolist(), np.abs(word).tolist()))
+        assert [pairs[i] for i in order] == sorted(pairs)
+    for bits in (1, 7, 8, 31, 33, 63):
+        values = g.integers(0, 2**63, 70_001).astype(np.uint64) >> np.uint64(63 - bits)
+        assert (elias_fano.unpack(elias_fano.pack(values, bits), bits, np.arange(len(values))) == values).all()
+
+
 def test_leading_shingles_and_pairs_of_groups():
     rng = np.random.default_rng(18)
     for _ in range(50):

@@ -1,12 +1,12 @@
 """Reactions to alarms: which features drifted, what to select afterwards, and what to do with each learner.
 
-Streams are in long form (run, i, feature, value, cls), i counting the rows of a run from 1; alarms are rows
+Streams are in long form (run, i, feature, value, cls), or have a column for each feature, i counting the rows of a run from 1; alarms are rows
 run, at (an i). Rows find their alarm by a window over their run, so a run's alarms never meet all its rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,23 +15,37 @@ from pyspark.sql import functions as F
 from . import drift, ranking
 
 
-def around_alarms(stream: DataFrame, alarms: DataFrame, width: int) -> DataFrame:
-    """Rows of the `width` before an alarm (side 0) and the `width` from it on (side 1), with the alarm `at`.
+def around_alarms(stream: DataFrame, alarms: DataFrame, width: int, before: bool = True, tasks: int | None = None) -> DataFrame:
+    """Rows of the `width` before an alarm (side 0; not without `before`) and the `width` from it on (side 1), with the alarm `at`.
 
-    A row within reach of two alarms counts for both.
+    stream: run, i and any other columns. A row within reach of two alarms counts for both. Alarms stand among the rows they are for, so one shuffle by run serves all; each row
+    takes the last one before it in either direction, so the work grows with the rows, whatever the length of a run. tasks: as many as the stream
+    has been dealt to by run; then the alarms alone are shuffled.
     """
-    marked = stream.join(alarms.select("run", F.col("at").alias("i"), F.lit(True).alias("_alarm")).distinct(), ["run", "i"], "left")
-    w = Window.partitionBy("run", "feature").orderBy("i")
-    here = F.when(F.col("_alarm"), F.col("i"))
-    marked = marked.withColumns({"_last": F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_next": F.first(here, True).over(w.rowsBetween(1, Window.unboundedFollowing))}).drop("_alarm")
-    after = marked.where(F.col("i") < F.col("_last") + width).withColumn("at", F.col("_last")).withColumn("side", F.lit(1))
-    before = marked.where(F.col("i") >= F.col("_next") - width).withColumn("at", F.col("_next")).withColumn("side", F.lit(0))
-    return after.unionByName(before).drop("_last", "_next")
-
-
-def drifting_features(stream: DataFrame, alarms: DataFrame, width: int, q: float = 0.05) -> DataFrame:
-    """run, at, feature, ks, p, drift: two-sample tests at each alarm, under one false discovery rate per alarm."""
-    d = drift.distance(around_alarms(stream, alarms, width).select("run", "at", "feature", "side", "value"), "run", "at", "feature")
+    marks = alarms.where("run IS NOT NULL AND at IS NOT NULL").select("run", F.col("at").cast(stream.schema["i"].dataType).alias("i")).withColumn("_alarm", F.col("i"))
+    rows = stream.unionByName(marks if tasks is None else marks.repartition(tasks, "run"), allowMissingColumns=True)
+    mark, run = F.col("_alarm").isNotNull(), Window.partitionBy("run")
+    upto = run.orderBy("i", F.desc(mark)).rowsBetween(Window.unboundedPreceding, 0)  # an alarm comes before the row it is for
+    beyond = run.orderBy(F.desc("i"), mark).rowsBetween(Window.unboundedPreceding, 0)  # and here after it
+    near = lambda at, side: F.struct(at.alias("at"), F.lit(side).alias("side"))
+    last, following = F.col("_last"), F.col("_next")
+    found = {"_last": F.last("_alarm", True).over(upto)} | ({"_next": F.last("_alarm", True).over(beyond)} if before else {})
+    reach = [F.when(F.col("i") < last + width, near(last, 1)), *([F.when(F.col("i") >= following - width, near(following, 0))] if before else [])]
+    marked = rows.withColumns(found).where(~mark).withColumn("_near", F.explode(F.array_compact(F.array(*reach))))
+    return marked.select(*stream.columns, "_near.at", "_near.side")
+
+
+def _long(stream: DataFrame, features: Sequence[str] | None, *by: str) -> DataFrame:
+    """The stream in long form, which it has already where no features are given."""
+    return stream if features is None else ranking.long_form(stream, features, "cls", *by)
+
+
+def drifting_features(stream: DataFrame, alarms: DataFrame, width: int, q: float = 0.05, features: Sequence[str] | None = None) -> DataFrame:
+    """run, at, feature, ks, p, drift: two-sample tests at each alarm, under one false discovery rate per alarm.
+
+    features: the columns of a stream (run, i, cls) that is not in long form; only its rows around alarms are brought into it.
+    """
+    d = drift.distance(_long(around_alarms(stream, alarms, width), features, "run", "at", "side").select("run", "at", "feature", "side", "value"), "run", "at", "feature")
     tests = d.where("n0 > 0 and n1 > 0").select("run", "at", "feature", "ks", drift.p_value(F.col("ks"), F.col("n0").cast("double"), F.col("n1").cast("double")).alias("p"))
     mine = Window.partitionBy("run", "at")
     tests = tests.withColumn("_r", F.row_number().over(mine.orderBy("p", "feature"))).withColumn("_m", F.count(F.lit(1)).over(mine))
@@ -39,10 +53,14 @@ def drifting_features(stream: DataFrame, alarms: DataFrame, width: int, q: float
     return tests.withColumn("drift", F.col("_r") <= F.coalesce(cut, F.lit(0))).drop("_r", "_m")
 
 
-def selection_after_alarms(stream: DataFrame, alarms: DataFrame, width: int, k: int, bins: int = 20, score: str = "chi2", warm_up: int = 200) -> DataFrame:
-    """run, at, feature, rank: the k best features on the `width` rows from each alarm on, binned over the first `warm_up` rows of the runs."""
-    after = around_alarms(stream, alarms, width).where("side = 1")
-    counts = ranking.histogram(after, ranking.ranges(stream.where(F.col("i") <= warm_up)), bins, "run", "at")
+def selection_after_alarms(stream: DataFrame, alarms: DataFrame, width: int, k: int, bins: int = 20, score: str = "chi2", warm_up: int = 200, features: Sequence[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """run, at, feature, rank: the k best features on the `width` rows from each alarm on, binned over the first `warm_up` rows of the runs.
+
+    features: as in `drifting_features`; tasks: as in `around_alarms`.
+    """
+    after = _long(around_alarms(stream, alarms, width, False, tasks), features, "run", "at")
+    first = _long(stream.where(F.col("i") <= warm_up), features)
+    counts = ranking.histogram(after, ranking.ranges(first), bins, "run", "at")
     return ranking.top(ranking.scores(counts, "run", "at"), score, k, "run", "at").select("run", "at", "feature", "rank")
 
 

@@ -533,8 +533,8 @@ near AS (SELECT l.*, a."at", (l.i >= a."at")::INT AS side FROM long l JOIN al a
 
 def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    rows = keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), F.row_number().over(w).alias("i"), "l_returnflag", *FEATURES)
-    return ranking.long_form(rows, FEATURES, "l_returnflag", "run", "i"), rows.where("i % 200 = 0").select("run", F.col("i").alias("at"))
+    rows = keyed(table(spark, sf_dir, "lineitem"), "l_suppkey").select(F.col("l_suppkey").alias("run"), F.row_number().over(w).alias("i"), F.col("l_returnflag").alias("cls"), *FEATURES)
+    return rows, rows.where("i % 200 = 0").select("run", F.col("i").alias("at"))
 
 
 @query(
@@ -543,7 +543,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     d AS (SELECT run, "at", feature, max(abs(ca / n0 - cb / n1)) AS ks FROM st GROUP BY ALL) SELECT run, "at"::INT AS "at", feature, round(ks, 9) AS ks FROM d"""
 )
 def alarm_drift(spark, sf_dir):
-    return rounded(adaptive.drifting_features(*_numbered(spark, sf_dir), 80).select("run", "at", "feature", "ks"), 9)
+    return rounded(adaptive.drifting_features(*_numbered(spark, sf_dir), 80, features=FEATURES).select("run", "at", "feature", "ks"), 9)
 
 
 @query(
@@ -553,7 +553,7 @@ def alarm_drift(spark, sf_dir):
     SELECT run, "at"::INT AS "at", feature, rank::INT AS rank FROM k WHERE rank <= 2"""
 )
 def alarm_selection(spark, sf_dir):
-    return adaptive.selection_after_alarms(*_numbered(spark, sf_dir), 80, 2)
+    return adaptive.selection_after_alarms(*_numbered(spark, sf_dir), 80, 2, features=FEATURES)
 
 
 @query(

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import adaptive, drift, learners
 from ..sources.tables import table
-from ..session import keyed, shared_folder
+from ..session import keyed, shared_folder, tasks_of
 from ..streaming import live, measured
-from .catalogue import CLASSES, FIRST_ROWS, TYPES, _bayes_sql, _numbered, query, rounded
+from .catalogue import CLASSES, FEATURES, FIRST_ROWS, TYPES, _bayes_sql, _numbered, query, rounded
 from .workflows import DRIFTS, SIZE, _surgery, _surgery_sql
 
 ALPHA = 0.2
@@ -53,7 +53,7 @@ def hoeffding_alarms(spark, sf_dir):
 def detected_selection(spark, sf_dir):
     """The two best features on the 80 rows from each alarm of the error detector on; a later alarm ends an earlier one's rows."""
     found = _alarms(spark, sf_dir).withColumnRenamed("i", "at")
-    return adaptive.selection_after_alarms(_numbered(spark, sf_dir)[0], found, 80, 2)
+    return adaptive.selection_after_alarms(_numbered(spark, sf_dir)[0], found, 80, 2, features=FEATURES, tasks=tasks_of(table(spark, sf_dir, "lineitem")))
 
 
 @query(

@@ -10,14 +10,17 @@ copies agree in nine of ten min-hashes, unrelated texts in hardly one. A bucket
 copies stand side by side in it too; each is paired with the first of its bucket and with the one before it. So the number
 of candidates grows with the number of rows, not with the square of a group. The sort is by ranges, so a bucket of any size
 spreads over tasks; where it does, the few rows at the tasks' borders are paired in the same way. Candidates are pruned by
-the whole fingerprints' distance and verified by their shingle sets.
+the whole fingerprints' distance and by sketches of their shingle sets, and verified by those sets.
 
 That finds 0.98 of single pairs at coefficients of 0.80 to 0.85 and 0.99 above (texts of 60 to 800 random words). The rest is found
 by an exact search: of two texts at a coefficient of at least c, in any order of all shingles the first n - ceil(c n) + 1 of
 either's n shingles have one in common. Shingles that are frequent in a sample of texts come last in that order, so that common passages make
 no large buckets; the sample decides nothing but the order. Each text is dealt to its first shingles' buckets, and a bucket pairs what is
 not in one group yet: the members outside its largest group with all others of like length. So the members of a large group are not paired
-with each other, and no link between groups is lost. Most of these pairs share a passage and no more. Their shingle sets stay where they are: a
+with each other, and no link between groups is lost. A pair is left out where too few shingles are left from the bucket's one on: the first
+that two similar texts share leaves enough. A bucket with many pairs for each of its members, by a shingle that the sample did not know for frequent, is not paired: its texts alone
+are dealt again in an order where such shingles, counted now over all texts, come later still, and with sketches that tell most pairs apart in their bucket; what is crowded
+even so the last time is paired whole. Most of these pairs share a passage and no more. Their shingle sets stay where they are: a
 text's signature has a bit or two for each shingle, which tells whether a shingle number of its own hashes is odd, so two signatures differ in no more bits
 than the sets in shingles, and only pairs whose signatures are near enough are verified. There are no false links.
 
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,8 @@ MAX_DISTANCE = 42
 CHUNK = 1 << 16
 #: Texts whose shingles' frequencies order all; frequent shingles kept; text hashes a task remembers.
 SAMPLE, FREQUENT, KNOWN = 5_000, 1 << 18, 1 << 20
+#: A bucket is crowded with more pairs than these for each of its members; so many times crowded buckets' texts are dealt again, with sketches of these bits.
+CROWDED, AGAIN, SKETCH = 16, 2, 512
 ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64)) for k in range(SHINGLE + WORDS + SEGMENTS)]
 
 
@@ -88,11 +94,16 @@ def fingerprint(words: np.ndarray) -> list[int]:
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """text_key, doc_id and fp (array<long>) of every row."""
+    """text_key, doc_id and fp (array<long>: fingerprint, number of shingles, sketch) of every row."""
+
+    def whole(text: str | None) -> list[int]:
+        words = token_hashes(text)
+        grams = np.unique(shingles(words, SHINGLE))
+        return [*fingerprint(words), len(grams), *np.frombuffer(sketch(grams), np.int64).tolist()]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(token_hashes(t.as_py())) for t in batch.column(2)]
+            fps = [whole(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], names=["text_key", "doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -132,8 +143,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([first_of_last, before], [None, None], [last, last])
 
 
-def _candidates(fps: DataFrame) -> DataFrame:
-    """(a, b): each text with the first member of each of its buckets and the one before it, once, if their fingerprints are close.
+def _candidates(fps: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(a, b): each text with the first member of each of its buckets and the one before it, once, if their fingerprints are close and their sketches leave the coefficient possible.
 
     In buckets a text goes by an id of 24 bits of its min-hash and 40 of its hash: of texts that agree in both, all are candidates.
     """
@@ -149,7 +160,10 @@ def _candidates(fps: DataFrame) -> DataFrame:
     pairs = met.where("border IS NULL").select("a", "b").unionByName(across).where("a <> b").distinct()
     left, right = (fps.select(F.col("id").alias(x), F.col("text_key").alias(f"key_{x}"), F.col("fp").alias(f"fp_{x}")) for x in "ab")
     distance = " + ".join(f"bit_count(fp_a[{k}] ^ fp_b[{k}])" for k in range(WORDS))
-    return pairs.join(left, "a").join(right, "b").where(f"{distance} <= {MAX_DISTANCE}").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    first = WORDS + 1 + SEGMENTS
+    apart = " + ".join(f"bit_count(fp_a[{k}] ^ fp_b[{k}])" for k in range(first + 1, first + 1 + SKETCH // 64))
+    may_be = f"{apart} <= (fp_a[{first}] + fp_b[{first}]) * {(1 - min_similarity) / (1 + min_similarity)!r}D + 1e-6D"
+    return pairs.join(left, "a").join(right, "b").where(f"{distance} <= {MAX_DISTANCE} AND {may_be}").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -219,7 +233,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, min_similarity: float) -> DataF
 
 def similar_texts(docs: DataFrame, fps: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(u, v): hashes of different texts whose shingle sets have at least this Jaccard coefficient, as candidates found them."""
-    return _verified(docs, common.stored(_candidates(fps), "candidates"), min_similarity)
+    return _verified(docs, common.stored(_candidates(fps, min_similarity), "candidates"), min_similarity)
 
 
 def _frequent(docs: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +259,21 @@ def leading(grams: np.ndarray, min_similarity: float, frequent: tuple[np.ndarray
     return grams[np.lexsort((grams, times))[:take]]
 
 
-def _leading(docs: DataFrame, min_similarity: float, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """gram, key and size: each text with its leading shingles and their number in all; of equal texts a task gives one at least."""
+def sketch(grams: np.ndarray) -> bytes:
+    """The signature of SKETCH bits, however many shingles there are."""
+    return np.packbits((np.bincount((grams & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _leading(docs: DataFrame, min_similarity: float, frequent: tuple[np.ndarray, np.ndarray], sketches: bool = False) -> DataFrame:
+    """gram, key, size and left: each text with its leading shingles, their number in all and from this one on, and perhaps its sketch.
+
+    Of equal texts a task gives one at least.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            keys, found, sizes = [], [], []
+            keys, found, sizes, drawn = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if key in seen:
                     continue
@@ -263,16 +285,25 @@ def _leading(docs: DataFrame, min_similarity: float, frequent: tuple[np.ndarray,
                     keys.append(key)
                     sizes.append(len(grams))
                     found.append(leading(grams, min_similarity, frequent))
+                    drawn.append(sketch(grams) if sketches else b"")
             if keys:
                 times = [len(f) for f in found]
                 columns = [np.concatenate(found).view(np.int64), np.repeat(np.array(keys, np.int64), times), np.repeat(np.array(sizes, np.int32), times)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "key", "size"])
+                columns.append(np.concatenate([np.arange(n, n - t, -1, dtype=np.int32) for n, t in zip(sizes, times)]))
+                columns = [pa.array(c) for c in columns]
+                if sketches:
+                    columns.append(pa.array([d for d, t in zip(drawn, times) for _ in range(t)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["gram", "key", "size", "left", *["sketch"] * sketches])
+
+    return docs.select(_key("text"), "text").mapInArrow(of, "gram long, key long, size int, left int" + ", sketch binary" * sketches)
 
-    return docs.select(_key("text"), "text").mapInArrow(of, "gram long, key long, size int")
 
+def bucket_pairs(root: np.ndarray, key: np.ndarray, size: np.ndarray, min_similarity: float, left: np.ndarray | None = None, *words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket's members (in order of root) that are in different groups and of like size, in pieces.
 
-def bucket_pairs(root: np.ndarray, key: np.ndarray, size: np.ndarray, min_similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket's members (in order of root) that are in different groups and of like size, in pieces."""
+    left: a member's shingles from the bucket's one on. Of the first shingle that two texts share, as many as they need to share are left in both.
+    words: those of a member's sketch. Two texts' sketches differ in no more bits than their sets may in shingles.
+    """
     starts = np.flatnonzero(np.diff(root, prepend=root[0] ^ 1))
     ends = np.append(starts[1:], len(root))
     largest = np.argmax(ends - starts)
@@ -282,13 +313,27 @@ def bucket_pairs(root: np.ndarray, key: np.ndarray, size: np.ndarray, min_simila
     for at in range(0, len(outside), step):
         i = outside[at : at + step, None]
         like = np.minimum(size[i], size) >= min_similarity * np.maximum(size[i], size) - 1e-9
+        if left is not None:
+            like &= np.minimum(left[i], left) >= min_similarity / (1 + min_similarity) * (size[i] + size) - 1e-6
         a, b = np.nonzero(like & (root[i] != root) & (inside | (key[i] < key)))
-        yield key[i[a, 0]], key[b]
+        a = i[a, 0]
+        if words:
+            near = sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in (w.view(np.uint64) for w in words)) <= (size[a] + size[b]) * (1 - min_similarity) / (1 + min_similarity) + 1e-6
+            a, b = a[near], b[near]
+        yield key[a], key[b]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (gram, root, key, size) in that order: (a, b), the pairs of each gram's bucket; a bucket is held at a time."""
-    held = np.zeros((4, 0), np.int64)
+def _pairs(batches: Iterator[pa.RecordBatch], min_similarity: float, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Of rows (gram, root, key, size and perhaps left and sketch) in that order: (a, b), the pairs of each gram's bucket; a bucket is held at a time.
+
+    most: (a, b, n) with n = 0 for pairs. Of a bucket with more pairs than these for each of its members come, instead, the gram and its members' number as a and n,
+    and each member as a with n = -1.
+    """
+    held = np.zeros((0, 0), np.int64)
+
+    def batch_of(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        width = 2 if most is None else 3
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, n)[:width]], names=["a", "b", "n"][:width])
 
     def of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not rows.shape[1]:
@@ -298,14 +343,27 @@ def _pairs(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator
         starts = np.flatnonzero(np.diff(gram, prepend=gram[0] ^ 1))
         ends = np.append(starts[1:], len(gram))
         several = root[starts] != root[ends - 1]
-        found = [p for i, j in zip(starts[several].tolist(), ends[several].tolist()) for p in bucket_pairs(*rows[1:, i:j], min_similarity)]
+        if most is not None:
+            runs = np.flatnonzero((np.diff(gram, prepend=gram[0] ^ 1) != 0) | (np.diff(root, prepend=root[0] ^ 1) != 0))
+            alike = np.add.reduceat(np.diff(np.append(runs, len(gram))) ** 2, np.searchsorted(runs, starts))
+            members = ends - starts
+            crowded = members**2 - alike > 2 * most * members
+            if crowded.any():
+                yield batch_of(gram[starts[crowded]], gram[starts[crowded]], members[crowded])
+                them = np.unique(rows[2, np.repeat(crowded, members)])
+                yield batch_of(them, them, np.full(len(them), -1))
+            several &= ~crowded
+        found = [p for i, j in zip(starts[several].tolist(), ends[several].tolist()) for p in bucket_pairs(*rows[1:4, i:j], min_similarity, *rows[4:, i:j])]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+            a, b = map(np.concatenate, zip(*found))
+            yield batch_of(a, b, np.zeros(len(a), np.int64))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+        rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns[:5]])
+        if batch.num_columns > 5:
+            rows = np.concatenate((rows, np.frombuffer(b"".join(batch.column(5).to_pylist()), np.int64).reshape(batch.num_rows, -1).T))
         held = np.concatenate((held, rows), axis=1) if held.shape[1] else rows
         if held[0, 0] == held[0, -1]:
             continue
@@ -315,15 +373,38 @@ def _pairs(batches: Iterator[pa.RecordBatch], min_similarity: float) -> Iterator
     yield from of(held)
 
 
-def missed_links(docs: DataFrame, groups: DataFrame, n_texts: int, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(u, v): all pairs of different groups with at least this Jaccard coefficient. groups: u, v, a text's hash and its group's, where they differ; stored."""
+def _later(frequent: tuple[np.ndarray, np.ndarray], grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles and others, in order, each as often as it was found at most."""
+    every, back = np.unique(np.concatenate((frequent[0], grams)), return_inverse=True)
+    most = np.zeros(len(every), np.int64)
+    np.maximum.at(most, back, np.concatenate((frequent[1], times)))
+    return every, most
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pairs(batches, min_similarity)
 
-    members = _leading(docs, min_similarity, _frequent(docs, n_texts)).join(common.small(groups.withColumnRenamed("u", "key")), "key", "left")
-    members = members.select("gram", F.coalesce("v", "key").alias("root"), "key", "size").repartition("gram").sortWithinPartitions("gram", "root", "key")
-    pairs = common.stored(members.mapInArrow(of, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "missed")
+def missed_links(docs: DataFrame, groups: DataFrame, n_texts: int, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(u, v): all pairs of different groups with at least this Jaccard coefficient. groups: u, v, a text's hash and its group's, where they differ; stored."""
+    grams, times = _frequent(docs, n_texts)
+    frequent, groups = (grams, times * max(1, n_texts // SAMPLE)), common.small(groups.withColumnRenamed("u", "key"))
+    texts, found, name = docs, [], "missed"
+    for turn in range(AGAIN + 1):
+        most = CROWDED if turn < AGAIN else None
+
+        def of(batches: Iterator[pa.RecordBatch], most: int | None = most) -> Iterator[pa.RecordBatch]:
+            return _pairs(batches, min_similarity, most)
+
+        members = _leading(texts, min_similarity, frequent, turn > 0).join(groups, "key", "left")
+        members = members.select("gram", F.coalesce("v", "key").alias("root"), "key", "size", "left", *["sketch"] * (turn > 0)).repartition("gram").sortWithinPartitions("gram", "root", "key")
+        met = members.mapInArrow(of, "a long, b long" + ", n long" * (most is not None))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(0).cast("long").alias("n") if most is None else "n").distinct()
+        met, name = common.stored(met, name), "missed_again"
+        found.append(met.where("n = 0").select("a", "b"))
+        crowded = met.where("n > 0").orderBy(F.desc("n"), "a").limit(FREQUENT).toPandas()
+        if crowded.empty:
+            break
+        frequent = _later(frequent, crowded["a"].to_numpy(np.int64).view(np.uint64), crowded["n"].to_numpy(np.int64))
+        again = common.small(common.stored(met.where("n = -1").select(F.col("a").alias("text_key")), "crowded"))
+        texts = docs.select(_key("text").alias("text_key"), "text").join(again, "text_key", "left_semi")
+    pairs = found[0] if len(found) == 1 else common.stored(reduce(DataFrame.unionByName, found).distinct(), "all_missed")
     return _verified(docs, _near(docs, pairs, min_similarity), min_similarity)
 
 

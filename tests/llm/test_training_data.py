@@ -738,6 +738,42 @@ def test_shingle_sets_of_texts_with_a_common_passage_stay_where_they_are(spark,
     assert counts["missed"] > 50 and counts["shingle_sets"] < 10
 
 
+@pytest.mark.parametrize("crowded", (1, near_copies.CROWDED))
+def test_pairs_of_a_passage_unknown_to_the_sample_grow_with_the_rows(spark, monkeypatch, crowded):
+    """However many texts share a passage that the sample does not show, their pairs grow no faster; all links are found, also in crowded buckets."""
+    rng = random.Random(23)
+    passage = [f"p{k}" for k in range(30)]
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    made, counts, stored = [passage + own(30) for _ in range(600)], {}, common.stored
+    base = own(60)
+    for _ in range(40):  # many hardly similar copies of one text
+        copy = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2])):
+            copy[at] = f"e{rng.randrange(10**6)}"
+        made.append(copy)
+    made += [[*text, "e"] for text in made[:20]]
+    texts = {i: " ".join(words) for i, words in enumerate(made)}
+
+    def counting(df, name):
+        out = stored(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(common, "stored", counting)
+    monkeypatch.setattr(near_copies, "SAMPLE", 1)
+    monkeypatch.setattr(near_copies, "CROWDED", crowded)
+    for n in (300, len(texts)):
+        counts.clear()
+        some = {i: t for i, t in texts.items() if i < n}
+        df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
+        missed = near_copies.missed_links(df, stored(spark.createDataFrame([], "u long, v long"), "groups"), n).collect()
+        assert counts["missed"] + counts.get("missed_again", 0) < 12 * n, counts
+    key = {r.k: r.doc_id for r in df.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    sets = {d: shingle_set(t) for d, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {tuple(sorted((key[r.u], key[r.v]))) for r in missed} == want and len(want) > 40
+
+
 def test_words_and_pairs_in_bulk():
     """Words of many texts split at once are those of each text; pairs are ordered and counted alike, also where no number holds both."""
     rng = random.Random(21)

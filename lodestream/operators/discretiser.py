@@ -66,11 +66,10 @@ def merged(counts: DataFrame, bins: int, groups: int, classes: int | None = None
 
     counts: what `gathered` gives.
     """
-    to = ranking.merged_bins(counts.select(*KEY, "bin", "cls", "n"), bins, groups, "run", "update", classes=classes)
-    last = to.groupBy(*KEY, "to").agg(F.max("bin").alias("_last"))
-    regrouped = counts.join(to, [*KEY, "bin"]).groupBy(*KEY, "low", "high", "to", "cls").agg(F.sum("n").alias("n"))
-    edge = F.col("low") + (F.col("_last") + 1) * ((F.col("high") - F.col("low")) / bins)
-    return regrouped.join(last, [*KEY, "to"]).select(*KEY, F.col("to").alias("bin"), edge.alias("upto"), "cls", "n")
+    cells = counts.groupBy(*KEY, "low", "high").agg(F.collect_list(F.struct("bin", "cls", "n")).alias("cells"))
+    parts = ranking.second_layer(cells, bins, groups, classes).select(*KEY, "low", "high", F.explode("parts").alias("_part"))
+    edge = F.col("low") + (F.col("_part.last") + 1) * ((F.col("high") - F.col("low")) / bins)
+    return parts.select(*KEY, "_part.bin", edge.alias("upto"), "_part.cls", "_part.n")
 
 
 def placed(long: DataFrame, second: DataFrame) -> DataFrame:

@@ -6,13 +6,17 @@ class, whatever the number of instances, and is made by one partial aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: So many histograms are merged at once.
+HISTOGRAMS = 1_000
+
 
 def long_form(df: DataFrame, features: list[str], cls: str, *keep: str) -> DataFrame:
     return unpivoted(df, features, F.col(cls).alias("cls"), *keep)
@@ -74,35 +78,79 @@ def own_histogram(rows: DataFrame, features: Sequence[str], cls: str, first: Col
     return each.groupBy("run", *by, "feature", "bin", "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _merging(table: np.ndarray, width: np.ndarray, groups: int) -> np.ndarray:
+    """histograms x bins: the second-layer bin of each bin. table: histograms x bins x classes; width: the classes of each histogram."""
+    one = np.arange(len(table))
+    to = np.tile(np.arange(table.shape[1], dtype=np.int32), (len(table), 1))
+    real = (np.arange(table.shape[2]) < width[:, None])[:, None]
+    while table.shape[1] > groups:
+        total = table.sum(axis=2)
+        shares = np.where(real, (table + 1) / (total + width[:, None])[..., None], 0.0)
+        gap = np.abs(shares[:, :-1] - shares[:, 1:]).sum(axis=2)
+        at = np.round(0.5 * gap * (np.minimum(total[:, :-1], total[:, 1:]) + 1), 9).argmin(axis=1)
+        table[one, at] += table[one, at + 1]
+        stays = np.ones(table.shape[:2], bool)
+        stays[one, at + 1] = False
+        table = table[stays].reshape(len(table), -1, table.shape[2])
+        to -= to > at[:, None]
+    return to
+
+
+def _second_layer(cells: pa.ListArray, bins: int, groups: int, classes: int) -> tuple[pa.Array, pa.Array]:
+    """`to` and `parts` of some histograms, as `second_layer` gives them."""
+    flat, n = cells.flatten(), len(cells)
+    own = np.repeat(np.arange(n), cells.value_lengths().to_numpy())
+    bin_, weight, named = flat.field("bin").to_numpy(), flat.field("n").to_numpy(), flat.field("cls").dictionary_encode()
+    order = pc.array_sort_indices(named.dictionary).to_numpy().astype(np.int64)
+    known = len(order)
+    rank = np.append(np.argsort(order), known)  # of NULL: a class of its own, the last
+    code = rank[named.indices.fill_null(known).to_numpy()]
+    pairs, at = np.unique(own * (known + 1) + code, return_inverse=True)
+    first = np.searchsorted(pairs // (known + 1), np.arange(n + 1))
+    width = np.maximum(np.diff(first), classes)
+    table = np.zeros((n, bins, width.max()))
+    np.add.at(table, (own, bin_, at - first[own]), weight)
+    to = _merging(table, width, groups)
+    merged, at = np.unique((own * bins + to[own, bin_]) * (known + 1) + code, return_inverse=True)
+    sums = np.zeros(len(merged), np.int64)
+    np.add.at(sums, at, weight)
+    of, code = np.divmod(merged, known + 1)
+    of, part = np.divmod(of, bins)
+    last = (to[of] <= part[:, None]).sum(axis=1) - 1
+    values = named.dictionary.take(pa.array(np.append(order, 0)[code], mask=code == known))
+    fields = [pa.array(part, pa.int32()), pa.array(last, pa.int32()), values, pa.array(sums)]
+    parts = pa.StructArray.from_arrays(fields, names=["bin", "last", "cls", "n"])
+    ends = lambda counts: pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+    return pa.ListArray.from_arrays(ends(np.full(n, bins)), pa.array(to.ravel(), pa.int32())), pa.ListArray.from_arrays(ends(np.bincount(of, minlength=n)), parts)
+
+
+def second_layer(histograms: DataFrame, bins: int, groups: int, classes: int | None = None) -> DataFrame:
+    """histograms with `to`, the second-layer bin of each bin, and `parts` (bin, last, cls, n) for `cells` (bin, cls, n).
+
+    Merges as `merged_bins` does. `last` is the last first-layer bin of a second-layer bin. A row is a histogram, of at most bins x classes cells;
+    the rows of a batch are merged step by step together.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in histograms.schema if f.name != "cells"}
+    cls = histograms.schema["cells"].dataType.elementType["cls"].dataType.simpleString()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, HISTOGRAMS):
+                piece = batch.slice(at, HISTOGRAMS)
+                found = _second_layer(piece.column("cells"), bins, groups, classes or 0)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kinds), *found], names=[*kinds, "to", "parts"])
+
+    return histograms.mapInArrow(merge, ", ".join(f"{c} {k}" for c, k in kinds.items()) + f", to array<int>, parts array<struct<bin: int, last: int, cls: {cls}, n: bigint>>")
+
+
 def merged_bins(counts: DataFrame, bins: int, groups: int, *by: str, classes: int | None = None) -> DataFrame:
     """by, feature, bin, to: neighbouring bins merged, the pair of least weighted class distance first, until `groups` are left.
 
     classes: how many there are, if a feature's counts need not show all. The distance is half the sum of differences of the Laplace-smoothed class shares, times the smaller
     count plus one; of distances equal to nine digits the leftmost goes. Each feature is at most bins x classes rows.
     """
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(pdf["cls"], sort=True)
-        table = np.zeros((bins, max(len(names), classes or 0)))
-        np.add.at(table, (pdf["bin"].to_numpy(), codes), pdf["n"].to_numpy())
-        parts = [[i] for i in range(bins)]
-        rows = list(table)
-        while len(parts) > groups:
-
-            def cost(i: int) -> float:
-                a, b = rows[i], rows[i + 1]
-                shares = (a + 1) / (a.sum() + len(a)) - (b + 1) / (b.sum() + len(b))
-                return round(0.5 * abs(shares).sum() * (min(a.sum(), b.sum()) + 1), 9)
-
-            at = min(range(len(parts) - 1), key=cost)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            rows[at : at + 2] = [rows[at] + rows[at + 1]]
-        pairs = [(b, to) for to, own in enumerate(parts) for b in own]
-        return pd.DataFrame({c: pdf[c].iloc[0] for c in keys} | {"bin": [b for b, _ in pairs], "to": [t for _, t in pairs]})
-
-    keys = [*by, "feature"]
-    kinds = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in keys)
-    return counts.groupBy(*keys).applyInPandas(merge, f"{kinds}, bin int, to int")
+    cells = counts.groupBy(*by, "feature").agg(F.collect_list(F.struct("bin", "cls", "n")).alias("cells"))
+    return second_layer(cells, bins, groups, classes).select(*by, "feature", F.posexplode("to").alias("bin", "to"))
 
 
 def uniform_groups(bin_: Column, bins: int, groups: int) -> Column:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from lodestream.operators import discretiser
+from lodestream.operators import discretiser, ranking
 from lodestream.session import stored
 
 
@@ -94,3 +94,23 @@ def test_rows_are_placed_by_earlier_cut_points_alone(spark):
     assert found[0] == found[1]
     empty = spark.createDataFrame([], "run int, update long, feature string, value double, cls string")
     assert discretiser.gathered(empty, 10).count() == 0
+
+
+def test_merging_joins_nothing(spark):
+    """The gathered counts' file is small, but their rows are many: no join may broadcast them."""
+    rows, _ = stream(4)
+    long = spark.createDataFrame(rows, "run int, update long, feature string, value double, cls string")
+    second = discretiser.merged(stored(discretiser.gathered(long, 10), "gathered"), 10, 3, 2)
+    assert "Join" not in second._jdf.queryExecution().optimizedPlan().toString()
+    assert second.agg(F.sum("n")).first()[0] == 2 * 3 * 60 * sum(range(1, 9))
+
+
+def test_merging_of_histograms_of_unlike_classes(spark):
+    """Histograms that show one, two and no named class, merged together, as they are merged alone."""
+    cells = {"a": [(b, "x", b % 3 + 1) for b in range(6)], "b": [(b, c, 1 + b * (c == "y")) for b in (0, 2, 5) for c in "yz"], "c": [(1, None, 4), (4, None, 2), (4, "z", 2)]}
+    counts = spark.createDataFrame([(f, *cell) for f, own in cells.items() for cell in own], "feature string, bin int, cls string, n long")
+    found = {(r.feature, r.bin): r.to for r in ranking.merged_bins(counts, 6, 3).collect()}
+    for f in cells:
+        alone = {(r.feature, r.bin): r.to for r in ranking.merged_bins(counts.where(F.col("feature") == f), 6, 3).collect()}
+        assert alone == {k: v for k, v in found.items() if k[0] == f} and sorted(set(alone.values())) == [0, 1, 2]
+    assert [found["b", b] for b in range(6)] == [0, 0, 1, 1, 1, 2]

@@ -82,14 +82,19 @@ def subspaces(n_features: int, growth: Growth) -> list[list[int]]:
     return [sorted(random.Random(growth.seed * 1000 + j).sample(range(n_features), size)) for j in range(growth.learners)]
 
 
-def poisson(rate: float, u: Column) -> Column:
-    """The Poisson number at the quantile u."""
+def poisson_steps(rate: float) -> list[float]:
+    """The shares of Poisson numbers of 0, of 1 at most, and so on."""
     upto, mass, k = [], math.exp(-rate), 0
     while not upto or 1 - upto[-1] > 1e-9 and k < 200:
         upto.append((upto[-1] if upto else 0.0) + mass)
         k += 1
         mass *= rate / k
-    return F.size(F.filter(F.array(*map(F.lit, upto)), lambda c: c <= u))
+    return upto
+
+
+def poisson(rate: float, u: Column) -> Column:
+    """The Poisson number at the quantile u."""
+    return F.size(F.filter(F.array(*map(F.lit, poisson_steps(rate))), lambda c: c <= u))
 
 
 def split_gains(counts: DataFrame, classes: int, *by: str) -> DataFrame:

@@ -176,3 +176,23 @@ def test_odd_rows(spark):
     assert growing.grown(stream.where("false"), ["x0"], 2, 10)[0].count() == 0
     with pytest.raises(ValueError):
         growing.Adapt(0.01, 0.05)
+
+
+def test_jobs_do_not_grow_with_the_blocks(spark):
+    """A run of many blocks is read once; its rounds are no jobs."""
+    stream = generators.sea(spark, 1, 1000, seed=3)
+    growth = trees.forest(3, 2, depth=2, bins=8, grace=20)
+    jobs = []
+    for size in (500, 10):
+        spark.sparkContext.setJobGroup(f"blocks of {size}", "")
+        predicted, events = growing.grown(stream, FEATURES, 2, size, growth, growing.Adapt(0.3, 0.1))
+        assert predicted.count() == 1000 and events.where("block >= 1000 / {}".format(size)).count() == 0
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks of {size}")))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] > 0
+
+
+def test_values_that_are_no_numbers(spark):
+    rows = [(0, s, s % 2, float("nan") if s % 4 == 0 else float("inf") if s == 25 else float(s % 7)) for s in range(40)]
+    p, _ = growing.grown(spark.createDataFrame(rows, "run int, seq long, y int, x0 double"), ["x0"], 2, 10, trees.Growth(depth=2, grace=5))
+    assert sorted(r.seq for r in p.where("p IS NOT NULL").collect()) == list(range(40))

@@ -44,6 +44,23 @@ def ranged_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], sums: Se
     return joined.select(*df.columns, *[(F.col(f"_before_{x}") + F.sum(x).over(within)).alias(f"upto_{x}") for x in sums], *[f"all_{x}" for x in sums])
 
 
+def positions(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df without the columns of order, with `seq`: the position (from 0) of a row in its group.
+
+    Beyond FEW rows groups are sorted by ranges, however few or long they are, and stored; a range goes on from the rows of those before it.
+    """
+    keep = [c for c in df.columns if c not in order]
+    if df.limit(FEW + 1).count() <= FEW:
+        return df.select(*keep, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).cast("long").alias("seq"))
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    ranged = stored(ranged.select(*keep, F.monotonically_increasing_id().alias("_at")), "ranged").withColumn("_range", F.shiftright("_at", 33))  # the number of the task
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*by, "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_range")], (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by] + [F.col("_range") == F.col("_of__range")]
+    return ranged.join(starts, reduce(and_, same)).select(*keep, (F.col("_at") + F.col("_shift")).alias("seq"))
+
+
 def _points(samples: DataFrame, by: Sequence[str]) -> DataFrame:
     return samples.groupBy(*by, "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
 
@@ -121,6 +138,28 @@ class HoeffdingMean:
         return True
 
 
+    def changes(self, values: np.ndarray) -> list[int]:
+        """The positions of values at which `add` tells of a change."""
+        found, at, width = [], 0, 256
+        while at < len(values):
+            own = values[at : at + width]
+            n, total = self.n + np.arange(1, len(own) + 1), self.sum + own.cumsum()
+            limit = total / n + np.sqrt(math.log(1 / self.alpha) / (2 * n))
+            before = np.inf if not self.n_min else self.sum_min / self.n_min + math.sqrt(math.log(1 / self.alpha) / (2 * self.n_min))
+            better = limit <= np.minimum.accumulate(np.append(before, limit[:-1]))
+            best = np.maximum.accumulate(np.where(better, np.arange(len(own)), -1))
+            n_min, sum_min = np.where(best < 0, self.n_min, n[best]), np.where(best < 0, self.sum_min, total[best])
+            over = (n > n_min) & (total / n - sum_min / n_min >= np.sqrt((n - n_min) / (n * n_min) / 2 * math.log(2 / self.alpha)))
+            if over.any():
+                found.append(at + int(over.argmax()))
+                at, width = found[-1] + 1, 256
+                self.__init__(self.alpha)
+            else:
+                self.n, self.sum, self.n_min, self.sum_min = int(n[-1]), float(total[-1]), int(n_min[-1]), float(sum_min[-1])
+                at, width = at + len(own), 2 * width
+        return found
+
+
 class AdaptiveWindow:
     """Change of a mean in either direction: the window drops its oldest part while two of its parts differ.
 
@@ -297,6 +336,13 @@ class TwoLevel:
         return found
 
 
+def changes(detector: object, values: np.ndarray) -> list[int]:
+    """The positions of values at which a detector, which goes on from what it has seen, tells of a change."""
+    if hasattr(detector, "changes"):
+        return detector.changes(values)
+    return [i for i, x in enumerate(values.tolist()) if detector.add(x)]
+
+
 def alarms(stream: DataFrame, key: str, seq: str, value: str, detector: Callable[[], object]) -> DataFrame:
     """key, seq of each change found. Rows are read in order, key by key; a task holds one detector's state only."""
 

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import sweep
+from ..operators import drift, sweep
 from ..session import shared_folder
 from ..sources import tables
 from ..sources.tables import table
@@ -25,9 +24,10 @@ def _sweep(spark, sf_dir):
     for c in CONFIGS:  # a file for each: of several in one file only the first is read
         spark.createDataFrame([(json.dumps(c),)], "line string").coalesce(1).write.text(f"{folder}/configs/{c['experiment_group']}")
     runs = tables.runs(tables.config(spark, f"{folder}/configs/*"))
-    by = Window.partitionBy("l_linestatus").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
     y = F.expr(f"CASE l_returnflag {' '.join(f"WHEN '{c}' THEN {n}" for c, n in CLASSES.items())} END")
-    data = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("dataset"), (F.row_number().over(by) - 1).alias("seq"), y.alias("y"), F.col("l_quantity").alias("quantity"))
+    labelled = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("dataset"), *order, y.alias("y"), F.col("l_quantity").alias("quantity"))
+    data = drift.positions(labelled, ["dataset"], order)
     return data, runs, f"{folder}/results"
 
 

@@ -5,7 +5,7 @@ From then on the counts of each update are added to those before it, and the sec
 gathered. An alarm of a feature resets that feature alone: with the update after, it warms up again and gathers afresh.
 
 Counts are mergeable, so an update's are made by one aggregation of all runs, and what is gathered is their running sum: a row for
-each cell of a histogram and update, whatever the number of rows. Merging sees the cells of one histogram at a time.
+each cell of a histogram and update, whatever the number of rows. Merging sees the cells of some histograms at a time.
 """
 
 from __future__ import annotations
